@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, substring_dedup, warc
+from . import exact_dedup, pii, quality, substring_dedup, warc
 from .bpe import encoding_digests
 from .jaccard import jaccard_components
 from .licenses import license_scan
@@ -47,10 +47,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.learn(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return license_scan(docs.withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_nearest_neighbours, op3_exact_dedup, op4_warc, op5_bpe, op6_substring_dedup, op7_packing, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_nearest_neighbours, op3_exact_dedup, op4_warc, op5_bpe, op6_substring_dedup, op7_packing, op8_pii, op9_quality, op10_license_scan)}
 ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL, "op6_substring_dedup": substring_dedup.ORACLE_SQL}
