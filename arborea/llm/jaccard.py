@@ -35,7 +35,7 @@ from .common import Scratch, components, mix, pack48, sub_batches, text_bytes, t
 #: Classes of one batch from which a shingle counts as hot, and its rank in the order of rarity.
 HOT_IN_BATCH, HOT = 64, (1 << 15) - 1
 #: Text bytes whose shingles one counting task gathers; shingles of a batch; shingles in a tile's block.
-TILE_BYTES, BATCH_TOKENS, BLOCK_TOKENS = 12_000_000, 1_500_000, 1_000_000
+TILE_BYTES, BATCH_TOKENS, BLOCK_TOKENS = 12_000_000, 1_000_000, 250_000
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -125,8 +125,8 @@ def _tiles(n_words: int, n_tiles: int):
     return arrow, "tile int, keys binary, sizes binary, tok binary, who binary, hot binary, hot_who binary, marks binary"
 
 
-def _count(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one tile: the shingles that two classes or more hold, with their rarity, gathered by class."""
+def _count(pdf: pd.DataFrame, n_buckets: int) -> pd.DataFrame:
+    """Of one tile: the shingles that two classes or more hold, with their rarity; one row a bucket of classes."""
     keys, sizes, tok, who, at = [], [], [], [], 0
     hot, hot_who, marks = [], [], []
     for r in pdf.itertuples():
@@ -173,26 +173,43 @@ def _count(pdf: pd.DataFrame) -> pd.DataFrame:
     who = np.r_[who, hot_who]
     order = np.argsort(who, kind="stable")
     ranked, who = ranked[order], who[order]
-    first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.empty(0, int)
-    ends = np.r_[first[1:], len(who)] if len(who) else first
-    return pd.DataFrame({"cls": uniq[who[first]], "n": size_of[who[first]], "ranked": [ranked[a:b].tobytes() for a, b in zip(first, ends)]})
+    used, first, count = np.unique(who, return_index=True, return_counts=True)
+    bucket = (mix(uniq[used].view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
+    rows = []
+    for b in np.unique(bucket):
+        mine = np.flatnonzero(bucket == b)
+        rows.append((b, uniq[used[mine]].tobytes(), size_of[used[mine]].tobytes(), count[mine].tobytes(), b"".join(ranked[a : a + n].tobytes() for a, n in zip(first[mine], count[mine]))))
+    return pd.DataFrame(rows, columns=["bucket", "keys", "sizes", "counts", "ranked"])
 
 
 def _members(percent: int):
-    """Classes that may have a partner: their shared shingles in order of rarity, and those of the prefix."""
-    schema = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("shared", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    """Of one bucket, the classes that may have a partner: their shared shingles and those of the prefix, in order of rarity."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, sizes, counts = (np.concatenate([np.frombuffer(x, np.int64) for x in pdf[c]]) for c in ("keys", "sizes", "counts"))
+        ranked = np.frombuffer(b"".join(pdf["ranked"]), np.uint64)
+        who, index = np.unique(keys, return_inverse=True)
+        n = np.zeros(len(who), np.int64)
+        n[index] = sizes
+        owner = np.repeat(index, counts)
+        need = -(-percent * n // 100)
+        keep = (np.bincount(owner, minlength=len(who)) >= need)[owner]
+        ranked, owner = ranked[keep], owner[keep]
+        order = np.lexsort((ranked, owner))
+        ranked, owner = ranked[order], owner[order]
+        rows = []
+        for a, b in zip(*_bounds(owner)):
+            i, own = owner[a], np.unique(ranked[a:b])
+            if len(own) >= need[i]:
+                rows.append((who[i], n[i], np.sort(own & _LOW48).tobytes(), (own[: len(own) - need[i] + 1] & _LOW48).astype(np.int64)))
+        return pd.DataFrame(rows, columns=["cls", "n", "shared", "prefix"])
+
+    return run
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for cls, n, parts in zip(*(batch.column(c).to_pylist() for c in ("cls", "n", "parts"))):
-                ranked = np.unique(np.frombuffer(b"".join(parts), np.uint64))
-                need = -(-percent * n // 100)
-                if len(ranked) >= need:
-                    rows.append((cls, n, np.sort(ranked & _LOW48).tobytes(), (ranked[: len(ranked) - need + 1] & _LOW48).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(4)], schema=schema)
 
-    return run, "cls long, n long, shared binary, prefix array<long>"
+def _bounds(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, np.int64)
+    return first, np.r_[first[1:], len(owner)] if len(first) else first
 
 
 def _bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
@@ -258,9 +275,9 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 75, doc
     n_tiles = tiles_for(text_bytes(src), TILE_BYTES)
     run, schema = _tiles(n_words, n_tiles)
     tiles = src.select("text").mapInArrow(run, schema).repartition(n_tiles, "tile")
-    shared = tiles.groupBy("tile").applyInPandas(_count, "cls long, n long, ranked binary")
-    run, schema = _members(percent)
-    members = scratch.write(shared.groupBy("cls").agg(F.first("n").alias("n"), F.collect_list("ranked").alias("parts")).mapInArrow(run, schema), "members")
+    n_buckets = max(8, n_tiles // 2)
+    shared = tiles.groupBy("tile").applyInPandas(lambda pdf: _count(pdf, n_buckets), "bucket int, keys binary, sizes binary, counts binary, ranked binary")
+    members = scratch.write(shared.groupBy("bucket").applyInPandas(_members(percent), "cls long, n long, shared binary, prefix array<long>"), "members")
 
     posted = members.select("cls", F.explode("prefix").alias("token"))
     hubs = posted.groupBy("token").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).filter("hub <> last").select("token", "hub")
