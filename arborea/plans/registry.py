@@ -9,3 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "audit_report"
+
+
+def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    if name in QUERIES:
+        raise ValueError(f"{name} is registered twice")
+    QUERIES[name] = run
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+def _load() -> None:
+    from . import content_queries, geometry_queries, rewrite_queries, session_queries, text_queries, tree_queries  # noqa: F401
+
+
+_load()
