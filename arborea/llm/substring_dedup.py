@@ -7,11 +7,12 @@ Words covered by a window of ``WINDOW`` words that also starts in a document wit
    documents that share ``WINDOW`` words share an anchor that both have hashed, however they are aligned.
 2. Anchors are dealt by hash; those that two documents or more hold come back to their documents.
 3. *Extension*: only windows around such anchors are hashed in full and dealt by hash; a window that a smaller
-   doc_id holds too comes back. A batch of documents settles its own repeats first and sends on only the
-   smallest document's window, so a passage in very many documents costs one entry a batch.
+   doc_id holds too comes back. A bucket of documents settles its own repeats first and sends on only the
+   smallest document's window, so a passage in very many documents costs one entry a bucket.
 4. Documents meet the windows found in them and drop the covered words.
 
-The texts are shuffled once: both joins with them read the same exchange.
+Steps 3 and 4 deal the documents to buckets of bounded size by a hash of the row; both read the same exchange, so the
+texts are shuffled once.
 
 Defined cases: a null or blank text has no words; a text with fewer words than the window loses none; a null doc_id
 comes after every other; rows with one doc_id never remove each other's words; an empty table gives an empty result.
@@ -65,6 +66,29 @@ class _Batch:
         return out
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Byte planes of 32-bit values, so that the shuffle's compression meets runs."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unplanes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _steps(place: np.ndarray, pos: np.ndarray) -> bytes:
+    """Positions as steps within each document."""
+    return _planes(np.where(np.r_[True, place[1:] != place[:-1]], pos, np.diff(pos, prepend=0)) if len(pos) else pos)
+
+
+def _unsteps(place: np.ndarray, raw: bytes) -> np.ndarray:
+    steps = _unplanes(raw)
+    if not len(steps):
+        return steps.astype(np.int32)
+    total = steps.cumsum()
+    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    return (total - np.repeat(total[first] - steps[first], np.diff(np.r_[first, len(steps)]))).astype(np.int32)
+
+
 def _rows(ords, rids, n_tiles, tile, packed, who, pos, settled, settled_tile, settled_pos, marks):
     """One row a tile. settled: documents (and positions) known already, which only pass through."""
     mark_tile = mix(marks) % np.uint64(n_tiles) if len(marks) else marks
@@ -73,8 +97,8 @@ def _rows(ords, rids, n_tiles, tile, packed, who, pos, settled, settled_tile, se
         if not (a.any() or b.any() or m.any()):
             continue
         used, place = np.unique(np.r_[who[a], settled[b]], return_inverse=True)
-        place, k = place.astype("<u2"), int(a.sum())
-        yield {"tile": t, "ords": ords[used].tobytes(), "rids": rids[used].tobytes(), "hash": packed(a), "who": place[:k].tobytes(), "pos": pos[a].tobytes(), "known": place[k:].tobytes(), "known_pos": settled_pos[b].tobytes(), "marks": pack48(marks[m])}
+        k = int(a.sum())
+        yield {"tile": t, "ords": ords[used].tobytes(), "rids": rids[used].tobytes(), "hash": packed(a), "who": _planes(place[:k]), "pos": _steps(place[:k], pos[a]), "known": _planes(place[k:]), "known_pos": _steps(place[k:], settled_pos[b]), "marks": pack48(marks[m])}
 
 
 _TILE = pa.schema([("tile", pa.int32()), *((n, pa.binary()) for n in ("ords", "rids", "hash", "who", "pos", "known", "known_pos", "marks"))])
@@ -88,10 +112,11 @@ def _anchors(n_tiles: int):
         ords, rids, h, who, pos = batch.take()
         h &= low48
         order = np.argsort(h, kind="stable")
-        h, who, pos = h[order], who[order], pos[order]
-        first, n = _runs(h)
-        fresh = np.r_[True, (h[1:] != h[:-1]) | (who[1:] != who[:-1])]  # who rises within a run
-        hot = np.repeat(np.add.reduceat(fresh, first) > HOT_IN_BATCH, n) if len(h) else np.empty(0, bool)
+        first, n = _runs(h[order])
+        fresh = np.r_[True, (h[order][1:] != h[order][:-1]) | (who[order][1:] != who[order][:-1])]  # who rises within a run
+        hot = np.zeros(len(h), bool)
+        if len(h):
+            hot[order] = np.repeat(np.add.reduceat(fresh, first) > HOT_IN_BATCH, n)
         tile = (mix(h) % np.uint64(n_tiles)).astype(np.int64)
         tile[hot] = -1
         return list(_rows(ords, rids, n_tiles, tile, lambda a: pack48(h[a]), who, pos, who[hot], rids[who[hot]].view(np.uint64) % np.uint64(n_tiles), pos[hot], np.unique(h[hot])))
@@ -123,21 +148,42 @@ def _gather(pdf: pd.DataFrame, decode):
     parts, known, marks = [], [], []
     for r in pdf.itertuples():
         ords, rids = np.frombuffer(r.ords, np.int64), np.frombuffer(r.rids, np.int64)
-        who, k = np.frombuffer(r.who, "<u2"), np.frombuffer(r.known, "<u2")
-        parts.append((decode(r.hash), ords[who], rids[who], np.frombuffer(r.pos, np.int32)))
-        known.append((ords[k], rids[k], np.frombuffer(r.known_pos, np.int32)))
+        who, k = _unplanes(r.who), _unplanes(r.known)
+        parts.append((decode(r.hash), ords[who], rids[who], _unsteps(who, r.pos)))
+        known.append((ords[k], rids[k], _unsteps(k, r.known_pos)))
         marks.append(unpack48(r.marks))
     return [np.concatenate(x) for x in zip(*parts)], [np.concatenate(x) for x in zip(*known)], np.unique(np.concatenate(marks))
 
 
-def _by_document(ords, rids, pos) -> pd.DataFrame:
-    order = np.lexsort((rids, ords))
-    ords, rids, pos = ords[order], rids[order], pos[order]
+def _by_bucket(ords, rids, pos, n_buckets: int) -> pd.DataFrame:
+    """One row for each bucket of documents: the documents, how many positions each has, the positions."""
+    bucket = np.mod(rids, n_buckets)
+    order = np.lexsort((pos, rids, ords, bucket))
+    ords, rids, pos, bucket = ords[order], rids[order], pos[order], bucket[order]
     first = np.flatnonzero(np.r_[True, (ords[1:] != ords[:-1]) | (rids[1:] != rids[:-1])]) if len(ords) else np.empty(0, np.int64)
-    return pd.DataFrame({"ord": ords[first], "rid": rids[first], "pos": [pos[a:b].tobytes() for a, b in zip(first, np.r_[first[1:], len(ords)])]})
+    n = np.diff(np.r_[first, len(ords)])
+    doc, rows = np.repeat(np.arange(len(first)), n), []
+    for b in np.unique(bucket):
+        mine, all_of = np.flatnonzero(bucket[first] == b), bucket == b
+        rows.append((b, ords[first[mine]].tobytes(), rids[first[mine]].tobytes(), _planes(n[mine]), _steps(doc[all_of], pos[all_of])))
+    return pd.DataFrame(rows, columns=["bucket", "ords", "rids", "counts", "pos"])
+
+
+_FOUND = "bucket int, ords binary, rids binary, counts binary, pos binary"
+
 
+def _positions(found: pd.DataFrame) -> dict[tuple[int, int], list[np.ndarray]]:
+    """Positions of each document of a bucket."""
+    out: dict[tuple[int, int], list[np.ndarray]] = {}
+    for r in found.itertuples():
+        n = _unplanes(r.counts)
+        pos = np.split(_unsteps(np.repeat(np.arange(len(n)), n), r.pos), n.cumsum()[:-1])
+        for key, p in zip(zip(np.frombuffer(r.ords, np.int64).tolist(), np.frombuffer(r.rids, np.int64).tolist()), pos):
+            out.setdefault(key, []).append(p)
+    return out
 
-def _shared_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
+
+def _shared_anchors(pdf: pd.DataFrame, n_buckets: int) -> pd.DataFrame:
     (h, ords, rids, pos), known, marks = _gather(pdf, unpack48)
     order = np.argsort(h, kind="stable")
     h, ords, rids, pos = h[order], ords[order], rids[order], pos[order]
@@ -145,43 +191,43 @@ def _shared_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
     if len(h):
         several = np.repeat(np.minimum.reduceat(ords, first) != np.maximum.reduceat(ords, first), n) | np.isin(h, marks)
         ords, rids, pos = ords[several], rids[several], pos[several]
-    return _by_document(*(np.r_[a, b] for a, b in zip((ords, rids, pos), known)))
+    return _by_bucket(*(np.r_[a, b] for a, b in zip((ords, rids, pos), known)), n_buckets)
 
 
 def _windows(n_tiles: int):
-    def flush(batch: _Batch):
-        ords, rids, h, who, pos = batch.take()
+    """Of one bucket of documents, the windows around its shared anchors, dealt by hash."""
+
+    def run(docs: pd.DataFrame, anchors: pd.DataFrame) -> pd.DataFrame:
+        near_of, held = _positions(anchors), _Batch()
+        for o, r, t in zip(docs["ord"].tolist(), docs["rid"].tolist(), docs["text"].tolist()) if near_of else ():
+            if (o, r) not in near_of:
+                continue
+            h = window_hashes(word_hashes(words(t, lower=False)), WINDOW)
+            near = np.zeros(len(h) + WINDOW, bool)
+            for pos in near_of[o, r]:
+                for back in range(PERIOD):
+                    near[np.maximum(pos - back, 0)] = True
+            starts = np.flatnonzero(near[: len(h)])
+            held.add(o, r, h[starts], starts)
+        if not held.ord:
+            return pd.DataFrame(columns=_TILE.names)
+        ords, rids, h, who, pos = held.take()
+        # a bucket settles its own repeats: what a smaller document of it holds needs no other
         mine = ords[who]
         order = np.lexsort((mine, h))
-        h, who, pos, mine = h[order], who[order], pos[order], mine[order]
-        first, n = _runs(h)
-        later = mine > np.repeat(mine[first], n)  # than the smallest document of this batch
+        first, n = _runs(h[order])
+        later = np.zeros(len(h), bool)
+        if len(h):
+            later[order] = mine[order] > np.repeat(mine[order][first], n)
         tile = (mix(h) % np.uint64(n_tiles)).astype(np.int64)
         tile[later] = -1
-        return list(_rows(ords, rids, n_tiles, tile, lambda a: h[a].tobytes(), who, pos, who[later], rids[who[later]].view(np.uint64) % np.uint64(n_tiles), pos[later], np.empty(0, np.uint64)))
-
-    def run(batches):
-        held = _Batch()
-        for batch in batches:
-            some = [i for i, p in enumerate(batch.column("anchors").to_pylist()) if p]
-            part = batch.take(pa.array(some, pa.int64()))
-            for o, r, t, found in zip(*(part.column(c).to_pylist() for c in ("ord", "rid", "text", "anchors"))):
-                h = window_hashes(word_hashes(words(t, lower=False)), WINDOW)
-                near = np.zeros(len(h) + WINDOW, bool)
-                pos = np.frombuffer(b"".join(found), np.int32)
-                for back in range(PERIOD):
-                    near[np.maximum(pos - back, 0)] = True
-                starts = np.flatnonzero(near[: len(h)])
-                held.add(o, r, h[starts], starts)
-                if held.full():
-                    yield pa.RecordBatch.from_pylist(flush(held), schema=_TILE)
-        if held.ord:
-            yield pa.RecordBatch.from_pylist(flush(held), schema=_TILE)
+        rows = _rows(ords, rids, n_tiles, tile, lambda a: h[a].tobytes(), who, pos, who[later], rids[who[later]].view(np.uint64) % np.uint64(n_tiles), pos[later], np.empty(0, np.uint64))
+        return pd.DataFrame(list(rows), columns=_TILE.names)
 
     return run
 
 
-def _repeated_windows(pdf: pd.DataFrame) -> pd.DataFrame:
+def _repeated_windows(pdf: pd.DataFrame, n_buckets: int) -> pd.DataFrame:
     (h, ords, rids, pos), known, _ = _gather(pdf, lambda raw: np.frombuffer(raw, np.uint64))
     order = np.argsort(h, kind="stable")
     h, ords, rids, pos = h[order], ords[order], rids[order], pos[order]
@@ -189,7 +235,7 @@ def _repeated_windows(pdf: pd.DataFrame) -> pd.DataFrame:
     if len(h):
         later = ords > np.repeat(np.minimum.reduceat(ords, first), n)
         ords, rids, pos = ords[later], rids[later], pos[later]
-    return _by_document(*(np.r_[a, b] for a, b in zip((ords, rids, pos), known)))
+    return _by_bucket(*(np.r_[a, b] for a, b in zip((ords, rids, pos), known)), n_buckets)
 
 
 def covered(n_words: int, starts: np.ndarray) -> np.ndarray:
@@ -202,36 +248,34 @@ def covered(n_words: int, starts: np.ndarray) -> np.ndarray:
 
 
 def _result(with_text: bool):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text" if with_text else "kept_sha256", pa.string())])
+    names = ["doc_id", "n_words", "n_removed", "kept_text" if with_text else "kept_sha256"]
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for o, t, found in zip(*(batch.column(c).to_pylist() for c in ("ord", "text", "repeats"))):
-                ws, gone = words(t, lower=False), 0
-                n = len(ws)
-                if found:
-                    out = covered(n, np.frombuffer(b"".join(found), np.int32))
-                    ws, gone = [w for w, x in zip(ws, out) if not x], int(out.sum())
-                kept = b" ".join(ws)
-                rows.append((None if o == _LAST else o, n, gone, kept.decode("utf-8", "surrogatepass") if with_text else hashlib.sha256(kept).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(4)], schema=schema)
+    def run(docs: pd.DataFrame, repeats: pd.DataFrame) -> pd.DataFrame:
+        found, rows = _positions(repeats), []
+        for o, r, t in zip(docs["ord"].tolist(), docs["rid"].tolist(), docs["text"].tolist()):
+            ws, gone = words(t, lower=False), 0
+            n = len(ws)
+            if (o, r) in found:
+                out = covered(n, np.concatenate(found[o, r]))
+                ws, gone = [w for w, x in zip(ws, out) if not x], int(out.sum())
+            kept = b" ".join(ws)
+            rows.append((None if o == _LAST else o, n, gone, kept.decode("utf-8", "surrogatepass") if with_text else hashlib.sha256(kept).hexdigest()))
+        return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
-    return run, f"doc_id long, n_words long, n_removed long, {'kept_text' if with_text else 'kept_sha256'} string"
+    return run, f"doc_id long, n_words long, n_removed long, {names[3]} string"
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (the kept words joined by one space) or its kept_sha256, for every row."""
-    src = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("ord"), F.xxhash64(F.col(text)).alias("rid"), F.col(text).alias("text"))
-    n_tiles = tiles_for(text_bytes(src), TILE_BYTES)
-    found = "ord long, rid long, pos binary"
-    keys = ["ord", "rid"]
-    anchors = src.mapInArrow(_anchors(n_tiles), _TILE_SQL).repartition(n_tiles, "tile").groupBy("tile").applyInPandas(_shared_anchors, found)
-    # left joins on either side: the texts' exchange is then the same, and runs once
-    around = src.join(anchors.groupBy(*keys).agg(F.collect_list("pos").alias("anchors")), keys, "left")
-    windows = around.mapInArrow(_windows(n_tiles), _TILE_SQL).repartition(n_tiles, "tile").groupBy("tile").applyInPandas(_repeated_windows, found)
+    n_tiles = tiles_for(text_bytes(docs, text), TILE_BYTES)
+    n_buckets = 2 * n_tiles
+    src = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("ord"), F.col(text).alias("text")).withColumn("rid", F.xxhash64("ord", "text"))
+    whole = src.withColumn("bucket", F.pmod("rid", F.lit(n_buckets)).cast("int"))
+    anchors = src.mapInArrow(_anchors(n_tiles), _TILE_SQL).repartition(n_tiles, "tile").groupBy("tile").applyInPandas(lambda pdf: _shared_anchors(pdf, n_buckets), _FOUND)
+    around = whole.groupBy("bucket").cogroup(anchors.groupBy("bucket")).applyInPandas(_windows(n_tiles), _TILE_SQL)
+    windows = around.repartition(n_tiles, "tile").groupBy("tile").applyInPandas(lambda pdf: _repeated_windows(pdf, n_buckets), _FOUND)
     run, schema = _result(with_text)
-    return src.join(windows.groupBy(*keys).agg(F.collect_list("pos").alias("repeats")), keys, "left").mapInArrow(run, schema)
+    return whole.groupBy("bucket").cogroup(windows.groupBy("bucket")).applyInPandas(run, schema)
 
 
 ORACLE_SQL = r"""
