@@ -33,6 +33,8 @@ from .common import Scratch, text_bytes
 
 #: Bytes from which equal payloads are revisits; compressed bytes of a file; bytes of text in a shard; zlib level.
 REVISIT, ROLL, SHARD_BYTES, LEVEL = 1000, 8_000_000, 16_000_000, 6
+#: Groups of equal payloads (48 bytes each) up to which they are broadcast, so that payloads are shuffled once; beyond, twice.
+BROADCAST_GROUPS = 200_000
 DATE = "2020-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -126,6 +128,8 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     src = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload")).withColumn("sha256", F.unhex(F.sha2("payload", 256)))
     groups = src.filter(F.octet_length("payload") >= REVISIT).groupBy("sha256").agg(F.max("page_id").alias("keep_id"), F.count("*").alias("n")).filter("n > 1")
+    groups = Scratch(spark, "warc-groups").write(groups, "groups")
+    groups = F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
     shards = max(1, -(-text_bytes(pages, html) // SHARD_BYTES))
     dealt = src.join(groups, "sha256", "left").repartitionByRange(shards, "page_id", "sha256").sortWithinPartitions("page_id", "sha256")
     manifest = dealt.mapInArrow(_write(folder), "file string, records long, bytes long, sha256 string")
