@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from . import tree as t
 from .predicates import blank, numbered_heading
 
-HEAD = F.expr("CAST(substring(role, 2) AS INT)")
+HEAD = F.expr("TRY_CAST(substring(role, 2) AS INT)")
 
 
 def _found(df: DataFrame, check: str, node: str | Column = "node_id", page=None, detail: str | Column = "") -> DataFrame:

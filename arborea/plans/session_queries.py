@@ -1 +1,27 @@
+"""Queries over edits, with their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..streaming import edits as e
+from .adapters import EDITS, oracle, view
+from .registry import register
+
+_E = f"edits AS ({oracle(EDITS)})"
+
+
+def on_edits(name, run, sql=None):
+    register(name, lambda s, d: run(view(s, d, EDITS)), sql and f"WITH {_E} {sql}")
+
+
+on_edits("edit_sessions", lambda x: e.sessions(x, "2 hours"), ", g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY doc_id ORDER BY ts, seq) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM edits), s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY ts, seq) AS n FROM g) SELECT doc_id, min(ts) AS start, max(ts) AS last, count(*) AS n_edits, count(*) FILTER (changes) AS n_changes FROM s GROUP BY doc_id, n")
+on_edits("autosave_ticks", e.autosave_ticks, "SELECT doc_id, time_bucket(INTERVAL 2 MINUTE, ts) + INTERVAL 2 MINUTE AS tick, max_by(seq, {'ts': ts, 'seq': seq}) AS seq FROM edits WHERE changes GROUP BY ALL")
+_STEPS = "f AS (SELECT *, CASE WHEN undo_group = lag(undo_group) OVER (PARTITION BY doc_id ORDER BY seq) THEN 0 ELSE 1 END AS new FROM edits WHERE changes), n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY seq) AS step FROM f), steps AS (SELECT doc_id, CAST(step AS BIGINT) AS step, min(undo_group) AS undo_group, min(seq) AS first_seq, count(*) AS n_edits FROM n GROUP BY doc_id, step QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY step DESC) <= 50)"
+on_edits("undo_steps", e.undo_steps, f", {_STEPS} SELECT * FROM steps")
+on_edits("undo_owner", e.undo_owner, f", {_STEPS} SELECT s.doc_id, s.undo_group FROM steps s WHERE step = (SELECT max(step) FROM steps o WHERE o.doc_id = s.doc_id)")
+on_edits("latest_tokens", lambda x: e.latest_tokens(x.select("doc_id", "seq", (F.col("seq") % 17).alias("token"))), "SELECT doc_id, seq, token FROM (SELECT doc_id, seq, seq % 17 AS token, max(seq % 17) OVER (PARTITION BY doc_id ORDER BY seq) AS newest FROM edits) WHERE token >= newest")
+_RENUMBER = lambda x: x.filter("cmd = 'signup'").select("doc_id", F.col("seq").alias("revision"), (F.col("seq") % 40).alias("boundary"))
+on_edits("stale_edits", lambda x: e.stale_edits(x.select("doc_id", "seq", (F.col("seq") - 20).alias("revision"), (F.col("seq") % 50).alias("node_id")), _RENUMBER(x), 5),
+         ", r AS (SELECT doc_id, seq AS revision, seq % 40 AS boundary, row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) AS n, count(*) OVER (PARTITION BY doc_id) AS total FROM edits WHERE cmd = 'signup'), h AS (SELECT doc_id, max(revision) AS newest, min(revision) AS oldest, max(total) AS total FROM r WHERE n <= 5 GROUP BY doc_id) SELECT e.doc_id, e.seq, CASE WHEN e.seq - 20 > coalesce(newest, 0) THEN 'future' WHEN total > 5 AND e.seq - 20 < oldest - 1 THEN 'stale' WHEN e.seq % 50 >= (SELECT min(boundary) FROM r WHERE r.doc_id = e.doc_id AND n <= 5 AND r.revision > e.seq - 20) THEN 'stale' ELSE 'fresh' END AS verdict FROM edits e LEFT JOIN h USING (doc_id)")
+on_edits("undo_redo", lambda x: e.undo_redo(x.withColumn("cmd", F.when(F.col("cmd") == "error", "undo").when(F.col("cmd") == "click", "redo").otherwise("edit"))))

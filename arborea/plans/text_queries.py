@@ -1 +1,85 @@
+"""Queries of texts and summaries, with their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import audit as a
+from ..operators import summary as m
+from ..operators import text as x
+from .adapters import DOC_PAGES, LEAF_TEXT, OUTLINE, view
+from .registry import register
+from .tree_queries import _DIRECT, _PAGE_OF, HEADS, on_tree
+
+_T = ("leaf_text", LEAF_TEXT)
+_PULLED = "pulled AS (SELECT a.doc_id, anc AS node_id, string_agg(text, ' ' ORDER BY a.pre) AS text FROM anc a JOIN leaf_text l ON l.doc_id = a.doc_id AND l.node_id = a.node_id JOIN tree e ON e.doc_id = a.doc_id AND e.node_id = a.anc WHERE a.type = 'content' AND text <> '' AND e.type = 'element' GROUP BY ALL)"
+on_tree("leaf_text", lambda t, w: x.resolved_leaf_text(w(LEAF_TEXT)), "SELECT doc_id, node_id, coalesce(nullif(text, ''), CASE WHEN has_image THEN '[Image]' END, CASE WHEN has_vector THEN '[Graphic]' END) AS text FROM leaf_text", _T)
+on_tree("pull_text", lambda t, w: x.content_text(t, w(LEAF_TEXT)), f", {_PULLED} SELECT * FROM pulled", _T)
+on_tree("direct_text", lambda t, w: x.direct_text(t, w(LEAF_TEXT)), f", {_DIRECT} SELECT * FROM direct", _T)
+on_tree("text_offsets", lambda t, w: x.text_offsets(t, w(LEAF_TEXT)), "SELECT t.doc_id, t.node_id, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY t.doc_id, parent_id ORDER BY pre ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM tree t JOIN leaf_text l USING (doc_id, node_id) WHERE type = 'content' AND text <> ''", _T)
+on_tree("cell_text", lambda t, w: x.cell_text(t, w(LEAF_TEXT)), "SELECT e.doc_id, e.node_id, string_agg(text, ' ' ORDER BY c.pre) AS text FROM tree e JOIN tree c ON c.doc_id = e.doc_id AND c.pre > e.pre AND c.pre <= e.last_pre JOIN leaf_text l ON l.doc_id = c.doc_id AND l.node_id = c.node_id WHERE e.role IN ('TH', 'TD') AND c.type = 'content' AND text <> '' GROUP BY ALL", _T)
+_TITLES = f"titles AS (SELECT t.doc_id, t.node_id, CAST(substr(role, 2) AS INT) AS level, coalesce(nullif(trim(coalesce(actual_text, '')), ''), nullif(trim(coalesce(p.text, '')), ''), 'Untitled ' || role) AS title FROM tree t LEFT JOIN pulled p USING (doc_id, node_id) WHERE role IN {HEADS})"
+on_tree("heading_titles", lambda t, w: x.heading_titles(t, w(LEAF_TEXT)), f", {_PULLED}, {_TITLES} SELECT * FROM titles", _T)
+on_tree("tree_summary", lambda t, _: m.tree_summary(t, a.empty_nodes(t)), f"SELECT doc_id, count(*) FILTER (type = 'element') AS n_tags, count(*) FILTER (type = 'content') AS n_leaves, max(depth) FILTER (type = 'element') AS max_depth, count(*) FILTER (role IN ('Figure', 'Formula') AND coalesce(alt, '') = '') AS n_figures_without_alt, count(*) FILTER (role IN {HEADS}) AS n_headings, (SELECT count(*) FROM empty e WHERE e.doc_id = t.doc_id) AS n_empty FROM tree t GROUP BY doc_id")
+on_tree("tags_per_role", lambda t, _: m.tags_per_role(t), "SELECT doc_id, role, count(*) AS n FROM nodes WHERE type = 'element' GROUP BY ALL")
+on_tree("tags_per_page", lambda t, _: m.tags_per_page(t), f", {_PAGE_OF} SELECT doc_id, page_no, count(*) AS n FROM page_of JOIN nodes USING (doc_id, node_id) WHERE type = 'element' AND page_no IS NOT NULL GROUP BY ALL")
+on_tree("heading_list", lambda t, _: m.heading_list(t, 4), f"SELECT doc_id, node_id, level, truncated FROM (SELECT *, CAST(substr(role, 2) AS INT) AS level, row_number() OVER (PARTITION BY doc_id ORDER BY pre) AS n, count(*) OVER (PARTITION BY doc_id) > 4 AS truncated FROM tree WHERE role IN {HEADS}) WHERE n <= 4")
+on_tree("organizational_below", lambda t, _: m.organizational_below(t), "SELECT e.doc_id, e.node_id, count(*) AS n FROM tree e JOIN tree c ON c.doc_id = e.doc_id AND c.pre > e.pre AND c.pre <= e.last_pre WHERE e.type = 'element' AND (lower(c.role) IN ('div', 'sect', 'part', 'sub') OR lower(c.role) LIKE '%span%') GROUP BY ALL")
+on_tree("link_totals", lambda t, _: m.link_totals(t), "SELECT doc_id, count(*) FILTER (role = 'Link') AS n_links, count(*) FILTER (type = 'object-ref' AND target_id IS NOT NULL) AS n_objects FROM nodes GROUP BY doc_id")
+on_tree("severity_below", lambda t, _: m.severity_below(t, t.filter("type = 'element' AND node_id % 5 = 1").select("doc_id", "node_id", F.when(F.col("ord") % 2 == 0, 1).otherwise(2).alias("severity"))), "SELECT e.doc_id, e.node_id, max(CASE WHEN c.ord % 2 = 0 THEN 1 ELSE 2 END) AS severity FROM tree e JOIN tree c ON c.doc_id = e.doc_id AND c.pre > e.pre AND c.pre <= e.last_pre WHERE c.type = 'element' AND c.node_id % 5 = 1 GROUP BY ALL")
+on_tree("badges", lambda t, _: m.badges(t, t.filter("type = 'element' AND node_id % 7 = 1").select("doc_id", "node_id", F.lit(2).alias("severity")), t.filter("type = 'element' AND node_id % 5 = 1").select("doc_id", "node_id", F.lit(1).alias("severity"))),
+        """, ai AS (SELECT * FROM tree WHERE type = 'element' AND node_id % 7 = 1), att AS (SELECT * FROM tree WHERE type = 'element' AND node_id % 5 = 1), b AS (SELECT e.doc_id, e.node_id, CASE WHEN e.type = 'element' AND e.node_id % 7 = 1 THEN 'AI**' WHEN EXISTS (SELECT 1 FROM ai c WHERE c.doc_id = e.doc_id AND c.pre > e.pre AND c.pre <= e.last_pre) THEN 'AI**↓'
+ WHEN e.type = 'element' AND e.node_id % 5 = 1 THEN 'AT*' WHEN EXISTS (SELECT 1 FROM att c WHERE c.doc_id = e.doc_id AND c.pre > e.pre AND c.pre <= e.last_pre) THEN 'AT*↓' END AS badge FROM tree e) SELECT * FROM b WHERE badge IS NOT NULL""")
+on_tree("bookmark_parents", lambda t, _: m.bookmark_parents(t), f", h AS (SELECT *, CAST(substr(role, 2) AS INT) AS level FROM tree WHERE role IN {HEADS}) SELECT doc_id, node_id, (SELECT max_by(p.node_id, p.pre) FROM h p WHERE p.doc_id = h.doc_id AND p.pre < h.pre AND p.level < h.level) AS parent FROM h")
+on_tree("bookmark_listing", lambda t, w: m.bookmark_listing(w(OUTLINE), 3), "SELECT doc_id, bookmark_id, total, total > 3 AS truncated FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM outline_) WHERE n <= 3", ("outline_", OUTLINE))
+on_tree("outline_slot", lambda t, w: m.outline_slot(w(OUTLINE), w(DOC_PAGES)), "SELECT p.doc_id, p.page, (SELECT max_by(o.bookmark_id, o.ord) FROM outline_ o WHERE o.doc_id = p.doc_id AND o.ord < coalesce((SELECT min(z.ord) FROM outline_ z WHERE z.doc_id = p.doc_id AND z.page > p.page), 9223372036854775807)) AS after FROM pages_ p", ("outline_", OUTLINE), ("pages_", DOC_PAGES))
+
+# lines and pairs of documents
+_LINES = "SELECT doc_id, i - 1 AS line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)"
+
+
+def _doc_lines(s, d):
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+def _pairs(s, d):
+    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.substring("text", 1, 40).alias("head"), "text").filter("length(text) < 2000")
+    low = docs.groupBy("head").agg(F.min("doc_id").alias("low")).filter("head <> ''")
+    first = docs.select(F.col("doc_id").alias("low"), F.col("text").alias("a"))
+    return docs.join(low, "head").filter("doc_id > low").join(first, "low").select("doc_id", "a", F.col("text").alias("b"))
+
+
+_PAIRS = "docs AS (SELECT doc_id, substr(text, 1, 40) AS head, text FROM documents WHERE length(text) < 2000), low AS (SELECT head, min(doc_id) AS low FROM docs WHERE head <> '' GROUP BY head), pairs AS (SELECT d.doc_id, f.text AS a, d.text AS b FROM docs d JOIN low USING (head) JOIN docs f ON f.doc_id = low.low WHERE d.doc_id > low)"
+_WS = "[ \\t\\n\\x0B\\f\\r\\x{00A0}]"
+
+
+def _collapsed(c):
+    return f"trim(regexp_replace({c}, '{_WS}+', ' ', 'g'))"
+
+
+
+register("list_labels", lambda s, d: _doc_lines(s, d).select("doc_id", "line_no", x.is_list_label(F.split_part("line", F.lit(" "), F.lit(1))).alias("label"), x.leading_label_length(F.col("line")).alias("n")),
+         f"SELECT doc_id, line_no, regexp_matches(trim(split_part(line, ' ', 1)), '{x.MARKER}') AS label, CAST(length(regexp_extract(line, '{x.LEADING}', 1)) AS INT) AS n FROM ({_LINES})")
+register("clipped_lines", lambda s, d: _doc_lines(s, d).select("doc_id", "line_no", F.concat(F.substring(x.collapsed(F.col("line")), 1, 20), F.lit("…")).alias("clip")), f"SELECT doc_id, line_no, substr({_collapsed('line')}, 1, 20) || '…' AS clip FROM ({_LINES})")
+register("white_space_change", lambda s, d: _pairs(s, d).select("doc_id", x.white_space_only(F.col("a"), F.col("b")).alias("same"), x.severity(F.col("a"), F.col("b")).alias("severity"), x.affordable(F.col("a"), F.col("b")).alias("affordable")),
+         f"WITH {_PAIRS}, c AS (SELECT *, {_collapsed('a')} = {_collapsed('b')} AS same FROM pairs) SELECT doc_id, same, CASE WHEN same THEN 1 ELSE 2 END AS severity, power((length(a) + length(b)) / 4.0, 2) <= 4000000 AS affordable FROM c")
+register("word_tokens", lambda s, d: _doc_lines(s, d).select("doc_id", "line_no", F.size(x.word_tokens(F.col("line"))).alias("n"), F.array_join(x.word_tokens(F.col("line")), "|").alias("tokens")), f"SELECT doc_id, line_no, CAST(len(t) AS INT) AS n, array_to_string(t, '|') AS tokens FROM (SELECT doc_id, line_no, regexp_extract_all(line, '{_WS}+|[^ \\t\\n\\x0B\\f\\r\\x{{00A0}}]+') AS t FROM ({_LINES}))")
+register("word_diff", lambda s, d: x.word_diff(_pairs(s, d)).select("doc_id", F.size(F.filter("ops", lambda o: o["type"] == "removed")).alias("n_removed"), F.size(F.filter("ops", lambda o: o["type"] == "added")).alias("n_added"), F.size(F.filter("ops", lambda o: o["type"] == "common")).alias("n_common")))
+register("diff_regions", lambda s, d: x.diff_regions(x.word_diff(_pairs(s, d)), "doc_id"))
+register("find_cut", lambda s, d: x.find_cut(_doc_lines(s, d).withColumn("needle", F.split_part("line", F.lit(" "), F.lit(2))), "line", "needle").select("doc_id", "line_no", "refusal", "cut"),
+         f"""WITH l AS (SELECT doc_id, line_no, regexp_replace(line, '{_WS}', '', 'g') AS flat, regexp_replace(split_part(line, ' ', 2), '{_WS}', '', 'g') AS want FROM ({_LINES})), p AS (SELECT *, CAST(strpos(flat, want) AS INT) AS first FROM l),
+ r AS (SELECT *, CASE WHEN want = '' OR first = 0 THEN 'missing' WHEN strpos(substr(flat, first + 1), want) > 0 THEN 'ambiguous' WHEN first = 1 THEN 'at the start' END AS refusal FROM p) SELECT doc_id, line_no, refusal, CASE WHEN refusal IS NULL THEN first - 1 END AS cut FROM r""")
+register("split_pieces", lambda s, d: x.split_pieces(_doc_lines(s, d).filter("length(line) > 10").withColumn("key", F.concat_ws(":", "doc_id", "line_no")).withColumn("cuts", F.array(F.lit(3), F.lit(7))), "key", "line", "cuts"),
+         f"SELECT doc_id || ':' || line_no AS key, p.n AS piece_no, CASE p.n WHEN 1 THEN substr(line, 1, 3) WHEN 2 THEN substr(line, 4, 4) ELSE substr(line, 8) END AS piece FROM ({_LINES}), (VALUES (1), (2), (3)) p(n) WHERE length(line) > 10")
+_TURNS = "SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM {conversations}"
+register("reply_json", lambda s, d: view(s, d, _TURNS).select("conv_id", "turn", x.lenient_json(F.concat(F.lit('note {"n": '), F.col("turn").cast("string"), F.lit(', "s": "}"} tail'))).alias("json")), """SELECT conv_id, CAST(turn AS BIGINT) AS turn, '{"n": ' || CAST(turn AS VARCHAR) || ', "s": "}"}' AS json FROM conversations""")
+register("reply_reconciliation", lambda s, d: x.reconcile(view(s, d, _TURNS).filter("role = 'user'").select("conv_id", F.col("turn").alias("id")), view(s, d, _TURNS).filter("role <> 'user'").select("conv_id", (F.col("turn") - 1).alias("id")), "conv_id"),
+         "WITH q AS (SELECT DISTINCT conv_id, turn AS id FROM conversations WHERE role = 'user'), r AS (SELECT conv_id, turn - 1 AS id, count(*) AS n FROM conversations WHERE role <> 'user' GROUP BY ALL), b AS (SELECT conv_id, q.id IS NOT NULL AS asked, n FROM q FULL JOIN r USING (conv_id, id)), s AS (SELECT conv_id, count(*) FILTER (n IS NULL) AS missing, count(*) FILTER (asked AND n > 1) AS repeated, count(*) FILTER (NOT asked) AS unknown FROM b GROUP BY conv_id) SELECT *, missing + repeated + unknown = 0 AS accepted FROM s")
+register("payload_guard", lambda s, d: view(s, d, _TURNS).groupBy("conv_id").agg(F.length(F.to_json(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))))).alias("size")).select("conv_id", "size", (F.col("size") > 60).alias("refused")),
+         """WITH j AS (SELECT conv_id, CAST(length('[' || string_agg('{"turn":' || turn || ',"n":' || length(text) || '}', ',' ORDER BY turn, length(text)) || ']') AS INT) AS size FROM conversations GROUP BY conv_id) SELECT conv_id, size, size > 60 AS refused FROM j""")
+_LOG = "SELECT event_id AS run_id, event_type AS provider, ts, user_id + 1 AS chars, value AS ms FROM {events}"
+register("batch_time_range", lambda s, d: m.batch_time(view(s, d, _LOG)), "WITH l AS (SELECT event_type AS provider, value / (user_id + 1) AS r FROM events ORDER BY ts DESC, event_id DESC LIMIT 50) SELECT provider, round(CASE WHEN count(*) < 4 THEN quantile_cont(r, 0.5) * 0.7 ELSE quantile_cont(r, 0.25) END, 6) AS low, round(CASE WHEN count(*) < 4 THEN quantile_cont(r, 0.5) * 1.3 ELSE quantile_cont(r, 0.75) END, 6) AS high FROM l GROUP BY provider")
+_VERSIONS = "SELECT p_partkey AS id, CAST(p_size AS STRING) || '.' || CAST(p_partkey % 12 AS STRING) || CASE WHEN p_partkey % 3 = 0 THEN '-rc.1' ELSE '' END AS version FROM {part}"
+register("version_order", lambda s, d: view(s, d, _VERSIONS).select("id", x.version_key(F.col("version")).alias("key")), "SELECT p_partkey AS id, lpad(CAST(p_size AS VARCHAR), 8, '0') || '.' || lpad(CAST(p_partkey % 12 AS VARCHAR), 8, '0') || '.00000000.00000000' || CASE WHEN p_partkey % 3 = 0 THEN '-rc.1' ELSE '~' END AS key FROM part")
+_NOTES = "SELECT doc_id, '## [' || CAST(doc_id AS STRING) || '.0] - 2024' || chr(10) || '### Added' || chr(10) || '- ' || source || chr(10) || '  wrapped' || chr(10) || '- ' || lang || chr(10) || chr(10) || '[x]: y' AS text FROM {documents}"
+register("release_notes", lambda s, d: x.sections(view(s, d, _NOTES)), "SELECT doc_id, doc_id || '.0' AS version, e.n AS entry_no, 'Added' AS \"group\", CASE e.n WHEN 1 THEN source || ' wrapped' ELSE lang END AS entry FROM documents, (VALUES (CAST(1 AS BIGINT)), (2)) e(n)")
