@@ -7,7 +7,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from . import tree as t
 from .predicates import blank, numbered_heading
 
-HEAD = F.expr("TRY_CAST(substring(role, 2) AS INT)")
+
+def head_level() -> Column:
+    return F.expr("TRY_CAST(substring(role, 2) AS INT)")
+
 
 
 def _found(df: DataFrame, check: str, node: str | Column = "node_id", page=None, detail: str | Column = "") -> DataFrame:
@@ -19,7 +22,7 @@ def _found(df: DataFrame, check: str, node: str | Column = "node_id", page=None,
 
 def heading_skips(tree: DataFrame) -> DataFrame:
     """Headings deeper than one more than the deepest level seen before (0 at first)."""
-    h = tree.filter(numbered_heading(F.col("role"))).withColumn("level", HEAD)
+    h = tree.filter(numbered_heading(F.col("role"))).withColumn("level", head_level())
     seen = F.coalesce(F.max("level").over(Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return _found(h.withColumn("seen", seen).filter("level > seen + 1"), "heading-levels", detail=F.col("seen"))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate, groupby
+from operator import itemgetter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -57,30 +61,33 @@ def glyphs(lines: DataFrame) -> DataFrame:
     return g.select("doc_id", "line", "col", "ch", x.alias("x0"), y.alias("y0"), (x + 6).alias("x1"), (y + 10).alias("y1"))
 
 
-def cluster(mids: list[float], tolerance: float) -> list[int]:
-    """Line of each midpoint, taken in ascending order: it joins while it is near the running mean of its line."""
-    out, line, total, n = [], -1, 0.0, 0
-    for m in mids:
-        if n and abs(m - total / n) <= tolerance:
-            total, n = total + m, n + 1
-        else:
-            line, total, n = line + 1, m, 1
-        out.append(line)
-    return out
-
-
 def line_clusters(boxes: DataFrame) -> DataFrame:
     """doc_id, line_no, n, top, bottom: boxes clustered to lines by vertical midpoint. Boxes of one height and midpoint are grouped
     before Python, so a page is as many rows as it has levels."""
     levels = boxes.groupBy("doc_id", ((F.col("y0") + F.col("y1")) / 2).alias("mid"), (F.col("y1") - F.col("y0")).alias("h")).agg(F.count("*").alias("n"), F.min("y0").alias("top"), F.max("y1").alias("bottom"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["mid", "h"])
-        heights = pdf["h"].repeat(pdf["n"])
-        pdf = pdf.assign(line_no=_weighted(pdf["mid"].tolist(), pdf["n"].tolist(), max(1.5, 0.35 * heights.median())))
-        return pdf.groupby("line_no", as_index=False).agg(n=("n", "sum"), top=("top", "min"), bottom=("bottom", "max")).assign(doc_id=pdf["doc_id"].iloc[0])[["doc_id", "line_no", "n", "top", "bottom"]]
-
-    return levels.groupBy("doc_id").applyInPandas(run, "doc_id long, line_no long, n long, top double, bottom double")
+        out = []
+        rows = sorted(pdf[["doc_id", "mid", "h", "n", "top", "bottom"]].itertuples(index=False, name=None))
+        for doc, page in groupby(rows, itemgetter(0)):
+            page = list(page)
+            at = _weighted([r[1] for r in page], [r[3] for r in page], max(1.5, 0.35 * _median([(r[2], r[3]) for r in page])))
+            for line, part in groupby(zip(at, page), itemgetter(0)):
+                part = [r for _, r in part]
+                out.append((doc, line, sum(r[3] for r in part), min(r[4] for r in part), max(r[5] for r in part)))
+        return pd.DataFrame(out, columns=["doc_id", "line_no", "n", "top", "bottom"])
+
+    # one call handles the pages of many documents; a document's levels lie together
+    return levels.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 10))).applyInPandas(run, "doc_id long, line_no long, n long, top double, bottom double")
+
+
+def _median(values: list[tuple[float, int]]) -> float:
+    """Median of values with their numbers."""
+    values = sorted(values)
+    ends = list(accumulate(n for _, n in values))
+    total = ends[-1]
+    at = lambda k: values[bisect_right(ends, k)][0]
+    return (at((total - 1) // 2) + at(total // 2)) / 2
 
 
 def _weighted(mids: list[float], weights: list[int], tolerance: float) -> list[int]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import tree as t
-from .audit import HEAD
+from .audit import head_level
 from .predicates import numbered_heading, organizational
 
 
@@ -31,7 +31,7 @@ def heading_list(tree: DataFrame, most: int = 200) -> DataFrame:
     """doc_id, node_id, level, truncated: the first headings of each document."""
     w = Window.partitionBy("doc_id")
     h = tree.filter(numbered_heading(F.col("role"))).withColumn("n", F.row_number().over(w.orderBy("pre"))).withColumn("truncated", F.count("*").over(w) > most)
-    return h.filter(F.col("n") <= most).select("doc_id", "node_id", HEAD.alias("level"), "truncated")
+    return h.filter(F.col("n") <= most).select("doc_id", "node_id", head_level().alias("level"), "truncated")
 
 
 def organizational_below(tree: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def bookmark_listing(outline: DataFrame, most: int = 300) -> DataFrame:
 
 def bookmark_parents(tree: DataFrame) -> DataFrame:
     """doc_id, node_id, parent: of each heading the nearest one before it of a strictly lower level."""
-    h = tree.filter(numbered_heading(F.col("role"))).withColumn("level", HEAD)
+    h = tree.filter(numbered_heading(F.col("role"))).withColumn("level", head_level())
     w = Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
     last = {k: F.last(F.when(F.col("level") == k, F.struct("pre", "node_id")), ignorenulls=True).over(w) for k in range(1, 6)}
     for k, c in last.items():

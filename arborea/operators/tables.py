@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -50,13 +53,16 @@ def grid(cell: DataFrame) -> DataFrame:
     c = cell if "row_span" in cell.columns else cell.withColumn("row_span", F.lit(1))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["row_no", "cell_no"])
-        groups = [g for _, g in pdf.groupby("row_no")]
-        at, n, error = place([list(zip(g["col_span"], g["row_span"])) for g in groups])
-        out = pd.concat([g.assign(col_no=[a + 1 for a in p]) for g, p in zip(groups, at)])
-        return out.assign(n_cols=n, error=error)[["doc_id", "tab", "node_id", "row_no", "col_no", "n_cols", "error"]]
-
-    return c.groupBy("doc_id", "tab").applyInPandas(run, "doc_id long, tab long, node_id long, row_no int, col_no int, n_cols int, error string")
+        out, key = [], itemgetter(0, 1)
+        rows = sorted(pdf[["doc_id", "tab", "row_no", "cell_no", "node_id", "col_span", "row_span"]].itertuples(index=False, name=None))
+        for (doc, tab), table in groupby(rows, key):
+            lines = [list(line) for _, line in groupby(table, itemgetter(2))]
+            at, n, error = place([[(x[5], x[6]) for x in line] for line in lines])
+            out += [(doc, tab, x[4], x[2], c + 1, n, error) for line, places in zip(lines, at) for x, c in zip(line, places)]
+        return pd.DataFrame(out, columns=["doc_id", "tab", "node_id", "row_no", "col_no", "n_cols", "error"])
+
+    # tables of a document go together: one call handles many, and a table lies in one document
+    return c.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 10))).applyInPandas(run, "doc_id long, tab long, node_id long, row_no int, col_no int, n_cols int, error string")
 
 
 def plain_grid(sizes: DataFrame) -> DataFrame:
