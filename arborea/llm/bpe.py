@@ -30,8 +30,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-#: Words in a worker's cache.
-CACHE_WORDS = 1_000_000
+from .common import bounded_batches
+
+#: Words in each of a worker's two caches (about 200 bytes a word); they start anew when full.
+CACHE_WORDS = 350_000
 #: Ids take 20 bits; no pair has this rank.
 _ID, _NONE = (1 << 20) - 1, 1 << 62
 _ODD_CONTROLS = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the vocabulary's rule
@@ -71,6 +73,7 @@ class Vocabulary:
         lengths = [len(t.removesuffix(suffix)) for t in self.tokens]
         self.lookahead = sufficient_lookahead(pairs, lengths)
         self.lengths = lengths
+        self.packed = [i.to_bytes(4, "little") for i in range(size)]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for token, i in self.special.items():
             self.tokens += [""] * (i + 1 - len(self.tokens))
@@ -162,11 +165,15 @@ class _Chunks(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         v, words, out = self.v, self.words, []
-        text = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        for piece in _PIECES.findall(text):
+        if chunk.isascii():
+            text = chunk.lower()
+            pieces = (text,) if text.isalpha() else _PIECES.findall(text)
+        else:
+            pieces = _PIECES.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())
+        for piece in pieces:
             ids = words.get(piece)
             if ids is None:
-                ids = np.array(v.word(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+                ids = b"".join(map(v.packed.__getitem__, v.word(piece.encode("utf-8", "surrogatepass"))))
                 if len(piece) < 64:
                     if len(words) >= CACHE_WORDS:
                         words.clear()
@@ -202,6 +209,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned 32-bit), decoded (text) for every row."""
+    bounded_batches(docs)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
     def run(batches):
@@ -216,6 +224,7 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
 
 def encoding_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: what ``encode_documents`` gives, digested where it is made."""
+    bounded_batches(docs)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches):

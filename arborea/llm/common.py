@@ -27,6 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of whole texts that go to Python at a time; the memory of a worker follows it.
+BATCH_ROWS = 500
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """Lowers the session's Arrow batches to ``BATCH_ROWS`` where they are larger: texts may be long."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables of one operator run, written to the shared folder so that a lost executor costs no recomputation."""
 

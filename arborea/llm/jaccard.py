@@ -30,12 +30,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, components, mix, pack48, sub_batches, text_bytes, tiles_for, unpack48, window_hashes, word_hashes, words
+from .common import Scratch, components, mix, pack48, sub_batches, text_bytes, tiles_for, unpack48, window_hashes, word_hashes, words, bounded_batches
 
 #: Classes of one batch from which a shingle counts as hot, and its rank in the order of rarity.
 HOT_IN_BATCH, HOT = 64, (1 << 15) - 1
 #: Text bytes whose shingles one counting task gathers; shingles of a batch; shingles in a tile's block.
-TILE_BYTES, BATCH_TOKENS, BLOCK_TOKENS = 12_000_000, 1_000_000, 250_000
+TILE_BYTES, BATCH_TOKENS, BLOCK_TOKENS = 6_000_000, 600_000, 250_000
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -63,7 +63,7 @@ def class_key(s: np.ndarray) -> int:
 
 def _sized(batch: pa.RecordBatch, column: str):
     texts = batch.column(column).to_pylist()
-    for a, b in sub_batches([len(t or "") for t in texts], 3_000_000):
+    for a, b in sub_batches([len(t or "") for t in texts], 1_500_000):
         yield a, b, texts[a:b]
 
 
@@ -268,6 +268,7 @@ def _compare(percent: int):
 def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row of ``docs``."""
     spark: SparkSession = docs.sparkSession
+    bounded_batches(docs)
     scratch = Scratch(spark, "jaccard")
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     run, schema = _documents(n_words)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import vocabulary
-from .common import Scratch
+from .common import Scratch, bounded_batches
 
 SIZE, OPEN, MERGE, END = 2048, 16, 64, 1
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("window", pa.int64()), ("offset", pa.int64()), ("left", pa.bool_())])
@@ -111,6 +111,7 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def pack_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for every piece."""
+    bounded_batches(docs)
     scratch = Scratch(docs.sparkSession, "packing")
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     pieces = scratch.write(src.mapInArrow(_pack(path), _PIECES_SQL), "pieces")

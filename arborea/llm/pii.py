@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import bounded_batches
+
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("shape", "gazetteer", "cue", "counter", "border")
 #: Probability from which a wider candidate counts.
@@ -33,7 +35,8 @@ ACCEPT = 0.9
 
 _LOCAL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# a match begins where a run of digits does, and takes runs whole: linear in the text
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WIDE = {
@@ -178,6 +181,7 @@ def vote_counts(docs: DataFrame, text: str = "text") -> list[tuple[str, tuple[in
         rows = [(*k, n) for k, n in counts.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
+    bounded_batches(docs)
     found = docs.select(F.col(text).alias("text")).mapInArrow(run, "kind string, " + ", ".join(f"{x} int" for x in LABELERS) + ", n long")
     rows = found.groupBy("kind", *LABELERS).agg(F.sum("n").alias("n")).collect()  # one row a pattern
     return sorted((r[0], tuple(r[1:-1]), r[-1]) for r in rows)

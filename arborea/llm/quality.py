@@ -23,6 +23,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from .common import bounded_batches
+
 #: Labelled rows of each label, their longest text, bytes of a dictionary, zstandard's level.
 SAMPLE, MOST_CHARS, DICTIONARY, LEVEL = 2000, 20_000, 112_640, 3
 
@@ -109,6 +111,7 @@ def held_out(doc_id):
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Fits the model to a sample of the labelled rows of ``docs`` that aren't held out."""
+    bounded_batches(docs)
     key = F.col("doc_id")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(key.isNotNull() & F.col("quality").isin(0, 1) & ~held_out(key))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -122,6 +125,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def score_documents(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The columns of ``docs`` that aren't the text go; returns doc_id, held_out, score, predicted for every row."""
+    bounded_batches(docs)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
@@ -144,7 +148,10 @@ def quality_column(model: Model):
     def run(texts):
         import pandas as pd
 
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        return pd.Series(model.scores(features(raw, model.good, model.bad) if model.weights else np.zeros((len(raw), 3))))
+        x = np.zeros((len(texts), 3))
+        if model.weights:
+            for i, t in enumerate(texts):  # one text at a time: memory for one
+                x[i] = features([(t or "").encode("utf-8", "surrogatepass")], model.good, model.bad)[0]
+        return pd.Series(model.scores(x))
 
     return F.pandas_udf(run, "double")

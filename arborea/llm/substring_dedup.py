@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix, pack48, sub_batches, text_bytes, tiles_for, unpack48, window_hashes, word_hashes, words
+from .common import mix, pack48, sub_batches, text_bytes, tiles_for, unpack48, window_hashes, word_hashes, words, bounded_batches
 
 #: A perfect difference set: {a - b mod 7} is all of 0..6.
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
@@ -267,6 +267,7 @@ def _result(with_text: bool):
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (the kept words joined by one space) or its kept_sha256, for every row."""
+    bounded_batches(docs)
     n_tiles = tiles_for(text_bytes(docs, text), TILE_BYTES)
     n_buckets = 2 * n_tiles
     src = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("ord"), F.col(text).alias("text")).withColumn("rid", F.xxhash64("ord", "text"))

@@ -29,7 +29,7 @@ from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, text_bytes
+from .common import Scratch, text_bytes, bounded_batches
 
 #: Bytes from which equal payloads are revisits; compressed bytes of a file; bytes of text in a shard; zlib level.
 REVISIT, ROLL, SHARD_BYTES, LEVEL = 1000, 8_000_000, 16_000_000, 6
@@ -123,6 +123,7 @@ def _write(folder: str):
 def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Writes the archives and their manifest into ``folder``; returns the manifest: file, records, bytes, sha256."""
     spark = pages.sparkSession
+    bounded_batches(pages)
     where, root = _fs(folder)
     where.create_dir(root, recursive=True)
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
