@@ -300,3 +300,16 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 75, doc
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(lows, "root").select("cls", "component_id")
     return each.join(named, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, trim(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM documents),
+w AS (SELECT doc_id, CASE WHEN text = '' THEN [] ELSE regexp_split_to_array(text, '[\x20\x09-\x0D]+') END AS ws FROM t),
+sets AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, unnest(s) AS x FROM sets),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * n >= 75 * (len(x.s) + len(y.s) - n)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS d, doc_id AS r FROM sets UNION SELECT reach.d, b FROM reach JOIN both_ways ON r = a)
+SELECT d AS doc_id, CAST(any_value(len(s)) AS BIGINT) AS n_shingles, min(r) AS component_id FROM reach JOIN sets ON d = doc_id GROUP BY d
+"""

@@ -88,3 +88,38 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
         "doc_id", "path", F.coalesce("license", "dir_license", F.lit("none")).alias("license"),
         F.when(F.col("license").isNotNull(), "own").when(F.col("dir_license").isNotNull(), "inherited").otherwise("none").alias("origin"),
         F.when(F.col("license").isNotNull(), F.col("path")).otherwise(F.col("dir_path")).alias("origin_path"), "score")
+
+
+def _sql_terms(column: str) -> str:
+    return f"list_filter(list_transform(regexp_split_to_array(lower({column}), '{WORD}'), lambda w: regexp_replace(w, '^[.+-]+|[.+-]+$', '', 'g')), lambda w: w <> '')"
+
+
+def _sql_cued(column: str) -> str:
+    return "(" + " OR ".join(f"contains(lower({column}), '{cue}')" for cue in CUES) + ")"
+
+
+_SQL_TEMPLATES = ", ".join("('{}', '{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in TEMPLATES)
+#: The scan of ``documents`` with the path source/lang/doc_id.
+ORACLE_SQL = f"""
+WITH docs AS (SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, text FROM documents),
+lines AS (SELECT * FROM (SELECT path, len({_sql_terms('text')}) AS words, unnest(string_split(text, chr(10))) AS block FROM docs WHERE {_sql_cued('text')}) WHERE {_sql_cued('block')}),
+blocks AS (SELECT block, count(*) AS n FROM lines GROUP BY block),
+total AS (SELECT coalesce(sum(n), 0) AS total FROM blocks),
+tf AS (SELECT block, n, term, count(*) AS tf FROM (SELECT block, n, unnest({_sql_terms('block')}) AS term FROM blocks) GROUP BY ALL),
+df AS (SELECT term, sum(n) AS df FROM tf GROUP BY term),
+w AS (SELECT block, term, tf, tf * (ln((1 + total) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), total),
+norms AS (SELECT block, sqrt(sum(w * w)) AS norm, sum(tf) AS terms FROM w GROUP BY block),
+templates(license, kind, body) AS (VALUES {_SQL_TEMPLATES}),
+ttf AS (SELECT license, kind, term, count(*) AS tf FROM (SELECT license, kind, unnest({_sql_terms('body')}) AS term FROM templates) GROUP BY ALL),
+tw AS (SELECT license, kind, term, tf * (ln((1 + total) / (1 + coalesce(df, 0))) + 1) AS tw FROM ttf LEFT JOIN df USING (term), total),
+tnorm AS (SELECT license, kind, sqrt(sum(tw * tw)) AS tnorm FROM tw GROUP BY ALL),
+cosine AS (SELECT block, license, any_value(terms) AS terms, round(sum(w * tw) / (any_value(norm) * any_value(tnorm)), 6) AS score FROM w JOIN tw USING (term) JOIN tnorm USING (license, kind) JOIN norms USING (block) GROUP BY block, license, kind),
+best AS (SELECT block, any_value(terms) AS terms, max(score) AS score, first(license ORDER BY score DESC, license) AS license FROM cosine GROUP BY block HAVING max(score) >= 0.5),
+own AS (SELECT path, max(score) AS score, first(license ORDER BY score DESC, license) AS license, max(terms / words) AS share, regexp_replace(path, '/[^/]*$', '') AS dir FROM lines JOIN best USING (block) GROUP BY path),
+speaking AS (SELECT dir, first(license ORDER BY score DESC, path) AS dir_license, first(path ORDER BY score DESC, path) AS dir_path FROM own WHERE share >= 0.25 GROUP BY dir),
+placed AS (SELECT doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir FROM docs),
+near AS (SELECT d.dir, first(dir_license ORDER BY length(s.dir) DESC) AS dir_license, first(dir_path ORDER BY length(s.dir) DESC) AS dir_path FROM (SELECT DISTINCT dir FROM placed) d JOIN speaking s ON s.dir = d.dir OR starts_with(d.dir, s.dir || '/') OR s.dir = '' GROUP BY d.dir)
+SELECT doc_id, path, coalesce(license, dir_license, 'none') AS license, CASE WHEN license IS NOT NULL THEN 'own' WHEN dir_license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+       CASE WHEN license IS NOT NULL THEN path ELSE dir_path END AS origin_path, score
+FROM placed LEFT JOIN own USING (path) LEFT JOIN near ON near.dir = placed.dir
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, pii, quality, substring_dedup, warc
+from . import exact_dedup, jaccard, licenses, pii, quality, substring_dedup, warc
 from .bpe import encoding_digests
 from .jaccard import jaccard_components
 from .licenses import license_scan
@@ -62,4 +62,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_nearest_neighbours, op3_exact_dedup, op4_warc, op5_bpe, op6_substring_dedup, op7_packing, op8_pii, op9_quality, op10_license_scan)}
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL, "op6_substring_dedup": substring_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": jaccard.ORACLE_SQL, "op3_exact_dedup": exact_dedup.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL, "op10_license_scan": licenses.ORACLE_SQL, "op6_substring_dedup": substring_dedup.ORACLE_SQL}
