@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -95,17 +96,18 @@ def word_tokens(text: Column) -> Column:
 def align(a: list[str], b: list[str]) -> list[tuple[str, str]]:
     """Common, removed and added tokens by the longest common subsequence; on ties the removal comes first."""
     n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
+    number = {w: k for k, w in enumerate(dict.fromkeys([*a, *b]))}
+    left, right = (np.array([number[w] for w in side], np.int64) for side in (a, b))
+    best = np.zeros((n + 1, m + 1), np.int32)
     for i in range(n - 1, -1, -1):
-        row, under = best[i], best[i + 1]
-        for j in range(m - 1, -1, -1):
-            row[j] = under[j + 1] + 1 if a[i] == b[j] else max(under[j], row[j + 1])
+        row = np.where(right == left[i], best[i + 1, 1:] + 1, best[i + 1, :-1])
+        best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and a[i] == b[j]:
             out.append(("common", a[i]))
             i, j = i + 1, j + 1
-        elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
+        elif j == m or (i < n and best[i + 1, j] >= best[i, j + 1]):
             out.append(("removed", a[i]))
             i += 1
         else:

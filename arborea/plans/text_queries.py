@@ -43,13 +43,13 @@ def _doc_lines(s, d):
 
 
 def _pairs(s, d):
-    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.substring("text", 1, 40).alias("head"), "text").filter("length(text) < 2000")
+    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.substring("text", 1, 40).alias("head"), "text")
     low = docs.groupBy("head").agg(F.min("doc_id").alias("low")).filter("head <> ''")
     first = docs.select(F.col("doc_id").alias("low"), F.col("text").alias("a"))
     return docs.join(low, "head").filter("doc_id > low").join(first, "low").select("doc_id", "a", F.col("text").alias("b"))
 
 
-_PAIRS = "docs AS (SELECT doc_id, substr(text, 1, 40) AS head, text FROM documents WHERE length(text) < 2000), low AS (SELECT head, min(doc_id) AS low FROM docs WHERE head <> '' GROUP BY head), pairs AS (SELECT d.doc_id, f.text AS a, d.text AS b FROM docs d JOIN low USING (head) JOIN docs f ON f.doc_id = low.low WHERE d.doc_id > low)"
+_PAIRS = "docs AS (SELECT doc_id, substr(text, 1, 40) AS head, text FROM documents), low AS (SELECT head, min(doc_id) AS low FROM docs WHERE head <> '' GROUP BY head), pairs AS (SELECT d.doc_id, f.text AS a, d.text AS b FROM docs d JOIN low USING (head) JOIN docs f ON f.doc_id = low.low WHERE d.doc_id > low)"
 _WS = "[ \\t\\n\\x0B\\f\\r\\x{00A0}]"
 
 
@@ -69,8 +69,8 @@ register("diff_regions", lambda s, d: x.diff_regions(x.word_diff(_pairs(s, d)),
 register("find_cut", lambda s, d: x.find_cut(_doc_lines(s, d).withColumn("needle", F.split_part("line", F.lit(" "), F.lit(2))), "line", "needle").select("doc_id", "line_no", "refusal", "cut"),
          f"""WITH l AS (SELECT doc_id, line_no, regexp_replace(line, '{_WS}', '', 'g') AS flat, regexp_replace(split_part(line, ' ', 2), '{_WS}', '', 'g') AS want FROM ({_LINES})), p AS (SELECT *, CAST(strpos(flat, want) AS INT) AS first FROM l),
  r AS (SELECT *, CASE WHEN want = '' OR first = 0 THEN 'missing' WHEN strpos(substr(flat, first + 1), want) > 0 THEN 'ambiguous' WHEN first = 1 THEN 'at the start' END AS refusal FROM p) SELECT doc_id, line_no, refusal, CASE WHEN refusal IS NULL THEN first - 1 END AS cut FROM r""")
-register("split_pieces", lambda s, d: x.split_pieces(_doc_lines(s, d).filter("length(line) > 10").withColumn("key", F.concat_ws(":", "doc_id", "line_no")).withColumn("cuts", F.array(F.lit(3), F.lit(7))), "key", "line", "cuts"),
-         f"SELECT doc_id || ':' || line_no AS key, p.n AS piece_no, CASE p.n WHEN 1 THEN substr(line, 1, 3) WHEN 2 THEN substr(line, 4, 4) ELSE substr(line, 8) END AS piece FROM ({_LINES}), (VALUES (1), (2), (3)) p(n) WHERE length(line) > 10")
+register("split_pieces", lambda s, d: x.split_pieces(_doc_lines(s, d).filter("length(line) > 7").withColumn("key", F.concat_ws(":", "doc_id", "line_no")).withColumn("cuts", F.array(F.lit(3), F.lit(7))), "key", "line", "cuts"),
+         f"SELECT doc_id || ':' || line_no AS key, p.n AS piece_no, CASE p.n WHEN 1 THEN substr(line, 1, 3) WHEN 2 THEN substr(line, 4, 4) ELSE substr(line, 8) END AS piece FROM ({_LINES}), (VALUES (1), (2), (3)) p(n) WHERE length(line) > 7")
 _TURNS = "SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM {conversations}"
 register("reply_json", lambda s, d: view(s, d, _TURNS).select("conv_id", "turn", x.lenient_json(F.concat(F.lit('note {"n": '), F.col("turn").cast("string"), F.lit(', "s": "}"} tail'))).alias("json")), """SELECT conv_id, CAST(turn AS BIGINT) AS turn, '{"n": ' || CAST(turn AS VARCHAR) || ', "s": "}"}' AS json FROM conversations""")
 register("reply_reconciliation", lambda s, d: x.reconcile(view(s, d, _TURNS).filter("role = 'user'").select("conv_id", F.col("turn").alias("id")), view(s, d, _TURNS).filter("role <> 'user'").select("conv_id", (F.col("turn") - 1).alias("id")), "conv_id"),
