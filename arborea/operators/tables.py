@@ -6,8 +6,9 @@ from itertools import groupby
 from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.scratch import written
 from . import tree as t
 
 
@@ -43,8 +44,12 @@ def place(rows: list[list[tuple[int, int]]]) -> tuple[list[list[int]], int, str
             at += cols
         out.append(places)
         widths.append(len(used))
-    if len(set(widths)) > 1:
-        error = error or "ragged width"
+        if used and max(used) + 1 > len(used):
+            error = error or "gap"
+        elif len(used) != widths[0]:
+            error = error or "ragged width"
+    if not any(widths):
+        error = error or "no cells"
     return out, max([0, *(max(v) + 1 for v in taken.values() if v)]), error
 
 
@@ -93,3 +98,50 @@ def added_rows(cell: DataFrame) -> DataFrame:
     """doc_id, tab, row_no, n_cells of the row that a table gets: as many cells as its last one."""
     last = cell.groupBy("doc_id", "tab").agg(F.max("row_no").alias("row_no"))
     return cell.join(last, ["doc_id", "tab", "row_no"]).groupBy("doc_id", "tab", "row_no").agg(F.count("*").alias("n_cells")).withColumn("row_no", F.col("row_no") + 1)
+
+
+def grown_blocks(placed: DataFrame, blocks: DataFrame) -> DataFrame:
+    """doc_id, tab, r0, r1, c0, c1: blocks (the same columns) grown until each holds every merged cell it touches. placed: doc_id, tab, row_no,
+    col_no, row_span, col_span. Each round is one join on the table; it ends when no block grows, after as many rounds as a table has
+    rows and columns at most."""
+    keys = ["doc_id", "tab"]
+    edge = placed.select(*keys, F.col("row_no").alias("a"), (F.col("row_no") + F.col("row_span") - 1).alias("b"), F.col("col_no").alias("c"), (F.col("col_no") + F.col("col_span") - 1).alias("d"))
+    edge, now = written(edge, "edges"), written(blocks.select(*keys, "r0", "r1", "c0", "c1"), "blocks")
+    while True:
+        hit = now.join(edge, keys).filter("a <= r1 AND b >= r0 AND c <= c1 AND d >= c0").groupBy(*keys, "r0", "r1", "c0", "c1").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("c").alias("c"), F.max("d").alias("d"))
+        wide = hit.select(*keys, F.least("r0", "a").alias("r0"), F.greatest("r1", "b").alias("r1"), F.least("c0", "c").alias("c0"), F.greatest("c1", "d").alias("c1"), (F.greatest(F.col("r0") - F.col("a"), F.col("b") - F.col("r1"), F.col("c0") - F.col("c"), F.col("d") - F.col("c1")) > 0).alias("grew"))
+        wide = written(wide, "blocks")
+        if wide.filter("grew").isEmpty():
+            return wide.drop("grew")
+        now = wide.drop("grew")
+
+
+def cell_runs(glyphs: DataFrame) -> DataFrame:
+    """leaf, cell, start, end of the runs of a leaf's text that lie in one cell; end is null where the leaf ends.
+
+    glyphs: leaf, seq, text, cell (null: outside). A blank follows the glyph before it; one outside breaks the run."""
+    g = glyphs.filter("text <> ''")
+    w = Window.partitionBy("leaf").orderBy("seq")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    ink = F.trim("text") != ""
+    g = g.withColumn("grp", F.sum(ink.cast("int")).over(upto)).withColumn("stop", F.sum(F.length("text")).over(upto))
+    by = Window.partitionBy("leaf", "grp").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    # a group is one visible glyph with the blanks after it: the first cell known there holds for the rest
+    g = g.withColumn("cell", F.when(ink, F.col("cell")).otherwise(F.first("cell", ignorenulls=True).over(by)))
+    g = g.withColumn("run", F.sum((~F.lag("cell").over(w).eqNullSafe(F.col("cell"))).cast("int")).over(upto)).withColumn("total", F.max("stop").over(Window.partitionBy("leaf")))
+    r = g.filter("cell IS NOT NULL").groupBy("leaf", "run", "cell").agg(F.min(F.col("stop") - F.length("text")).alias("start"), F.max("stop").alias("end"), F.first("total").alias("total"))
+    return r.select("leaf", "cell", "start", F.when(F.col("end") < F.col("total"), F.col("end")).alias("end"))
+
+
+def filled(cell: DataFrame, row_id: Column, cell_id: Column) -> DataFrame:
+    """doc_id, node_id, parent_id, ord, role, col_span of the rows and cells of new tables (doc_id, tab, row_no, col_no, role, col_span)."""
+    rows = cell.select("doc_id", "tab", "row_no").distinct().select("doc_id", row_id.alias("node_id"), F.col("tab").alias("parent_id"), (F.col("row_no") - 1).cast("long").alias("ord"), F.lit("TR").alias("role"), F.lit(1).alias("col_span"))
+    n = F.row_number().over(Window.partitionBy("doc_id", "tab", "row_no").orderBy("col_no")) - 1
+    return rows.unionByName(cell.select("doc_id", cell_id.alias("node_id"), row_id.alias("parent_id"), n.cast("long").alias("ord"), "role", "col_span"))
+
+
+def previews(placed: DataFrame, tree: DataFrame, text: DataFrame) -> DataFrame:
+    """doc_id, tab, row_no, col_no, col_span, shown of every cell: its text behind the sign of its scope."""
+    fact = tree.select("doc_id", "node_id", "scope", "col_span")
+    sign = F.when(F.col("scope") == "Row", "→ ").when(F.col("scope") == "Column", "↓ ").when(F.col("scope") == "Both", "↘ ").otherwise("")
+    return placed.join(fact, ["doc_id", "node_id"]).join(text, ["doc_id", "node_id"], "left").select("doc_id", "tab", "row_no", "col_no", "col_span", F.concat(sign, F.coalesce("text", F.lit(""))).alias("shown"))

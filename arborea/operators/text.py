@@ -47,6 +47,53 @@ def text_offsets(tree: DataFrame, leaf_text: DataFrame) -> DataFrame:
     return leaf.select("doc_id", "node_id", F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0)).cast("long").alias("start"))
 
 
+def runs_of_nodes(tree: DataFrame, leaf_text: DataFrame, runs: DataFrame) -> DataFrame:
+    """doc_id, node_id (parent), page, run_no, start, end: runs of the leaves (doc_id, node_id, run_no, start, end) by their place in the
+    parent's direct text; leaves are numbered on in document order."""
+    at = text_offsets(tree, leaf_text).withColumnRenamed("start", "base")
+    leaf = t.with_page(tree).filter("type = 'content'").select("doc_id", "node_id", "parent_id", "pre", "page").join(at, ["doc_id", "node_id"]).join(runs, ["doc_id", "node_id"])
+    n = F.row_number().over(Window.partitionBy("doc_id", "parent_id").orderBy("pre", "run_no"))
+    return leaf.select("doc_id", F.col("parent_id").alias("node_id"), "page", n.alias("run_no"), (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("end")).alias("end"))
+
+
+def leaf_texts(items: DataFrame, *keys: str) -> DataFrame:
+    """keys, text: items (keys, item_no, text, ends_line) one after another, a line break after one that ends a line, trimmed."""
+    part = F.concat("text", F.when(F.col("ends_line"), "\n").otherwise(""))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_no", part.alias("part")))), lambda s: s["part"]), "")
+    return items.groupBy(*keys).agg(collapsed_ends(whole).alias("text"))
+
+
+def item_starts(items: DataFrame, *keys: str) -> DataFrame:
+    """keys, item_no, start, end of each item in the trimmed text of ``leaf_texts``; items that the trimming takes are left out."""
+    size = F.length(F.concat("text", F.when(F.col("ends_line"), "\n").otherwise("")))
+    w = Window.partitionBy(*keys).orderBy("item_no")
+    before = F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    texts = items.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_no", F.concat("text", F.when(F.col("ends_line"), "\n").otherwise("")).alias("part")))), lambda s: s["part"]), "").alias("whole"))
+    cut = texts.select(*keys, F.length(F.regexp_extract("whole", f"^({WHITE}*)", 1)).alias("lead"), F.length(collapsed_ends(F.col("whole"))).alias("total"))
+    at = items.withColumn("from", before).withColumn("to", F.col("from") + F.length("text")).join(cut, list(keys))
+    a, b = F.greatest(F.lit(0), F.col("from") - F.col("lead")), F.least(F.col("total"), F.col("to") - F.col("lead"))
+    return at.filter(a < b).select(*keys, "item_no", a.cast("long").alias("start"), b.cast("long").alias("end"))
+
+
+def list_parts(tree: DataFrame, leaf_text: DataFrame) -> DataFrame:
+    """doc_id, item, part_no, kind, value: what each LI shows, in order: its label (the text of its first Lbl child), texts, and the lists
+    nested in it as separate parts (their node id as value). Leaves between nested lists are one text."""
+    leaf = tree.filter("type = 'content'").join(leaf_text.filter("text <> ''").select("doc_id", "node_id", "text"), ["doc_id", "node_id"]).select("doc_id", "node_id", "pre", "path", "text")
+    lists = tree.filter("role = 'L'").select("doc_id", "node_id", "pre", "path", F.lit(None).cast("string").alias("text"))
+    is_item = lambda s: s["role"] == "LI"
+    e = leaf.withColumn("nested", F.lit(False)).unionByName(lists.withColumn("nested", F.lit(True)))
+    item = F.try_element_at(F.filter(t.ancestors(), is_item), F.lit(-1))["node_id"]
+    # below the item: a leaf under a nested list belongs to that list's own items
+    inner = F.filter(t.ancestors(), lambda s: F.array_position(F.col("path.node_id"), s["node_id"]) > F.array_position(F.col("path.node_id"), F.col("item")))
+    e = e.withColumn("item", item).filter("item IS NOT NULL").filter(~F.exists(inner, lambda s: s["role"].eqNullSafe("L")))
+    first = tree.filter("role = 'Lbl'").groupBy("doc_id", F.col("parent_id").alias("item")).agg(F.min_by("node_id", "pre").alias("lbl"))
+    e = e.join(first, ["doc_id", "item"], "left").withColumn("kind", F.when(F.col("nested"), "list").when(F.array_contains("path.node_id", F.col("lbl")), "label").otherwise("text"))
+    w = Window.partitionBy("doc_id", "item").orderBy(F.col("kind") != "label", "pre")
+    e = e.withColumn("isle", F.sum((F.col("nested") | ~F.lag("kind").over(w).eqNullSafe(F.col("kind"))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    p = e.groupBy("doc_id", "item", "isle", "kind").agg(_ordered("pre", "text").alias("shown"), F.min("node_id").alias("id"))
+    return p.select("doc_id", "item", F.col("isle").cast("long").alias("part_no"), "kind", F.when(F.col("kind") == "list", F.col("id").cast("string")).otherwise(F.col("shown")).alias("value"))
+
+
 def cell_text(tree: DataFrame, leaf_text: DataFrame, roles: tuple[str, ...] = ("TH", "TD")) -> DataFrame:
     """doc_id, node_id, text of each cell, top down: an element's trimmed actual text stands for its subtree, a Figure is
     '[Figure]', else what is below."""

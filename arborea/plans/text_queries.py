@@ -17,6 +17,12 @@ on_tree("leaf_text", lambda t, w: x.resolved_leaf_text(w(LEAF_TEXT)), "SELECT do
 on_tree("pull_text", lambda t, w: x.content_text(t, w(LEAF_TEXT)), f", {_PULLED} SELECT * FROM pulled", _T)
 on_tree("direct_text", lambda t, w: x.direct_text(t, w(LEAF_TEXT)), f", {_DIRECT} SELECT * FROM direct", _T)
 on_tree("text_offsets", lambda t, w: x.text_offsets(t, w(LEAF_TEXT)), "SELECT t.doc_id, t.node_id, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY t.doc_id, parent_id ORDER BY pre ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM tree t JOIN leaf_text l USING (doc_id, node_id) WHERE type = 'content' AND text <> ''", _T)
+_HALVES = f"SELECT doc_id, node_id, 1 AS run_no, 0 AS start, CAST(length(text) - 3 AS INT) AS stop FROM ({LEAF_TEXT}) z WHERE text <> '' UNION ALL SELECT doc_id, node_id, 2, length(text) - 3, length(text) FROM ({LEAF_TEXT}) z WHERE text <> ''"
+on_tree("node_runs", lambda t, w: x.runs_of_nodes(t, w(LEAF_TEXT), w(_HALVES).withColumnRenamed("stop", "end")),
+        ", o AS (SELECT t.doc_id, t.node_id, t.parent_id, t.pre, t.page, coalesce(sum(length(text) + 1) OVER (PARTITION BY t.doc_id, parent_id ORDER BY pre ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM tree t JOIN leaf_text l USING (doc_id, node_id) WHERE type = 'content' AND text <> '') SELECT o.doc_id, parent_id AS node_id, page, CAST(row_number() OVER (PARTITION BY o.doc_id, parent_id ORDER BY pre, run_no) AS INT) AS run_no, CAST(base + start AS BIGINT) AS start, CAST(base + stop AS BIGINT) AS \"end\" FROM o JOIN runs USING (doc_id, node_id)", _T, ("runs", _HALVES))
+on_tree("list_parts", lambda t, w: x.list_parts(t, w(LEAF_TEXT)),
+        """, c AS (SELECT i.doc_id, i.node_id AS item, a.node_id, a.pre, l.text, EXISTS (SELECT 1 FROM tree b WHERE b.doc_id = i.doc_id AND b.role = 'Lbl' AND b.parent_id = i.node_id AND a.pre BETWEEN b.pre AND b.last_pre) AS lbl FROM tree i JOIN tree a ON a.doc_id = i.doc_id AND a.pre > i.pre AND a.pre <= i.last_pre JOIN leaf_text l ON l.doc_id = a.doc_id AND l.node_id = a.node_id WHERE i.role = 'LI' AND a.type = 'content' AND text <> '')
+ SELECT doc_id, item, row_number() OVER (PARTITION BY doc_id, item ORDER BY lbl DESC) AS part_no, CASE WHEN lbl THEN 'label' ELSE 'text' END AS kind, string_agg(text, ' ' ORDER BY pre) AS value FROM c GROUP BY doc_id, item, lbl""", _T)
 on_tree("cell_text", lambda t, w: x.cell_text(t, w(LEAF_TEXT)), "SELECT e.doc_id, e.node_id, string_agg(text, ' ' ORDER BY c.pre) AS text FROM tree e JOIN tree c ON c.doc_id = e.doc_id AND c.pre > e.pre AND c.pre <= e.last_pre JOIN leaf_text l ON l.doc_id = c.doc_id AND l.node_id = c.node_id WHERE e.role IN ('TH', 'TD') AND c.type = 'content' AND text <> '' GROUP BY ALL", _T)
 _TITLES = f"titles AS (SELECT t.doc_id, t.node_id, CAST(substr(role, 2) AS INT) AS level, coalesce(nullif(trim(coalesce(actual_text, '')), ''), nullif(trim(coalesce(p.text, '')), ''), 'Untitled ' || role) AS title FROM tree t LEFT JOIN pulled p USING (doc_id, node_id) WHERE role IN {HEADS})"
 on_tree("heading_titles", lambda t, w: x.heading_titles(t, w(LEAF_TEXT)), f", {_PULLED}, {_TITLES} SELECT * FROM titles", _T)
@@ -77,6 +83,10 @@ register("reply_reconciliation", lambda s, d: x.reconcile(view(s, d, _TURNS).fil
          "WITH q AS (SELECT DISTINCT conv_id, turn AS id FROM conversations WHERE role = 'user'), r AS (SELECT conv_id, turn - 1 AS id, count(*) AS n FROM conversations WHERE role <> 'user' GROUP BY ALL), b AS (SELECT conv_id, q.id IS NOT NULL AS asked, n FROM q FULL JOIN r USING (conv_id, id)), s AS (SELECT conv_id, count(*) FILTER (n IS NULL) AS missing, count(*) FILTER (asked AND n > 1) AS repeated, count(*) FILTER (NOT asked) AS unknown FROM b GROUP BY conv_id) SELECT *, missing + repeated + unknown = 0 AS accepted FROM s")
 register("payload_guard", lambda s, d: view(s, d, _TURNS).groupBy("conv_id").agg(F.length(F.to_json(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))))).alias("size")).select("conv_id", "size", (F.col("size") > 60).alias("refused")),
          """WITH j AS (SELECT conv_id, CAST(length('[' || string_agg('{"turn":' || turn || ',"n":' || length(text) || '}', ',' ORDER BY turn, length(text)) || ']') AS INT) AS size FROM conversations GROUP BY conv_id) SELECT conv_id, size, size > 60 AS refused FROM j""")
+_ITEMS = "SELECT conv_id, CAST(turn AS BIGINT) AS item_no, coalesce(text, '') AS text, role = 'user' AS ends_line FROM {conversations}"
+_WHOLE = f"WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text, CASE WHEN role = 'user' THEN chr(10) ELSE '' END AS brk FROM conversations), w AS (SELECT conv_id, string_agg(text || brk, '' ORDER BY turn) AS whole FROM t GROUP BY conv_id), c AS (SELECT conv_id, CAST(length(whole) - length(regexp_replace(whole, '^{_WS}+', '')) AS BIGINT) AS lead, regexp_replace(regexp_replace(whole, '^{_WS}+', ''), '{_WS}+$', '') AS text FROM w)"
+register("leaf_texts", lambda s, d: x.leaf_texts(view(s, d, _ITEMS), "conv_id"), f"{_WHOLE} SELECT conv_id, text FROM c")
+register("item_starts", lambda s, d: x.item_starts(view(s, d, _ITEMS), "conv_id"), f"{_WHOLE}, o AS (SELECT conv_id, turn, length(text) AS n, coalesce(sum(length(text || brk)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM t), p AS (SELECT conv_id, CAST(turn AS BIGINT) AS item_no, CAST(greatest(0, pos - lead) AS BIGINT) AS start, CAST(least(length(c.text), pos + n - lead) AS BIGINT) AS \"end\" FROM o JOIN c USING (conv_id)) SELECT * FROM p WHERE start < \"end\"")
 _LOG = "SELECT event_id AS run_id, event_type AS provider, ts, user_id + 1 AS chars, value AS ms FROM {events}"
 register("batch_time_range", lambda s, d: m.batch_time(view(s, d, _LOG)), "WITH l AS (SELECT event_type AS provider, value / (user_id + 1) AS r FROM events ORDER BY ts DESC, event_id DESC LIMIT 50) SELECT provider, round(CASE WHEN count(*) < 4 THEN quantile_cont(r, 0.5) * 0.7 ELSE quantile_cont(r, 0.25) END, 6) AS low, round(CASE WHEN count(*) < 4 THEN quantile_cont(r, 0.5) * 1.3 ELSE quantile_cont(r, 0.75) END, 6) AS high FROM l GROUP BY provider")
 _VERSIONS = "SELECT p_partkey AS id, CAST(p_size AS STRING) || '.' || CAST(p_partkey % 12 AS STRING) || CASE WHEN p_partkey % 3 = 0 THEN '-rc.1' ELSE '' END AS version FROM {part}"
