@@ -107,3 +107,16 @@ def restored(artifact: DataFrame, targets: DataFrame, next_mcid: DataFrame) -> D
     bad = ok.filter("known IS NULL").select("doc_id").distinct()
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("open_idx")) - 1
     return ok.join(bad, "doc_id", "left_anti").withColumn("n", n).join(next_mcid, "doc_id", "left").select("doc_id", "open_idx", (F.coalesce("mcid", F.lit(0)) + F.col("n")).cast("int").alias("mcid"))
+
+
+def restored_elements(restored: DataFrame, pages: DataFrame, parents: DataFrame, element_id: Column, leaf_id: Column, role: str = "P") -> DataFrame:
+    """Node rows for restored artifacts (doc_id, open_idx, mcid): one new element a document at the end of its parent (doc_id, node_id), on the
+    first leaf's page; leaves of other pages name their own. pages: doc_id, open_idx, page. Ids come from doc_id, and from open_idx too."""
+    s = restored.join(pages, ["doc_id", "open_idx"])
+    home = s.groupBy("doc_id").agg(F.min_by("page", "open_idx").alias("own_page")).join(parents.select("doc_id", F.col("node_id").alias("parent_id")), "doc_id")
+    none = F.lit(None).cast("int")
+    new = home.select("doc_id", element_id.alias("node_id"), "parent_id", F.lit(1 << 62).alias("ord"), F.lit("element").alias("type"), F.lit("element").alias("kind"), F.lit(role).alias("role"), F.col("own_page"), none.alias("mcid"))
+    leaf = s.join(home.select("doc_id", F.col("own_page").alias("p_page")), "doc_id")
+    away = ~F.col("page").eqNullSafe(F.col("p_page"))
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("open_idx")) - 1
+    return new.unionByName(leaf.select("doc_id", leaf_id.alias("node_id"), element_id.alias("parent_id"), n.cast("long").alias("ord"), F.lit("content").alias("type"), F.when(away, "content-dict").otherwise("content-int").alias("kind"), F.lit(None).cast("string").alias("role"), F.when(away, F.col("page")).alias("own_page"), F.col("mcid")))

@@ -38,3 +38,14 @@ on_ops("artifact_list", lambda o, k: c.artifacts(c.with_depth(o), c.spans(c.with
 _TARGETS = lambda o: o.filter("op = 'BDC' AND tag = 'Artifact'").groupBy("doc_id").agg(F.min("op_idx").alias("open_idx"))
 _NEXT = lambda o: o.filter("mcid IS NOT NULL").groupBy("doc_id").agg((F.max("mcid") + 1).alias("mcid"))
 on_ops("restore_artifacts", lambda o, k: c.restored(c.artifacts(c.with_depth(o), c.spans(c.with_depth(o))), _TARGETS(o), _NEXT(o)), f", {_ARTIFACTS}, t AS (SELECT doc_id, min(op_idx) AS open_idx FROM ops WHERE op = 'BDC' AND tag = 'Artifact' GROUP BY doc_id) SELECT t.doc_id, t.open_idx, CAST(coalesce((SELECT max(mcid) + 1 FROM ops o WHERE o.doc_id = t.doc_id), 0) AS INT) AS mcid FROM t JOIN arts USING (doc_id, open_idx)")
+
+
+def _restored(ops):
+    arts = c.artifacts(c.with_depth(ops), c.spans(c.with_depth(ops))).select("doc_id", "open_idx")
+    pages = arts.withColumn("page", (F.col("open_idx") % 2).cast("int"))
+    return c.restored_elements(c.restored(arts, arts, _NEXT(ops)), pages, arts.select("doc_id").distinct().withColumn("node_id", F.lit(-1).cast("long")), F.lit(1_000_000_000_000) + F.col("doc_id"), F.lit(2_000_000_000_000) + F.col("open_idx"))
+
+
+on_ops("restored_elements", lambda o, _: _restored(o), f""", {_ARTIFACTS}, r AS (SELECT doc_id, open_idx, row_number() OVER w - 1 AS n, CAST(open_idx % 2 AS INT) AS page, first_value(CAST(open_idx % 2 AS INT)) OVER w AS pp FROM arts WINDOW w AS (PARTITION BY doc_id ORDER BY open_idx))
+ SELECT doc_id, 1000000000000 + doc_id AS node_id, -1 AS parent_id, 4611686018427387904 AS ord, 'element' AS type, 'element' AS kind, 'P' AS role, pp AS own_page, CAST(NULL AS INT) AS mcid FROM r WHERE n = 0
+ UNION ALL SELECT doc_id, 2000000000000 + open_idx, 1000000000000 + doc_id, n, 'content', CASE WHEN page <> pp THEN 'content-dict' ELSE 'content-int' END, NULL, CASE WHEN page <> pp THEN page END, CAST(coalesce((SELECT max(mcid) + 1 FROM ops o WHERE o.doc_id = r.doc_id), 0) + n AS INT) FROM r""")

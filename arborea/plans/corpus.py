@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
-from ..operators import audit, predicates, rewrite, summary, text, tree as t
+from ..operators import audit, predicates, rewrite, structure, summary, text, tree as t
 
 
 class Corpus:
@@ -57,6 +57,21 @@ class Corpus:
     def flatten(self, targets: DataFrame) -> "Corpus":
         return self._next(rewrite.flatten(self.tree, targets))
 
+    def to_paragraphs(self, targets: DataFrame, new_id: Column) -> "Corpus":
+        return self._next(structure.to_paragraphs(self.tree, targets, new_id))
+
+    def group(self, selection: DataFrame, role: str, group_id: Column, item_id: Column) -> "Corpus":
+        return self._next(structure.group_nodes(self.tree, selection, role, group_id, item_id))
+
+    def make_lists(self, selection: DataFrame, ids: dict[str, Column]) -> "Corpus":
+        return self._next(structure.make_lists(self.tree, selection, self.facts["leaf_text"], ids))
+
+    def move_one_step(self, selection: DataFrame, by: int) -> "Corpus":
+        return self._next(structure.move_one_step(self.tree, selection, by))
+
+    def insert_paragraphs(self, anchors: DataFrame, new_id: Column) -> "Corpus":
+        return self._next(structure.insert_paragraphs(self.tree, anchors, new_id))
+
     def remove_links(self) -> "Corpus":
         return self._next(rewrite.remove_links(self.tree))
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..streaming import edits as e
+from ..streaming import refresh as r
 from .adapters import EDITS, oracle, view
 from .registry import register
+from .tree_queries import _INFO, _PARTS, _REPORT, _report, on_tree
 
 _E = f"edits AS ({oracle(EDITS)})"
 
@@ -25,3 +27,13 @@ _RENUMBER = lambda x: x.filter("cmd = 'signup'").select("doc_id", F.col("seq").a
 on_edits("stale_edits", lambda x: e.stale_edits(x.select("doc_id", "seq", (F.col("seq") - 20).alias("revision"), (F.col("seq") % 50).alias("node_id")), _RENUMBER(x), 5),
          ", r AS (SELECT doc_id, seq AS revision, seq % 40 AS boundary, row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) AS n, count(*) OVER (PARTITION BY doc_id) AS total FROM edits WHERE cmd = 'signup'), h AS (SELECT doc_id, max(revision) AS newest, min(revision) AS oldest, max(total) AS total FROM r WHERE n <= 5 GROUP BY doc_id) SELECT e.doc_id, e.seq, CASE WHEN e.seq - 20 > coalesce(newest, 0) THEN 'future' WHEN total > 5 AND e.seq - 20 < oldest - 1 THEN 'stale' WHEN e.seq % 50 >= (SELECT min(boundary) FROM r WHERE r.doc_id = e.doc_id AND n <= 5 AND r.revision > e.seq - 20) THEN 'stale' ELSE 'fresh' END AS verdict FROM edits e LEFT JOIN h USING (doc_id)")
 on_edits("undo_redo", lambda x: e.undo_redo(x.withColumn("cmd", F.when(F.col("cmd") == "error", "undo").when(F.col("cmd") == "click", "redo").otherwise("edit"))))
+on_edits("newest_results", lambda x: r.newest(x.select("doc_id", (F.col("seq") % 3).alias("node_id"), (F.col("seq") % 17).alias("token"), "seq")), "SELECT doc_id, seq % 3 AS node_id, seq % 17 AS token, seq FROM edits QUALIFY row_number() OVER (PARTITION BY doc_id, seq % 3 ORDER BY seq % 17 DESC, seq DESC) = 1")
+
+
+def _saved(tree, look):
+    saved = r.saved_documents(look(EDITS), "purchase")
+    only = lambda df: df.join(saved, "doc_id", "left_semi")
+    return r.refreshed(None, saved, lambda docs: _report(only(tree), lambda sql: only(look(sql))))
+
+
+on_tree("saved_audit", _saved, f"{_REPORT} SELECT doc_id, check_id, status, CAST(n AS BIGINT) AS n FROM report WHERE doc_id IN (SELECT doc_id FROM edits WHERE cmd = 'purchase')", *_PARTS, *_INFO, ("edits", EDITS))
