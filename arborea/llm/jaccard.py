@@ -13,6 +13,11 @@ join loses no link and never lists the pairs of a group:
    is looked at; a hashed bitmap of each member bounds the overlap from above by its bit counts; what passes
    is intersected exactly on sorted arrays. Members already connected aren't compared again. A tile returns
    spanning links alone.
+5. A family of several blocks goes through two rounds. The first compares each block inside and with a few
+   representatives of the family, and so connects near copies of one text at a cost in proportion to their number.
+   For the second only shingles of prefixes that different components hold count: linked classes share one, so
+   no link is lost. Classes with such a shingle form families anew, and in each the largest component is met
+   with the rest, and the rest with itself, but never with itself.
 
 Shingles that occur in very many documents of one batch are marked there (``HOT``) and only the mark travels
 to the counting task, so a passage in a third of all rows isn't gathered anywhere.
@@ -36,6 +41,8 @@ from .common import Scratch, components, mix, pack48, sub_batches, text_bytes, t
 HOT_IN_BATCH, HOT = 64, (1 << 15) - 1
 #: Text bytes whose shingles one counting task gathers; shingles of a batch; shingles in a tile's block.
 TILE_BYTES, BATCH_TOKENS, BLOCK_TOKENS = 6_000_000, 600_000, 250_000
+#: Members of a family of several blocks that each of its blocks meets in the first round.
+REPRESENTATIVES = 8
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -220,10 +227,10 @@ def _bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
     return out
 
 
-def spanning_links(keys: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def spanning_links(keys: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect all that is connected among the members of a tile.
 
-    sizes: of the whole sets; sets: sorted arrays of the shingles that a partner may hold."""
+    sizes: of the whole sets; sets: sorted arrays of the shingles that a partner may hold; known: components that are already connected."""
     order = np.argsort(sizes, kind="stable")
     keys, sizes, sets = keys[order], sizes[order], [sets[i] for i in order]
     held = np.array([len(s) for s in sets])
@@ -232,10 +239,11 @@ def spanning_links(keys: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray],
         maps = _bitmaps(sets, bits)
     else:
         maps = None
-    group, links = np.arange(len(keys)), []
+    group, links = np.arange(len(keys)) if known is None else np.unique(known[order], return_inverse=True)[1], []
     starts = np.searchsorted(sizes * 100, sizes * percent)  # smaller sets can't reach the threshold
     for i in range(1, len(keys)):
         j = np.arange(starts[i], i)
+        j = j[group[j] != group[i]]
         if maps is not None and len(j):
             mine, theirs = maps[i], maps[j]
             bound = np.minimum(held[i] - np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64), held[j] - np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64))
@@ -259,12 +267,61 @@ def _compare(percent: int):
         out = []
         for _, rows in pdf.groupby(["root", "i", "j"], sort=False):
             if len(rows) > 1:
-                out += spanning_links(rows["cls"].to_numpy(), rows["n"].to_numpy(), [np.frombuffer(x, np.uint64) for x in rows["shared"]], percent)
+                out += spanning_links(rows["cls"].to_numpy(), rows["n"].to_numpy(), [np.frombuffer(x, np.uint64) for x in rows["shared"]], percent, rows["comp"].to_numpy())
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def _families(posted: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """node, root of the classes that share a shingle of ``posted`` (cls, token), directly or through others."""
+    hubs = posted.groupBy("token").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).filter("hub <> last").select("token", "hub")
+    stars = posted.join(hubs, "token").filter("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
+    return components(stars, scratch, name)
+
+
+def _blocks(size):
+    return F.ceil(F.sum(size) / F.lit(8 * BLOCK_TOKENS)).cast("int")
+
+
+def _links(dealt: DataFrame, percent: int) -> DataFrame:
+    """Links of the tiles of ``dealt`` (root, i, j, small, comp, cls, n, shared): small tiles share groups, any other has its own."""
+    total = dealt.filter("small").agg(F.sum(F.length("shared"))).first()[0]
+    bins = F.pmod(F.xxhash64("root"), F.lit(tiles_for(int(total or 0), 8 * BLOCK_TOKENS))).cast("int")
+    own = F.when(~F.col("small"), F.struct("root", "i", "j"))
+    dealt = dealt.select("root", "i", "j", "comp", "cls", "n", "shared", F.when(F.col("small"), bins).alias("bin"), own.alias("own"))
+    return dealt.groupBy("bin", "own").applyInPandas(_compare(percent), "a long, b long")
+
+
+def _first_round(inside: DataFrame) -> DataFrame:
+    """Tiles of whole families of one block; of larger ones each block with the family's representatives."""
+    blocks = inside.groupBy("root").agg(_blocks("size").alias("nb"), *[F.min(F.struct(F.xxhash64("cls", F.lit(i)).alias("h"), "cls"))["cls"].alias(f"r{i}") for i in range(REPRESENTATIVES)])
+    blocks = blocks.select("root", "nb", F.array(*[f"r{i}" for i in range(REPRESENTATIVES)]).alias("reps"))
+    dealt = inside.join(blocks, "root").withColumn("small", F.col("nb") == 1)
+    every, own = F.sequence(F.lit(0), F.col("nb") - 1), F.array(F.pmod(F.xxhash64("cls"), "nb").cast("int"))
+    dealt = dealt.withColumn("i", F.explode(F.when(~F.col("small") & F.array_contains("reps", F.col("cls")), every).otherwise(own)))
+    return dealt.select("root", "i", F.col("i").alias("j"), "small", F.col("cls").alias("comp"), "cls", "n", "shared")
+
+
+def _second_round(inside: DataFrame) -> DataFrame:
+    """Tiles in which the largest component of a family (``most``) meets all others, and those meet each other."""
+    most = inside.groupBy("root", "comp").agg(F.sum("size").alias("size")).groupBy("root").agg(F.max_by("comp", F.struct("size", "comp")).alias("most"))
+    sided = inside.join(most, "root").withColumn("large", F.col("comp") == F.col("most"))
+    # a family has two components at least, so both sides have members
+    blocks = sided.groupBy("root").agg(*[_blocks(F.when(F.col("large") == side, F.col("size"))).alias(name) for side, name in ((True, "nl"), (False, "nr"))])
+    dealt = sided.join(blocks, "root").withColumn("small", (F.col("nl") == 1) & (F.col("nr") == 1))
+    at = F.pmod(F.xxhash64("cls"), F.when(F.col("large"), F.col("nl")).otherwise(F.col("nr"))).cast("int")
+    dealt = dealt.withColumn("at", at)
+    tile = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    # i counts blocks of the largest component; -1 - i those of the rest where they meet each other
+    met = F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda o: tile(F.col("at"), o))
+    meets = F.transform(F.sequence(F.lit(0), F.col("nl") - 1), lambda o: tile(o, F.col("at")))
+    others = F.filter(F.sequence(F.lit(0), F.col("nr") - 1), lambda o: o != F.col("at"))
+    rest = F.transform(others, lambda o: tile(-1 - F.least(F.col("at"), o), F.greatest(F.col("at"), o)))
+    dealt = dealt.withColumn("tile", F.explode(F.when(F.col("large"), met).otherwise(F.concat(meets, rest))))
+    return dealt.select("root", "tile.i", "tile.j", "small", "comp", "cls", "n", "shared")
+
+
 def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row of ``docs``."""
     spark: SparkSession = docs.sparkSession
@@ -281,20 +338,22 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 75, doc
     members = scratch.write(shared.groupBy("bucket").applyInPandas(_members(percent), "cls long, n long, shared binary, prefix array<long>"), "members")
 
     posted = members.select("cls", F.explode("prefix").alias("token"))
-    hubs = posted.groupBy("token").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).filter("hub <> last").select("token", "hub")
-    stars = posted.join(hubs, "token").filter("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
-    family = components(stars, scratch, "family")
-
-    inside = members.join(family.withColumnRenamed("node", "cls"), "cls").select("root", "cls", "n", "shared")
-    blocks = family.withColumnRenamed("node", "cls").join(members.select("cls", F.length("shared").alias("size")), "cls").groupBy("root").agg(F.ceil(F.sum("size") / F.lit(8 * BLOCK_TOKENS)).cast("int").alias("nb"))
-    block = F.pmod(F.xxhash64("cls"), "nb").cast("int")
-    dealt = inside.join(blocks, "root").withColumn("k", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.withColumn("i", F.least("k", "o")).withColumn("j", F.greatest("k", "o"))
-    n_bins = tiles_for(int(members.agg(F.sum(F.length("shared"))).first()[0] or 0), 8 * BLOCK_TOKENS)
-    dealt = dealt.select("root", "i", "j", "cls", "n", "shared", F.pmod(F.xxhash64("root", "i", "j"), F.lit(n_bins)).cast("int").alias("bin"))
-    links = scratch.write(dealt.groupBy("bin").applyInPandas(_compare(percent), "a long, b long"), "links")
+    sized = members.select("cls", "n", "shared", F.length("shared").alias("size"))
+    family = _families(posted, scratch, "family").withColumnRenamed("node", "cls")
+    links = scratch.write(_links(_first_round(sized.join(family, "cls")), percent), "links")
     linked = components(links, scratch, "linked")
 
+    large = sized.join(family, "cls").groupBy("root").agg(_blocks("size").alias("nb")).filter("nb > 1").select("root")
+    comp = members.select("cls").join(family.join(large, "root", "left_semi"), "cls", "left_semi").join(linked.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("comp"))
+    comp = scratch.write(comp, "comp")
+    if not comp.isEmpty():
+        left = posted.join(comp, "cls")
+        mixed = left.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
+        family = _families(left.join(mixed, "token").select("cls", "token"), scratch, "family-2").withColumnRenamed("node", "cls")
+        more = scratch.write(_links(_second_round(sized.join(family, "cls").join(comp, "cls")), percent), "links-2")
+        if not more.isEmpty():
+            linked = components(links.unionByName(more), scratch, "linked-2")
+
     classes = each.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"))
     rooted = classes.join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))

@@ -75,6 +75,37 @@ def test_jaccard(spark, monkeypatch):
     same(jaccard.jaccard_components(table(spark, ROWS)).collect(), brute_components(ROWS))
 
 
+def test_jaccard_large_family(spark, monkeypatch, tmp_path):
+    """A family of many blocks: each group of tiles stays small, and shuffled rows grow with the family, not with its square."""
+    rnd = random.Random(5)
+    base = ["b%d" % i for i in range(80)]
+    rows = []
+    for i in range(400):
+        ws = list(base)
+        ws[rnd.randrange(80)] = "e%d" % i
+        rows.append((i, " ".join(ws)))
+    # a third shares half of the text only; a chain is linked to it and to each other step by step
+    rows += [(1000 + i, " ".join(base[:60] + ["f%d" % (i // 3 * 40 + k) for k in range(40)])) for i in range(30)]
+    rows += [(2000 + i, " ".join(base[6 * i :] + ["c%d" % k for k in range(6 * i)])) for i in range(9)]
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 1500)
+    compare, seen = jaccard._compare, str(tmp_path / "seen")
+
+    def counted(percent):
+        run = compare(percent)
+
+        def f(pdf):
+            with open(seen, "a") as out:
+                out.write(f"{len(pdf)}\n")
+            return run(pdf)
+
+        return f
+
+    monkeypatch.setattr(jaccard, "_compare", counted)
+    same(jaccard.jaccard_components(table(spark, rows)).collect(), brute_components(rows))
+    met = [int(n) for n in open(seen)]
+    assert sum(met) < 5 * len(rows) and max(met) < 120, (sum(met), max(met))
+
+
 def test_exact_dedup(spark):
     for size in (32, 1):  # a digest of one byte clashes: the byte verification resolves it
         groups = {}
