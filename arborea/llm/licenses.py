@@ -3,8 +3,13 @@ inheritance from the nearest ancestor directory by path joins.
 
 A *block* is a line of the text that holds a cue (``CUES``). Equal blocks are scored once, with their number as weight.
 Term weights are term frequency times ``ln((1 + N) / (1 + df)) + 1`` over all blocks of the corpus. A block matches
-the template with the largest cosine if that is at least ``least``; of a document's blocks the best counts. A
-document whose matching block makes up at least ``file_share`` of its words is a licence file and speaks for its
+the template with the largest cosine if that is at least ``least``; of a document's blocks the best counts.
+
+Clauses and licences that run over lines are found in the joined lines of the document: a text (``TEMPLATES`` and the
+whole licences of ``license_texts``) is held by a document that has ``held`` of its runs of three words. A whole
+licence goes before a line, a line before a clause; of whole licences, or of clauses, that with the most runs in the document counts.
+
+A document whose matching blocks together make up at least ``file_share`` of its words is a licence file and speaks for its
 directory; a document without a licence of its own takes that of its nearest ancestor directory that has one.
 
 Defined cases: a null or empty text has no block; a null path counts as an empty one, in the root directory; ties of a block go to the
@@ -14,6 +19,8 @@ by name; rows with one path are one file; repeated rows each get a row; an empty
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Scratch
@@ -35,6 +42,8 @@ TEMPLATES = [
 ]
 # fixed values: a block holds one of these, in lower case
 CUES = ["licens", "licenc", "copyright", "spdx", "permission is hereby", "redistribut", "creative commons"]
+#: Share of GPL-3.0 that a text with Affero in its first 300 characters holds.
+AFFERO_HELD = 0.7
 WORD = r"[^a-z0-9.+-]+"
 
 
@@ -50,12 +59,37 @@ def _cued(text):
     return found
 
 
-def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "path", least: float = 0.5, file_share: float = 0.25) -> DataFrame:
+def _runs(terms):
+    """Distinct runs of three terms."""
+    n = F.greatest(F.size(terms), F.lit(1))
+    two = F.zip_with(terms, F.slice(terms, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_distinct(F.filter(F.zip_with(two, F.slice(terms, F.lit(3), n), lambda a, b: F.concat(a, F.lit(" "), b)), lambda r: r.isNotNull()))
+
+
+def _held(row: DataFrame, held: float) -> DataFrame:
+    """path, license, score, share, whole of the licence texts that the joined lines of each path hold."""
+    texts = [(p.stem, "whole", p.read_text()) for p in sorted(Path(__file__).with_name("license_texts").glob("*.txt"))]
+    known = row.sparkSession.createDataFrame(TEMPLATES + texts, "license string, kind string, body string")
+    known = known.withColumn("runs", _runs(_terms("body"))).select("license", "kind", F.size("runs").alias("size"), F.explode("runs").alias("run"))
+    files = row.filter(_cued("text")).select("path", F.xxhash64("text").alias("copy"), F.transform(F.array(_terms("text")), lambda t: F.struct(_runs(t).alias("runs"), F.size(t).alias("words")))[0].alias("of"), F.substring(F.lower("text"), 1, 300).contains("affero").alias("affero"))
+    met = files.select("path", "copy", "affero", F.col("of.words").alias("words"), F.explode("of.runs").alias("run")).join(F.broadcast(known), "run")
+    # repeated rows of a path hold the same runs; so many runs cover two words more
+    n = met.groupBy("path", "copy", "affero", "words", "license", "kind", "size").agg(F.count_distinct("run").alias("n"))
+    score, whole = F.round(F.col("n") / F.col("size"), 6), F.col("kind") == "whole"
+    # the Affero licence repeats most of GPL-3.0 under its own title and has no text here
+    affero = F.col("affero") & whole & (F.col("license") == "GPL-3.0")
+    n = n.withColumn("score", score).withColumn("whole", whole).withColumn("as", F.when(affero, "AGPL-3.0").otherwise(F.col("license")))
+    n = n.filter(F.col("score") >= F.when(affero, F.lit(AFFERO_HELD)).otherwise(F.lit(held))).withColumn("license", F.col("as"))
+    first = F.struct(~F.col("whole"), -F.col("n"), F.col("license"))
+    return n.groupBy("path").agg(*[F.min_by(c, first).alias(c) for c in ("license", "score", "whole")], F.min_by((F.col("n") + 2) / F.col("words"), first).alias("share"))
+
+
+def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "path", least: float = 0.5, file_share: float = 0.25, held: float = 0.9) -> DataFrame:
     """doc_id, path, license, origin ('own', 'inherited' or 'none'), origin_path, score (of the own licence) for every row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "license")
     row = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(path), F.lit("")).alias("path"), F.col(text).alias("text"))
-    lines = row.filter(_cued("text")).select("path", F.size(_terms("text")).alias("words"), F.explode(F.split("text", r"\n")).alias("block")).filter(_cued("block"))
+    lines = row.filter(_cued("text")).select("path", F.xxhash64("text").alias("copy"), F.size(_terms("text")).alias("words"), F.explode(F.split("text", r"\n")).alias("block")).filter(_cued("block"))
     lines = scratch.write(lines, "lines")
     blocks = scratch.write(lines.groupBy("block").agg(F.count("*").alias("n")), "blocks")
     total = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -73,7 +107,16 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
     dots = weighed.join(F.broadcast(tw), "term").groupBy("block", "license", "kind", "tnorm").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     cosine = dots.join(norms, "block").select("block", "license", "terms", F.round(F.col("dot") / (F.col("norm") * F.col("tnorm")), 6).alias("score"))
     best = cosine.groupBy("block").agg(F.max("score").alias("score"), F.first("terms").alias("terms"), F.min_by("license", F.struct(-F.col("score"), F.col("license"))).alias("license")).filter(F.col("score") >= least)
-    own = lines.join(best, "block").groupBy("path").agg(F.max("score").alias("score"), F.min_by("license", F.struct(-F.col("score"), F.col("license"))).alias("license"), F.max(F.col("terms") / F.col("words")).alias("share"))
+    # the matching lines of a file add up; of repeated rows (a line of one text k times) words add up as well
+    copies = row.filter(_cued("text")).groupBy("path", F.xxhash64("text").alias("copy")).agg(F.count("*").alias("copies"))
+    shares = lines.join(best, "block").groupBy("path", "copy", "words").agg(F.max("score").alias("score"), F.min_by("license", F.struct(-F.col("score"), F.col("license"))).alias("license"), F.sum("terms").alias("terms"))
+    shares = shares.join(copies, ["path", "copy"]).withColumn("share", F.col("terms") / (F.col("words") * F.col("copies")))
+    by_line = shares.groupBy("path").agg(F.max("score").alias("score"), F.min_by("license", F.struct(-F.col("score"), F.col("license"))).alias("license"), F.max("share").alias("share"))
+    text = _held(row, held).select("path", *[F.col(c).alias(f"t_{c}") for c in ("license", "score", "share", "whole")])
+    own = by_line.join(text, "path", "full")
+    from_text = F.coalesce("t_whole", F.lit(False)) | F.col("license").isNull()
+    own = own.select("path", *[F.when(from_text, F.col(f"t_{c}")).otherwise(F.col(c)).alias(c) for c in ("license", "score")], F.greatest("share", "t_share").alias("share"))
+    own = scratch.write(own, "own")
 
     parts = F.split(F.coalesce("path", F.lit("")), "/")
     directory = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "/")

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -288,6 +289,20 @@ def test_licenses(spark):
     assert got[4][:2] == got[5][:2] == got[6][:2] == ("none", "none")
 
 
+def test_license_files_and_wrapped_clauses(spark):
+    whole = {p.stem: p.read_text() for p in Path(licenses.__file__).with_name("license_texts").glob("*.txt")}
+    rows = [(f"{n}/LICENSE", "Copyright (c) 2020 A. Writer\n\n" + t) for n, t in whole.items()] + [(f"{n}/src/x.py", "x = 1") for n in whole]
+    rows += [("h/a.c", "/* This program is free software: you can redistribute it\n * and/or modify it under the terms of the GNU General\n * Public License, either version 3 of the License */\n" + "int x;\n" * 90), ("h/b.c", "int y;")]
+    rows += [("f/COPYING", "GNU AFFERO GENERAL PUBLIC LICENSE\n" + whole["GPL-3.0"])]
+    # two matching lines of a fifth of the words each
+    rows += [("s/NOTICE", "Released under the MIT License.\n" + "word " * 15 + "\nReleased under the MIT License."), ("s/c.c", "int z;")]
+    got = {r.path: (r.license, r.origin) for r in licenses.license_scan(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, path string, text string")).collect()}
+    for n in whole:
+        assert (n, got[f"{n}/LICENSE"], got[f"{n}/src/x.py"]) == (n, (n, "own"), (n, "inherited"))
+    assert got["h/a.c"] == ("GPL-3.0", "own") and got["h/b.c"] == ("none", "none") and got["f/COPYING"][0] == "AGPL-3.0"
+    assert got["s/c.c"] == ("MIT", "inherited")
+
+
 @pytest.mark.parametrize("run", [jaccard.jaccard_components, exact_dedup.exact_duplicates, substring_dedup.remove_repeats, lambda d: bpe.encoding_digests(d, PATH), lambda d: packing.pack_documents(d, PATH), pii.find_personal_data, lambda d: licenses.license_scan(d, path="source")])
 def test_empty_tables(spark, run):
     assert run(table(spark, [])).count() == 0
