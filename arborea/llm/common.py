@@ -130,14 +130,49 @@ def unpack48(raw: bytes) -> np.ndarray:
 # --- connected components ------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 60) -> DataFrame:
-    """Connected components by alternating large-star and small-star steps.
+#: Edges that one task settles by itself.
+EDGE_BLOCK = 1_000_000
+
+
+def roots_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges (a, b), each with the smallest node that it is connected with."""
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[x], root[y])
+        before = root.copy()
+        for side in (root[x], root[y], x, y):
+            np.minimum.at(root, side, low)
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+        if np.array_equal(root, before):
+            return nodes, nodes[root]
+
+
+def _settled(pdf):
+    import pandas as pd
+
+    nodes, roots = roots_of(pdf["v"].to_numpy(), pdf["u"].to_numpy())
+    return pd.DataFrame({"v": nodes[nodes != roots], "u": roots[nodes != roots]})
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 60, block: int = EDGE_BLOCK) -> DataFrame:
+    """Connected components: blocks of edges are settled on their own, several blocks by alternating large-star and
+    small-star steps.
 
     ``edges``: columns a, b (long). Returns node, root (smallest node of the component) for every node that
-    has an edge to another. Each step is an aggregation with map-side combine and a join that adaptive
+    has an edge to another. A task settles ``block`` edges at most in expectation, whatever the table holds, and returns no more
+    than it was given. Each step is an aggregation with map-side combine and a join that adaptive
     execution may split, so a star with very many leaves isn't one task's work."""
-    flat = edges.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
-    cur, before = scratch.write(flat, f"{name}-0"), None
+    flat = scratch.write(edges.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), f"{name}-flat")
+    blocks = -(-flat.count() // block)
+    dealt = flat.withColumn("block", F.pmod(F.xxhash64("v", "u"), F.lit(max(1, blocks))).cast("int"))
+    cur, before = scratch.write(dealt.groupBy("block").applyInPandas(_settled, "v long, u long"), f"{name}-0"), None
+    scratch.drop(f"{name}-flat")
+    named = lambda df: df.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(df.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
+    if blocks <= 1:
+        return named(cur)
     for i in range(1, rounds + 1):
         both = cur.unionByName(cur.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
@@ -150,6 +185,6 @@ def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 60)
         scratch.drop(f"{name}-{i - 1}")
         now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
         if now == before:
-            return cur.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(cur.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
+            return named(cur)
         before = now
     raise RuntimeError(f"{name}: components did not settle in {rounds} rounds")

@@ -33,6 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import Scratch, components, mix, pack48, sub_batches, text_bytes, tiles_for, unpack48, window_hashes, word_hashes, words, bounded_batches
@@ -41,6 +42,8 @@ from .common import Scratch, components, mix, pack48, sub_batches, text_bytes, t
 HOT_IN_BATCH, HOT = 64, (1 << 15) - 1
 #: Text bytes whose shingles one counting task gathers; shingles of a batch; shingles in a tile's block.
 TILE_BYTES, BATCH_TOKENS, BLOCK_TOKENS = 6_000_000, 600_000, 250_000
+#: Partitions that the tiles are dealt to at most; beyond, a partition holds several tiles, one after another.
+MOST_PARTITIONS = 20_000
 #: Members of a family of several blocks that each of its blocks meets in the first round.
 REPRESENTATIVES = 8
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -86,129 +89,103 @@ def _documents(n_words: int):
     return run, "doc_id long, n_shingles long, cls long"
 
 
+_TILE = pa.schema([("tile", pa.int32()), ("batch", pa.int64()), *((c, pa.binary()) for c in ("tok", "who", "marks", "keys", "sizes", "hot", "hot_who"))])
+_TILE_SQL = "tile int, batch long, tok binary, who binary, marks binary, keys binary, sizes binary, hot binary, hot_who binary"
+_BACK = ["batch", "tok", "who", "keys", "sizes", "hot", "hot_who"]
+_BACK_SQL = "batch long, tok binary, who binary, keys binary, sizes binary, hot binary, hot_who binary"
+
+
 def _tiles(n_words: int, n_tiles: int):
-    """Packs the shingles of many classes into one row a tile: classes, sizes, and for each shingle its class' place."""
+    """Deals the shingles of batches of classes to tiles, eight bytes each: six of the hash, two of the class' place in its
+    batch. What places stand for, and the hot shingles, travel once a batch and pass through one tile."""
 
-    def flush(held: dict[int, np.ndarray]):
+    def flush(held: dict[int, np.ndarray], number: int) -> pa.RecordBatch:
         keys = np.array(list(held), np.int64)
         sizes = np.array([len(s) for s in held.values()], np.int32)
+        batch = xxhash.xxh3_64_intdigest(keys.tobytes(), seed=(TaskContext.get().partitionId() << 24) + number) - (1 << 63)
         tok = np.concatenate([s & _LOW48 for s in held.values()])
-        who = np.repeat(np.arange(len(keys), dtype=np.uint16), sizes)
-        order = np.argsort(tok, kind="stable")
+        who = np.repeat(np.arange(len(keys), dtype="<u2"), sizes)
+        order = np.argsort(tok)
         tok, who = tok[order], who[order]
         first = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
-        hot = np.repeat(np.diff(np.r_[first, len(tok)]) > HOT_IN_BATCH, np.diff(np.r_[first, len(tok)]))
-        marks = np.unique(tok[hot])
-        tile, mark_tile = (mix(tok) % np.uint64(n_tiles)).astype(np.int64), (mix(marks) % np.uint64(n_tiles)).astype(np.int64)
-        tile[hot] = (keys[who[hot]].view(np.uint64) % np.uint64(n_tiles)).astype(np.int64)  # not counted there: any tile will do
-        for t in range(n_tiles):
-            cold, warm, mark = (tile == t) & ~hot, (tile == t) & hot, mark_tile == t
-            if not (cold.any() or warm.any() or mark.any()):
-                continue
-            used, place = np.unique(np.r_[who[cold], who[warm]], return_inverse=True)
-            place = place.astype("<u2")
-            k = int(cold.sum())
-            yield t, keys[used].tobytes(), sizes[used].tobytes(), pack48(tok[cold]), place[:k].tobytes(), pack48(tok[warm]), place[k:].tobytes(), pack48(marks[mark])
-
-    names = ["tile", "keys", "sizes", "tok", "who", "hot", "hot_who", "marks"]
+        n = np.diff(np.r_[first, len(tok)])
+        hot = np.repeat(n > HOT_IN_BATCH, n)
+        marks = tok[first[n > HOT_IN_BATCH]]
+        rows = [(batch % n_tiles, batch, None, None, None, keys.tobytes(), sizes.tobytes(), pack48(tok[hot]), who[hot].tobytes())]
+        tile = (mix(marks) % np.uint64(n_tiles)).astype(np.int64)
+        rows += [(t, batch, None, None, pack48(marks[tile == t]), None, None, None, None) for t in np.unique(tile).tolist()]
+        tok, who = tok[~hot], who[~hot]
+        tile = (mix(tok) % np.uint64(n_tiles)).astype(np.int64)
+        order = np.argsort(tile, kind="stable")
+        tile, tok, who = tile[order], tok[order], who[order]
+        for a, b in zip(*_bounds(tile)):
+            rows.append((int(tile[a]), batch, pack48(tok[a:b]), who[a:b].tobytes(), None, None, None, None, None))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _TILE)], schema=_TILE)
 
     def run(batches):
-        held, total = {}, 0
+        held, total, number = {}, 0, 0
         for batch in batches:
             for _, _, texts in _sized(batch, "text"):
                 for s in shingle_sets(texts, n_words):
                     if len(s) and (key := class_key(s)) not in held:
                         held[key], total = s, total + len(s)
                 if total >= BATCH_TOKENS or len(held) > 50_000:
-                    yield pd.DataFrame(list(flush(held)), columns=names)
-                    held, total = {}, 0
+                    yield flush(held, number)
+                    held, total, number = {}, 0, number + 1
         if held:
-            yield pd.DataFrame(list(flush(held)), columns=names)
-
-    def arrow(batches):
-        for x in run(batches):
-            yield pa.RecordBatch.from_pandas(x.astype({"tile": "int32"}), preserve_index=False)
-
-    return arrow, "tile int, keys binary, sizes binary, tok binary, who binary, hot binary, hot_who binary, marks binary"
-
-
-def _count(pdf: pd.DataFrame, n_buckets: int) -> pd.DataFrame:
-    """Of one tile: the shingles that two classes or more hold, with their rarity; one row a bucket of classes."""
-    keys, sizes, tok, who, at = [], [], [], [], 0
-    hot, hot_who, marks = [], [], []
-    for r in pdf.itertuples():
-        keys.append(np.frombuffer(r.keys, np.int64))
-        sizes.append(np.frombuffer(r.sizes, np.int32))
-        tok.append(unpack48(r.tok))
-        who.append(np.frombuffer(r.who, "<u2").astype(np.int32) + at)
-        hot.append(unpack48(r.hot))
-        hot_who.append(np.frombuffer(r.hot_who, "<u2").astype(np.int32) + at)
-        marks.append(unpack48(r.marks))
-        at += len(keys[-1])
-    keys, sizes = np.concatenate(keys), np.concatenate(sizes)
-    uniq, index = np.unique(keys, return_inverse=True)  # a class may come from several batches
-    size_of = np.zeros(len(uniq), np.int64)
-    size_of[index] = sizes
-    tok, who = np.concatenate(tok), index[np.concatenate(who)]
-    marks = np.unique(np.concatenate(marks))
-    order = np.argsort(tok)
-    tok, who = tok[order], who[order]
-    same = np.zeros(len(tok), bool)
-    if len(tok) > 1:
-        eq = tok[1:] == tok[:-1]
-        same[1:] |= eq
-        same[:-1] |= eq
-    if len(marks):
-        same |= np.isin(tok, marks)
-    tok, who = tok[same], who[same]
-    order = np.lexsort((who, tok))
-    tok, who = tok[order], who[order]
-    if len(tok):
-        # the same class from two batches counts once
-        keep = np.r_[True, (tok[1:] != tok[:-1]) | (who[1:] != who[:-1])]
-        tok, who = tok[keep], who[keep]
+            yield flush(held, number)
+
+    return run
+
+
+def _count(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one tile: the shingles that two classes or more hold, with their rarity; one row a batch.
+
+    Copies of a class in several batches count as several here; that only makes more shingles shared."""
+    through = pdf[pdf["keys"].notna()]
+    cold = pdf[pdf["tok"].notna()]
+    marks = np.unique(np.concatenate([unpack48(x) for x in pdf["marks"].dropna()] or [np.empty(0, np.uint64)]))
+    out = [(r.batch, None, None, r.keys, r.sizes, r.hot, r.hot_who) for r in through.itertuples()]
+    if len(cold):
+        parts = [unpack48(x) for x in cold["tok"]]
+        tok, source = np.concatenate(parts), np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in parts])
+        who = np.concatenate([np.frombuffer(x, "<u2") for x in cold["who"]])
+        order = np.argsort(tok)
+        tok = tok[order]
         first = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
         n = np.diff(np.r_[first, len(tok)])
-        df = np.repeat(np.minimum(n, HOT - 1), n)
+        rank = np.minimum(n, HOT - 1)
         if len(marks):
-            df[np.isin(tok, marks)] = HOT
-        tok, who, df = tok[df > 1], who[df > 1], df[df > 1]
-    else:
-        df = np.empty(0, np.int64)
-    hot, hot_who = np.concatenate(hot), index[np.concatenate(hot_who)]
-    ranked = np.r_[(df.astype(np.uint64) << np.uint64(48)) | tok, np.uint64(HOT << 48) | hot].astype(np.uint64)
-    who = np.r_[who, hot_who]
-    order = np.argsort(who, kind="stable")
-    ranked, who = ranked[order], who[order]
-    used, first, count = np.unique(who, return_index=True, return_counts=True)
-    bucket = (mix(uniq[used].view(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
-    rows = []
-    for b in np.unique(bucket):
-        mine = np.flatnonzero(bucket == b)
-        rows.append((b, uniq[used[mine]].tobytes(), size_of[used[mine]].tobytes(), count[mine].tobytes(), b"".join(ranked[a : a + n].tobytes() for a, n in zip(first[mine], count[mine]))))
-    return pd.DataFrame(rows, columns=["bucket", "keys", "sizes", "counts", "ranked"])
+            rank[np.isin(tok[first], marks)] = HOT
+        rank = np.repeat(rank, n)
+        some = rank > 1
+        order, ranked = order[some], (rank[some].astype(np.uint64) << np.uint64(48)) | tok[some]
+        at = np.argsort(source[order], kind="stable")
+        order, ranked = order[at], ranked[at]
+        names = cold["batch"].to_numpy()
+        for a, b in zip(*_bounds(source[order])):
+            out.append((names[source[order[a]]], ranked[a:b].tobytes(), who[order[a:b]].tobytes(), None, None, None, None))
+    return pd.DataFrame(out, columns=_BACK)
 
 
 def _members(percent: int):
-    """Of one bucket, the classes that may have a partner: their shared shingles and those of the prefix, in order of rarity."""
+    """Of one batch, the classes that may have a partner: their shared shingles and those of the prefix, in order of rarity."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, sizes, counts = (np.concatenate([np.frombuffer(x, np.int64) for x in pdf[c]]) for c in ("keys", "sizes", "counts"))
-        ranked = np.frombuffer(b"".join(pdf["ranked"]), np.uint64)
-        who, index = np.unique(keys, return_inverse=True)
-        n = np.zeros(len(who), np.int64)
-        n[index] = sizes
-        owner = np.repeat(index, counts)
+        head = pdf[pdf["keys"].notna()].iloc[0]
+        keys, n = np.frombuffer(head["keys"], np.int64), np.frombuffer(head["sizes"], np.int32).astype(np.int64)
+        hot = unpack48(head["hot"]) | np.uint64(HOT << 48)
+        ranked = np.concatenate([np.frombuffer(b"".join(pdf["tok"].dropna()), np.uint64), hot])
+        owner = np.concatenate([np.frombuffer(b"".join(pdf["who"].dropna()), "<u2"), np.frombuffer(head["hot_who"], "<u2")])
         need = -(-percent * n // 100)
-        keep = (np.bincount(owner, minlength=len(who)) >= need)[owner]
+        keep = (np.bincount(owner, minlength=len(keys)) >= need)[owner]
         ranked, owner = ranked[keep], owner[keep]
         order = np.lexsort((ranked, owner))
         ranked, owner = ranked[order], owner[order]
         rows = []
         for a, b in zip(*_bounds(owner)):
-            i, own = owner[a], np.unique(ranked[a:b])
-            if len(own) >= need[i]:
-                rows.append((who[i], n[i], np.sort(own & _LOW48).tobytes(), (own[: len(own) - need[i] + 1] & _LOW48).astype(np.int64)))
+            i, own = owner[a], ranked[a:b]
+            rows.append((keys[i], n[i], np.sort(own & _LOW48).tobytes(), (own[: len(own) - need[i] + 1] & _LOW48).astype(np.int64)))
         return pd.DataFrame(rows, columns=["cls", "n", "shared", "prefix"])
 
     return run
@@ -234,17 +211,13 @@ def spanning_links(keys: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray],
     order = np.argsort(sizes, kind="stable")
     keys, sizes, sets = keys[order], sizes[order], [sets[i] for i in order]
     held = np.array([len(s) for s in sets])
-    if len(keys) > 8:
-        bits = int(min(1 << 14, max(256, 1 << int(2 * np.median(held)).bit_length())))
-        maps = _bitmaps(sets, bits)
-    else:
-        maps = None
+    maps = _bitmaps(sets, int(min(1 << 14, max(256, 1 << int(2 * np.median(held)).bit_length()))))
     group, links = np.arange(len(keys)) if known is None else np.unique(known[order], return_inverse=True)[1], []
     starts = np.searchsorted(sizes * 100, sizes * percent)  # smaller sets can't reach the threshold
     for i in range(1, len(keys)):
         j = np.arange(starts[i], i)
         j = j[group[j] != group[i]]
-        if maps is not None and len(j):
+        if len(j):
             mine, theirs = maps[i], maps[j]
             bound = np.minimum(held[i] - np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64), held[j] - np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64))
             j = j[bound * (100 + percent) >= percent * (sizes[i] + sizes[j])]
@@ -331,26 +304,26 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 75, doc
     run, schema = _documents(n_words)
     each = scratch.write(src.mapInArrow(run, schema), "documents")
     n_tiles = tiles_for(text_bytes(src), TILE_BYTES)
-    run, schema = _tiles(n_words, n_tiles)
-    tiles = src.select("text").mapInArrow(run, schema).repartition(n_tiles, "tile")
-    n_buckets = max(8, n_tiles // 2)
-    shared = tiles.groupBy("tile").applyInPandas(lambda pdf: _count(pdf, n_buckets), "bucket int, keys binary, sizes binary, counts binary, ranked binary")
-    members = scratch.write(shared.groupBy("bucket").applyInPandas(_members(percent), "cls long, n long, shared binary, prefix array<long>"), "members")
+    tiles = src.select("text").mapInArrow(_tiles(n_words, n_tiles), _TILE_SQL).repartition(min(n_tiles, MOST_PARTITIONS), "tile")
+    shared = tiles.groupBy("tile").applyInPandas(_count, _BACK_SQL)
+    members = scratch.write(shared.groupBy("batch").applyInPandas(_members(percent), "cls long, n long, shared binary, prefix array<long>"), "members")
 
     posted = members.select("cls", F.explode("prefix").alias("token"))
-    sized = members.select("cls", "n", "shared", F.length("shared").alias("size"))
     family = _families(posted, scratch, "family").withColumnRenamed("node", "cls")
-    links = scratch.write(_links(_first_round(sized.join(family, "cls")), percent), "links")
+    inside = members.join(family, "cls").dropDuplicates(["cls"])  # a class may come from several batches
+    inside = scratch.write(inside.select("cls", "root", "n", "shared", "prefix", F.length("shared").alias("size")), "inside")
+    sized = inside.drop("prefix")
+    links = scratch.write(_links(_first_round(sized), percent), "links")
     linked = components(links, scratch, "linked")
 
-    large = sized.join(family, "cls").groupBy("root").agg(_blocks("size").alias("nb")).filter("nb > 1").select("root")
-    comp = members.select("cls").join(family.join(large, "root", "left_semi"), "cls", "left_semi").join(linked.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("comp"))
+    large = sized.groupBy("root").agg(_blocks("size").alias("nb")).filter("nb > 1").select("root")
+    comp = sized.select("cls", "root").join(large, "root", "left_semi").select("cls").join(linked.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("comp"))
     comp = scratch.write(comp, "comp")
     if not comp.isEmpty():
-        left = posted.join(comp, "cls")
+        left = inside.select("cls", F.explode("prefix").alias("token")).join(comp, "cls")
         mixed = left.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token")
         family = _families(left.join(mixed, "token").select("cls", "token"), scratch, "family-2").withColumnRenamed("node", "cls")
-        more = scratch.write(_links(_second_round(sized.join(family, "cls").join(comp, "cls")), percent), "links-2")
+        more = scratch.write(_links(_second_round(sized.drop("root").join(family, "cls").join(comp, "cls")), percent), "links-2")
         if not more.isEmpty():
             linked = components(links.unionByName(more), scratch, "linked-2")
 
