@@ -21,14 +21,13 @@ import hashlib
 import heapq
 import json
 import re
-import unicodedata
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from .common import bounded_batches
 
@@ -37,8 +36,23 @@ CACHE_WORDS = 350_000
 #: Ids take 20 bits; no pair has this rank.
 _ID, _NONE = (1 << 20) - 1, 1 << 62
 _ODD_CONTROLS = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the vocabulary's rule
-_WHITE = regex.compile(r"\p{White_Space}+")
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+_FOLD = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+
+
+def class_ranges(name: str) -> str:
+    """The characters of a class of the file's own pattern language, as ranges for ``re``: each library has the tables
+    of some Unicode version, and the ids depend on it."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    runs = pre_tokenizers.Split(Regex(f"[{name}]+"), "removed", invert=True).pre_tokenize_str(every)
+    ends = [(r[0], r[-1]) for run, _ in runs for r in ([run] if not run[0] < "\ud800" < run[-1] else [(run[0], "\ud7ff"), ("\ue000", run[-1])])]
+    return "".join(f"\\U{ord(a):08x}-\\U{ord(b):08x}" for a, b in ends)
+
+
+@lru_cache(maxsize=1)
+def _patterns() -> tuple[re.Pattern, re.Pattern]:
+    """White space, and the pieces of what stands between white space."""
+    white, letter, number = map(class_ranges, (r"\s", r"\p{L}", r"\p{N}"))
+    return re.compile(f"[{white}]+"), re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{white}{letter}{number}]+")
 
 
 def byte_alphabet() -> list[str]:
@@ -79,6 +93,7 @@ class Vocabulary:
             self.tokens += [""] * (i + 1 - len(self.tokens))
             self.tokens[i] = token
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.white, self.split = _patterns()
         self.cache = _Chunks(self)
 
     def merge(self, ids: list[int]) -> list[int]:
@@ -140,7 +155,7 @@ class Vocabulary:
             return b""
         if self.special_split and "<" in text and len(parts := self.special_split.split(text)) > 1:
             return b"".join(self.special[x].to_bytes(4, "little") if i % 2 else self.encode(x) for i, x in enumerate(parts))
-        chunks = _WHITE.split(text) if _ODD_CONTROLS.search(text) else text.split()
+        chunks = self.white.split(text) if _ODD_CONTROLS.search(text) else text.split()
         return b"".join(map(self.cache.__getitem__, chunks))
 
     def decode(self, ids: bytes) -> str:
@@ -167,9 +182,9 @@ class _Chunks(dict):
         v, words, out = self.v, self.words, []
         if chunk.isascii():
             text = chunk.lower()
-            pieces = (text,) if text.isalpha() else _PIECES.findall(text)
+            pieces = (text,) if text.isalpha() else v.split.findall(text)
         else:
-            pieces = _PIECES.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())
+            pieces = v.split.findall(_FOLD.normalize_str(chunk))
         for piece in pieces:
             ids = words.get(piece)
             if ids is None:

@@ -162,6 +162,16 @@ def test_bpe_equals_the_library(spark):
     assert np.frombuffer(got[1].ids, "<u4").tolist() == tk.encode(rows[1][1], add_special_tokens=False).ids
 
 
+def test_bpe_every_code_point():
+    """Letters, digits, cases and compositions are those of the library, whatever Unicode version either has."""
+    v, tk = bpe.vocabulary(PATH), Tokenizer.from_file(PATH)
+    points = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x32000), *range(0xE0000, 0xE0200)]]
+    texts = [f"a{c}b {c} 1{c}. A{c}" for c in points]
+    for a in range(0, len(texts), 20_000):
+        for t, e in zip(texts[a : a + 20_000], tk.encode_batch(texts[a : a + 20_000], add_special_tokens=False)):
+            assert v.encode(t) == np.array(e.ids, "<u4").tobytes(), t.encode("unicode_escape")
+
+
 def test_bpe_long_words():
     v, tk, rnd = bpe.vocabulary(PATH), Tokenizer.from_file(PATH), random.Random(2)
     for _ in range(20):
