@@ -106,11 +106,12 @@ def link_tags(tree: DataFrame, annotations: DataFrame, role_map: DataFrame | Non
 
     role_map (custom, standard): roles that stand for Link count as it."""
     leaf = tree.filter("type = 'object-ref' AND target_id IS NOT NULL").withColumn("up", t.nearest(lambda s: F.lit(True)))
-    leaf = leaf.select("doc_id", F.col("target_id").alias("annot_id"), "pre", F.col("up.role").alias("custom"), F.col("up.node_id").alias("link"), F.col("up.alt").alias("link_alt"))
+    leaf = leaf.select("doc_id", F.col("target_id").alias("annot_id"), "pre", F.col("up.role").alias("custom"), F.col("up.node_id").alias("link"))
     if role_map is not None:
         leaf = leaf.join(role_map, "custom", "left").withColumn("custom", F.coalesce("standard", "custom"))
-    first = leaf.filter("custom = 'Link'").groupBy("doc_id", "annot_id").agg(F.min_by(F.struct("link", "link_alt"), "pre").alias("at"))
-    return annotations.join(first, ["doc_id", "annot_id"], "left").select("doc_id", "annot_id", "page", "contents", F.col("at.link").alias("link"), F.col("at.link_alt").alias("link_alt"))
+    first = leaf.filter("custom = 'Link'").groupBy("doc_id", "annot_id").agg(F.min_by("link", "pre").alias("link"))
+    first = first.join(tree.select("doc_id", F.col("node_id").alias("link"), F.col("alt").alias("link_alt")), ["doc_id", "link"])
+    return annotations.join(first, ["doc_id", "annot_id"], "left").select("doc_id", "annot_id", "page", "contents", "link", "link_alt")
 
 
 def links(tagged: DataFrame) -> DataFrame:
@@ -125,7 +126,10 @@ def tab_order(pages: DataFrame) -> DataFrame:
 
 
 def document_rules(info: DataFrame, outline: DataFrame, tree: DataFrame) -> DataFrame:
-    """doc_id, check_id, status of the rules on a document as a whole."""
+    """doc_id, check_id, status of the rules on a document as a whole.
+
+    info may have has_facts: false where annotations, pages and metadata could not be read, so that rules on them don't apply."""
+    facts = _facts(info)
     marks = outline.groupBy("doc_id").agg(F.count("*").alias("n_marks"))
     heads = tree.filter(numbered_heading(F.col("role"))).groupBy("doc_id").agg(F.lit(True).alias("any"), F.bool_or(F.col("role") == "H1").alias("h1"))
     treed = tree.select("doc_id").distinct().withColumn("tree", F.lit(True))
@@ -133,32 +137,61 @@ def document_rules(info: DataFrame, outline: DataFrame, tree: DataFrame) -> Data
     ok = lambda c: F.when(c, "pass").otherwise("fail")
     rules = {
         "tagged": ok(F.col("tree") & F.coalesce("marked_tagged", F.lit(False))), "title": ok(~blank(F.col("title"))), "language": ok(~blank(F.col("lang"))),
-        "permission": ok(F.coalesce("accessibility_permission", F.lit(True))), "identifier": ok(~blank(F.col("pdfua_part"))),
+        "permission": ok(F.coalesce("accessibility_permission", F.lit(True))), "identifier": F.when(~facts, "na").otherwise(ok(~blank(F.col("pdfua_part")))),
         "bookmarks": F.when(F.coalesce("n_marks", F.lit(0)) > 0, "pass").when(F.col("page_count") >= 20, "warn").otherwise("na"),
-        "h1": F.when(~F.col("tree"), "na").otherwise(ok(F.coalesce("h1", F.lit(False)))),
+        "h1": F.when(F.col("tree"), ok(F.coalesce("h1", F.lit(False)))), "structure": F.when(~F.col("tree"), "na"),
     }
     pairs = F.array(*[F.struct(F.lit(k).alias("check_id"), v.alias("status")) for k, v in rules.items()])
-    return d.select("doc_id", F.explode(pairs).alias("r")).select("doc_id", "r.check_id", "r.status")
+    return d.select("doc_id", F.explode(pairs).alias("r")).select("doc_id", "r.check_id", "r.status").filter("status IS NOT NULL")
+
+
+def _facts(info: DataFrame) -> Column:
+    return F.coalesce("has_facts", F.lit(True)) if "has_facts" in info.columns else F.lit(True)
 
 
-#: Rules on nodes, and the status that a finding gives.
-NODE_CHECKS = {"tab-order": "fail", "heading-levels": "fail", "heading-content": "fail", "tag-content": "fail", "list-nesting": "fail", "list-contents": "fail", "row-parent": "fail", "cell-parent": "fail", "table-regularity": "warn", "table-headers": "fail", "alt-text": "fail", "links-tagged": "fail", "links-described": "fail"}
+def figures_with_text(tree: DataFrame, shown: DataFrame) -> DataFrame:
+    """Figures and formulas whose own content paints text. shown: doc_id, page, mcid of the innermost marked span around each
+    instruction that shows visible glyphs. Of several figures that claim one mcid the first counts."""
+    leaf = t.with_page(tree).filter("type = 'content' AND mcid IS NOT NULL").withColumn("figures", F.filter(t.ancestors(), lambda s: s["role"].isin("Figure", "Formula")))
+    own = leaf.filter("page IS NOT NULL AND size(figures) > 0").select("doc_id", "page", "mcid", F.explode("figures").alias("f"))
+    at = tree.filter(F.col("role").isin("Figure", "Formula")).select("doc_id", F.col("node_id").alias("figure"), F.col("pre").alias("figure_pre"))
+    first = own.select("doc_id", "page", "mcid", F.col("f.node_id").alias("figure")).join(at, ["doc_id", "figure"]).groupBy("doc_id", "page", "mcid").agg(F.min_by("figure", "figure_pre").alias("node_id"))
+    return _found(first.join(shown.select("doc_id", "page", "mcid").distinct(), ["doc_id", "page", "mcid"], "left_semi").select("doc_id", "node_id").distinct(), "figure-text")
 
 
-def instances(tree: DataFrame, pages: DataFrame, annotations: DataFrame, empty: DataFrame) -> DataFrame:
-    """Every finding of the rules on nodes."""
+#: Rules on nodes, and the status that a finding gives. Those on links and figures' text rest on the document's facts.
+NODE_CHECKS = {"heading-levels": "fail", "heading-content": "fail", "tag-content": "fail", "list-nesting": "fail", "list-contents": "fail", "row-parent": "fail", "cell-parent": "fail", "table-regularity": "warn", "table-headers": "fail", "alt-text": "fail"}
+FACT_CHECKS = {"links-tagged": "fail", "links-described": "fail", "figure-text": "warn"}
+
+
+def instances(tree: DataFrame, pages: DataFrame, annotations: DataFrame, empty: DataFrame, shown: DataFrame | None = None) -> DataFrame:
+    """Every finding of the rules on nodes and pages; those on text in figures only where ``shown`` is given."""
     parts = [tab_order(pages), heading_skips(tree), empty_headings(empty), empty_tags(tree, empty), nesting(tree), list_items(tree), irregular_tables(tree), table_headers(tree), alt_texts(tree), links(link_tags(tree, annotations))]
+    parts += [] if shown is None else [figures_with_text(tree, shown)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def report(info: DataFrame, documents: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, check_id, status, n: the whole report; a clean rule on nodes passes."""
+def report(info: DataFrame, documents: DataFrame, found: DataFrame, tree: DataFrame, annotations: DataFrame, orphans: DataFrame | None = None) -> DataFrame:
+    """doc_id, check_id, status, n: the whole report.
+
+    A clean rule passes. A document without a tree has one rule 'structure' in place of all rules on nodes; without facts, or
+    without link annotations, one rule 'links' in place of two; both don't apply. orphans: doc_id, total of untagged regions."""
     n = found.groupBy("doc_id", "check_id").agg(F.count("*").alias("n"))
-    every = info.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("check_id"), F.lit(v).alias("bad")) for k, v in NODE_CHECKS.items()])).alias("c")).select("doc_id", "c.*")
-    nodes = every.join(n, ["doc_id", "check_id"], "left").select("doc_id", "check_id", F.when(F.col("n") > 0, F.col("bad")).otherwise("pass").alias("status"), F.coalesce("n", F.lit(0)).alias("n"))
+    if orphans is not None:
+        n = n.unionByName(orphans.select("doc_id", F.lit("orphaned-content").alias("check_id"), F.col("total").cast("long").alias("n")))
+    treed = tree.filter("depth = 0").select("doc_id").distinct().withColumn("tree", F.lit(True))
+    linked = annotations.select("doc_id").distinct().withColumn("linked", F.lit(True))
+    d = info.select("doc_id", _facts(info).alias("facts")).join(treed, "doc_id", "left").join(linked, "doc_id", "left").na.fill(False, ["tree", "linked"])
+    rule = lambda name, bad, when: F.when(when, F.struct(F.lit(name).alias("check_id"), F.lit(bad).alias("bad")))
+    tree_, facts, links_ = F.col("tree"), F.col("facts"), F.col("facts") & F.col("linked")
+    rules = [rule("tab-order", "fail", facts), rule("tab-order", "na", ~facts), *(rule(k, v, tree_) for k, v in NODE_CHECKS.items()), rule("links", "na", tree_ & ~links_)]
+    rules += [rule(k, v, tree_ & links_ if k.startswith("links") else tree_ & facts) for k, v in FACT_CHECKS.items()] + [rule("orphaned-content", "fail", tree_)]
+    every = d.select("doc_id", F.explode(F.array_compact(F.array(*rules))).alias("c")).select("doc_id", "c.*")
+    status = F.when(F.col("bad") == "na", "na").when(F.col("n") > 0, F.col("bad")).otherwise("pass")
+    nodes = every.join(n, ["doc_id", "check_id"], "left").select("doc_id", "check_id", status.alias("status"), F.when(F.col("bad") == "na", 0).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n"))
     return documents.withColumn("n", F.lit(0).cast("long")).unionByName(nodes)
 
 

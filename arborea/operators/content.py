@@ -66,6 +66,24 @@ def orphan_totals(ops: DataFrame, claimed: DataFrame) -> DataFrame:
     return out.withColumn("total", F.col("n_mcids") + F.col("n_spans") + F.col("n_runs"))
 
 
+def _by_page(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.struct("doc_id", "page"))
+
+
+def orphans_by_document(ops: DataFrame, claimed: DataFrame) -> DataFrame:
+    """doc_id, total, n_pages of untagged regions, where ops and claimed have a page: each page is a stream of its own."""
+    found = orphan_totals(_by_page(ops), _by_page(claimed))
+    return found.groupBy("doc_id.doc_id").agg(F.sum("total").cast("long").alias("total"), F.count("*").alias("n_pages"))
+
+
+def shown_text(ops: DataFrame) -> DataFrame:
+    """doc_id, page, mcid of the innermost marked span around each instruction that shows text with a visible glyph (column visible)."""
+    keyed = _by_page(ops)
+    deep = with_depth(keyed)
+    seen = keyed.filter(F.col("op").isin(*_TEXT) & F.col("visible")).select("doc_id", "op_idx")
+    return innermost_mcid(deep, spans(deep)).join(seen, ["doc_id", "op_idx"], "left_semi").select("doc_id.doc_id", "doc_id.page", "mcid").distinct()
+
+
 def repaired(ops: DataFrame, claimed: DataFrame) -> DataFrame:
     """The stream with orphans made artifacts: opening instructions rewritten, a span put around each unwrapped run; numbered anew.
     Running it on its own result changes nothing."""

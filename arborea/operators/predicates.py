@@ -7,10 +7,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from . import tree as t
 
 # fixed values: role categories
-HEADINGS = ("H", "H1", "H2", "H3", "H4", "H5", "H6")
+NUMBERED = ("H1", "H2", "H3", "H4", "H5", "H6")
+HEADINGS = ("H", "H1", "H2", "H3", "H4", "H5", "H6", "Title")
 CATEGORY = {
     **dict.fromkeys(HEADINGS, "heading"),
-    **dict.fromkeys(("Document", "Part", "Art", "Sect", "Div", "BlockQuote", "NonStruct"), "container"),
+    **dict.fromkeys(("Document", "Part", "Art", "Sect", "Div", "TOC", "TOCI", "Index", "NonStruct", "Private"), "container"),
     **dict.fromkeys(("L", "LI", "Lbl", "LBody"), "list"),
     **dict.fromkeys(("Table", "TR", "TH", "TD", "THead", "TBody", "TFoot"), "table"),
     **dict.fromkeys(("Figure", "Formula"), "figure"),
@@ -38,24 +39,33 @@ def blank(c: Column) -> Column:
 
 
 def numbered_heading(role: Column) -> Column:
-    return role.isin(*HEADINGS[1:])
+    return role.isin(*NUMBERED)
 
 
-def filters(tree: DataFrame, empty: DataFrame) -> DataFrame:
-    """doc_id, node_id, filter for each tag filter that an element passes; ``empty``: doc_id, node_id of empty tags."""
+#: Filters that list only the outermost of nested matches.
+STOP_AT_MATCH = ("figures", "table", "lists", "empty")
+
+
+def filters(tree: DataFrame, empty: DataFrame, flags: DataFrame | None = None) -> DataFrame:
+    """doc_id, node_id, filter for each tag filter that an element passes, 'all' among them; ``empty``: doc_id, node_id of empty
+    tags; ``flags``: doc_id, node_id, severity (1, or 2 where more than white space changed), one a node."""
     wrapper = t.hidden_wrappers(tree).withColumn("wrapper", F.lit(True))
     e = tree.filter("type = 'element'").join(wrapper, ["doc_id", "node_id"], "left").filter("wrapper IS NULL")
     e = e.join(empty.select("doc_id", "node_id", F.lit(True).alias("is_empty")), ["doc_id", "node_id"], "left")
+    flags = tree.select("doc_id", "node_id", F.lit(1).alias("severity")).limit(0) if flags is None else flags.select("doc_id", "node_id", "severity")
+    e = e.join(flags, ["doc_id", "node_id"], "left")
     passes = F.array_compact(F.array(
-        F.when(numbered_heading(F.col("role")), "headings"), F.when(F.col("role").isin("Figure", "Formula"), "figures"), F.when(F.col("role") == "Table", "table"),
+        F.lit("all"), F.when(F.col("severity").isNotNull(), "flagged"), F.when(F.col("severity") == 2, "flagged-substantive"),
+        F.when(F.col("role").isin(*HEADINGS), "headings"), F.when(F.col("role") == "Figure", "figures"), F.when(F.col("role") == "Table", "table"),
         F.when(F.col("role").isin("L", "LI"), "lists"), F.when(F.col("role").isin("Figure", "Formula") & (F.coalesce("alt", F.lit("")) == ""), "alt-missing"), F.when(F.col("is_empty"), "empty")))
     return e.select("doc_id", "node_id", "path", F.explode(passes).alias("filter"))
 
 
 def outermost(matches: DataFrame) -> DataFrame:
-    """Of matches (doc_id, node_id, path, filter) those without a matching ancestor of the same filter."""
-    hit = matches.select("doc_id", "filter", F.col("node_id").alias("anc"))
-    under = matches.select("doc_id", "filter", "node_id", F.explode(F.transform(t.ancestors(), lambda s: s["node_id"])).alias("anc")).join(hit, ["doc_id", "filter", "anc"], "left_semi")
+    """Of matches (doc_id, node_id, path, filter) those without a matching ancestor of the same filter, where the filter stops at a match."""
+    stops = F.col("filter").isin(*STOP_AT_MATCH)
+    hit = matches.filter(stops).select("doc_id", "filter", F.col("node_id").alias("anc"))
+    under = matches.filter(stops).select("doc_id", "filter", "node_id", F.explode(F.transform(t.ancestors(), lambda s: s["node_id"])).alias("anc")).join(hit, ["doc_id", "filter", "anc"], "left_semi")
     return matches.join(under.select("doc_id", "filter", "node_id").distinct(), ["doc_id", "filter", "node_id"], "left_anti").select("doc_id", "node_id", "filter")
 
 

@@ -12,7 +12,7 @@ from .predicates import blank, numbered_heading, organizational
 
 NODE = ("doc_id", "node_id", "parent_id", "ord", "type", "kind", "role", "alt", "actual_text", "scope", "col_span", "has_bbox", "own_page", "mcid", "target_id")
 LISTED = ("alt", "actual_text", "scope", "role")
-GROUPING = ("Document", "Part", "Art", "Sect", "Div")
+GROUPING = ("Document", "DocumentFragment", "Part", "Art", "Sect", "Div", "NonStruct", "Private")
 
 
 def renumbered(nodes: DataFrame, sort: str = "sort") -> DataFrame:

@@ -19,7 +19,7 @@ UNDIVIDED = ("Table", "THead", "TBody", "TFoot", "TR", "TD", "TH", "L", "LI", "L
 GROUPS = {
     "Table": ("TD", ("TH", "TR")),
     "TR": ("TD", ("TH",)),
-    "BlockQuote": ("P", ("P", "H", "H1", "H2", "H3", "H4", "H5", "H6", "L", "Table", "Figure", "Formula", "BlockQuote", "Caption", "Note", "TOC", "Div", "Sect", "Part", "Art", "Index", "Form", "Code")),
+    "BlockQuote": ("P", ("P", "H", "H1", "H2", "H3", "H4", "H5", "H6", "L", "Table", "Figure", "Formula", "BlockQuote", "Caption", "Note", "TOC", "Index", "Div", "Sect", "Part", "Art", "NonStruct", "Private")),
 }
 
 

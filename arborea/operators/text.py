@@ -100,7 +100,7 @@ def cell_text(tree: DataFrame, leaf_text: DataFrame, roles: tuple[str, ...] = ("
     shown = F.when(~blank(F.col("actual_text")), F.trim("actual_text")).when(F.col("role") == "Figure", "[Figure]")
     e = tree.join(leaf_text.select("doc_id", "node_id", F.col("text").alias("own")), ["doc_id", "node_id"], "left").withColumn("shown", F.when(F.col("type") == "element", shown).when(F.col("type") == "content", F.nullif("own", F.lit("")))).filter("shown IS NOT NULL")
     # an ancestor that shows something stands for everything below it
-    stands = lambda s: (s["type"] == "element") & (~blank(s["actual_text"]) | s["role"].eqNullSafe("Figure"))
+    stands = lambda s: (s["type"] == "element") & (s["has_actual"] | s["role"].eqNullSafe("Figure"))
     cell = lambda s: s["role"].isin(*roles)
     e = e.withColumn("in_cell", t.nearest(cell, True)["node_id"]).filter("in_cell IS NOT NULL")
     inside = F.filter(t.ancestors(), lambda s: F.array_position(F.col("path.node_id"), s["node_id"]) >= F.array_position(F.col("path.node_id"), F.col("in_cell")))

@@ -9,18 +9,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.scratch import written
 
-#: What a path entry keeps of each ancestor (the node itself is last).
-STEP = ("node_id", "parent_id", "ord", "type", "role", "own_page", "alt", "actual_text", "has_bbox")
-
-
 def _step() -> Column:
-    return F.struct(*STEP)
+    """What a path entry keeps of each ancestor (the node itself is last): no text, as a node would carry that of all ancestors."""
+    actual = F.trim(F.coalesce("actual_text", F.lit(""))) != ""
+    return F.struct("node_id", "parent_id", "ord", "type", "role", "own_page", "has_bbox", actual.alias("has_actual"))
 
 
 def tree_keys(nodes: DataFrame, most_levels: int = 10_000) -> DataFrame:
     """Adds path, depth (root: 0), pre (depth-first position in the document, from 1) and last_pre (of the last descendant).
 
     Works level by level: each step joins one level's nodes to their parents' paths, so every node is joined once."""
+    nodes = written(nodes, "nodes")
     level = written(nodes.filter("parent_id IS NULL").withColumn("path", F.array(_step())), "level")
     found, n = level, 1
     while not level.isEmpty():
@@ -156,9 +155,12 @@ def content_map(tree: DataFrame) -> DataFrame:
     return o.select("doc_id", "page", F.array_join(at, ",").alias("owners"))
 
 
-def next_mcid(tree: DataFrame) -> DataFrame:
-    """doc_id, page, mcid: one more than the largest in use on the page."""
-    return with_page(tree).filter("mcid IS NOT NULL AND page IS NOT NULL").groupBy("doc_id", "page").agg((F.max("mcid") + 1).alias("mcid"))
+def next_mcid(tree: DataFrame, ops: DataFrame | None = None) -> DataFrame:
+    """doc_id, page, mcid: one more than the largest in use on the page, by the tree or by the page's instructions (doc_id, page, op, mcid)."""
+    used = with_page(tree).filter("type = 'content' AND mcid IS NOT NULL AND page IS NOT NULL").select("doc_id", "page", "mcid")
+    if ops is not None:
+        used = used.unionByName(ops.filter("op = 'BDC' AND mcid IS NOT NULL").select("doc_id", "page", "mcid"))
+    return used.groupBy("doc_id", "page").agg((F.max("mcid") + 1).alias("mcid"))
 
 
 def signature(tree: DataFrame) -> DataFrame:

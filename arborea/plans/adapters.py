@@ -5,7 +5,7 @@ document; its orders and their lines become sections, headings, tables, lists, f
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.tree import tree_keys
 from ..sources.scratch import written
@@ -45,13 +45,18 @@ LEAF_TEXT = f"""
 WITH l AS ({LINES}) SELECT doc_id, base + 8 + ln AS node_id, CASE WHEN ln % 4 = 0 THEN '' WHEN ln % 5 = 0 THEN '  a  ' || p_type ELSE p_name END AS text, pk % 2 = 0 AS has_image, pk % 3 = 0 AS has_vector
 FROM l JOIN {{part}} ON pk = p_partkey WHERE qty > 10
 """
+#: Instructions that paint each leaf: its span, the text, its end.
+LEAF_OPS = f"""
+WITH l AS ({LINES}) SELECT doc_id, CAST(CASE WHEN tax > 0.07 THEN pk % 7 WHEN ln = 5 THEN ok % 7 + 1 ELSE ok % 7 END AS INT) AS page, (ok * 8 + ln) * 4 + k AS op_idx, CASE k WHEN 0 THEN 'BDC' WHEN 1 THEN 'Tj' ELSE 'EMC' END AS op,
+       CASE WHEN k = 0 THEN 'P' END AS tag, CASE WHEN k = 0 THEN CAST(ok % 100 * 8 + ln AS INT) END AS mcid, k = 1 AND pk % 3 > 0 AS visible FROM l CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) s WHERE qty > 10
+"""
 ANNOTATIONS = f"""
 WITH l AS ({LINES}) SELECT doc_id, CAST(ok % 7 AS INT) AS page, base + ln AS annot_id, CASE WHEN sk % 2 = 0 THEN 'see ' || rf WHEN sk % 5 = 0 THEN ' ' END AS contents FROM l WHERE role IN ('Link', 'Span')
 """
 DOC_INFO = """
 SELECT c_custkey AS doc_id, CASE WHEN c_acctbal > 2000 THEN c_name WHEN c_acctbal > 0 THEN ' ' END AS title, CASE WHEN c_nationkey % 3 > 0 THEN 'en' END AS lang,
        c_nationkey % 4 <> 0 AS marked_tagged, CASE WHEN c_nationkey % 5 = 0 THEN FALSE WHEN c_nationkey % 5 = 1 THEN TRUE END AS accessibility_permission,
-       CASE WHEN c_mktsegment = 'BUILDING' THEN '1' END AS pdfua_part, c_custkey % 25 AS page_count FROM {customer}
+       CASE WHEN c_mktsegment = 'BUILDING' THEN '1' END AS pdfua_part, c_custkey % 25 AS page_count, c_custkey % 13 <> 5 AS has_facts FROM {customer}
 """
 DOC_PAGES = "SELECT DISTINCT o_custkey AS doc_id, CAST(o_orderkey % 7 AS INT) AS page, CASE WHEN o_orderkey % 7 > 2 THEN 'S' END AS tabs FROM {orders}"
 OUTLINE = "SELECT o_custkey AS doc_id, o_orderkey AS bookmark_id, o_orderkey AS ord, CAST(o_orderkey % 7 AS INT) AS page FROM {orders} WHERE o_totalprice > 200000"
@@ -61,8 +66,11 @@ SELECT user_id AS doc_id, event_id AS op_idx, CASE event_type WHEN 'signup' THEN
        CASE WHEN event_type = 'signup' THEN CASE WHEN event_id % 5 = 0 THEN 'Artifact' ELSE 'P' END END AS tag,
        CASE WHEN event_type = 'signup' AND event_id % 3 > 0 THEN CAST(event_id % 50 AS INT) END AS mcid, value FROM {events}
 """
+#: The same with a page, and whether shown text has a visible glyph.
+PAGE_OPS = OPS.replace("user_id AS doc_id", "user_id AS doc_id, CAST(event_id % 7 AS INT) AS page, value > 20 AS visible")
 #: mcids that a tag claims.
 CLAIMED = "SELECT DISTINCT user_id AS doc_id, CAST(event_id % 50 AS INT) AS mcid FROM {events} WHERE event_type = 'purchase'"
+PAGE_CLAIMED = CLAIMED.replace("user_id AS doc_id", "user_id AS doc_id, CAST(event_id % 7 AS INT) AS page")
 EDITS = """
 SELECT user_id AS doc_id, event_id AS seq, ts, event_type AS cmd, CASE WHEN value > 50 THEN event_type END AS undo_group, event_type <> 'view' AS changes FROM {events}
 """
@@ -90,8 +98,9 @@ def oracle(sql: str) -> str:
 
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nodes with their tree keys; written once for a session and folder, as every operator starts from them."""
-    key = (spark.sparkContext.applicationId, sf_dir, "tree")
+    """The nodes with their tree keys; written once for a session and state of the folder, as every operator starts from them."""
+    changed = [spark.read.parquet(f"{sf_dir}/{x}.parquet").agg(F.max("_metadata.file_modification_time")).first()[0] for x in ("orders", "lineitem")]
+    key = (spark.sparkContext.applicationId, sf_dir, str(changed))
     if key not in _held:
         _held[key] = written(tree_keys(view(spark, sf_dir, NODES)), "tree")
     return _held[key]

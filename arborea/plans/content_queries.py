@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import content as c
-from .adapters import CLAIMED, OPS, oracle, view
+from .adapters import CLAIMED, OPS, PAGE_CLAIMED, PAGE_OPS, oracle, view
 from .registry import register
 
 _DEEP = f"""ops AS ({oracle(OPS)}), claimed AS ({oracle(CLAIMED)}),
@@ -21,6 +21,13 @@ _ARTIFACTS = """outer_ AS (SELECT * FROM spans s WHERE tag = 'Artifact' AND clos
 arts AS (SELECT o.doc_id, open_idx, CASE WHEN count(DISTINCT op) > 1 THEN 'mixed' WHEN min(op) = 'Tj' THEN 'text' ELSE 'path' END AS kind, false AS truncated FROM outer_ o JOIN paints p ON p.doc_id = o.doc_id AND p.op_idx > o.open_idx AND p.op_idx < o.close_idx GROUP BY ALL)"""
 
 
+#: The same streams page by page: the oracle's doc_id is eight times the document and the page.
+PAGE_STREAMS = _DEEP.replace("user_id AS doc_id", "user_id * 8 + event_id % 7 AS doc_id")
+_TOTALS = "n AS (SELECT doc_id, (SELECT count(*) FROM mcids m WHERE m.doc_id = d.doc_id) AS n_mcids, (SELECT count(*) FROM loose m WHERE m.doc_id = d.doc_id) AS n_spans, (SELECT count(*) FROM runs m WHERE m.doc_id = d.doc_id) AS n_runs FROM (SELECT DISTINCT doc_id FROM ops) d)"
+PAGE_ORPHANS = f"{_MCIDS}, {_ORPHANS}, {_RUNS}, {_TOTALS.replace('n AS', 'per_page AS', 1)}, orphaned AS (SELECT doc_id // 8 AS doc_id, CAST(sum(n_mcids + n_spans + n_runs) AS BIGINT) AS total, count(*) AS n_pages FROM per_page WHERE n_mcids + n_spans + n_runs > 0 GROUP BY ALL)"
+SHOWN = "shown AS (SELECT DISTINCT doc_id // 8 AS doc_id, doc_id % 8 AS page, mcid FROM (SELECT p.doc_id, p.op_idx, max_by(s.mcid, s.open_idx) AS mcid FROM paints p JOIN spans s ON s.doc_id = p.doc_id AND s.mcid IS NOT NULL AND s.open_idx < p.op_idx AND (s.close_idx IS NULL OR s.close_idx > p.op_idx) WHERE p.op = 'Tj' AND p.value > 20 GROUP BY ALL))"
+
+
 def on_ops(name, run, sql=None):
     register(name, lambda s, d: run(view(s, d, OPS), view(s, d, CLAIMED)), sql and f"WITH {_DEEP} {sql}")
 
@@ -31,7 +38,9 @@ on_ops("innermost_mcid", lambda o, k: c.innermost_mcid(c.with_depth(o), c.spans(
 on_ops("orphan_mcids", c.orphan_mcids, f", {_MCIDS} SELECT * FROM mcids")
 on_ops("orphan_regions", lambda o, k: c.orphan_spans(c.spans(c.with_depth(o)), k), f", {_ORPHANS} SELECT * FROM loose")
 on_ops("unwrapped_runs", lambda o, k: c.unwrapped_runs(c.with_depth(o)), f", {_RUNS} SELECT * FROM runs")
-on_ops("orphan_totals", c.orphan_totals, f", {_MCIDS}, {_ORPHANS}, {_RUNS}, n AS (SELECT doc_id, (SELECT count(*) FROM mcids m WHERE m.doc_id = d.doc_id) AS n_mcids, (SELECT count(*) FROM loose m WHERE m.doc_id = d.doc_id) AS n_spans, (SELECT count(*) FROM runs m WHERE m.doc_id = d.doc_id) AS n_runs FROM (SELECT DISTINCT doc_id FROM ops) d) SELECT *, n_mcids + n_spans + n_runs AS total FROM n WHERE n_mcids + n_spans + n_runs > 0")
+on_ops("orphan_totals", c.orphan_totals, f", {_MCIDS}, {_ORPHANS}, {_RUNS}, {_TOTALS} SELECT *, n_mcids + n_spans + n_runs AS total FROM n WHERE n_mcids + n_spans + n_runs > 0")
+register("orphaned_content", lambda s, d: c.orphans_by_document(view(s, d, PAGE_OPS), view(s, d, PAGE_CLAIMED)), f"WITH {PAGE_STREAMS}, {PAGE_ORPHANS} SELECT * FROM orphaned")
+register("shown_text", lambda s, d: c.shown_text(view(s, d, PAGE_OPS)), f"WITH {PAGE_STREAMS}, {SHOWN} SELECT doc_id, CAST(page AS INT) AS page, mcid FROM shown")
 on_ops("repair_orphans", lambda o, k: c.repaired(o, k).groupBy("doc_id").agg(F.count("*").alias("n_ops"), F.count_if(F.col("tag") == "Artifact").alias("n_artifacts")), f", {_MCIDS}, {_ORPHANS}, {_RUNS} SELECT doc_id, count(*) + 2 * (SELECT count(*) FROM runs r WHERE r.doc_id = o.doc_id) AS n_ops, count(*) FILTER (tag = 'Artifact') + (SELECT count(*) FROM runs r WHERE r.doc_id = o.doc_id) + (SELECT count(*) FROM loose r WHERE r.doc_id = o.doc_id) + (SELECT count(*) FROM spans s JOIN mcids USING (doc_id, mcid) WHERE s.doc_id = o.doc_id AND s.tag <> 'Artifact') AS n_artifacts FROM ops o GROUP BY doc_id")
 on_ops("repair_is_final", lambda o, k: c.repaired(c.repaired(o, k), k).groupBy("doc_id").agg(F.count("*").alias("n_ops")), f", {_RUNS} SELECT doc_id, count(*) + 2 * (SELECT count(*) FROM runs r WHERE r.doc_id = o.doc_id) AS n_ops FROM ops o GROUP BY doc_id")
 on_ops("artifact_list", lambda o, k: c.artifacts(c.with_depth(o), c.spans(c.with_depth(o))), f", {_ARTIFACTS} SELECT * FROM arts")

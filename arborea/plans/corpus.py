@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 
-from ..operators import audit, predicates, rewrite, structure, summary, text, tree as t
+from ..operators import audit, content, predicates, rewrite, structure, summary, text, tree as t
 
 
 class Corpus:
@@ -32,8 +32,10 @@ class Corpus:
 
     def verify(self) -> DataFrame:
         f = self.facts
-        found = audit.instances(self.tree, f["pages"], f["annotations"], self.empty())
-        return audit.report(f["info"], audit.document_rules(f["info"], f["outline"], self.tree), found)
+        shown = content.shown_text(f["ops"]) if "ops" in f else None
+        orphans = content.orphans_by_document(f["ops"], f["claimed"]) if "ops" in f else None
+        found = audit.instances(self.tree, f["pages"], f["annotations"], self.empty(), shown)
+        return audit.report(f["info"], audit.document_rules(f["info"], f["outline"], self.tree), found, self.tree, f["annotations"], orphans)
 
     def text(self) -> DataFrame:
         return text.content_text(self.tree, self.facts["leaf_text"])

@@ -38,7 +38,7 @@ on_tree("collapse_to_figure", lambda x, _: _place(r.collapse_to_leaves(x, x.filt
         f", u AS (SELECT t.doc_id, t.node_id, max(f.node_id) AS into_id FROM tree t JOIN tree f ON f.doc_id = t.doc_id AND f.role = 'Table' AND t.pre > f.pre AND t.pre <= f.last_pre GROUP BY ALL), k AS (SELECT t.*, coalesce(into_id, parent_id) AS up FROM tree t LEFT JOIN u USING (doc_id, node_id) WHERE into_id IS NULL OR type IN ('content', 'object-ref')) SELECT doc_id, node_id, up AS parent_id, CAST(row_number() OVER (PARTITION BY doc_id, up ORDER BY pos, node_id) - 1 AS BIGINT) AS ord FROM k")
 on_tree("remove_links", lambda x, _: r.remove_links(x).select("doc_id", "node_id", "parent_id", "role"),
         """, links AS (SELECT t.*, EXISTS (SELECT 1 FROM tree c WHERE c.doc_id = t.doc_id AND c.pre > t.pre AND c.pre <= t.last_pre AND c.type = 'content') AS holds FROM tree t WHERE role = 'Link'),
- fates AS (SELECT doc_id, node_id, CASE WHEN NOT holds THEN 'vanish' WHEN trim(coalesce(actual_text, '')) <> '' THEN 'Span' WHEN up_role IS NULL OR up_role IN ('Document', 'Part', 'Art', 'Sect', 'Div') THEN 'P' ELSE 'dissolve' END AS fate FROM links)
+ fates AS (SELECT doc_id, node_id, CASE WHEN NOT holds THEN 'vanish' WHEN trim(coalesce(actual_text, '')) <> '' THEN 'Span' WHEN up_role IS NULL OR up_role IN ('Document', 'DocumentFragment', 'Part', 'Art', 'Sect', 'Div', 'NonStruct', 'Private') THEN 'P' ELSE 'dissolve' END AS fate FROM links)
  SELECT t.doc_id, t.node_id, CASE WHEN u.fate = 'dissolve' THEN p.parent_id ELSE t.parent_id END AS parent_id, CASE WHEN f.fate IN ('Span', 'P') THEN f.fate ELSE t.role END AS role FROM tree t LEFT JOIN fates f USING (doc_id, node_id) LEFT JOIN fates u ON u.doc_id = t.doc_id AND u.node_id = t.parent_id LEFT JOIN tree p ON p.doc_id = t.doc_id AND p.node_id = t.parent_id
  WHERE coalesce(f.fate, '') NOT IN ('vanish', 'dissolve') AND coalesce(u.fate, '') <> 'vanish' AND NOT (t.type = 'object-ref' AND t.target_id IS NOT NULL)""")
 on_tree("prune_emptied", lambda x, _: r.prune_emptied(x, x.filter("role IN ('LBody', 'Span', 'TD') AND pre = last_pre").select("doc_id", "node_id")).select("doc_id", "node_id"),

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit as a
+from ..operators import content as c
 from ..operators import predicates as p
 from ..operators import tree as t
 from . import adapters as v
-from .adapters import ANNOTATIONS, DOC_INFO, DOC_PAGES, LEAF_TEXT, ORACLE_TREE, OUTLINE, oracle, tree, view
+from ..sources.scratch import written
+from .adapters import ANNOTATIONS, DOC_INFO, DOC_PAGES, LEAF_OPS, LEAF_TEXT, ORACLE_TREE, OUTLINE, PAGE_CLAIMED, PAGE_OPS, oracle, tree, view
+from .content_queries import PAGE_ORPHANS, PAGE_STREAMS
 from .registry import register
 
 
@@ -45,7 +48,7 @@ _OWNERS = "owners AS (SELECT doc_id, page, mcid, max_by(parent_id, pre) AS owner
 on_tree("content_owner", lambda x, _: t.owners(x), f", {_OWNERS} SELECT * FROM owners")
 on_tree("content_map", lambda x, _: t.content_map(x), f""", {_OWNERS}, top AS (SELECT doc_id, page, unnest(range(0, max(mcid) + 1)) AS mcid FROM owners GROUP BY doc_id, page)
  SELECT doc_id, page, string_agg(coalesce(CAST(owner AS VARCHAR), ''), ',' ORDER BY mcid) AS owners FROM top LEFT JOIN owners USING (doc_id, page, mcid) GROUP BY ALL""")
-on_tree("next_mcid", lambda x, _: t.next_mcid(x), "SELECT doc_id, page, max(mcid) + 1 AS mcid FROM tree WHERE mcid IS NOT NULL AND page IS NOT NULL GROUP BY ALL")
+on_tree("next_mcid", lambda x, w: t.next_mcid(x, w(PAGE_OPS)), "SELECT doc_id, page, max(mcid) + 1 AS mcid FROM (SELECT doc_id, page, mcid FROM tree WHERE type = 'content' AND mcid IS NOT NULL AND page IS NOT NULL UNION ALL SELECT doc_id, page, mcid FROM page_ops WHERE op = 'BDC' AND mcid IS NOT NULL) GROUP BY ALL", ("page_ops", PAGE_OPS))
 on_tree("tree_signature", lambda x, _: t.signature(x))
 _SHIFTED = lambda x: x.withColumn("mcid", F.when((F.col("node_id") % 50 == 9), F.col("mcid") + 1).otherwise(F.col("mcid")))
 on_tree("shape_difference", lambda x, _: t.shape_difference(x, _SHIFTED(x)), "SELECT doc_id, min(pre) AS pre FROM tree WHERE type = 'content' AND node_id % 50 = 9 AND mcid IS NOT NULL GROUP BY doc_id")
@@ -57,13 +60,15 @@ on_tree("nearest_ancestor", lambda x, _: x.select("doc_id", "node_id", t.nearest
 on_tree("bbox_targets", lambda x, _: t.below(t.with_page(x), F.col("has_bbox") & F.col("page").isNotNull()).groupBy("doc_id", F.col("anc").alias("node_id")).agg(F.count("*").alias("n")), "SELECT a.doc_id, anc AS node_id, count(*) AS n FROM anc a JOIN tree t ON t.doc_id = a.doc_id AND t.node_id = a.node_id WHERE t.has_bbox AND t.page IS NOT NULL GROUP BY ALL")
 
 # predicates
-_CATEGORY = "CASE " + " ".join(f"WHEN role = '{r}' THEN '{c}'" for r, c in p.CATEGORY.items()) + " WHEN role IS NULL THEN 'leaf' ELSE 'inline' END"
+_CATEGORY = """CASE WHEN role IS NULL THEN 'leaf' WHEN role IN ('H', 'H1', 'H2', 'H3', 'H4', 'H5', 'H6', 'Title') THEN 'heading' WHEN role IN ('Document', 'Part', 'Art', 'Sect', 'Div', 'TOC', 'TOCI', 'Index', 'NonStruct', 'Private') THEN 'container'
+ WHEN role IN ('L', 'LI', 'Lbl', 'LBody') THEN 'list' WHEN role IN ('Table', 'TR', 'TH', 'TD', 'THead', 'TBody', 'TFoot') THEN 'table' WHEN role IN ('Figure', 'Formula') THEN 'figure' ELSE 'inline' END"""
 on_tree("role_category", lambda x, _: x.select("doc_id", "node_id", p.category(F.col("role")).alias("category")), f"SELECT doc_id, node_id, {_CATEGORY} AS category FROM tree")
 on_tree("organizational_tags", lambda x, _: x.filter(p.organizational(F.col("role"))).select("doc_id", "node_id"), "SELECT doc_id, node_id FROM tree WHERE lower(role) IN ('div', 'sect', 'part', 'sub') OR lower(role) LIKE '%span%'")
 _FILTERS = f"""matches AS (SELECT doc_id, node_id, path, f.filter AS filter, f.ok AS ok FROM (SELECT t.*, e.node_id IS NOT NULL AS is_empty FROM tree t LEFT JOIN empty e USING (doc_id, node_id) WHERE t.type = 'element' AND t.depth > 1) t,
- LATERAL (VALUES ('headings', role IN {HEADS}), ('figures', role IN ('Figure', 'Formula')), ('table', role = 'Table'), ('lists', role IN ('L', 'LI')), ('alt-missing', role IN ('Figure', 'Formula') AND coalesce(alt, '') = ''), ('empty', is_empty)) f(filter, ok) WHERE ok)"""
-on_tree("tag_filters", lambda x, _: p.filters(x, a.empty_nodes(x)).select("doc_id", "node_id", "filter"), f", {_FILTERS} SELECT doc_id, node_id, filter FROM matches")
-on_tree("outermost_matches", lambda x, _: p.outermost(p.filters(x, a.empty_nodes(x))), f", {_FILTERS} SELECT doc_id, node_id, filter FROM matches m WHERE NOT EXISTS (SELECT 1 FROM matches o WHERE o.doc_id = m.doc_id AND o.filter = m.filter AND o.node_id <> m.node_id AND list_contains(m.path, o.node_id))")
+ LATERAL (VALUES ('all', true), ('flagged', node_id % 5 = 0), ('flagged-substantive', node_id % 10 = 0), ('headings', role IN ('H', 'H1', 'H2', 'H3', 'H4', 'H5', 'H6', 'Title')), ('figures', role = 'Figure'), ('table', role = 'Table'), ('lists', role IN ('L', 'LI')), ('alt-missing', role IN ('Figure', 'Formula') AND coalesce(alt, '') = ''), ('empty', is_empty)) f(filter, ok) WHERE ok)"""
+_FLAGS = lambda x: x.filter("node_id % 5 = 0").select("doc_id", "node_id", F.when(F.expr("node_id % 10 = 0"), 2).otherwise(1).alias("severity"))
+on_tree("tag_filters", lambda x, _: p.filters(x, a.empty_nodes(x), _FLAGS(x)).select("doc_id", "node_id", "filter"), f", {_FILTERS} SELECT doc_id, node_id, filter FROM matches")
+on_tree("outermost_matches", lambda x, _: p.outermost(p.filters(x, a.empty_nodes(x), _FLAGS(x))), f", {_FILTERS} SELECT doc_id, node_id, filter FROM matches m WHERE filter NOT IN ('figures', 'table', 'lists', 'empty') OR NOT EXISTS (SELECT 1 FROM matches o WHERE o.doc_id = m.doc_id AND o.filter = m.filter AND o.node_id <> m.node_id AND list_contains(m.path, o.node_id))")
 on_tree("proofread_selection", lambda x, _: p.proofread(x), """, b AS (SELECT t.*, depth > 1 AND role NOT IN ('Lbl', 'Figure') AND (trim(coalesce(actual_text, '')) <> '' OR EXISTS (SELECT 1 FROM nodes c WHERE c.doc_id = t.doc_id AND c.parent_id = t.node_id AND c.type = 'content')) AS base FROM tree t WHERE type = 'element')
  SELECT doc_id, node_id FROM b WHERE base AND NOT (lower(role) LIKE '%span%' AND EXISTS (SELECT 1 FROM b s WHERE s.doc_id = b.doc_id AND s.node_id <> b.node_id AND list_contains(b.path, s.node_id) AND (s.base OR s.role IN ('Lbl', 'Figure'))))""")
 on_tree("find_nodes", lambda x, _: p.find_nodes(x, ["H1", "H2", "Figure"], pages=(2, 5), most=3), f", {_PAGE_OF}, f AS (SELECT doc_id, node_id, role, page_no, row_number() OVER (PARTITION BY doc_id ORDER BY pre) AS n FROM tree JOIN page_of USING (doc_id, node_id) WHERE role IN ('H1', 'H2', 'Figure') AND page_no BETWEEN 2 AND 5) SELECT doc_id, node_id, role, page_no FROM f WHERE n <= 3")
@@ -88,7 +93,7 @@ _WIDTHS = """trs AS (SELECT a.doc_id, a.node_id AS row_id, max_by(s.node_id, s.d
  widths AS (SELECT trs.doc_id, node_id, count(*) AS n_rows, coalesce(array_to_string(list_sort(list_distinct(list(width) FILTER (width > 0))), ','), '') AS widths FROM trs LEFT JOIN wide USING (doc_id, row_id) GROUP BY trs.doc_id, node_id)"""
 _TABLES = f"""{_WIDTHS}, ragged AS (SELECT doc_id, 'table-regularity' AS check_id, node_id, NULL AS page, widths AS detail FROM widths WHERE n_rows >= 2 AND widths LIKE '%,%'),
  cells AS (SELECT t.*, r.node_id AS tab FROM tree t JOIN trs r ON r.doc_id = t.doc_id AND r.row_id = t.parent_id WHERE role IN ('TH', 'TD')),
- heads AS (SELECT doc_id, 'table-headers' AS check_id, node_id, NULL AS page, 'no header' AS detail FROM tree t WHERE role = 'Table' AND NOT EXISTS (SELECT 1 FROM cells c WHERE c.doc_id = t.doc_id AND c.tab = t.node_id AND c.role = 'TH')
+ heads AS (SELECT t.doc_id, 'table-headers' AS check_id, t.node_id, NULL AS page, 'no header' AS detail FROM tree t LEFT JOIN (SELECT DISTINCT doc_id, tab AS node_id, true AS headed FROM cells WHERE role = 'TH') h ON h.doc_id = t.doc_id AND h.node_id = t.node_id WHERE t.role = 'Table' AND headed IS NULL
   UNION ALL SELECT doc_id, 'table-headers', node_id, NULL, 'no scope' FROM cells WHERE role = 'TH' AND trim(coalesce(scope, '')) = '')"""
 _ALT = "alts AS (SELECT doc_id, 'alt-text' AS check_id, node_id, NULL AS page, '' AS detail FROM tree WHERE role IN ('Figure', 'Formula') AND trim(coalesce(alt, '')) = '')"
 _LINKS = """tagged AS (SELECT a.doc_id, annot_id, a.page, contents, l.link, l.link_alt FROM annotations a LEFT JOIN (SELECT o.doc_id, o.target_id AS annot_id, min_by(p.node_id, o.pre) AS link, min_by(p.alt, o.pre) AS link_alt FROM tree o JOIN tree p ON p.doc_id = o.doc_id AND p.node_id = o.parent_id
@@ -111,23 +116,39 @@ on_tree("alt_texts", lambda x, _: a.alt_texts(x), f", {_ALT} SELECT {_F} FROM al
 on_tree("annotation_links", lambda x, w: a.link_tags(x, w(ANNOTATIONS)), f", {_LINKS} SELECT * FROM tagged", _PARTS[0])
 on_tree("links_audit", lambda x, w: a.links(a.link_tags(x, w(ANNOTATIONS))), f", {_LINKS} SELECT {_F} FROM linked", _PARTS[0])
 on_tree("tab_order", lambda x, w: a.tab_order(w(DOC_PAGES)), f", {_TABS} SELECT {_F} FROM tabs", _PARTS[1])
-_DOC = """docs AS (SELECT d.*, (SELECT count(*) FROM outline_ o WHERE o.doc_id = d.doc_id) AS n_marks, EXISTS (SELECT 1 FROM nodes n WHERE n.doc_id = d.doc_id) AS tree, EXISTS (SELECT 1 FROM nodes n WHERE n.doc_id = d.doc_id AND n.role = 'H1') AS h1 FROM info d),
+_DOC = """docs AS (SELECT d.*, (SELECT count(*) FROM outline_ o WHERE o.doc_id = d.doc_id) AS n_marks, d.doc_id IN (SELECT doc_id FROM nodes) AS tree, d.doc_id IN (SELECT doc_id FROM nodes WHERE role = 'H1') AS h1 FROM info d),
  rules AS (SELECT doc_id, r.check_id AS check_id, r.status AS status FROM docs, LATERAL (VALUES ('tagged', CASE WHEN tree AND coalesce(marked_tagged, false) THEN 'pass' ELSE 'fail' END), ('title', CASE WHEN trim(coalesce(title, '')) <> '' THEN 'pass' ELSE 'fail' END),
-  ('language', CASE WHEN trim(coalesce(lang, '')) <> '' THEN 'pass' ELSE 'fail' END), ('permission', CASE WHEN coalesce(accessibility_permission, true) THEN 'pass' ELSE 'fail' END), ('identifier', CASE WHEN trim(coalesce(pdfua_part, '')) <> '' THEN 'pass' ELSE 'fail' END),
-  ('bookmarks', CASE WHEN n_marks > 0 THEN 'pass' WHEN page_count >= 20 THEN 'warn' ELSE 'na' END), ('h1', CASE WHEN NOT tree THEN 'na' WHEN h1 THEN 'pass' ELSE 'fail' END)) r(check_id, status))"""
+  ('language', CASE WHEN trim(coalesce(lang, '')) <> '' THEN 'pass' ELSE 'fail' END), ('permission', CASE WHEN coalesce(accessibility_permission, true) THEN 'pass' ELSE 'fail' END), ('identifier', CASE WHEN NOT has_facts THEN 'na' WHEN trim(coalesce(pdfua_part, '')) <> '' THEN 'pass' ELSE 'fail' END),
+  ('bookmarks', CASE WHEN n_marks > 0 THEN 'pass' WHEN page_count >= 20 THEN 'warn' ELSE 'na' END), ('h1', CASE WHEN NOT tree THEN NULL WHEN h1 THEN 'pass' ELSE 'fail' END), ('structure', CASE WHEN NOT tree THEN 'na' END)) r(check_id, status) WHERE r.status IS NOT NULL)"""
 _INFO = (("info", DOC_INFO), ("outline_", OUTLINE))
 on_tree("document_rules", lambda x, w: a.document_rules(w(DOC_INFO), w(OUTLINE), x), f", {_DOC} SELECT * FROM rules", *_INFO)
 on_tree("audit_instances", lambda x, w: a.instances(x, w(DOC_PAGES), w(ANNOTATIONS), a.empty_nodes(x)), f"{_ALL} SELECT * FROM found", *_PARTS)
-_REPORT = f"""{_ALL}, {_DOC}, n AS (SELECT doc_id, check_id, count(*) AS n FROM found GROUP BY ALL), report AS (SELECT doc_id, check_id, status, 0 AS n FROM rules UNION ALL
- SELECT doc_id, c.check_id, CASE WHEN n.n > 0 THEN c.bad ELSE 'pass' END, coalesce(n.n, 0) FROM info CROSS JOIN (VALUES {', '.join(f"('{k}', '{s}')" for k, s in a.NODE_CHECKS.items())}) c(check_id, bad) LEFT JOIN n USING (doc_id, check_id))"""
+_FIGURES = """figure_mcids AS (SELECT t.doc_id, t.page, t.mcid, min_by(f.node_id, f.pre) AS node_id FROM tree t JOIN anc a ON a.doc_id = t.doc_id AND a.node_id = t.node_id JOIN tree f ON f.doc_id = a.doc_id AND f.node_id = a.anc AND f.role IN ('Figure', 'Formula') WHERE t.type = 'content' AND t.mcid IS NOT NULL AND t.page IS NOT NULL GROUP BY ALL),
+ figure_text AS (SELECT DISTINCT doc_id, 'figure-text' AS check_id, node_id, NULL AS page, '' AS detail FROM figure_mcids JOIN shown USING (doc_id, page, mcid))"""
+_SHOWN = f"shown AS (SELECT DISTINCT doc_id, page, o.mcid FROM ({oracle(LEAF_OPS)}) t JOIN (SELECT doc_id, page, op_idx + 1 AS op_idx, mcid FROM ({oracle(LEAF_OPS)})) o USING (doc_id, page, op_idx) WHERE visible)"
+_STREAMS = f", {PAGE_STREAMS}, {PAGE_ORPHANS}, {_SHOWN}, {_FIGURES}"
+_REPORT = f"""{_ALL}, {_DOC}{_STREAMS}, every_found AS (SELECT doc_id, check_id FROM found UNION ALL SELECT doc_id, check_id FROM figure_text),
+ counted AS (SELECT doc_id, check_id, count(*) AS n FROM every_found GROUP BY ALL UNION ALL SELECT doc_id, 'orphaned-content', total FROM orphaned),
+ flags AS (SELECT doc_id, has_facts, doc_id IN (SELECT doc_id FROM nodes) AS treed, doc_id IN (SELECT doc_id FROM annotations) AS linked FROM info),
+ due AS (SELECT doc_id, c.check_id AS check_id, CASE WHEN c.apply THEN c.bad ELSE 'na' END AS bad, c.apply OR c.show_na AS shown_ FROM flags, LATERAL (VALUES ('tab-order', 'fail', has_facts, true),
+  ('heading-levels', 'fail', treed, false), ('heading-content', 'fail', treed, false), ('tag-content', 'fail', treed, false), ('list-nesting', 'fail', treed, false), ('list-contents', 'fail', treed, false), ('row-parent', 'fail', treed, false), ('cell-parent', 'fail', treed, false),
+  ('table-regularity', 'warn', treed, false), ('table-headers', 'fail', treed, false), ('alt-text', 'fail', treed, false), ('links', 'na', treed AND NOT (has_facts AND linked), false), ('links-tagged', 'fail', treed AND has_facts AND linked, false), ('links-described', 'fail', treed AND has_facts AND linked, false),
+  ('figure-text', 'warn', treed AND has_facts, false), ('orphaned-content', 'fail', treed, false)) c(check_id, bad, apply, show_na)),
+ report AS (SELECT doc_id, check_id, status, 0 AS n FROM rules UNION ALL
+ SELECT doc_id, check_id, CASE WHEN bad = 'na' THEN 'na' WHEN n > 0 THEN bad ELSE 'pass' END, CASE WHEN bad = 'na' THEN 0 ELSE coalesce(n, 0) END FROM due LEFT JOIN counted USING (doc_id, check_id) WHERE shown_)"""
+
+
+def _found(x, w):
+    return a.instances(x, w(DOC_PAGES), w(ANNOTATIONS), written(a.empty_nodes(x), "empty"), c.shown_text(w(LEAF_OPS)))
 
 
 def _report(x, w):
-    return a.report(w(DOC_INFO), a.document_rules(w(DOC_INFO), w(OUTLINE), x), a.instances(x, w(DOC_PAGES), w(ANNOTATIONS), a.empty_nodes(x)))
+    return a.report(w(DOC_INFO), a.document_rules(w(DOC_INFO), w(OUTLINE), x), _found(x, w), x, w(ANNOTATIONS), c.orphans_by_document(w(PAGE_OPS), w(PAGE_CLAIMED)))
 
 
+on_tree("figures_with_text", lambda x, w: a.figures_with_text(x, c.shown_text(w(LEAF_OPS))), f"{_STREAMS} SELECT {_F} FROM figure_text")
 on_tree("audit_report", _report, f"{_REPORT} SELECT doc_id, check_id, status, CAST(n AS BIGINT) AS n FROM report", *_PARTS, *_INFO)
 on_tree("audit_counts", lambda x, w: a.counts(_report(x, w)), f"{_REPORT} SELECT doc_id, count(*) FILTER (status = 'fail') AS n_fail, count(*) FILTER (status = 'warn') AS n_warn, count(*) FILTER (status = 'pass') AS n_pass FROM report GROUP BY doc_id", *_PARTS, *_INFO)
 on_tree("identifier_gate", lambda x, w: a.identifier_gate(_report(x, w)), f"{_REPORT} SELECT doc_id, count(*) FILTER (status = 'fail' AND check_id <> 'identifier') = 0 AS fixable FROM report GROUP BY doc_id HAVING bool_or(check_id = 'identifier' AND status = 'fail')", *_PARTS, *_INFO)
-on_tree("audit_capped", lambda x, w: a.capped(a.instances(x, w(DOC_PAGES), w(ANNOTATIONS), a.empty_nodes(x)), 3),
-        f"{_ALL}, c AS (SELECT doc_id, check_id, node_id, count(*) OVER (PARTITION BY doc_id, check_id) > 3 AS truncated, row_number() OVER (PARTITION BY doc_id, check_id ORDER BY node_id NULLS FIRST, page NULLS FIRST, detail) AS n FROM found) SELECT doc_id, check_id, node_id, truncated FROM c WHERE n <= 3", *_PARTS)
+on_tree("audit_capped", lambda x, w: a.capped(a.instances(x, w(DOC_PAGES), w(ANNOTATIONS), a.empty_nodes(x))),
+        f"{_ALL}, c AS (SELECT doc_id, check_id, node_id, count(*) OVER (PARTITION BY doc_id, check_id) > 100 AS truncated, row_number() OVER (PARTITION BY doc_id, check_id ORDER BY node_id NULLS FIRST, page NULLS FIRST, detail) AS n FROM found) SELECT doc_id, check_id, node_id, truncated FROM c WHERE n <= 100", *_PARTS)
