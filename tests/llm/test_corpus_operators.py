@@ -1,6 +1,7 @@
 """Corpus operators against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from arborea.llm import bpe, exact_dedup, jaccard, licenses, neighbours, packing, pii, quality, substring_dedup, warc
@@ -292,6 +294,31 @@ def test_quality(spark):
     assert {r.score for r in none} == {0.5}
 
 
+def test_quality_by_brute_force(spark):
+    """Every score of the given tables from plain compressions, and its accuracy on rows that were held out."""
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    model = quality.learn(docs, labels)
+    got = {r.doc_id: r for r in quality.score_documents(docs.withColumn("score", F.lit(9)), model).collect()}
+    plain = {k: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), level=quality.LEVEL) for k, d in (("good", model.good), ("bad", model.bad))}
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for d, t in texts.items():
+        raw = (t or "").encode()
+        size = {k: sum(len(c.compress(raw[a : a + 512])) for a in range(0, len(raw), 512)) for k, c in plain.items()}
+        want = 1 / (1 + math.exp(-model.curve[0] - model.curve[1] * (size["bad"] - size["good"]) / max(1, len(raw))))
+        assert abs(got[d].score - want) < 1e-12
+    held = [(got[r.doc_id].score, r.quality) for r in labels.collect() if got[r.doc_id].held_out]
+    good, bad = ([x for x, y in held if y == k] for k in (1, 0))
+    auc = np.mean([(a > b) + (a == b) / 2 for a in good for b in bad])
+    assert len(held) > 50 and auc > 0.98 and np.mean([(x >= 0.5) == y for x, y in held]) > 0.95
+    # repeated rows don't multiply the sample, and one kind of label gives a constant
+    again = quality.learn(docs.unionByName(docs), labels)
+    assert (again.good, again.bad, again.curve) == (model.good, model.bad, model.curve)
+    assert quality.learn(docs, labels.filter("quality = 1")).scores([b"a", b""]).tolist() == [1.0, 1.0]
+    assert quality.score_documents(docs.limit(0), model).count() == 0
+
+
 def test_licenses(spark):
     rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c.txt", "plain text\nmore"), (3, "a/b/d.txt", "Licensed under the Apache License, Version 2.0.\n" + "word " * 90), (4, "z/e.txt", None), (5, None, ""), (6, "q/x", "he said licensing is hard in general for many people here"), (2, "a/b/c.txt", "plain text\nmore")]
     got = {r.doc_id: (r.license, r.origin, r.origin_path) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
