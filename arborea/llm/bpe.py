@@ -31,8 +31,8 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 
 from .common import bounded_batches
 
-#: Words in each of a worker's two caches (about 200 bytes a word); they start anew when full.
-CACHE_WORDS = 350_000
+#: Words in a worker's cache (about 200 bytes a word); it starts anew when full.
+CACHE_WORDS = 600_000
 #: Ids take 20 bits; no pair has this rank.
 _ID, _NONE = (1 << 20) - 1, 1 << 62
 _ODD_CONTROLS = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the vocabulary's rule
@@ -49,9 +49,13 @@ def class_ranges(name: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def _patterns() -> tuple[re.Pattern, re.Pattern]:
+def character_classes() -> tuple[str, str, str]:
+    """White space, letters, numbers; the driver makes them once and tasks get them as text."""
+    return tuple(map(class_ranges, (r"\s", r"\p{L}", r"\p{N}")))
+
+
+def _patterns(white: str, letter: str, number: str) -> tuple[re.Pattern, re.Pattern]:
     """White space, and the pieces of what stands between white space."""
-    white, letter, number = map(class_ranges, (r"\s", r"\p{L}", r"\p{N}"))
     return re.compile(f"[{white}]+"), re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{white}{letter}{number}]+")
 
 
@@ -65,7 +69,7 @@ def byte_alphabet() -> list[str]:
 class Vocabulary:
     """Merge list and ids of one tokenizer file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, classes: tuple[str, str, str]):
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
         model = spec["model"]
         if model["type"] != "BPE" or not model["end_of_word_suffix"] or spec["decoder"] or model.get("byte_fallback"):
@@ -93,7 +97,7 @@ class Vocabulary:
             self.tokens += [""] * (i + 1 - len(self.tokens))
             self.tokens[i] = token
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.white, self.split = _patterns()
+        self.white, self.split = _patterns(*classes)
         self.cache = _Chunks(self)
 
     def merge(self, ids: list[int]) -> list[int]:
@@ -155,6 +159,8 @@ class Vocabulary:
             return b""
         if self.special_split and "<" in text and len(parts := self.special_split.split(text)) > 1:
             return b"".join(self.special[x].to_bytes(4, "little") if i % 2 else self.encode(x) for i, x in enumerate(parts))
+        if text.isascii():
+            text = text.lower()  # fewer distinct chunks
         chunks = self.white.split(text) if _ODD_CONTROLS.search(text) else text.split()
         return b"".join(map(self.cache.__getitem__, chunks))
 
@@ -170,31 +176,36 @@ class Vocabulary:
             started = True
 
 
+#: What often ends a word and is a piece of its own after a letter up to U+00FF, whose classes don't change.
+_ENDS = frozenset(".,;:!?")
+
+
 class _Chunks(dict):
-    """Ids of what stands between white space; starts anew when it is full."""
+    """Ids of what stands between white space; starts anew when it is full. A word and the mark after it are looked up apart."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.v = vocabulary
-        self.words: dict[str, bytes] = {}
+        self.marks = {x: self._word(x) for x in _ENDS}
+
+    def _word(self, piece: str) -> bytes:
+        return b"".join(map(self.v.packed.__getitem__, self.v.word(piece.encode("utf-8", "surrogatepass"))))
 
     def __missing__(self, chunk: str) -> bytes:
-        v, words, out = self.v, self.words, []
+        if chunk[-1] in _ENDS and len(chunk) > 1 and chunk[-2] <= "\u00ff" and chunk[-2].isalpha():
+            return self[chunk[:-1]] + self.marks[chunk[-1]]
         if chunk.isascii():
-            text = chunk.lower()
-            pieces = (text,) if text.isalpha() else v.split.findall(text)
+            low = chunk.lower()
+            if low.isalpha():
+                if low != chunk:
+                    return self[low]
+                found = self._word(low)
+            else:
+                # a piece of ASCII is a chunk of its own with the same ids
+                pieces = self.v.split.findall(low)
+                found = b"".join(map(self.__getitem__, pieces)) if len(pieces) > 1 else self._word(pieces[0])
         else:
-            pieces = v.split.findall(_FOLD.normalize_str(chunk))
-        for piece in pieces:
-            ids = words.get(piece)
-            if ids is None:
-                ids = b"".join(map(v.packed.__getitem__, v.word(piece.encode("utf-8", "surrogatepass"))))
-                if len(piece) < 64:
-                    if len(words) >= CACHE_WORDS:
-                        words.clear()
-                    words[piece] = ids
-            out.append(ids)
-        found = b"".join(out)
+            found = b"".join(map(self._word, self.v.split.findall(_FOLD.normalize_str(chunk))))
         if len(chunk) < 64:
             if len(self) >= CACHE_WORDS:
                 self.clear()
@@ -218,8 +229,8 @@ def sufficient_lookahead(pairs: list[tuple[int, int, int]], lengths: list[int])
 
 
 @lru_cache(maxsize=4)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+def vocabulary(path: str, classes: tuple[str, str, str] | None = None) -> Vocabulary:
+    return Vocabulary(path, classes or character_classes())
 
 
 def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -227,8 +238,10 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     bounded_batches(docs)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
+    classes = character_classes()
+
     def run(batches):
-        v = vocabulary(path)
+        v = vocabulary(path, classes)
         for batch in batches:
             for key, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = v.encode(t)
@@ -242,8 +255,10 @@ def encoding_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     bounded_batches(docs)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
+    classes = character_classes()
+
     def run(batches):
-        v = vocabulary(path)
+        v = vocabulary(path, classes)
         for batch in batches:
             rows = []
             for key, t in zip(batch.column("doc_id").to_pylist(), batch.column("text")):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .bpe import vocabulary
+from .bpe import character_classes, vocabulary
 from .common import Scratch, bounded_batches
 
 SIZE, OPEN, MERGE, END = 2048, 16, 64, 1
@@ -62,8 +62,10 @@ class Packer:
 
 
 def _pack(path: str):
+    classes = character_classes()
+
     def run(batches):
-        v, packer, held = vocabulary(path), Packer(), {}
+        v, packer, held = vocabulary(path, classes), Packer(), {}
         base, count, rows = TaskContext.get().partitionId() << 32, 0, []
 
         def close(pieces, left):
