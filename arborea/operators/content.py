@@ -99,6 +99,18 @@ def repaired(ops: DataFrame, claimed: DataFrame) -> DataFrame:
     return new.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")).cast("long").alias("op_idx"), "op", "tag", "mcid")
 
 
+def repaired_pages(ops: DataFrame, claimed: DataFrame) -> DataFrame:
+    """``repaired`` page by page: doc_id, page, op_idx, op, tag, mcid."""
+    return repaired(_by_page(ops), _by_page(claimed)).select("doc_id.doc_id", "doc_id.page", "op_idx", "op", "tag", "mcid")
+
+
+def repair_status(info: DataFrame, tree: DataFrame, orphans: DataFrame) -> DataFrame:
+    """doc_id, status, n: of each document 'skipped' (no tree), 'clean' or 'repaired' with the number of its regions. orphans: doc_id, total."""
+    treed = tree.filter("depth = 0").select("doc_id").distinct().withColumn("tree", F.lit(True))
+    d = info.select("doc_id").join(treed, "doc_id", "left").join(orphans, "doc_id", "left")
+    return d.select("doc_id", F.when(F.col("tree").isNull(), "skipped").when(F.col("total").isNull(), "clean").otherwise("repaired").alias("status"), F.when(F.col("tree"), F.coalesce("total", F.lit(0))).otherwise(0).cast("long").alias("n"))
+
+
 def kind_of(ops: Column) -> Column:
     """Of an array of painting operators: text, image, path, mixed, or region where there are none."""
     text, image, path = F.exists(ops, lambda o: o.isin(*_TEXT)), F.exists(ops, lambda o: o == "Do"), F.exists(ops, lambda o: o.isin(*[p for p in PAINTS if p not in _TEXT and p != "Do"]))

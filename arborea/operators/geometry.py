@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from itertools import accumulate, groupby
-from operator import itemgetter
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .fold import fold
+
 #: Coverage from which a leaf is whole, and from which one that can't be cut counts; size of a grid cell for joins.
 WHOLE, HALF, CELL = 0.995, 0.5, 64.0
 
@@ -26,6 +23,29 @@ def _cells(df: DataFrame, keep: list[str], name: str) -> DataFrame:
     return df.select(*keep, box, F.explode(span("x", "width")).alias("cx"), "x", "y", "width", "height").select(*keep, name, "cx", F.explode(span("y", "height")).alias("cy"))
 
 
+def contains(box: str, x: Column, y: Column, slack: float = 0.0) -> Column:
+    """Whether a point lies in a box (column prefix), edges included, give or take ``slack``."""
+    return x.between(F.col(f"{box}.x") - slack, F.col(f"{box}.x") + F.col(f"{box}.width") + slack) & y.between(F.col(f"{box}.y") - slack, F.col(f"{box}.y") + F.col(f"{box}.height") + slack)
+
+
+def composed(first: Column, then: Column) -> Column:
+    """The affine map (array a b c d e f: x' = a x + c y + e, y' = b x + d y + f) that does ``first``, then ``then``."""
+    p, q = (lambda m: lambda i: F.element_at(m, i))(first), (lambda m: lambda i: F.element_at(m, i))(then)
+    return F.array(p(1) * q(1) + p(2) * q(3), p(1) * q(2) + p(2) * q(4), p(3) * q(1) + p(4) * q(3), p(3) * q(2) + p(4) * q(4), p(5) * q(1) + p(6) * q(3) + q(5), p(5) * q(2) + p(6) * q(4) + q(6))
+
+
+def mapped(m: Column, x: Column, y: Column) -> Column:
+    """A point (struct x, y) under an affine map."""
+    at = lambda i: F.element_at(m, i)
+    return F.struct((at(1) * x + at(3) * y + at(5)).alias("x"), (at(2) * x + at(4) * y + at(6)).alias("y"))
+
+
+def mapped_box(m: Column, x: Column, y: Column, width: Column, height: Column) -> Column:
+    """The box (struct x0, y0, x1, y1) of a box's four corners under an affine map."""
+    corners = [mapped(m, a, b) for a in (x, x + width) for b in (y, y + height)]
+    return F.struct(F.least(*[c["x"] for c in corners]).alias("x0"), F.least(*[c["y"] for c in corners]).alias("y0"), F.greatest(*[c["x"] for c in corners]).alias("x1"), F.greatest(*[c["y"] for c in corners]).alias("y1"))
+
+
 def region_overlaps(regions: DataFrame, rects: DataFrame) -> DataFrame:
     """region_id, leaf_id, area, whole: overlapping pairs on a page, met through the grid cells that both touch (no cross join)."""
     r, l = _cells(regions, ["region_id", "page"], "r"), _cells(rects, ["leaf_id", "page"], "l")
@@ -61,43 +81,36 @@ def glyphs(lines: DataFrame) -> DataFrame:
     return g.select("doc_id", "line", "col", "ch", x.alias("x0"), y.alias("y0"), (x + 6).alias("x1"), (y + 10).alias("y1"))
 
 
-def line_clusters(boxes: DataFrame) -> DataFrame:
-    """doc_id, line_no, n, top, bottom: boxes clustered to lines by vertical midpoint. Boxes of one height and midpoint are grouped
-    before Python, so a page is as many rows as it has levels."""
-    levels = boxes.groupBy("doc_id", ((F.col("y0") + F.col("y1")) / 2).alias("mid"), (F.col("y1") - F.col("y0")).alias("h")).agg(F.count("*").alias("n"), F.min("y0").alias("top"), F.max("y1").alias("bottom"))
+class _Lines:
+    """Levels in order of their midpoint; a level farther than the tolerance from the line's mean opens the next."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        rows = sorted(pdf[["doc_id", "mid", "h", "n", "top", "bottom"]].itertuples(index=False, name=None))
-        for doc, page in groupby(rows, itemgetter(0)):
-            page = list(page)
-            at = _weighted([r[1] for r in page], [r[3] for r in page], max(1.5, 0.35 * _median([(r[2], r[3]) for r in page])))
-            for line, part in groupby(zip(at, page), itemgetter(0)):
-                part = [r for _, r in part]
-                out.append((doc, line, sum(r[3] for r in part), min(r[4] for r in part), max(r[5] for r in part)))
-        return pd.DataFrame(out, columns=["doc_id", "line_no", "n", "top", "bottom"])
+    def __init__(self):
+        self.line, self.open = -1, None  # [sum of midpoints, boxes, top, bottom]
 
-    # one call handles the pages of many documents; a document's levels lie together
-    return levels.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 10))).applyInPandas(run, "doc_id long, line_no long, n long, top double, bottom double")
+    def add(self, r):
+        o = self.open
+        if o and abs(r.mid - o[0] / o[1]) <= r.tolerance:
+            self.open = [o[0] + r.mid * r.n, o[1] + r.n, min(o[2], r.top), max(o[3], r.bottom)]
+            return
+        yield from self.end((r.doc_id,))
+        self.line, self.open = self.line + 1, [r.mid * r.n, r.n, r.top, r.bottom]
 
+    def end(self, key):
+        if self.open:
+            yield key[0], self.line, self.open[1], self.open[2], self.open[3]
 
-def _median(values: list[tuple[float, int]]) -> float:
-    """Median of values with their numbers."""
-    values = sorted(values)
-    ends = list(accumulate(n for _, n in values))
-    total = ends[-1]
-    at = lambda k: values[bisect_right(ends, k)][0]
-    return (at((total - 1) // 2) + at(total // 2)) / 2
+
+def line_clusters(boxes: DataFrame) -> DataFrame:
+    """doc_id, line_no, n, top, bottom: boxes clustered to lines by vertical midpoint, within the larger of 1.5 and 0.35 of the median
+    height. Boxes of one height and midpoint are grouped before Python, so a page is as many rows as it has levels."""
+    levels = boxes.groupBy("doc_id", ((F.col("y0") + F.col("y1")) / 2).alias("mid"), (F.col("y1") - F.col("y0")).alias("h")).agg(F.count("*").alias("n"), F.min("y0").alias("top"), F.max("y1").alias("bottom"))
+    median = boxes.groupBy("doc_id").agg(F.greatest(F.lit(1.5), F.median(F.col("y1") - F.col("y0")) * 0.35).alias("tolerance"))
+    return fold(levels.join(median, "doc_id"), ["doc_id"], ["mid", "h"], _Lines, "doc_id long, line_no long, n long, top double, bottom double")
 
 
-def _weighted(mids: list[float], weights: list[int], tolerance: float) -> list[int]:
-    out, line, total, n = [], -1, 0.0, 0
-    for m, k in zip(mids, weights):
-        if not (n and abs(m - total / n) <= tolerance):
-            line, total, n = line + 1, 0.0, 0
-        total, n = total + m * k, n + k
-        out.append(line)
-    return out
+def median_width(boxes: DataFrame, *keys: str) -> DataFrame:
+    """keys, width: the median width of measured glyphs, else half the median height. boxes: width, height, coarse (a whole phrase)."""
+    return boxes.groupBy(*keys).agg(F.coalesce(F.median(F.when(~F.col("coarse"), F.col("width"))), F.median("height") / 2).alias("width"))
 
 
 def row_dividers(lines: DataFrame) -> DataFrame:
@@ -111,10 +124,16 @@ def row_dividers(lines: DataFrame) -> DataFrame:
     return g.join(best, "doc_id", "left").filter("least IS NULL OR gap >= least").select("doc_id", "y")
 
 
-def words(boxes: DataFrame, gap: float = 9.0) -> DataFrame:
-    """doc_id, word_no, n: glyphs of a line joined while the gap is at most ``gap`` and the columns follow; numbered in reading order."""
+def words(boxes: DataFrame) -> DataFrame:
+    """doc_id, word_no, n: glyphs of a line joined while the gap is at most 1.5 median widths of the document, the columns follow and the
+    leaf (where boxes name one) is the same; numbered in reading order."""
+    sized = boxes.select("*", (F.col("x1") - F.col("x0")).alias("width"), (F.col("y1") - F.col("y0")).alias("height"), F.lit(False).alias("coarse"))
+    b = boxes.join(median_width(sized, "doc_id"), "doc_id")
     w = Window.partitionBy("doc_id", "line").orderBy("x0")
-    b = boxes.withColumn("new", (~F.coalesce((F.col("x0") - F.lag("x1").over(w) <= gap) & (F.col("col") == F.lag("col").over(w) + 1), F.lit(False))).cast("int"))
+    near = (F.col("x0") - F.lag("x1").over(w) <= 1.5 * F.col("width")) & (F.col("col") == F.lag("col").over(w) + 1)
+    if "leaf" in boxes.columns:
+        near = near & F.col("leaf").eqNullSafe(F.lag("leaf").over(w))
+    b = b.withColumn("new", (~F.coalesce(near, F.lit(False))).cast("int"))
     b = b.withColumn("k", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "line", "k").agg(F.count("*").alias("n"))
     return b.withColumn("word_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("line", "k"))).select("doc_id", "word_no", "n")
 

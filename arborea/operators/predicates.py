@@ -85,8 +85,10 @@ def proofread(tree: DataFrame) -> DataFrame:
     return e.filter("base").join(covered, ["doc_id", "node_id"], "left_anti").select("doc_id", "node_id")
 
 
-def find_nodes(tree: DataFrame, roles: list[str] | None = None, text: str | None = None, pages: tuple[int, int] | None = None, missing_alt: bool = False, most: int | None = None) -> DataFrame:
-    """doc_id, node_id, role, page_no: elements that pass every filter, at most ``most`` a document in document order."""
+def find_nodes(tree: DataFrame, roles: list[str] | None = None, text: str | None = None, pages: tuple[int, int] | None = None, missing_alt: bool = False, most: int | None = None, content: DataFrame | None = None) -> DataFrame:
+    """doc_id, node_id, role, page_no: elements that pass every filter, at most ``most`` a document in document order.
+
+    text is looked for in the actual text, the alternate text and, where given, the content (doc_id, node_id, text)."""
     e = tree.filter("type = 'element'").join(t.page_of(tree), ["doc_id", "node_id"])
     if roles:
         e = e.filter(F.col("role").isin(roles))
@@ -95,7 +97,11 @@ def find_nodes(tree: DataFrame, roles: list[str] | None = None, text: str | None
     if missing_alt:
         e = e.filter(F.col("role").isin("Figure", "Formula") & (F.coalesce("alt", F.lit("")) == ""))
     if text:
-        e = e.filter(F.contains(F.lower(F.concat(F.coalesce("actual_text", F.lit("")), F.coalesce("alt", F.lit("")))), F.lit(text.lower())))
+        shown = [F.coalesce("actual_text", F.lit("")), F.coalesce("alt", F.lit(""))]
+        if content is not None:
+            e = e.join(content.select("doc_id", "node_id", F.col("text").alias("pulled")), ["doc_id", "node_id"], "left")
+            shown.append(F.coalesce("pulled", F.lit("")))
+        e = e.filter(F.contains(F.lower(F.concat_ws("\n", *shown)), F.lit(text.lower())))
     if most:
         e = e.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("pre"))).filter(F.col("n") <= most)
     return e.select("doc_id", "node_id", "role", "page_no")
@@ -116,6 +122,22 @@ def attributes(tree: DataFrame) -> DataFrame:
     return tree.filter("type = 'element'").select("doc_id", "node_id", F.concat_ws(";", *pair).alias("attributes")).filter("attributes <> ''")
 
 
+def change_candidates(tree: DataFrame) -> DataFrame:
+    """doc_id, node_id, text: elements but Table and Document whose actual text may differ from their content: those with one that isn't blank."""
+    return tree.filter("type = 'element' AND role NOT IN ('Table', 'Document')").filter(~blank(F.col("actual_text"))).select("doc_id", "node_id", F.col("actual_text").alias("text"))
+
+
+def proofread_filtered(tree: DataFrame, matches: DataFrame, name: str) -> DataFrame:
+    """doc_id, node_id of the proofread list narrowed to one filter's matches (see ``filters``)."""
+    return proofread(tree).join(matches.filter(F.col("filter") == name), ["doc_id", "node_id"], "left_semi")
+
+
+def live_proposals(tree: DataFrame, proposals: DataFrame) -> DataFrame:
+    """Proposals (doc_id, node_id, suggested, ...) whose node is still there with the suggested text as its actual text."""
+    now = tree.filter("type = 'element'").select("doc_id", "node_id", F.coalesce("actual_text", F.lit("")).alias("suggested"))
+    return proposals.join(now, ["doc_id", "node_id", "suggested"], "left_semi")
+
+
 def clip(text: Column, most: int) -> Column:
     """White space collapsed, trimmed, cut to ``most`` characters with an ellipsis."""
     flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))

@@ -100,6 +100,81 @@ def join_previous(tree: DataFrame, selection: DataFrame) -> DataFrame:
     return renumbered(kids.join(pairs.select("doc_id", F.col("parent_id").alias("node_id")), ["doc_id", "node_id"], "left_anti"))
 
 
+def join_into_first(tree: DataFrame, selection: DataFrame) -> DataFrame:
+    """The selected elements of a document join the first of them: their children follow its own, in order, and keep their page where they had
+    it from an element that goes. Documents whose selection isn't two or more children of one parent are left alone."""
+    s = t.with_page(tree).join(selection.select("doc_id", "node_id").distinct().withColumn("chosen", F.lit(True)), ["doc_id", "node_id"], "left")
+    one = s.filter("chosen AND type = 'element' AND depth > 0").groupBy("doc_id").agg(F.min("parent_id").alias("home"), F.max("parent_id").alias("other"), F.count("*").alias("n"), F.min_by(F.struct("node_id", "page"), F.struct("ord", "node_id")).alias("head"))
+    one = one.filter("home = other AND n > 1").select("doc_id", F.col("head.node_id").alias("head"), F.col("head.page").alias("head_page"))
+    gone = s.filter("chosen AND type = 'element' AND depth > 0").join(one, "doc_id").filter("node_id <> head").select("doc_id", F.col("node_id").alias("parent_id"), F.col("ord").alias("up_ord"), "head", "head_page")
+    k = s.join(gone, ["doc_id", "parent_id"], "left")
+    away = F.col("head").isNotNull() & ~F.col("page").eqNullSafe(F.col("head_page"))
+    k = k.withColumn("own_page", F.when(away, F.coalesce("own_page", "page")).otherwise(F.col("own_page"))).withColumn("kind", F.when(away & (F.col("kind") == "content-int"), "content-dict").otherwise(F.col("kind")))
+    k = k.withColumn("sort", F.struct(F.coalesce("up_ord", F.lit(-1)).alias("u"), "ord")).withColumn("parent_id", F.coalesce("head", "parent_id"))
+    return renumbered(k.join(gone.select("doc_id", F.col("parent_id").alias("node_id")), ["doc_id", "node_id"], "left_anti"))
+
+
+def refused_moves(tree: DataFrame, moves: DataFrame) -> DataFrame:
+    """doc_id, node_id, reason of moves (doc_id, node_id, target, index) that can't be made; one refusal refuses a document's block."""
+    m = moves.join(t.with_page(tree).select("doc_id", "node_id", "kind", "page", "depth"), ["doc_id", "node_id"], "left")
+    to = t.with_page(tree).select("doc_id", F.col("node_id").alias("target"), F.col("type").alias("t_type"), F.col("page").alias("t_page"), F.col("path.node_id").alias("up"))
+    m = m.join(to, ["doc_id", "target"], "left")
+    why = F.when(F.col("kind").isNull(), "unknown").when(F.col("depth") == 0, "the root").when(F.col("t_type").isNull() | ~F.col("t_type").isin("root", "element"), "no such parent")
+    why = why.when(F.array_contains("up", F.col("node_id")), "into itself").when((F.col("kind") == "content-int") & ~F.col("page").eqNullSafe(F.col("t_page")), "page would change")
+    return m.withColumn("reason", why).filter("reason IS NOT NULL").select("doc_id", "node_id", "reason")
+
+
+def move_nodes(tree: DataFrame, moves: DataFrame) -> DataFrame:
+    """Puts nodes, as a block in document order, below a target at an index, which counts the target's children that stay.
+
+    moves: doc_id, node_id, target, index; one target and index a document. Documents with a refused move are left alone."""
+    ok = moves.join(refused_moves(tree, moves).select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "node_id", "target", "index")
+    goal = ok.select("doc_id", F.col("target").alias("parent_id"), F.col("index").alias("goal")).distinct()
+    s = tree.join(ok, ["doc_id", "node_id"], "left")
+    stay = s.filter("target IS NULL").withColumn("i", (F.row_number().over(Window.partitionBy("doc_id", "parent_id").orderBy("ord", "node_id")) - 1).cast("long")).join(goal, ["doc_id", "parent_id"], "left")
+    side = F.when(F.col("goal").isNotNull() & (F.col("i") >= F.col("goal")), 2).otherwise(0)
+    stay = stay.select(*NODE, F.struct(side.alias("side"), F.col("i").alias("i")).alias("sort"))
+    moved = s.filter("target IS NOT NULL").withColumn("parent_id", F.col("target")).select(*NODE, F.struct(F.lit(1).alias("side"), F.col("pre").cast("long").alias("i")).alias("sort"))
+    return renumbered(stay.unionByName(moved))
+
+
+def freed_leaves(tree: DataFrame, selection: DataFrame) -> DataFrame:
+    """doc_id, page, mcid of the leaves of deleted nodes, which become artifacts of their pages."""
+    chosen = selection.select("doc_id", F.col("node_id").alias("anc"))
+    leaf = t.with_page(tree).filter("type = 'content' AND mcid IS NOT NULL AND page IS NOT NULL").select("doc_id", "page", "mcid", F.explode("path.node_id").alias("anc"))
+    return leaf.join(chosen, ["doc_id", "anc"], "left_semi").select("doc_id", "page", "mcid").distinct()
+
+
+def wrap_plan(tree: DataFrame, selection: DataFrame) -> DataFrame:
+    """doc_id, how, node_id, first, last: how the selected leaves of a document get a tag of their own.
+
+    'relabel': they are all leaves of one element, which takes the role. 'split': they are neighbours among the children of one element that
+    may be divided; what lies before and after stays in elements beside the new one. 'around': a new element goes where the first of
+    them is in the lowest element that holds all. 'pages': they lie on several pages, which is refused. first and last: positions
+    among the children of node_id."""
+    from .structure import undivided
+
+    chosen = selection.select("doc_id", "node_id").distinct().withColumn("chosen", F.lit(True))
+    at = F.row_number().over(Window.partitionBy("doc_id", "parent_id").orderBy("ord", "node_id")) - 1
+    leaf = t.with_page(tree).withColumn("i", at).join(chosen, ["doc_id", "node_id"], "left")
+    up = t.nearest(lambda s: F.lit(True))
+    own = leaf.filter("chosen AND type = 'content'").withColumn("up", up)
+    total = own.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("parent_id").alias("n_up"), F.countDistinct(F.coalesce("page", F.lit(-1))).alias("n_pages"), F.min("i").alias("first"), F.max("i").alias("last"), F.min("parent_id").alias("parent"), F.first("up").alias("up"))
+    held = own.select("doc_id", F.explode("path").alias("s")).groupBy("doc_id", F.col("s.node_id").alias("anc")).agg(F.count("*").alias("inside"))
+    sums = t.below(tree, t.is_content()).groupBy("doc_id", "anc").agg(F.count("*").alias("leaves"))
+    facts = tree.select("doc_id", F.col("node_id").alias("anc"), F.col("type").alias("anc_type"), F.col("depth").alias("anc_depth"))
+    held = held.join(sums, ["doc_id", "anc"]).join(facts, ["doc_id", "anc"]).join(total.select("doc_id", "n"), "doc_id").filter("inside = n")
+    # the element with exactly these leaves (the topmost), and the lowest that holds them all
+    exact = held.filter("leaves = n AND anc_type = 'element'").groupBy("doc_id").agg(F.min_by("anc", "anc_depth").alias("exact"))
+    lowest = held.groupBy("doc_id").agg(F.max_by("anc", "anc_depth").alias("lowest"))
+    d = total.join(exact, "doc_id", "left").join(lowest, "doc_id")
+    near = (F.col("n_up") == 1) & (F.col("last") - F.col("first") + 1 == F.col("n")) & (F.col("up.type") == "element") & ~undivided(F.col("up.role"))
+    how = F.when(F.col("n_pages") > 1, "pages").when(F.col("exact").isNotNull(), "relabel").when(near, "split").otherwise("around")
+    node = F.when(F.col("n_pages") > 1, None).when(F.col("exact").isNotNull(), F.col("exact")).when(near, F.col("parent")).otherwise(F.col("lowest"))
+    span = lambda c: F.when((F.col("n_pages") == 1) & F.col("exact").isNull() & near, F.col(c)).cast("int").alias(c)
+    return d.select("doc_id", how.alias("how"), node.alias("node_id"), span("first"), span("last"))
+
+
 def move_to_front(tree: DataFrame, selection: DataFrame) -> DataFrame:
     """The selected nodes, as a block in their order, before their other siblings."""
     s = tree.join(selection.withColumn("chosen", F.lit(True)), ["doc_id", "node_id"], "left")
@@ -170,8 +245,15 @@ def content_fingerprint(tree: DataFrame) -> DataFrame:
     return leaf.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", mark.alias("m")))), lambda s: s["m"]), " ").alias("fingerprint"))
 
 
-#: Steps of a script, by name.
+def scoped(tree: DataFrame) -> DataFrame:
+    """The tree with the scopes of ``scope_tables``."""
+    new = scope_tables(tree).withColumnRenamed("scope", "new_scope")
+    return tree.join(new, ["doc_id", "node_id"], "left").withColumn("scope", F.coalesce("new_scope", "scope")).select(*NODE)
+
+
+#: Steps of a script on the tree, by name.
 STEPS = {
+    "scope_tables": lambda tree, step: scoped(tree),
     "replace_role": lambda tree, step: replace_role(tree, step["find"], step["put"]),
     "shift_headings": lambda tree, step: shift_headings(tree, step["by"]),
     "flatten": lambda tree, step: flatten(tree, tree.filter("depth = 1")),
@@ -179,8 +261,39 @@ STEPS = {
 }
 
 
+#: Steps of a script on the pages' instructions: given ops and claimed mcids (both with a page), and leaves' images where one is asked for.
+PAGE_STEPS = {"repair_orphans", "smartifact"}
+
+
 def run_script(tree: DataFrame, steps: list[dict]) -> DataFrame:
-    """Runs the steps in order, each on the last one's tree (written in between, so plans stay short)."""
-    for step in steps:
-        tree = t.tree_keys(STEPS[step["type"]](tree, step))
+    """Runs steps on the tree in order, each on the last one's tree (written in between, so plans stay short); the first that fails raises."""
+    tree, _, said = run_steps(tree, steps)
+    if said and said[-1]["error"]:
+        raise ValueError(said[-1]["error"])
     return tree
+
+
+def run_steps(tree: DataFrame, steps: list[dict], ops: DataFrame | None = None, claimed: DataFrame | None = None, backgrounds: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None, list[dict]]:
+    """Runs the steps in order up to the first that fails: the tree and the instructions as the steps before left them, and for each step
+    that ran its type and its error (none: null).
+
+    backgrounds: doc_id, page, mcid of leaves that only paint a page's background, which ``smartifact`` takes off the tree."""
+    from . import content
+
+    said = []
+    for step in steps:
+        try:
+            if step["type"] in STEPS:
+                tree = t.tree_keys(STEPS[step["type"]](tree, step))
+            elif step["type"] == "repair_orphans":
+                ops = content.repaired_pages(ops, claimed)
+            elif step["type"] == "smartifact":
+                on = t.with_page(tree).filter("type = 'content'").join(backgrounds, ["doc_id", "page", "mcid"], "left_semi").select("doc_id", "node_id")
+                tree = t.tree_keys(delete_nodes(tree, on))
+            else:
+                raise ValueError(f"no such step: {step['type']}")
+            said.append({"type": step["type"], "error": None})
+        except (ValueError, KeyError, AttributeError) as wrong:
+            said.append({"type": step.get("type"), "error": f"{step.get('type')}: {wrong}"})
+            break
+    return tree, ops, said

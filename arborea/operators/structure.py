@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.scratch import written
+from . import summary, text as texts
 from . import tree as t
 from .rewrite import NODE, renumbered
 from .text import is_list_label
@@ -177,6 +178,36 @@ def move_one_step(tree: DataFrame, selection: DataFrame, by: int) -> DataFrame:
     return renumbered(m.withColumn("sort", sort).withColumn("parent_id", F.when(F.col("how") == "into", F.col("aunt.node_id")).when(F.col("how") == "out", F.col("g")).otherwise(F.col("parent_id"))))
 
 
+def list_item_content(tree: DataFrame, items: DataFrame, leaf_text: DataFrame) -> DataFrame:
+    """doc_id, item, part ('Lbl', 'LBody'), leaf_id, start: how the leaves below each item (doc_id, node_id) are dealt to its label and body.
+
+    Where the first leaf's text begins with a label and goes on, the leaf is cut: its label is the Lbl, what follows from ``start`` on the
+    first of the body. A first leaf that is nothing but a label is the Lbl whole; else all is body. An item without leaves has no rows."""
+    own = t.below(tree, F.col("type") == "content").select("doc_id", F.col("anc").alias("item"), F.col("node_id").alias("leaf_id"), "pre").join(items.select("doc_id", F.col("node_id").alias("item")).distinct(), ["doc_id", "item"], "left_semi")
+    own = own.join(leaf_text.select("doc_id", F.col("node_id").alias("leaf_id"), "text"), ["doc_id", "leaf_id"], "left")
+    own = own.withColumn("no", F.row_number().over(Window.partitionBy("doc_id", "item").orderBy("pre"))).withColumn("cut", F.when(F.col("no") == 1, F.coalesce(texts.leading_label_length(F.col("text")), F.lit(0))).otherwise(0))
+    label = (F.col("no") == 1) & F.coalesce(texts.is_list_label(F.col("text")), F.lit(False))
+    part = lambda role, start: F.struct(F.lit(role).alias("part"), start.cast("int").alias("start"))
+    parts = F.when(F.col("cut") > 0, F.array(part("Lbl", F.lit(0)), part("LBody", F.col("cut")))).when(label, F.array(part("Lbl", F.lit(0)))).otherwise(F.array(part("LBody", F.lit(0))))
+    return own.select("doc_id", "item", "leaf_id", F.explode(parts).alias("p")).select("doc_id", "item", "p.part", "leaf_id", "p.start")
+
+
+def convert_to_items(tree: DataFrame, selection: DataFrame, leaf_text: DataFrame) -> DataFrame:
+    """doc_id, item, wrapped, part, leaf_id, start: the topmost selected nodes as list items: elements take the role, leaves get an item around them
+    (wrapped), and their leaves are dealt as by ``list_item_content``."""
+    top = t.top_level(tree.filter("depth > 0").join(selection, ["doc_id", "node_id"], "left_semi"))
+    dealt = list_item_content(tree, top, leaf_text)
+    return top.select("doc_id", F.col("node_id").alias("item"), (F.col("type") != "element").alias("wrapped")).join(dealt, ["doc_id", "item"], "left").select("doc_id", "item", "wrapped", "part", "leaf_id", "start")
+
+
+def generated_bookmarks(tree: DataFrame, leaf_text: DataFrame) -> DataFrame:
+    """doc_id, bookmark_id, parent, ord, title, page_no: an outline of the headings, each below the nearest shallower one before it."""
+    up = summary.bookmark_parents(tree).withColumnRenamed("parent", "up")
+    h = texts.heading_titles(tree, leaf_text).join(up, ["doc_id", "node_id"]).join(t.page_of(tree), ["doc_id", "node_id"]).join(tree.select("doc_id", "node_id", "pre"), ["doc_id", "node_id"])
+    n = F.row_number().over(Window.partitionBy("doc_id", "up").orderBy("pre")) - 1
+    return h.select("doc_id", F.col("node_id").alias("bookmark_id"), F.col("up").alias("parent"), n.cast("long").alias("ord"), "title", "page_no")
+
+
 # facts of documents
 
 

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import groupby
-from operator import itemgetter
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.scratch import written
 from . import tree as t
+from .fold import fold
 
 
 def cells(tree: DataFrame) -> DataFrame:
@@ -57,17 +54,25 @@ def grid(cell: DataFrame) -> DataFrame:
     """doc_id, tab, node_id, row_no, col_no, n_cols, error of each cell (with col_span, and row_span where there is one)."""
     c = cell if "row_span" in cell.columns else cell.withColumn("row_span", F.lit(1))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, key = [], itemgetter(0, 1)
-        rows = sorted(pdf[["doc_id", "tab", "row_no", "cell_no", "node_id", "col_span", "row_span"]].itertuples(index=False, name=None))
-        for (doc, tab), table in groupby(rows, key):
-            lines = [list(line) for _, line in groupby(table, itemgetter(2))]
-            at, n, error = place([[(x[5], x[6]) for x in line] for line in lines])
-            out += [(doc, tab, x[4], x[2], c + 1, n, error) for line, places in zip(lines, at) for x, c in zip(line, places)]
-        return pd.DataFrame(out, columns=["doc_id", "tab", "node_id", "row_no", "col_no", "n_cols", "error"])
+    class Table:
+        """The cells of one table, row by row."""
+
+        def __init__(self):
+            self.rows, self.last = [], None
+
+        def add(self, r):
+            if r.row_no != self.last:
+                self.rows.append([])
+            self.rows[-1].append(r)
+            self.last = r.row_no
+            return ()
 
-    # tables of a document go together: one call handles many, and a table lies in one document
-    return c.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 10))).applyInPandas(run, "doc_id long, tab long, node_id long, row_no int, col_no int, n_cols int, error string")
+        def end(self, key):
+            at, n, error = place([[(x.col_span, x.row_span) for x in line] for line in self.rows])
+            return [(x.doc_id, x.tab, x.node_id, x.row_no, c + 1, n, error) for line, places in zip(self.rows, at) for x, c in zip(line, places)]
+
+    c = c.select("doc_id", "tab", "row_no", "cell_no", "node_id", "col_span", "row_span")
+    return fold(c, ["doc_id", "tab"], ["row_no", "cell_no"], Table, "doc_id long, tab long, node_id long, row_no int, col_no int, n_cols int, error string")
 
 
 def plain_grid(sizes: DataFrame) -> DataFrame:
@@ -100,6 +105,33 @@ def added_rows(cell: DataFrame) -> DataFrame:
     return cell.join(last, ["doc_id", "tab", "row_no"]).groupBy("doc_id", "tab", "row_no").agg(F.count("*").alias("n_cells")).withColumn("row_no", F.col("row_no") + 1)
 
 
+def added_columns(cell: DataFrame) -> DataFrame:
+    """doc_id, tab, row_no, cell_no of the data cell that each row gets at its end; a table without rows gets none."""
+    return cell.groupBy("doc_id", "tab", "row_no").agg((F.max("cell_no") + 1).alias("cell_no")).select("doc_id", "tab", "row_no", "cell_no", F.lit("TD").alias("role"))
+
+
+def without_row(placed: DataFrame, row_no: int) -> DataFrame:
+    """doc_id, tab, node_id of the cells that stay when a row goes."""
+    return placed.filter(F.col("row_no") != row_no).select("doc_id", "tab", "node_id")
+
+
+def merged(placed: DataFrame, blocks: DataFrame) -> DataFrame:
+    """doc_id, tab, node_id, role, row_span, col_span, refused of each block (doc_id, tab, r0, r1, c0, c1) as one cell: that at its top left,
+    with its role. Only where the cells inside fill the block exactly. placed: with row_no, col_no, row_span, col_span, role."""
+    p, keys = placed.alias("p"), ["doc_id", "tab"]
+    hit = p.join(blocks, keys).filter("row_no <= r1 AND row_no + row_span > r0 AND col_no <= c1 AND col_no + col_span > c0")
+    inside = (F.col("row_no") >= F.col("r0")) & (F.col("row_no") + F.col("row_span") - 1 <= F.col("r1")) & (F.col("col_no") >= F.col("c0")) & (F.col("col_no") + F.col("col_span") - 1 <= F.col("c1"))
+    one = hit.groupBy(*keys, "r0", "r1", "c0", "c1").agg(F.min_by(F.struct("node_id", "role"), F.struct("row_no", "col_no")).alias("head"), F.sum(F.when(inside, F.col("row_span") * F.col("col_span")).otherwise(0)).alias("area"), F.bool_and(inside).alias("whole"))
+    high, wide = F.col("r1") - F.col("r0") + 1, F.col("c1") - F.col("c0") + 1
+    return one.select(*keys, "head.node_id", "head.role", high.cast("int").alias("row_span"), wide.cast("int").alias("col_span"), (~(F.col("whole") & (F.col("area") == high * wide))).alias("refused"))
+
+
+def unmerged(placed: DataFrame) -> DataFrame:
+    """doc_id, tab, node_id, row_no, col_no, role of the single cells that a merged cell splits into; node_id: of the merged one."""
+    each = placed.filter("row_span * col_span > 1").withColumn("r", F.explode(F.sequence(F.lit(0), F.col("row_span") - 1))).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("col_span") - 1)))
+    return each.select("doc_id", "tab", "node_id", (F.col("row_no") + F.col("r")).alias("row_no"), (F.col("col_no") + F.col("c")).alias("col_no"), "role")
+
+
 def grown_blocks(placed: DataFrame, blocks: DataFrame) -> DataFrame:
     """doc_id, tab, r0, r1, c0, c1: blocks (the same columns) grown until each holds every merged cell it touches. placed: doc_id, tab, row_no,
     col_no, row_span, col_span. Each round is one join on the table; it ends when no block grows, after as many rounds as a table has

@@ -13,8 +13,8 @@ from .predicates import blank, numbered_heading
 WHITE = r"[ \t\n\x0B\f\r ]"
 MARKER = r"^(?:[•‣◦▪●○*]|[A-Za-z]\.|[0-9]+\.)$"
 LEADING = r"^([ \t]*(?:[•‣◦▪●○*]|[A-Za-z]\.|[0-9]+\.))[ \t]+[^ \t]"
-#: Largest table of an alignment, in cells of words of four characters.
-MOST_CELLS = 4_000_000
+#: Largest table of an alignment, in cells of words of four characters; longest batch, in characters of JSON.
+MOST_CELLS, MOST_PAYLOAD = 4_000_000, 150_000
 
 
 def resolved_leaf_text(leaf_text: DataFrame) -> DataFrame:
@@ -168,10 +168,20 @@ def _aligned(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def word_diff(pairs: DataFrame) -> DataFrame:
-    """Adds ops to pairs (a, b): equal and unaffordable pairs never reach Python."""
-    apart = pairs.filter((F.col("a") != F.col("b")) & affordable(F.col("a"), F.col("b")))
+    """Adds status and ops to every pair (a, b): 'equal' with all tokens common, 'aligned', or 'long' without ops, where the pair is beyond
+    ``MOST_CELLS`` and is shown without marks. Only pairs to be aligned carry tokens to Python."""
+    status = F.when(F.col("a") == F.col("b"), "equal").when(affordable(F.col("a"), F.col("b")), "aligned").otherwise("long")
     aligned = F.pandas_udf(_aligned, "array<struct<type:string,text:string>>")
-    return apart.withColumn("ops", aligned(word_tokens(F.col("a")), word_tokens(F.col("b"))))
+    p = pairs.withColumn("status", status)
+    tokens = lambda c: F.when(F.col("status") == "aligned", word_tokens(F.col(c))).otherwise(F.array().cast("array<string>"))
+    same = F.transform(word_tokens(F.col("a")), lambda x: F.struct(F.lit("common").alias("type"), x.alias("text")))
+    p = p.withColumn("ops", aligned(tokens("a"), tokens("b")))
+    return p.withColumn("ops", F.when(F.col("status") == "aligned", F.col("ops")).when(F.col("status") == "equal", same))
+
+
+def new_side(ops: Column) -> Column:
+    """The new text's tokens (struct text, added) of an alignment."""
+    return F.transform(F.filter(ops, lambda o: o["type"] != "removed"), lambda o: F.struct(o["text"].alias("text"), (o["type"] == "added").alias("added")))
 
 
 def diff_regions(diff: DataFrame, key: str) -> DataFrame:
@@ -244,11 +254,24 @@ def reconcile(asked: DataFrame, answered: DataFrame, batch: str) -> DataFrame:
 
 
 def version_key(version: Column) -> Column:
-    """Sort key of a dotted version: numbers padded, a pre-release before its release."""
+    """Sort key (struct) of a dotted version with any number of parts of any length: numbers in order, missing parts as 0, a pre-release
+    before its release, pre-releases by their text."""
     core, pre = F.split_part(version, F.lit("-"), F.lit(1)), F.regexp_extract(version, "-(.*)$", 1)
-    numbers = F.transform(F.split(core, r"\."), lambda x: F.lpad(x, 8, "0"))
-    padded = F.array_join(F.slice(F.concat(numbers, F.array_repeat(F.lit("00000000"), 4)), 1, 4), ".")
-    return F.concat(padded, F.when(pre == "", F.lit("~")).otherwise(F.concat(F.lit("-"), pre)))
+    digits = F.transform(F.split(F.regexp_replace(core, r"(\.0*)+$", ""), r"\."), lambda x: F.regexp_replace(x, "^0+", ""))
+    return F.struct(F.transform(digits, lambda x: F.struct(F.length(x).alias("n"), x.alias("digits"))).alias("numbers"), (pre == "").alias("released"), pre.alias("pre"))
+
+
+def payload_guard(items: DataFrame, key: str, id_: str = "id", text: str = "text", most: int = MOST_PAYLOAD) -> DataFrame:
+    """key, size, refused: length of a batch's items as JSON, and whether it is too long to be sent."""
+    size = F.length(F.to_json(F.array_sort(F.collect_list(F.struct(F.col(id_).alias("id"), F.col(text).alias("text"))))))
+    return items.groupBy(key).agg(size.alias("size")).withColumn("refused", F.col("size") > most)
+
+
+def inline_spans(entry: Column) -> Column:
+    """Bold, italic and code spans (struct kind, text) of an entry, in order; the rest of the text is between them."""
+    found = F.regexp_extract_all(entry, F.lit(r"(\*\*[^*]+\*\*|\*[^*]+\*|`[^`]+`)"), F.lit(1))
+    kind = lambda x: F.when(x.startswith("**"), "bold").when(x.startswith("*"), "italic").otherwise("code")
+    return F.transform(found, lambda x: F.struct(kind(x).alias("kind"), F.regexp_replace(x, r"^(\*\*|\*|`)|(\*\*|\*|`)$", "").alias("text")))
 
 
 def sections(texts: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -55,6 +55,19 @@ def index_path() -> Column:
     return F.array_join(F.transform(F.slice("path", 2, F.size("path")), lambda s: s["ord"].cast("string")), "/")
 
 
+def resolved_paths(tree: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, key, node_id: the node that each position path (doc_id, key, index_path) names in this version; null where the path is broken."""
+    at = tree.select("doc_id", "node_id", index_path().alias("index_path"))
+    return wanted.join(at, ["doc_id", "index_path"], "left").select("doc_id", "key", "node_id")
+
+
+def leaf_ids(tree: DataFrame) -> DataFrame:
+    """doc_id, node_id, leaf_ids: content and object leaves below each element in document order, joined by commas."""
+    ids = F.array_sort(F.collect_list(F.struct("pre", "node_id")))
+    found = below(tree, is_content()).groupBy("doc_id", "anc").agg(F.array_join(F.transform(ids, lambda s: s["node_id"].cast("string")), ",").alias("leaf_ids"))
+    return tree.filter("type = 'element'").select("doc_id", "node_id").join(found.withColumnRenamed("anc", "node_id"), ["doc_id", "node_id"])
+
+
 def resolved_page() -> Column:
     """Page with inheritance: an element's own or its nearest ancestor's; a bare leaf always its parent's; other leaves their own first."""
     above = nearest(lambda s: s["own_page"].isNotNull())["own_page"]

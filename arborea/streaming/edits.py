@@ -10,6 +10,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..operators.fold import fold
+
 LATE, IDLE, AUTOSAVE = "10 minutes", "120 seconds", "2 minutes"
 #: Undo steps kept of a document.
 KEPT = 50
@@ -100,11 +102,17 @@ def undo_redo(edits: DataFrame) -> DataFrame:
     On a stream the two stacks (at most ``KEPT`` entries each) are the state of a document."""
     e = edits.select("doc_id", "seq", "cmd")
     if not edits.isStreaming:
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("seq")
-            return _frame(pdf["doc_id"].iloc[0], replay(list(zip(pdf["seq"], pdf["cmd"])), [], []))
+        class Stacks:
+            def __init__(self):
+                self.undo, self.redo = [], []
+
+            def add(self, r):
+                return [(r.doc_id, *x) for x in replay([(r.seq, r.cmd)], self.undo, self.redo)]
+
+            def end(self, key):
+                return ()
 
-        return e.groupBy("doc_id").applyInPandas(one, _REPLAYED)
+        return fold(e, ["doc_id"], ["seq"], Stacks, _REPLAYED)
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         undo, redo = (list(x) for x in state.get) if state.exists else ([], [])
