@@ -1,15 +1,16 @@
 """Exact dedup as a log-structured merge index, in DataFrame operations alone.
 
-* *Memtable and flush*: each scan partition is a memtable; it is sorted by digest and written as one run, with
-  column statistics and a Bloom filter on the digest. No shuffle.
-* *Compaction*: the runs are merged by digest; the entry with the smallest identifier stays, counts add up. The
-  aggregation combines on the map side, so a group of copies costs one row a task.
+* *Memtable and flush*: each scan partition is a memtable; it is sorted by digest and written as one run. No shuffle.
+* *Filter*: the runs' digests, folded to eight bytes, with counts that add up over the runs. What the filter counts once is
+  unique and needs no merge.
+* *Compaction*: the entries that pass the filter are merged by digest; the entry with the smallest identifier stays, counts add up.
+  The aggregation combines on the map side, so a group of copies costs one row a task.
 * *Hits*: digests that more than one row has. Their texts are read again and grouped byte for byte; where one
   digest stands for several texts, these rows are resolved by their bytes instead.
 
 Defined cases: a null text equals an empty one; a null doc_id comes after every other (a group of such rows only
-keeps one of them and has a null keep_id); of repeated rows with the same doc_id one stays; an empty table gives an
-empty result. Other columns are not looked at.
+keeps one of them and has a null keep_id); of repeated rows with the same doc_id one stays; very long texts are digested
+whole; an empty table gives an empty result. Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -53,8 +54,11 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     norm = normalised(F.col(text))
     entry = F.struct(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("id"), F.monotonically_increasing_id().alias("row"))
     src = docs.select(entry.alias("entry"), F.unhex(F.sha2(norm, 256)).alias("sha")).withColumn("digest", F.substring("sha", 1, digest_bytes))
-    runs = scratch.write(src.sortWithinPartitions("digest"), "runs", **{"parquet.bloom.filter.enabled#digest": "true"})
-    index = runs.groupBy("digest").agg(*_smallest("entry"))
+    runs = scratch.write(src.sortWithinPartitions("digest"), "runs")
+    fold = F.xxhash64("digest").alias("fold")
+    passed = scratch.write(runs.groupBy(fold).agg(F.count("*").alias("n")).filter("n > 1").select("fold"), "filter")
+    several = runs.withColumn("fold", fold).join(F.broadcast(passed) if passed.count() <= BROADCAST_DIGESTS else passed, "fold", "left_semi")
+    index = several.groupBy("digest").agg(*_smallest("entry"))
     hits = scratch.write(index.filter("group_size > 1"), "hits")
 
     few = hits.count() <= BROADCAST_DIGESTS
