@@ -13,7 +13,8 @@ verified, and revisits are resolved to their response by record id.
 
 Defined cases: a null html is an empty payload; a null url becomes ``urn:page:<page_id>``; control characters, blanks and
 non-ASCII in a url are percent-encoded; a null page_id comes before every other; of repeated rows with one page_id and
-payload the first is the response; an empty table gives archives without records.
+payload the first is the response; payloads of any length are written whole, one record in memory at a time; other columns,
+whatever their names, are not looked at; an empty table gives archives without records.
 """
 
 from __future__ import annotations
@@ -79,6 +80,17 @@ def page_record(page_id, url, payload: bytes, sha256: bytes, refers_to=None, rev
     return record("response", headers, http + payload)
 
 
+def settle(where, temp: str, final: str, size: int) -> None:
+    """Gives a whole file its name. An earlier attempt of the task may have done so already: its bytes are the same."""
+    there = where.get_file_info(final)
+    if there.type == arrow_fs.FileType.File and there.size == size:
+        where.delete_file(temp)
+        return
+    if there.type == arrow_fs.FileType.File:  # of another run into this folder
+        where.delete_file(final)
+    where.move(temp, final)
+
+
 _MANIFEST = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
 
 
@@ -97,7 +109,7 @@ def _write(folder: str):
 
         def end(o):
             o[2].close()
-            where.move(o[1], f"{root}/{o[0]}")
+            settle(where, o[1], f"{root}/{o[0]}", o[4])
             return pa.RecordBatch.from_pydict({"file": [o[0]], "records": [o[3]], "bytes": [o[4]], "sha256": [o[5].hexdigest()]}, schema=_MANIFEST)
 
         for batch in batches:
