@@ -2,13 +2,16 @@
 
 Vectors with equal components are one *class* (its six smallest identifiers stand for it, which is enough for five
 neighbours beside the query itself), so copies never crowd a graph. Classes are dealt to shards of bounded size by
-hash. In a shard the graph grows by batches: a greedy search from the medoid proposes neighbours, relaxed
+hash; a shard is as large as the cluster's parallelism allows, since every query searches every shard, and never larger than
+``MOST_ROWS``. In a shard the graph grows by batches: a greedy search from the medoid proposes neighbours, relaxed
 distance pruning keeps at most ``degree`` diverse edges, and each edge is offered in the other direction. The
-graphs are written to the shared folder; queries, in blocks, then run a beam search in every shard, and the best of
-all shards are kept. Scores are exact: the cosine in double precision on the original vectors.
+graphs are written to the shared folder; queries, in blocks as large as a shard, then run a beam search in every shard, and the
+best of all shards are kept. So a task holds one shard and as many queries, and what is sent between tasks is what such tiles need.
+Scores are exact: the cosine in double precision on the original vectors.
 
 Defined cases: vectors that are null, empty or zero, or hold a null or a non-finite component, take no part; vectors of
-another dimension are never compared; repeated rows count once; a table without vectors gives an empty result.
+another dimension are never compared; repeated rows count once; a null vec_id takes no part; equal scores go to the smaller
+vec_id; other columns, whatever their names, are not looked at; a table without vectors gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,8 +22,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import Scratch
 
-#: Classes in a shard, edges of a node, width of the beam, relaxation of the pruning, queries in a block.
-SHARD_ROWS, DEGREE, BEAM, ALPHA, BLOCK = 2048, 24, 64, 1.2, 1024
+#: Edges of a node, width of the beam, relaxation of the pruning.
+DEGREE, BEAM, ALPHA = 24, 64, 1.2
+#: Classes from which a shard of its own pays; classes in a shard at most (memory); points of one step of a build.
+LEAST_ROWS, MOST_ROWS, STEP = 2048, 500_000, 256
 
 
 def _distances(x: np.ndarray, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -88,8 +93,8 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
         edges[:, : some.shape[1]] = np.where(some == np.arange(n)[:, None], -1, some)
     for relax in (1.0, alpha):
         order = rng.permutation(n)
-        for a in range(0, n, 256):
-            p = order[a : a + 256]
+        for a in range(0, n, STEP):
+            p = order[a : a + STEP]
             found, _ = beam_search(x, edges, start, x[p], min(beam, n))
             edges[p] = robust_prune(x, p, np.c_[found, edges[p]], degree, relax)
             # the other direction
@@ -98,12 +103,14 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
             o = np.argsort(to, kind="stable")
             source, to = source[o], to[o]
             who, first, count = np.unique(to, return_index=True, return_counts=True)
-            if len(who):
-                offered = np.full((len(who), int(min(count.max(), 64))), -1)
-                place = np.arange(len(to)) - np.repeat(first, count)
-                keep = place < offered.shape[1]
-                offered[np.repeat(np.arange(len(who)), count)[keep], place[keep]] = source[keep]
-                edges[who] = robust_prune(x, who, np.c_[edges[who], offered], degree, relax)
+            # nodes with few offers together, those with many in small parts; a step makes at most STEP offers to a node
+            for low, high in ((0, 8), (8, 32), (32, STEP)):
+                chosen = np.flatnonzero((count > low) & (count <= high))
+                for part in np.array_split(chosen, 1 + len(chosen) * (degree + high) ** 2 // 4_000_000):
+                    if len(part):
+                        place = np.arange(high)
+                        offered = np.where(place < count[part, None], source[np.minimum(first[part, None] + place, len(source) - 1)], -1)
+                        edges[who[part]] = robust_prune(x, who[part], np.c_[edges[who[part]], offered], degree, relax)
     return edges, start
 
 
@@ -144,8 +151,13 @@ def _search(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of every row whose id ``every`` divides."""
+def shards_for(classes: int, parallelism: int) -> int:
+    """As few shards as keep the cluster busy and fit into memory."""
+    return max(1, -(-classes // MOST_ROWS), min(parallelism, classes // LEAST_ROWS))
+
+
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", n_shards: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of every row whose id ``every`` divides. n_shards: see ``shards_for``."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neighbours")
     e = F.col("embedding")
@@ -154,13 +166,14 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, vec_id: str = "vec_
     src = src.filter(F.col("vec_id").isNotNull() & e.isNotNull() & fine & F.exists(e, lambda v: v != 0)).distinct()
     low = src.withColumn("n", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
     classes = scratch.write(low.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_list("vec_id")).alias("members")).withColumn("dim", F.size("embedding")), "classes")
-    n_shards = max(1, -(-classes.count() // SHARD_ROWS))
+    n_classes = classes.count()
+    n_shards = n_shards or shards_for(n_classes, spark.sparkContext.defaultParallelism)
     sharded = classes.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(n_shards)).cast("int"))
     graph = scratch.write(sharded.groupBy("dim", "shard").applyInPandas(_build, "embedding array<double>, rep long, members array<long>, dim int, shard int, pos int, start int, edges array<int>"), "graph")
 
     asked = scratch.write(src.filter(F.col("vec_id") % every == 0).join(classes.select("embedding", "rep"), "embedding").select(F.col("vec_id").alias("query_id"), "rep"), "asked")
     distinct = classes.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "embedding", "dim")
-    n_blocks = max(1, -(-asked.count() // BLOCK))
+    n_blocks = max(1, asked.count() * n_shards // max(1, n_classes))
     blocks = distinct.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(n_blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
     pieces = graph.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     keys = ["dim", "shard", "part"]
