@@ -138,7 +138,7 @@ def brute_substring(rows):
 
 def test_substring_dedup(spark, monkeypatch):
     same(substring_dedup.remove_repeats(table(spark, ROWS), with_text=False).collect(), brute_substring(ROWS))
-    monkeypatch.setattr(substring_dedup, "HOT_IN_BATCH", 2)
+    monkeypatch.setattr(substring_dedup, "HOT", 2)
     same(substring_dedup.remove_repeats(table(spark, ROWS), with_text=False).collect(), brute_substring(ROWS))
 
 
@@ -234,6 +234,23 @@ def test_nearest(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_nearest_over_shards(spark, monkeypatch):
+    """Recall against brute force with five shards and several blocks of queries, on clustered vectors; other columns don't matter."""
+    rnd = np.random.default_rng(8)
+    x = (rnd.normal(size=(40, 24))[rnd.integers(0, 40, 5000)] + 0.4 * rnd.normal(size=(5000, 24))).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist(), "x", "y", 1.0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, rep string, shard string, score double")
+    got = neighbours.nearest(rows, every=2, n_shards=5).collect()
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = y[::2] @ y.T
+    s[np.arange(2500), np.arange(0, 5000, 2)] = -9
+    want = np.argsort(-s, axis=1, kind="stable")[:, :5]
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert np.mean([len(found[2 * i] & set(w)) / 5 for i, w in enumerate(want.tolist())]) >= 0.9
+    assert neighbours.shards_for(10**9, 4000) == 4000 and neighbours.shards_for(10**10, 4000) == 20_000 and neighbours.shards_for(100, 8) == 1
+
+
 def test_warc(spark, tmp_path):
     big = "é" * 600
     rows = [(1, "http://a/x y", big), (2, None, big), (3, "http://a/\n", "small"), (4, "u", "small"), (5, "u", None), (9, "u", big), (9, "u", big), (None, "u", "q")]
@@ -243,6 +260,9 @@ def test_warc(spark, tmp_path):
     assert all(g[3] == (9 if g[2] == "revisit" else None) for g in got)
     first = {r.file: r.sha256 for r in warc.write_archives(pages, str(tmp_path / "a")).collect()}
     assert first == {r.file: r.sha256 for r in warc.write_archives(pages, str(tmp_path / "b")).collect()}
+    # again into the same folder, as by a task that runs once more: same files, nothing left over
+    assert first == {r.file: r.sha256 for r in warc.write_archives(pages.withColumn("payload", F.lit("x")).withColumn("keep_id", F.lit(1)), str(tmp_path / "a")).collect()}
+    assert {p.name for p in (tmp_path / "a").iterdir()} == {*first, "manifest"}
     back = {(r.page_id, bytes(r.payload)) for r in warc.read_archives(spark, str(tmp_path / "a")).collect() if r.payload is not None}
     assert (9, big.encode()) in back and (3, b"small") in back
     assert warc.archive_and_read(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
@@ -273,10 +293,40 @@ def test_personal_data(spark):
     assert pii.redact("mail a@b.com, 1.2.3.4!", pii.base_spans("mail a@b.com, 1.2.3.4!")) == "mail [EMAIL], [IP]!"
 
 
+def brute_spans(t, model):
+    """All spans by a plain reading of the rules: base ones, then every other match that overlaps none before it and is likely."""
+    base = brute_pii(t)
+    more = [("ip", *m.span()) for m in re.finditer(r"(?<![0-9])[0-9]+(\.[0-9]+){3}", t)]
+    more += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(re.sub("[^0-9]", "", m[0])) <= 19]
+    more += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t)]
+    more += [(k, *m.span()) for k, p in pii._WIDE.items() for m in p.finditer(t)]
+    kept = []
+    for k, a, b in sorted(set(more) - set(base), key=lambda s: (s[1], s[2], s[0])):
+        if all(b <= x or y <= a for _, x, y in base + kept):
+            kept.append((k, a, b))
+    likely = [s for s in kept if model.probability(s[0], pii.votes(t, *s, False)) >= pii.ACCEPT]
+    return sorted(base + likely, key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+
+
+def test_personal_data_spans(spark):
+    """spans and reliabilities: labelers that disagree, candidates of every kind that are taken and refused."""
+    rnd = random.Random(4)
+    parts = ["call +1 (314) 555-4198 now", "tel (314) 555-4198 please", "version 1.2.3.999 of it", "host 10.1.2.3 up", "card 4111 1111 1111 1111 ok", "order 9111 1111 1111 1112 no", "visa 3782 822463 10005 x", "id 1234567890123 y", "joe [at] site [dot] org", "mail a.b@x.co", "fe80:0:0:0:202:b3ff:fe1e:8329 ip", "+123", "section 12.13.14.15.16", "plain words"]
+    rows = [(i, " ".join(rnd.choice(parts) for _ in range(rnd.randint(0, 6)))) for i in range(400)] + [(900, None), (901, ""), (None, "tel (314) 555-4198")]
+    docs = table(spark, rows)
+    model = pii.estimate(pii.vote_counts(docs))
+    assert all(0.001 < x < 0.999 for t in model.reliability.values() for x in t.ravel()) and set(model.reliability) == set(pii.KINDS)
+    got = pii.find_personal_data(docs, model=model).collect()
+    shown = lambda t: ",".join("%s:%d:%d" % s for s in brute_spans(t or "", model))
+    same([(r.doc_id, r.spans) for r in got], [(d, shown(t)) for d, t in rows])
+    spans = [(k, t[a:b]) for _, t in rows if t for k, a, b in pii.find_spans(t, model)[1]]
+    assert ("phone", "(314) 555-4198") in spans and ("ip", "1.2.3.999") not in spans and ("card", "9111 1111 1111 1112") not in spans
+
+
 def test_personal_data_votes():
-    good, bad = ("phone", (1, 1, 1, 0, 1), 200), ("phone", (-1, -1, 0, -1, 1), 50)
-    model = pii.estimate([good, bad, ("phone", (-1, 1, 1, 0, 1), 20)])
-    assert model.probability("phone", good[1]) > 0.9 > 0.5 > model.probability("phone", bad[1])
+    good, bad, half = ("phone", (1, 1, 1, 0, 0, 1, 2, 2, 0, 0), 200), ("phone", (-1, -1, -1, 0, -1, -1, 4, 0, 1, 1), 50), ("phone", (-1, 1, 1, 1, 0, 1, 2, 2, 0, 0), 20)
+    model = pii.estimate([good, bad, half])
+    assert model.probability("phone", good[1]) > 0.9 > 0.5 > model.probability("phone", bad[1]) and model.probability("phone", half[1]) > 0.9
 
 
 def test_quality(spark):
@@ -326,6 +376,13 @@ def test_licenses(spark):
     assert got[4][:2] == got[5][:2] == got[6][:2] == ("none", "none")
 
 
+def test_licences_told_apart(spark):
+    """Each header and notice is its own licence, in a table with clashing columns; an empty table gives nothing."""
+    rows = [(i, f"d{i}/f.c", f"# {body}\n" + "int x;\n" * 40, "x", "y") for i, (_, _, body) in enumerate(licenses.TEMPLATES)]
+    got = {r.doc_id: r.license for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string, block string, license string")).collect()}
+    assert got == {i: t[0] for i, t in enumerate(licenses.TEMPLATES)}
+
+
 def test_license_files_and_wrapped_clauses(spark):
     whole = {p.stem: p.read_text() for p in Path(licenses.__file__).with_name("license_texts").glob("*.txt")}
     rows = [(f"{n}/LICENSE", "Copyright (c) 2020 A. Writer\n\n" + t) for n, t in whole.items()] + [(f"{n}/src/x.py", "x = 1") for n in whole]
