@@ -124,6 +124,27 @@ def row_dividers(lines: DataFrame) -> DataFrame:
     return g.join(best, "doc_id", "left").filter("least IS NULL OR gap >= least").select("doc_id", "y")
 
 
+def fit_lines(lines: DataFrame, keys: list[str], value: str, lo: Column, extent: Column, apart: float = 4.0) -> DataFrame:
+    """keys, value: of dividers in ascending order those inside a box by ``apart`` and as far from the one kept before. lo, extent: of the box,
+    by the keys."""
+    held = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(value).cast("double"))).alias("xs"))
+    far = lambda kept, x: (x >= lo + apart) & (x <= lo + extent - apart) & F.coalesce(x - F.try_element_at(kept, F.lit(-1)) >= apart, F.lit(True))
+    kept = F.aggregate("xs", F.array().cast("array<double>"), lambda kept, x: F.when(far(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+    return held.select(*keys, F.explode(kept).alias(value))
+
+
+def seed_grid(boxes: DataFrame, frames: DataFrame) -> DataFrame:
+    """doc_id, axis ('x', 'y'), at: dividers of the columns and rows of a region (frames: doc_id, x, y, width, height); none where it has fewer
+    than two lines."""
+    lines = line_clusters(boxes)
+    several = lines.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    xs = column_dividers(phrases(boxes)).select("doc_id", F.lit("x").alias("axis"), F.col("x").alias("at"))
+    ys = row_dividers(lines).select("doc_id", F.lit("y").alias("axis"), F.col("y").alias("at"))
+    every = xs.unionByName(ys).join(several, "doc_id", "left_semi").join(frames, "doc_id")
+    every = every.withColumn("lo", F.when(F.col("axis") == "x", F.col("x")).otherwise(F.col("y"))).withColumn("extent", F.when(F.col("axis") == "x", F.col("width")).otherwise(F.col("height")))
+    return fit_lines(every, ["doc_id", "axis", "lo", "extent"], "at", F.col("lo"), F.col("extent")).select("doc_id", "axis", "at")
+
+
 def words(boxes: DataFrame) -> DataFrame:
     """doc_id, word_no, n: glyphs of a line joined while the gap is at most 1.5 median widths of the document, the columns follow and the
     leaf (where boxes name one) is the same; numbered in reading order."""
@@ -147,13 +168,14 @@ def phrases(boxes: DataFrame, gap: float = 9.0) -> DataFrame:
 
 def column_dividers(phrase: DataFrame, least: float = 9.0, most: int = 1) -> DataFrame:
     """doc_id, x: centres of clear stretches of at least ``least`` that at most ``most`` phrases cross and that lie between others; of a
-    stretch the widest part that nothing crosses counts, the first of equals. A sweep over phrase ends, no pixel rows."""
+    stretch the widest part of at least ``least`` that nothing crosses counts, the first of equals, else the whole stretch. A sweep over phrase
+    ends, no pixel rows."""
     ends = phrase.select("doc_id", F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("d")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("d")))).alias("e")).groupBy("doc_id", F.col("e.x").alias("x")).agg(F.sum("e.d").alias("d"))
     w = Window.partitionBy("doc_id").orderBy("x")
     seg = ends.withColumn("n", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("x1", F.lead("x").over(w)).filter("x1 IS NOT NULL").withColumn("clear", (F.col("n") <= most).cast("int"))
     seg = seg.withColumn("isle", F.sum((F.coalesce(F.lag("clear").over(w), F.lit(-1)) != F.col("clear")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     seg = seg.withColumn("last", F.max("isle").over(Window.partitionBy("doc_id")))
     isle = seg.filter("clear = 1 AND isle > 1 AND isle < last")
-    zero = F.when(F.col("n") == 0, F.struct(-(F.col("x1") - F.col("x")), F.col("x")))
+    zero = F.when((F.col("n") == 0) & (F.col("x1") - F.col("x") >= least), F.struct(-(F.col("x1") - F.col("x")), F.col("x")))
     s = isle.groupBy("doc_id", "isle").agg(F.min("x").alias("a"), F.max("x1").alias("b"), F.min_by(F.struct("x", "x1"), zero).alias("z")).filter(F.col("b") - F.col("a") >= least)
     return s.select("doc_id", F.coalesce((F.col("z.x") + F.col("z.x1")) / 2, (F.col("a") + F.col("b")) / 2).alias("x"))

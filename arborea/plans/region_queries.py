@@ -67,6 +67,8 @@ register("affine_boxes", lambda s, d: view(s, d, _BOX.format(RECTS)).select("lea
          f"SELECT leaf_id, 5 - 2 * (y + height) AS x0, 100 - (2 * (x + width) + 7) AS y0, 5 - 2 * y AS x1, 100 - (2 * x + 7) AS y1 FROM ({_BOX.format(oracle(RECTS))})")
 register("point_in_box", lambda s, d: view(s, d, _BOX.format(RECTS)).select("leaf_id", F.struct("x", "y", "width", "height").alias("b")).select("leaf_id", g.contains("b", F.lit(30.0), F.lit(20.0)).alias("inside"), g.contains("b", F.lit(30.0), F.lit(20.0), 0.5).alias("near")),
          f"SELECT leaf_id, 30 >= x AND 30 <= x + width AND 20 >= y AND 20 <= y + height AS inside, 30 >= x - 0.5 AND 30 <= x + width + 0.5 AND 20 >= y - 0.5 AND 20 <= y + height + 0.5 AS near FROM ({_BOX.format(oracle(RECTS))})")
+register("fit_lines", lambda s, d: g.fit_lines(view(s, d, _BOX.format(RECTS)).withColumn("page", F.col("leaf_id") % 7), ["page"], "x", F.lit(3.0), F.lit(80.0)),
+         f"""WITH RECURSIVE r AS (SELECT leaf_id % 7 AS page, x FROM ({_BOX.format(oracle(RECTS))}) WHERE x >= 7 AND x <= 79), kept AS (SELECT page, min(x) AS x FROM r GROUP BY page UNION ALL SELECT k.page, min(r.x) AS x FROM kept k JOIN r ON r.page = k.page AND r.x >= k.x + 4 GROUP BY k.page, k.x) SELECT page, x FROM kept""")
 
 # cells
 on_tree("add_column", lambda x, _: b.added_columns(b.cells(x)), f", {_CELLS} SELECT doc_id, tab, CAST(row_no AS INT) AS row_no, CAST(max(cell_no) + 1 AS INT) AS cell_no, 'TD' AS role FROM cells GROUP BY doc_id, tab, row_no")

@@ -14,7 +14,7 @@ _E = f"edits AS ({oracle(EDITS)})"
 
 
 def on_edits(name, run, sql=None):
-    register(name, lambda s, d: run(view(s, d, EDITS)), sql and f"WITH {_E} {sql}")
+    register(name, lambda s, d: run(view(s, d, EDITS)), sql and f"WITH RECURSIVE {_E} {sql}")
 
 
 on_edits("edit_sessions", lambda x: e.sessions(x, "2 hours"), ", g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY doc_id ORDER BY ts, seq) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM edits), s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY ts, seq) AS n FROM g) SELECT doc_id, min(ts) AS start, max(ts) AS last, count(*) AS n_edits, count(*) FILTER (changes) AS n_changes FROM s GROUP BY doc_id, n")
@@ -26,7 +26,12 @@ on_edits("latest_tokens", lambda x: e.latest_tokens(x.select("doc_id", "seq", (F
 _RENUMBER = lambda x: x.filter("cmd = 'signup'").select("doc_id", F.col("seq").alias("revision"), (F.col("seq") % 40).alias("boundary"))
 on_edits("stale_edits", lambda x: e.stale_edits(x.select("doc_id", "seq", (F.col("seq") - 20).alias("revision"), (F.col("seq") % 50).alias("node_id")), _RENUMBER(x), 5),
          ", r AS (SELECT doc_id, seq AS revision, seq % 40 AS boundary, row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) AS n, count(*) OVER (PARTITION BY doc_id) AS total FROM edits WHERE cmd = 'signup'), h AS (SELECT doc_id, max(revision) AS newest, min(revision) AS oldest, max(total) AS total FROM r WHERE n <= 5 GROUP BY doc_id) SELECT e.doc_id, e.seq, CASE WHEN e.seq - 20 > coalesce(newest, 0) THEN 'future' WHEN total > 5 AND e.seq - 20 < oldest - 1 THEN 'stale' WHEN e.seq % 50 >= (SELECT min(boundary) FROM r WHERE r.doc_id = e.doc_id AND n <= 5 AND r.revision > e.seq - 20) THEN 'stale' ELSE 'fresh' END AS verdict FROM edits e LEFT JOIN h USING (doc_id)")
-on_edits("undo_redo", lambda x: e.undo_redo(x.withColumn("cmd", F.when(F.col("cmd") == "error", "undo").when(F.col("cmd") == "click", "redo").otherwise("edit"))))
+on_edits("undo_redo", lambda x: e.undo_redo(x.withColumn("cmd", F.when(F.col("cmd") == "error", "undo").when(F.col("cmd") == "click", "redo").otherwise("edit"))),
+         """, c AS (SELECT doc_id, seq, CASE cmd WHEN 'error' THEN 'undo' WHEN 'click' THEN 'redo' ELSE 'edit' END AS cmd, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS k FROM edits),
+ s AS (SELECT doc_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, CAST([] AS BIGINT[]) AS u, CAST([] AS BIGINT[]) AS r, false AS refused FROM (SELECT DISTINCT doc_id FROM c) d
+  UNION ALL SELECT c.doc_id, c.k, c.seq, CASE c.cmd WHEN 'undo' THEN u[:-2] WHEN 'redo' THEN CASE WHEN len(r) > 0 THEN list_append(u, r[-1]) ELSE u END ELSE list_append(u, c.seq)[-50:] END,
+   CASE c.cmd WHEN 'undo' THEN CASE WHEN len(u) > 0 THEN list_append(r, u[-1]) ELSE r END WHEN 'redo' THEN r[:-2] ELSE [] END, (c.cmd = 'undo' AND len(u) = 0) OR (c.cmd = 'redo' AND len(r) = 0) FROM s JOIN c ON c.doc_id = s.doc_id AND c.k = s.k + 1)
+ SELECT doc_id, seq, u[-1] AS version, CAST(len(u) AS INT) AS n_undo, CAST(len(r) AS INT) AS n_redo, refused FROM s WHERE k > 0""")
 on_edits("newest_results", lambda x: r.newest(x.select("doc_id", (F.col("seq") % 3).alias("node_id"), (F.col("seq") % 17).alias("token"), "seq")), "SELECT doc_id, seq % 3 AS node_id, seq % 17 AS token, seq FROM edits QUALIFY row_number() OVER (PARTITION BY doc_id, seq % 3 ORDER BY seq % 17 DESC, seq DESC) = 1")
 
 

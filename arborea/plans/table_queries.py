@@ -37,7 +37,10 @@ def _table_blocks(t):
     return b.grown_blocks(at, one.select("doc_id", "tab", F.col("b.row_no").alias("r0"), F.col("b.row_no").alias("r1"), F.col("b.col_no").alias("c0"), F.col("b.col_no").alias("c1")))
 
 
-on_tree("grown_blocks", lambda t, _: _table_blocks(t))
+# as many rounds as a table of the adapter has rows and columns
+_GROWN = "".join(f""", g{i + 1} AS (SELECT b.doc_id, b.tab, least(b.r0, min(e.row_no)) AS r0, greatest(b.r1, max(e.row_no + e.col_span - 1)) AS r1, least(b.c0, min(e.col_no)) AS c0, greatest(b.c1, max(e.col_no + e.col_span - 1)) AS c1
+ FROM g{i} b JOIN sat e ON e.doc_id = b.doc_id AND e.tab = b.tab AND e.row_no <= b.r1 AND e.row_no + e.col_span - 1 >= b.r0 AND e.col_no <= b.c1 AND e.col_no + e.col_span - 1 >= b.c0 GROUP BY b.doc_id, b.tab, b.r0, b.r1, b.c0, b.c1)""" for i in range(12))
+on_tree("grown_blocks", lambda t, _: _table_blocks(t), f", {_CELLS}, g0 AS (SELECT doc_id, tab, max(row_no) AS r0, max(row_no) AS r1, max_by(col_no, row_no * 1000 + col_no) AS c0, max_by(col_no, row_no * 1000 + col_no) AS c1 FROM sat GROUP BY doc_id, tab){_GROWN} SELECT doc_id, tab, CAST(r0 AS INT) AS r0, CAST(r1 AS INT) AS r1, CAST(c0 AS INT) AS c0, CAST(c1 AS INT) AS c1 FROM g12")
 
 
 def _glyph_cells(s, d):

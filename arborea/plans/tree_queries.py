@@ -49,7 +49,8 @@ on_tree("content_owner", lambda x, _: t.owners(x), f", {_OWNERS} SELECT * FROM o
 on_tree("content_map", lambda x, _: t.content_map(x), f""", {_OWNERS}, top AS (SELECT doc_id, page, unnest(range(0, max(mcid) + 1)) AS mcid FROM owners GROUP BY doc_id, page)
  SELECT doc_id, page, string_agg(coalesce(CAST(owner AS VARCHAR), ''), ',' ORDER BY mcid) AS owners FROM top LEFT JOIN owners USING (doc_id, page, mcid) GROUP BY ALL""")
 on_tree("next_mcid", lambda x, w: t.next_mcid(x, w(PAGE_OPS)), "SELECT doc_id, page, max(mcid) + 1 AS mcid FROM (SELECT doc_id, page, mcid FROM tree WHERE type = 'content' AND mcid IS NOT NULL AND page IS NOT NULL UNION ALL SELECT doc_id, page, mcid FROM page_ops WHERE op = 'BDC' AND mcid IS NOT NULL) GROUP BY ALL", ("page_ops", PAGE_OPS))
-on_tree("tree_signature", lambda x, _: t.signature(x))
+on_tree("tree_signature", lambda x, _: t.signature(x), """, s AS (SELECT doc_id, count(*) AS n, string_agg(type || ':' || coalesce(role, '') || '|', '' ORDER BY pre) AS t FROM tree GROUP BY doc_id)
+ SELECT doc_id, n || '.' || printf('%x', list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(t, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296)) AS signature FROM s""")
 _SHIFTED = lambda x: x.withColumn("mcid", F.when((F.col("node_id") % 50 == 9), F.col("mcid") + 1).otherwise(F.col("mcid")))
 on_tree("shape_difference", lambda x, _: t.shape_difference(x, _SHIFTED(x)), "SELECT doc_id, min(pre) AS pre FROM tree WHERE type = 'content' AND node_id % 50 = 9 AND mcid IS NOT NULL GROUP BY doc_id")
 on_tree("content_keys", lambda x, _: t.content_keys(x, x), f""", {_OWNERS}, k AS (SELECT t.doc_id, t.node_id, t.role, f.f.page AS page, f.f.mcid AS mcid FROM tree t JOIN (SELECT a.doc_id, anc AS node_id, min_by({{'page': c.page, 'mcid': c.mcid}}, a.pre) AS f FROM anc a JOIN tree c ON c.doc_id = a.doc_id AND c.node_id = a.node_id

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from arborea.plans.corpus import Corpus
 from arborea.operators import audit, content, geometry, rewrite, tables, text, tree as t
 from arborea.sources import documents as src
 from arborea.streaming import edits as ed
@@ -34,6 +35,77 @@ def test_audit_fixture(spark):
     assert {(r.node_id, r.pre) for r in tree.collect()} == {(i, i + 1) for i in range(25)}
 
 
+def test_audit_report_of_the_fixture(spark):
+    """Every rule's status, for the document and for one without a tree, without facts and without link annotations."""
+    nodes = spark.createDataFrame(AUDIT, NODE)
+    other = spark.createDataFrame([node(0, None, "root"), node(1, 0, "element", "Document"), node(2, 1, "element", "H1", 0), node(3, 2, "content", mcid=0)], NODE)
+    nodes = nodes.unionByName(other.withColumn("doc_id", F.lit(3).cast("long"))).unionByName(other.withColumn("doc_id", F.lit(4).cast("long")))
+    annotations = spark.createDataFrame([(1, 0, 101, "Example website"), (1, 0, 102, None), (1, 0, 103, None), (3, 0, 104, None)], "doc_id long, page int, annot_id long, contents string")
+    pages = spark.createDataFrame([(1, 0, None), (1, 1, "S"), (4, 0, "S")], "doc_id long, page int, tabs string")
+    info = spark.createDataFrame([(1, None, "en-US", True, None, None, 2, True), (2, "T", "en", True, None, "1", 25, True), (3, "T", "en", True, False, "1", 2, False), (4, "T", "en", True, None, None, 2, True)],
+                                 "doc_id long, title string, lang string, marked_tagged boolean, accessibility_permission boolean, pdfua_part string, page_count int, has_facts boolean")
+    outline = spark.createDataFrame([], "doc_id long, bookmark_id long")
+    # text of every leaf is shown in its own span; document 1 has no stray content, document 4 paints outside every span
+    leaves = [(1, 0, m, True) for m in range(7)] + [(1, 1, 0, True), (3, 0, 0, True), (4, 0, 0, True)]
+    ops = [(d, pg, 10 * m + k, op, "P" if k == 0 else None, m if k == 0 else None, v and k == 1) for d, pg, m, v in leaves for k, op in enumerate(("BDC", "Tj", "EMC"))] + [(4, 0, 90, "Do", None, None, False)]
+    corpus = Corpus(nodes, info=info, pages=pages, annotations=annotations, outline=outline, ops=spark.createDataFrame(ops, "doc_id long, page int, op_idx long, op string, tag string, mcid int, visible boolean"),
+                    claimed=spark.createDataFrame([x[:3] for x in leaves], "doc_id long, page int, mcid int"))
+    report = corpus.verify()
+    got = {}
+    for r in report.collect():
+        got.setdefault(r.doc_id, {})[r.check_id] = (r.status, r.n)
+    clean = dict.fromkeys(["heading-levels", "heading-content", "tag-content", "list-nesting", "list-contents", "row-parent", "cell-parent", "table-regularity", "table-headers", "alt-text"], ("pass", 0))
+    assert got[1] == clean | {
+        "tagged": ("pass", 0), "title": ("fail", 0), "language": ("pass", 0), "permission": ("pass", 0), "tab-order": ("fail", 1), "identifier": ("fail", 0), "bookmarks": ("na", 0), "heading-levels": ("fail", 1), "h1": ("fail", 0), "heading-content": ("fail", 1),
+        "tag-content": ("fail", 1), "list-contents": ("fail", 2), "links-tagged": ("fail", 1), "links-described": ("fail", 2), "figure-text": ("warn", 1), "orphaned-content": ("pass", 0)}
+    assert got[2] == {"tagged": ("fail", 0), "title": ("pass", 0), "language": ("pass", 0), "permission": ("pass", 0), "tab-order": ("pass", 0), "identifier": ("pass", 0), "bookmarks": ("warn", 0), "structure": ("na", 0)}
+    assert got[3] == clean | {"tagged": ("pass", 0), "title": ("pass", 0), "language": ("pass", 0), "permission": ("fail", 0), "tab-order": ("na", 0), "identifier": ("na", 0), "bookmarks": ("na", 0), "h1": ("pass", 0), "links": ("na", 0), "orphaned-content": ("pass", 0)}
+    assert got[4] == clean | {"tagged": ("pass", 0), "title": ("pass", 0), "language": ("pass", 0), "permission": ("pass", 0), "tab-order": ("pass", 0), "identifier": ("fail", 0), "bookmarks": ("na", 0), "h1": ("pass", 0), "links": ("na", 0), "figure-text": ("pass", 0), "orphaned-content": ("fail", 1)}
+    assert {r.doc_id: r.fixable for r in audit.identifier_gate(report).collect()} == {1: False, 4: False}
+
+
+def test_orphan_streams(spark):
+    """Short streams with what is claimed: marked content without a tag, untagged spans, paint outside every span."""
+    cases = [
+        ("BDC P 7, Tj, EMC", (), (1, 0, 0)), ("BMC Span, Tj, EMC", (), (0, 1, 0)), ("BDC H1 -, BDC H1 -, BDC H1 3, Tj, EMC, EMC, EMC", (3,), (0, 0, 0)), ("BDC P 1, BMC Span, Tj, EMC, EMC", (1,), (0, 0, 0)),
+        ("q, Do, Q", (), (0, 0, 1)), ("BMC Artifact, f, EMC", (), (0, 0, 0)), ("q, cm, Q", (), (0, 0, 0))]
+    ops, claimed = [], []
+    for d, (stream, owned, _) in enumerate(cases):
+        for i, x in enumerate(stream.split(", ")):
+            op, tag, mcid = (*x.split(), None, None)[:3]
+            ops.append((d, i, op, tag, int(mcid) if mcid not in (None, "-") else None))
+        claimed += [(d, m) for m in owned]
+    got = {r.doc_id: (r.n_mcids, r.n_spans, r.n_runs) for r in content.orphan_totals(spark.createDataFrame(ops, "doc_id long, op_idx long, op string, tag string, mcid int"), spark.createDataFrame(claimed, "doc_id long, mcid int")).collect()}
+    assert got == {d: n for d, (_, _, n) in enumerate(cases) if any(n)}
+
+
+def _page(rows):
+    """Glyphs 6 by 10 of rows {y: [(x, phrase)]}."""
+    return [(1, y, i, float(x + 6 * i), float(y), float(x + 6 * i + 6), float(y + 10)) for y, phrases in rows.items() for x, p in phrases for i, c in enumerate(p) if c != " "]
+
+
+def test_seed_grids(spark):
+    """Dividers of rows and columns of small tables."""
+    plain = lambda y: (y, [(0, "Alpha"), (100, "Beta"), (200, "Gamma"), (300, "Delta")])
+    schema = "doc_id long, line long, col int, x0 double, y0 double, x1 double, y1 double"
+
+    def seeds(rows):
+        boxes = spark.createDataFrame(_page(dict(rows)), schema)
+        frame = spark.createDataFrame([(1, -10.0, -10.0, 400.0, 90.0)], "doc_id long, x double, y double, width double, height double")
+        found = geometry.seed_grid(boxes, frame).collect()
+        return [sorted(r["at"] for r in found if r.axis == axis) for axis in ("x", "y")]
+
+    near = lambda got, want: len(got) == len(want) and all(abs(a - b) <= 2 for a, b in zip(got, want))
+    for rows, xs, ys in [
+        ([(0, [(0, "Name"), (100, "Quarterly results for the region")]), plain(20), plain(40), plain(60)], [65, 162, 265], [15, 35, 55]),
+        ([plain(0), (12, [(100, "continued")]), plain(40), plain(60)], [65, 177, 265], [31, 55]),
+        ([plain(y) for y in (0, 20, 40, 60)], None, [15, 35, 55]),
+        ([plain(0), (20, [(100, "Beta")]), plain(40), plain(60)], [65, 162, 265], [15, 35, 55]),
+    ]:
+        got = seeds(rows)
+        assert near(got[1], ys) and (xs is None or near(got[0], xs)), (got, xs, ys)
+
+
 def test_pages_and_flatten_keep_content(spark):
     rows = [node(0, None, "root"), node(1, 0, "element", "Document"), node(2, 1, "element", "P"), node(3, 2, "element", "Div"), node(4, 3, "element", "Span", 1), node(5, 4, "content", mcid=3), node(6, 2, "content", mcid=9), node(7, 1, "element", "Sub", 0), node(8, 7, "content", mcid=3)]
     tree = t.tree_keys(spark.createDataFrame(rows, NODE))
