@@ -88,9 +88,11 @@ def bookmark_parents(tree: DataFrame) -> DataFrame:
 
 
 def outline_slot(outline: DataFrame, pages: DataFrame) -> DataFrame:
-    """doc_id, page, after: the last bookmark of one level whose page isn't later; the scan stops at the first later page."""
-    w = Window.partitionBy("doc_id", "p").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    both = pages.select("doc_id", F.col("page").alias("p")).join(outline.filter("page IS NOT NULL"), "doc_id")
-    kept = both.withColumn("later", F.max(F.col("page") > F.col("p")).over(w)).filter("NOT later")
-    found = kept.groupBy("doc_id", "p").agg(F.max_by("bookmark_id", "ord").alias("after"))
-    return pages.select("doc_id", F.col("page").alias("p")).join(found, ["doc_id", "p"], "left").select("doc_id", F.col("p").alias("page"), "after")
+    """doc_id, page, after: the last bookmark of one level whose page isn't later; the scan stops at the first later page.
+
+    The largest page so far rises along the level, so a page's slot is the last bookmark at which it isn't above the page: one as-of pass."""
+    so_far = F.max("page").over(Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    last = outline.filter("page IS NOT NULL").withColumn("v", so_far).groupBy("doc_id", "v").agg(F.max_by("bookmark_id", "ord").alias("bookmark_id"))
+    both = last.select("doc_id", "v", F.lit(0).alias("k"), "bookmark_id").unionByName(pages.select("doc_id", F.col("page").alias("v"), F.lit(1).alias("k"), F.lit(None).cast(last.schema["bookmark_id"].dataType).alias("bookmark_id")))
+    w = Window.partitionBy("doc_id").orderBy("v", "k").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("after", F.last("bookmark_id", ignorenulls=True).over(w)).filter("k = 1").select("doc_id", F.col("v").alias("page"), "after")

@@ -32,6 +32,7 @@ on_edits("undo_redo", lambda x: e.undo_redo(x.withColumn("cmd", F.when(F.col("cm
   UNION ALL SELECT c.doc_id, c.k, c.seq, CASE c.cmd WHEN 'undo' THEN u[:-2] WHEN 'redo' THEN CASE WHEN len(r) > 0 THEN list_append(u, r[-1]) ELSE u END ELSE list_append(u, c.seq)[-50:] END,
    CASE c.cmd WHEN 'undo' THEN CASE WHEN len(u) > 0 THEN list_append(r, u[-1]) ELSE r END WHEN 'redo' THEN r[:-2] ELSE [] END, (c.cmd = 'undo' AND len(u) = 0) OR (c.cmd = 'redo' AND len(r) = 0) FROM s JOIN c ON c.doc_id = s.doc_id AND c.k = s.k + 1)
  SELECT doc_id, seq, u[-1] AS version, CAST(len(u) AS INT) AS n_undo, CAST(len(r) AS INT) AS n_redo, refused FROM s WHERE k > 0""")
+on_edits("rolling_timings", lambda x: e.rolling_timings(x.select(F.col("seq").alias("run_id"), "ts", F.col("cmd").alias("provider"))), "SELECT seq AS run_id, ts, cmd AS provider FROM edits ORDER BY ts DESC, seq DESC LIMIT 50")
 on_edits("newest_results", lambda x: r.newest(x.select("doc_id", (F.col("seq") % 3).alias("node_id"), (F.col("seq") % 17).alias("token"), "seq")), "SELECT doc_id, seq % 3 AS node_id, seq % 17 AS token, seq FROM edits QUALIFY row_number() OVER (PARTITION BY doc_id, seq % 3 ORDER BY seq % 17 DESC, seq DESC) = 1")
 
 

@@ -43,6 +43,29 @@ def undo_steps(edits: DataFrame, kept: int = KEPT) -> DataFrame:
     return s.withColumn("back", last).filter(F.col("back") <= kept).drop("back")
 
 
+_STEP = "doc_id long, step long, undo_group string, first_seq long, n_edits long"
+
+
+def undo_steps_stream(edits: DataFrame) -> DataFrame:
+    """``undo_steps`` of a stream, in update mode: a step's row comes again, with its new count, whenever an edit joins it. The state of a
+    document is its top step; rows of edits must come in order of seq."""
+
+    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        number, group, first, n = state.get if state.exists else (0, None, None, 0)
+        changed: dict[int, tuple] = {}
+        for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
+            own = None if pd.isna(r.undo_group) else r.undo_group
+            if number and own is not None and own == group:
+                n += 1
+            else:
+                number, group, first, n = number + 1, own, int(r.seq), 1
+            changed[number] = (key[0], number, group, first, n)
+        state.update((number, group, first, n))
+        yield pd.DataFrame(list(changed.values()), columns=[c.split()[0] for c in _STEP.split(", ")], dtype=object)
+
+    return edits.filter("changes").select("doc_id", "seq", "undo_group").groupBy("doc_id").applyInPandasWithState(step, _STEP, "step long, undo_group string, first_seq long, n_edits long", "update", "NoTimeout")
+
+
 def undo_owner(edits: DataFrame) -> DataFrame:
     """doc_id, undo_group of the top step. (Table.)"""
     return undo_steps(edits).groupBy("doc_id").agg(F.max_by("undo_group", "step").alias("undo_group"))
@@ -67,6 +90,21 @@ def stale_edits(edits: DataFrame, renumberings: DataFrame, kept: int = 500) -> D
     return e.select("doc_id", "seq", v.alias("verdict"))
 
 
+def rolling_timings_stream(log: DataFrame, kept: int = KEPT) -> DataFrame:
+    """pool, run_ids: after each batch of a timing stream (run_id, ts), the last ``kept`` runs of all providers, newest first; the state is
+    these runs."""
+
+    def ring(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get)) if state.exists else []
+        new = pd.concat(list(batches))
+        held = sorted(held + [(int(t.value), int(i)) for t, i in zip(new["ts"], new["run_id"])], reverse=True)[:kept]
+        state.update(([t for t, _ in held], [i for _, i in held]))
+        yield pd.DataFrame({"pool": [key[0]], "run_ids": [[i for _, i in held]]})
+
+    runs = log.select(F.lit("all").alias("pool"), "run_id", "ts")
+    return runs.groupBy("pool").applyInPandasWithState(ring, "pool string, run_ids array<long>", "ts array<long>, run_id array<long>", "update", "NoTimeout")
+
+
 def rolling_timings(log: DataFrame, kept: int = KEPT) -> DataFrame:
     """The last runs of a timing log (run_id, ts, ...) over all providers. (Table.)"""
     return log.orderBy(F.desc("ts"), F.desc("run_id")).limit(kept)
