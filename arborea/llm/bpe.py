@@ -11,8 +11,8 @@ Decoding is a state machine over ids: between two tokens it emits the separator
 Supported files: BPE over the byte alphabet with an end-of-word suffix, NFC, white space folding and lower case, no
 decoder (tokens are joined by one space). Special tokens are found in the raw text, as the file asks.
 
-Defined cases: a null text counts as empty and has no ids; ids of repeated rows repeat; an empty table gives an empty
-result.
+Defined cases: a null text counts as empty and has no ids; ids of repeated rows repeat; a null doc_id stays null; a very long text is encoded
+whole, its ids in memory; other columns, whatever their names, are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations

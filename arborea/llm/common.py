@@ -3,30 +3,18 @@ word hashes and connected components."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.scratch import shared_dir
+
 #: The white space that separates words in every operator here.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or an own one where it is unset."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 #: Rows of whole texts that go to Python at a time; the memory of a worker follows it.
 BATCH_ROWS = 500
 

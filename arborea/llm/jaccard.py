@@ -4,9 +4,9 @@ Two documents link when the Jaccard similarity of their sets of five-word shingl
 join loses no link and never lists the pairs of a group:
 
 1. Documents with equal sets are one *class*; only classes go on.
-2. Shingles travel packed, dealt by hash. What comes back to a class are its shingles that another class
-   holds too, with the number of classes. A class with fewer shared shingles than the threshold asks for
-   has no partner and goes.
+2. Shingles travel packed, dealt by hash, in batches of classes: eight bytes each, whatever the number of tiles. What comes back to
+   a batch are its shingles that another batch or another class of it holds too, with their number. A class with fewer shared
+   shingles than the threshold asks for has no partner and goes.
 3. The classes that share a rare shingle of their prefix (the shingles of a class in order of rarity, as many
    as two linked classes can't both miss) form a *family*, through star edges and connected components.
 4. A family is compared in *tiles* of bounded size: members in order of set size, so that only a band of sizes
@@ -24,7 +24,11 @@ to the counting task, so a passage in a third of all rows isn't gathered anywher
 
 Defined cases: a null or blank text has an empty set and links with nothing; a text of fewer than five words
 has one shingle, the whole sequence; repeated rows each get a row of the result; a null doc_id stays null and
-takes the component of its class; an empty table gives an empty result.
+takes the component of its class; very long texts are read whole, in batches of one where they are long; ties of the threshold link; of
+equally small ids the component has that id; other columns, whatever their names, are not looked at; an empty table gives an empty result.
+
+Sets are told apart by a 64-bit hash and shingles by 48 bits of theirs, which nothing verifies: a pair of n and m shingles has a false common one
+with a chance of about n * m / 2^48 (4e-9 for two documents of 1,000 words), and two of N sets the same hash with N * N / 2^65.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ up with as many of its tokens as fit and emitted, and what remains is placed aga
 the end of a partition are leftovers: those of ``MERGE`` partitions at a time are merged whole, the largest first,
 each into the fullest window where it fits.
 
-Defined cases: a null or empty text has the end token alone; a null doc_id stays null; repeated rows are packed each; an
-empty table gives an empty result.
+Defined cases: a null or empty text has the end token alone; a null doc_id stays null; repeated rows are packed each; a very long text fills
+windows of its own; of equally full windows the oldest is taken; other columns, whatever their names, are not looked at; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

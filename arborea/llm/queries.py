@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import exact_dedup, jaccard, licenses, pii, quality, substring_dedup, warc
@@ -11,8 +12,8 @@ from .licenses import license_scan
 from .neighbours import nearest
 from .packing import pack_documents
 
-#: Folder of public tokenizer files; every operator takes the path as a parameter.
-TOKENIZERS = "/opt/tokenizers"
+#: Public tokenizer file; every operator takes the path as a parameter.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +37,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding_digests(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return encoding_digests(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +45,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return pack_documents(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

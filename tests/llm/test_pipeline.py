@@ -1,8 +1,10 @@
 """Each stage of the pipeline against a plain version, on its predecessor's rows; a document without text and repeated rows included."""
 
 import re
+import zlib
 
 import corpus_pipeline as p
+import numpy as np
 import public_tokenizers
 import pytest
 from conftest import SMALL
@@ -66,19 +68,63 @@ def test_near(stages):
     assert sorted(d for d, _ in rows(stages[3])) == sorted(d for d in sets if find(d) == d)
 
 
+def test_near_rows_without_ids(spark, stages):
+    """Rows with a null or shared doc_id are judged each for itself; repeated rows leave one; blank ones stay."""
+    base = ["w%d" % i for i in range(60)]
+    near, far = " ".join(base[:-1] + ["x"]), " ".join("v%d" % i for i in range(60))
+    given = [(None, " ".join(base)), (None, near), (5, near + " y"), (5, far), (5, far), (8, "other words than all the rest here"), (None, far + " z"), (9, None), (9, None), (None, " "), (10, "short"), (10, "short")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x") for i, t in given], "doc_id long, text string, lang string, source string, n_chars long, component string")
+    got = p.drop_near_copies(spark, docs, SMALL)
+    assert got.columns == docs.columns
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(rows(got), key=key) == sorted([(5, near + " y"), (5, far), (8, given[5][1]), (9, None), (9, None), (None, " "), (10, "short")], key=key)
+
+
+def test_empty(spark, stages):
+    for _, stage in p.STAGES:
+        assert stage(spark, stages[0].limit(0), SMALL).count() == 0
+
+
 def test_personal_data(stages):
     before, after = dict(rows(stages[3])), dict(rows(stages[4]))
-    assert before.keys() == after.keys()
+    counts = {}
+    for t in before.values():
+        base, others = pii.candidates(t or "")
+        for spans, is_base in ((base, True), (others, False)):
+            for k, a, b in spans:
+                at = (k, pii.votes(t, k, a, b, is_base))
+                counts[at] = counts.get(at, 0) + 1
+    model = pii.estimate(sorted((k, v, n) for (k, v), n in counts.items()))
     for d, t in before.items():
-        if t is None:
-            assert after[d] is None
-        else:
-            base = pii.base_spans(t)
-            assert not any(s[0] in ("email", "ip") for s in pii.base_spans(after[d])) and (base or after[d] == t or "[" in after[d])
-    assert all(r.n_chars == len(r.text or "") for r in stages[4].filter("text IS NOT NULL").collect())
+        want = t
+        if t:
+            spans = sorted(pii.find_spans(t, model)[1], key=lambda s: (s[1], -s[2]))
+            whole = []
+            for k, a, b in spans:
+                if whole and a < whole[-1][2]:
+                    whole[-1][2] = max(whole[-1][2], b)
+                else:
+                    whole.append([k, a, b])
+            for k, a, b in reversed(whole):
+                want = want[:a] + f"[{k.upper()}]" + want[b:]
+        assert after[d] == want
+    assert before.keys() == after.keys() and all(r.n_chars == len(r.text or "") for r in stages[4].filter("text IS NOT NULL").collect())
 
 
 def test_packing(stages):
+    """Every id of every document lies in one piece, and pieces lie gapless in sequences of bounded length."""
     tk = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    want = sum(len(tk.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows(stages[4]))
-    assert stages[5].agg(F.sum("length")).first()[0] == want
+    ids = {d: np.array([*tk.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for d, t in rows(stages[4])}
+    assert len(ids) == stages[4].count()
+    pieces, sequences = {}, {}
+    for r in stages[5].collect():
+        assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for found, whole in [(sorted(x), len(ids[d])) for d, x in pieces.items()] + [(sorted(x), None) for x in sequences.values()]:
+        at = 0
+        for a, n in found:
+            assert a == at
+            at += n
+        assert at == whole if whole else at <= 2048
+    assert pieces.keys() == ids.keys()
