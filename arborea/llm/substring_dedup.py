@@ -2,20 +2,25 @@
 
 Words covered by a window of ``WINDOW`` words that also starts in a document with a smaller doc_id go.
 
+Documents are dealt to buckets of bounded size by a hash of the row, once; every step reads that exchange, and what travels names a
+document by its bucket and its place there.
+
 1. *Anchors*: in each document, windows of ``WINDOW - PERIOD + 1`` words are hashed at the positions whose remainder
    modulo ``PERIOD`` lies in ``COVER``. Every remainder is a difference of two members of the cover, so two
    documents that share ``WINDOW`` words share an anchor that both have hashed, however they are aligned.
-2. Anchors are dealt by hash; those that two documents or more hold come back to their documents.
+2. Anchors are dealt by hash; those that two documents or more hold come back to their buckets. An anchor that very many documents
+   of one bucket hold (``HOT``) comes back without being gathered.
 3. *Extension*: only windows around such anchors are hashed in full and dealt by hash; a window that a smaller
    doc_id holds too comes back. A bucket of documents settles its own repeats first and sends on only the
    smallest document's window, so a passage in very many documents costs one entry a bucket.
 4. Documents meet the windows found in them and drop the covered words.
 
-Steps 3 and 4 deal the documents to buckets of bounded size by a hash of the row; both read the same exchange, so the
-texts are shuffled once.
+Anchors are compared by 48-bit hashes, which only select; windows by 64-bit hashes of 13 word hashes of 64 bits: among n windows a
+wrong match has a chance of about n * n / 2^65.
 
 Defined cases: a null or blank text has no words; a text with fewer words than the window loses none; a null doc_id
-comes after every other; rows with one doc_id never remove each other's words; an empty table gives an empty result.
+comes after every other; rows with one doc_id never remove each other's words; very long texts are read whole, one bucket's in memory at
+a time; other columns, whatever their names, are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,17 +29,17 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import mix, pack48, sub_batches, text_bytes, tiles_for, unpack48, window_hashes, word_hashes, words, bounded_batches
 
 #: A perfect difference set: {a - b mod 7} is all of 0..6.
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
-#: Documents of one batch from which an anchor counts as shared without being counted; batch and tile sizes.
-HOT_IN_BATCH, BATCH_HASHES, TILE_BYTES = 64, 1_500_000, 12_000_000
+#: Documents of one bucket from which an anchor counts as shared without being counted; text bytes of a bucket and of a tile.
+HOT, BUCKET_BYTES, TILE_BYTES = 64, 6_000_000, 12_000_000
+#: Partitions at most; beyond, a partition holds several tiles or buckets, one after another.
+MOST_PARTITIONS = 20_000
 _LAST = (1 << 63) - 1
-_KEYS = [("ord", pa.int64()), ("rid", pa.int64())]
 
 
 def _runs(sorted_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,29 +48,6 @@ def _runs(sorted_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.r_[first, len(sorted_hashes)])
 
 
-class _Batch:
-    """Hashes of many documents on their way to the tiles."""
-
-    def __init__(self):
-        self.ord, self.rid, self.hash, self.who, self.pos, self.total = [], [], [], [], [], 0
-
-    def add(self, o: int, r: int, h: np.ndarray, pos: np.ndarray) -> None:
-        self.who.append(np.full(len(h), len(self.ord), np.int32))
-        self.ord.append(o)
-        self.rid.append(r)
-        self.hash.append(h)
-        self.pos.append(pos.astype(np.int32))
-        self.total += len(h)
-
-    def full(self) -> bool:
-        return self.total >= BATCH_HASHES or len(self.ord) >= 60_000
-
-    def take(self):
-        out = np.array(self.ord, np.int64), np.array(self.rid, np.int64), *(np.concatenate(x) for x in (self.hash, self.who, self.pos))
-        self.__init__()
-        return out
-
-
 def _planes(x: np.ndarray) -> bytes:
     """Byte planes of 32-bit values, so that the shuffle's compression meets runs."""
     return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
@@ -89,153 +71,155 @@ def _unsteps(place: np.ndarray, raw: bytes) -> np.ndarray:
     return (total - np.repeat(total[first] - steps[first], np.diff(np.r_[first, len(steps)]))).astype(np.int32)
 
 
-def _rows(ords, rids, n_tiles, tile, packed, who, pos, settled, settled_tile, settled_pos, marks):
-    """One row a tile. settled: documents (and positions) known already, which only pass through."""
-    mark_tile = mix(marks) % np.uint64(n_tiles) if len(marks) else marks
-    for t in range(n_tiles):
-        a, b, m = tile == t, settled_tile == t, mark_tile == t
-        if not (a.any() or b.any() or m.any()):
-            continue
-        used, place = np.unique(np.r_[who[a], settled[b]], return_inverse=True)
-        k = int(a.sum())
-        yield {"tile": t, "ords": ords[used].tobytes(), "rids": rids[used].tobytes(), "hash": packed(a), "who": _planes(place[:k]), "pos": _steps(place[:k], pos[a]), "known": _planes(place[k:]), "known_pos": _steps(place[k:], settled_pos[b]), "marks": pack48(marks[m])}
+_NAMES = ["tile", "bucket", "hash", "who", "pos", "ords", "marks"]
+_TILE_SQL = "tile int, bucket int, hash binary, who binary, pos binary, ords binary, marks binary"
+_FOUND = "bucket int, who binary, pos binary"
+
+
+def _bounds(sorted_: np.ndarray) -> zip:
+    first, n = _runs(sorted_)
+    return zip(first, first + n)
+
+
+def _dealt(bucket: int, n_tiles: int, h, who, pos, packed, known, marks, ords=None) -> pd.DataFrame:
+    """One row a tile of the hashes of a bucket, in the order of documents and positions. known: (who, pos) that only pass through."""
+    tile = (mix(h) % np.uint64(n_tiles)).astype(np.int64)
+    order = np.argsort(tile, kind="stable")
+    tile, h, who, pos = tile[order], h[order], who[order], pos[order]
+    rows = [(int(tile[a]), bucket, packed(h[a:b]), _planes(who[a:b]), _steps(who[a:b], pos[a:b]), None if ords is None else _eights(ords[order[a:b]]), None) for a, b in _bounds(tile)]
+    if len(known[0]):
+        rows.append((bucket % n_tiles, bucket, None, _planes(known[0]), _steps(*known), None, None))
+    tile = (mix(marks) % np.uint64(n_tiles)).astype(np.int64)
+    rows += [(t, bucket, None, None, None, None, pack48(marks[tile == t])) for t in np.unique(tile).tolist()]
+    return pd.DataFrame(rows, columns=_NAMES)
+
+
+def _eights(x: np.ndarray) -> bytes:
+    """Byte planes of 64-bit values."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-_TILE = pa.schema([("tile", pa.int32()), *((n, pa.binary()) for n in ("ords", "rids", "hash", "who", "pos", "known", "known_pos", "marks"))])
-_TILE_SQL = "tile int, ords binary, rids binary, hash binary, who binary, pos binary, known binary, known_pos binary, marks binary"
+def _uneights(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _placed(docs: pd.DataFrame) -> pd.DataFrame:
+    """The documents of a bucket in the order that gives them their places."""
+    return docs.sort_values(["ord", "rid"], kind="stable", ignore_index=True)
 
 
 def _anchors(n_tiles: int):
     low48, width = np.uint64((1 << 48) - 1), WINDOW - PERIOD + 1
 
-    def flush(batch: _Batch):
-        ords, rids, h, who, pos = batch.take()
-        h &= low48
+    def run(docs: pd.DataFrame) -> pd.DataFrame:
+        docs = _placed(docs)
+        texts, hashes, who, pos = docs["text"].tolist(), [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for a, b in sub_batches([len(t or "") for t in texts], 3_000_000):
+            split = [words(t, lower=False) for t in texts[a:b]]
+            h, at = window_hashes(word_hashes([w for ws in split for w in ws]), width), 0
+            for i, ws in enumerate(split, a):
+                if len(ws) >= WINDOW:
+                    p = np.arange(len(ws) - width + 1)
+                    p = p[np.isin(p % PERIOD, COVER)]
+                    hashes.append(h[at + p] & low48)
+                    who.append(np.full(len(p), i))
+                    pos.append(p)
+                at += len(ws)
+        h, who, pos = (np.concatenate(x) for x in (hashes, who, pos))
         order = np.argsort(h, kind="stable")
         first, n = _runs(h[order])
-        fresh = np.r_[True, (h[order][1:] != h[order][:-1]) | (who[order][1:] != who[order][:-1])]  # who rises within a run
-        hot = np.zeros(len(h), bool)
+        fresh = np.r_[True, (h[order][1:] != h[order][:-1]) | (who[order][1:] != who[order][:-1])][: len(h)]  # who rises within a run
+        hot, marks = np.zeros(len(h), bool), np.empty(0, np.uint64)
         if len(h):
-            hot[order] = np.repeat(np.add.reduceat(fresh, first) > HOT_IN_BATCH, n)
-        tile = (mix(h) % np.uint64(n_tiles)).astype(np.int64)
-        tile[hot] = -1
-        return list(_rows(ords, rids, n_tiles, tile, lambda a: pack48(h[a]), who, pos, who[hot], rids[who[hot]].view(np.uint64) % np.uint64(n_tiles), pos[hot], np.unique(h[hot])))
-
-    def run(batches):
-        held = _Batch()
-        for batch in batches:
-            ords, rids, texts = (batch.column(c).to_pylist() for c in ("ord", "rid", "text"))
-            for a, b in sub_batches([len(t or "") for t in texts], 3_000_000):
-                split = [words(t, lower=False) for t in texts[a:b]]
-                h = window_hashes(word_hashes([w for ws in split for w in ws]), width)
-                at = 0
-                for o, r, ws in zip(ords[a:b], rids[a:b], split):
-                    if len(ws) >= WINDOW:
-                        pos = np.arange(len(ws) - width + 1)
-                        pos = pos[np.isin(pos % PERIOD, COVER)]
-                        held.add(o, r, h[at + pos], pos)
-                    at += len(ws)
-                if held.full():
-                    yield pa.RecordBatch.from_pylist(flush(held), schema=_TILE)
-        if held.ord:
-            yield pa.RecordBatch.from_pylist(flush(held), schema=_TILE)
+            many = np.add.reduceat(fresh.astype(np.int64), first) > HOT
+            hot[order], marks = np.repeat(many, n), h[order][first[many]]
+        return _dealt(int(docs["bucket"].iloc[0]), n_tiles, h[~hot], who[~hot], pos[~hot], pack48, (who[hot], pos[hot]), marks)
 
     return run
 
 
-def _gather(pdf: pd.DataFrame, decode):
-    """The hashes of a tile with the ord, rid and position of each, and what only passes through."""
-    parts, known, marks = [], [], []
-    for r in pdf.itertuples():
-        ords, rids = np.frombuffer(r.ords, np.int64), np.frombuffer(r.rids, np.int64)
-        who, k = _unplanes(r.who), _unplanes(r.known)
-        parts.append((decode(r.hash), ords[who], rids[who], _unsteps(who, r.pos)))
-        known.append((ords[k], rids[k], _unsteps(k, r.known_pos)))
-        marks.append(unpack48(r.marks))
-    return [np.concatenate(x) for x in zip(*parts)], [np.concatenate(x) for x in zip(*known)], np.unique(np.concatenate(marks))
-
-
-def _by_bucket(ords, rids, pos, n_buckets: int) -> pd.DataFrame:
-    """One row for each bucket of documents: the documents, how many positions each has, the positions."""
-    bucket = np.mod(rids, n_buckets)
-    order = np.lexsort((pos, rids, ords, bucket))
-    ords, rids, pos, bucket = ords[order], rids[order], pos[order], bucket[order]
-    first = np.flatnonzero(np.r_[True, (ords[1:] != ords[:-1]) | (rids[1:] != rids[:-1])]) if len(ords) else np.empty(0, np.int64)
-    n = np.diff(np.r_[first, len(ords)])
-    doc, rows = np.repeat(np.arange(len(first)), n), []
-    for b in np.unique(bucket):
-        mine, all_of = np.flatnonzero(bucket[first] == b), bucket == b
-        rows.append((b, ords[first[mine]].tobytes(), rids[first[mine]].tobytes(), _planes(n[mine]), _steps(doc[all_of], pos[all_of])))
-    return pd.DataFrame(rows, columns=["bucket", "ords", "rids", "counts", "pos"])
-
-
-_FOUND = "bucket int, ords binary, rids binary, counts binary, pos binary"
-
-
-def _positions(found: pd.DataFrame) -> dict[tuple[int, int], list[np.ndarray]]:
-    """Positions of each document of a bucket."""
-    out: dict[tuple[int, int], list[np.ndarray]] = {}
-    for r in found.itertuples():
-        n = _unplanes(r.counts)
-        pos = np.split(_unsteps(np.repeat(np.arange(len(n)), n), r.pos), n.cumsum()[:-1])
-        for key, p in zip(zip(np.frombuffer(r.ords, np.int64).tolist(), np.frombuffer(r.rids, np.int64).tolist()), pos):
-            out.setdefault(key, []).append(p)
-    return out
-
-
-def _shared_anchors(pdf: pd.DataFrame, n_buckets: int) -> pd.DataFrame:
-    (h, ords, rids, pos), known, marks = _gather(pdf, unpack48)
-    order = np.argsort(h, kind="stable")
-    h, ords, rids, pos = h[order], ords[order], rids[order], pos[order]
-    first, n = _runs(h)
+def _gathered(pdf: pd.DataFrame, decode):
+    """The hashes of a tile, each with the number of its row, its place and position; what only passes through; the marks."""
+    rows, through = pdf[pdf["hash"].notna()], pdf[pdf["hash"].isna() & pdf["who"].notna()]
+    none = np.empty(0, np.int64)
+    parts = [decode(x) for x in rows["hash"]]
+    who = [_unplanes(x) for x in rows["who"]]
+    pos = [_unsteps(w, x) for w, x in zip(who, rows["pos"])]
+    row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    out = [(r.bucket, r.who, r.pos) for r in through.itertuples()]
+    marks = np.unique(np.concatenate([unpack48(x) for x in pdf["marks"].dropna()] or [np.empty(0, np.uint64)]))
+    return rows, np.concatenate(parts or [np.empty(0, np.uint64)]), row, np.concatenate(who or [none]), np.concatenate(pos or [none]), out, marks
+
+
+def _back(rows: pd.DataFrame, keep: np.ndarray, row, who, pos, out: list) -> pd.DataFrame:
+    """One row a bucket of what is kept; rows of a tile are in order of place and position already."""
+    buckets, row, who, pos = rows["bucket"].to_numpy(), row[keep], who[keep], pos[keep]
+    out += [(buckets[row[a]], _planes(who[a:b]), _steps(who[a:b], pos[a:b])) for a, b in _bounds(row)]
+    return pd.DataFrame(out, columns=["bucket", "who", "pos"])
+
+
+def _shared_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
+    rows, h, row, who, pos, out, marks = _gathered(pdf, unpack48)
+    keep = np.zeros(len(h), bool)
     if len(h):
-        several = np.repeat(np.minimum.reduceat(ords, first) != np.maximum.reduceat(ords, first), n) | np.isin(h, marks)
-        ords, rids, pos = ords[several], rids[several], pos[several]
-    return _by_bucket(*(np.r_[a, b] for a, b in zip((ords, rids, pos), known)), n_buckets)
+        order = np.argsort(h, kind="stable")
+        first, n = _runs(h[order])
+        doc = (row[order] << 32) | who[order]
+        keep[order] = np.repeat((np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)) | np.isin(h[order][first], marks), n)
+    return _back(rows, keep, row, who, pos, out)
+
+
+def _positions(found: pd.DataFrame) -> dict[int, np.ndarray]:
+    """Positions by the place of each document of a bucket."""
+    if not len(found):
+        return {}
+    who = [_unplanes(x) for x in found["who"]]
+    pos = np.concatenate([_unsteps(w, x) for w, x in zip(who, found["pos"])])
+    who = np.concatenate(who)
+    order = np.argsort(who, kind="stable")
+    who, pos = who[order], pos[order]
+    return {int(who[a]): pos[a:b] for a, b in _bounds(who)}
 
 
 def _windows(n_tiles: int):
     """Of one bucket of documents, the windows around its shared anchors, dealt by hash."""
 
     def run(docs: pd.DataFrame, anchors: pd.DataFrame) -> pd.DataFrame:
-        near_of, held = _positions(anchors), _Batch()
-        for o, r, t in zip(docs["ord"].tolist(), docs["rid"].tolist(), docs["text"].tolist()) if near_of else ():
-            if (o, r) not in near_of:
-                continue
-            h = window_hashes(word_hashes(words(t, lower=False)), WINDOW)
+        near_of, hashes, who, pos = _positions(anchors), [], [], []
+        docs = _placed(docs)
+        for i in sorted(near_of):
+            h = window_hashes(word_hashes(words(docs["text"].iat[i], lower=False)), WINDOW)
             near = np.zeros(len(h) + WINDOW, bool)
-            for pos in near_of[o, r]:
-                for back in range(PERIOD):
-                    near[np.maximum(pos - back, 0)] = True
+            for back in range(PERIOD):
+                near[np.maximum(near_of[i] - back, 0)] = True
             starts = np.flatnonzero(near[: len(h)])
-            held.add(o, r, h[starts], starts)
-        if not held.ord:
-            return pd.DataFrame(columns=_TILE.names)
-        ords, rids, h, who, pos = held.take()
+            hashes.append(h[starts])
+            who.append(np.full(len(starts), i))
+            pos.append(starts)
+        if not hashes:
+            return pd.DataFrame(columns=_NAMES)
+        h, who, pos = (np.concatenate(x) for x in (hashes, who, pos))
         # a bucket settles its own repeats: what a smaller document of it holds needs no other
-        mine = ords[who]
-        order = np.lexsort((mine, h))
+        ords = docs["ord"].to_numpy()[who]
+        order = np.lexsort((ords, h))
         first, n = _runs(h[order])
         later = np.zeros(len(h), bool)
-        if len(h):
-            later[order] = mine[order] > np.repeat(mine[order][first], n)
-        tile = (mix(h) % np.uint64(n_tiles)).astype(np.int64)
-        tile[later] = -1
-        rows = _rows(ords, rids, n_tiles, tile, lambda a: h[a].tobytes(), who, pos, who[later], rids[who[later]].view(np.uint64) % np.uint64(n_tiles), pos[later], np.empty(0, np.uint64))
-        return pd.DataFrame(list(rows), columns=_TILE.names)
+        later[order] = ords[order] > np.repeat(ords[order][first], n)
+        one = ~later
+        return _dealt(int(docs["bucket"].iloc[0]), n_tiles, h[one], who[one], pos[one], lambda x: x.tobytes(), (who[later], pos[later]), np.empty(0, np.uint64), ords[one])
 
     return run
 
 
-def _repeated_windows(pdf: pd.DataFrame, n_buckets: int) -> pd.DataFrame:
-    (h, ords, rids, pos), known, _ = _gather(pdf, lambda raw: np.frombuffer(raw, np.uint64))
-    order = np.argsort(h, kind="stable")
-    h, ords, rids, pos = h[order], ords[order], rids[order], pos[order]
-    first, n = _runs(h)
+def _repeated_windows(pdf: pd.DataFrame) -> pd.DataFrame:
+    rows, h, row, who, pos, out, _ = _gathered(pdf, lambda raw: np.frombuffer(raw, np.uint64))
+    keep = np.zeros(len(h), bool)
     if len(h):
-        later = ords > np.repeat(np.minimum.reduceat(ords, first), n)
-        ords, rids, pos = ords[later], rids[later], pos[later]
-    return _by_bucket(*(np.r_[a, b] for a, b in zip((ords, rids, pos), known)), n_buckets)
+        ords = np.concatenate([_uneights(x) for x in rows["ords"]])
+        order = np.argsort(h, kind="stable")
+        first, n = _runs(h[order])
+        keep[order] = ords[order] > np.repeat(np.minimum.reduceat(ords[order], first), n)
+    return _back(rows, keep, row, who, pos, out)
 
 
 def covered(n_words: int, starts: np.ndarray) -> np.ndarray:
@@ -252,11 +236,12 @@ def _result(with_text: bool):
 
     def run(docs: pd.DataFrame, repeats: pd.DataFrame) -> pd.DataFrame:
         found, rows = _positions(repeats), []
-        for o, r, t in zip(docs["ord"].tolist(), docs["rid"].tolist(), docs["text"].tolist()):
+        docs = _placed(docs)
+        for i, (o, t) in enumerate(zip(docs["ord"].tolist(), docs["text"].tolist())):
             ws, gone = words(t, lower=False), 0
             n = len(ws)
-            if (o, r) in found:
-                out = covered(n, np.concatenate(found[o, r]))
+            if i in found:
+                out = covered(n, found[i])
                 ws, gone = [w for w, x in zip(ws, out) if not x], int(out.sum())
             kept = b" ".join(ws)
             rows.append((None if o == _LAST else o, n, gone, kept.decode("utf-8", "surrogatepass") if with_text else hashlib.sha256(kept).hexdigest()))
@@ -268,13 +253,13 @@ def _result(with_text: bool):
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (the kept words joined by one space) or its kept_sha256, for every row."""
     bounded_batches(docs)
-    n_tiles = tiles_for(text_bytes(docs, text), TILE_BYTES)
-    n_buckets = 2 * n_tiles
+    total = text_bytes(docs, text)
+    n_tiles, n_buckets = tiles_for(total, TILE_BYTES), tiles_for(total, BUCKET_BYTES)
     src = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("ord"), F.col(text).alias("text")).withColumn("rid", F.xxhash64("ord", "text"))
-    whole = src.withColumn("bucket", F.pmod("rid", F.lit(n_buckets)).cast("int"))
-    anchors = src.mapInArrow(_anchors(n_tiles), _TILE_SQL).repartition(n_tiles, "tile").groupBy("tile").applyInPandas(lambda pdf: _shared_anchors(pdf, n_buckets), _FOUND)
-    around = whole.groupBy("bucket").cogroup(anchors.groupBy("bucket")).applyInPandas(_windows(n_tiles), _TILE_SQL)
-    windows = around.repartition(n_tiles, "tile").groupBy("tile").applyInPandas(lambda pdf: _repeated_windows(pdf, n_buckets), _FOUND)
+    whole = src.withColumn("bucket", F.pmod("rid", F.lit(n_buckets)).cast("int")).repartition(min(n_buckets, MOST_PARTITIONS), "bucket")
+    tiled = lambda df, run: df.repartition(min(n_tiles, MOST_PARTITIONS), "tile").groupBy("tile").applyInPandas(run, _FOUND)
+    anchors = tiled(whole.groupBy("bucket").applyInPandas(_anchors(n_tiles), _TILE_SQL), _shared_anchors)
+    windows = tiled(whole.groupBy("bucket").cogroup(anchors.groupBy("bucket")).applyInPandas(_windows(n_tiles), _TILE_SQL), _repeated_windows)
     run, schema = _result(with_text)
     return whole.groupBy("bucket").cogroup(windows.groupBy("bucket")).applyInPandas(run, schema)
 
