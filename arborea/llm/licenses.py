@@ -14,7 +14,8 @@ directory; a document without a licence of its own takes that of its nearest anc
 
 Defined cases: a null or empty text has no block; a null path counts as an empty one, in the root directory; ties of a block go to the
 first template by name, ties of a document to the first licence by name, ties of a directory to the first path
-by name; rows with one path are one file; repeated rows each get a row; an empty table gives an empty result; other columns are left alone.
+by name; rows with one path are one file; repeated rows each get a row; texts of any length are scanned whole; an empty table gives an
+empty result; other columns, whatever their names, are left alone. A line is compared only if it holds a cue.
 """
 
 from __future__ import annotations
@@ -27,21 +28,37 @@ from .common import Scratch
 
 # fixed values: licence, kind of template, text
 TEMPLATES = [
+    ("AGPL-3.0", "header", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License, either version 3 of the License"),
     ("Apache-2.0", "header", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "notice", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("BSD-2-Clause", "header", "Licensed under the BSD 2-Clause License, the simplified BSD license."),
     ("BSD-3-Clause", "header", "Use of this source code is governed by a BSD-style license. Licensed under the BSD 3-Clause License."),
     ("BSD-3-Clause", "notice", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("CC-BY-4.0", "header", "Licensed under CC BY 4.0. Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "header", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "notice", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-SA-4.0", "header", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "notice", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC0-1.0", "header", "Dedicated to the public domain under the Creative Commons CC0 1.0 Universal license."),
+    ("EPL-2.0", "header", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("GPL-2.0", "header", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "notice", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
     ("GPL-3.0", "header", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, either version 3 of the License"),
+    ("ISC", "header", "Released under the ISC License."),
+    ("ISC", "notice", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("LGPL-2.1", "notice", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License; either version 2.1 of the License"),
+    ("LGPL-3.0", "header", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "notice", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, either version 3 of the License"),
     ("MIT", "header", "Released under the MIT License."),
     ("MIT", "notice", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "header", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("Unlicense", "header", "This is free and unencumbered software released into the public domain, the Unlicense."),
+    ("Unlicense", "notice", "This is free and unencumbered software released into the public domain."),
 ]
 # fixed values: a block holds one of these, in lower case
-CUES = ["licens", "licenc", "copyright", "spdx", "permission is hereby", "redistribut", "creative commons"]
+CUES = ["licens", "licenc", "copyright", "spdx", "permission is hereby", "permission to use", "redistribut", "creative commons", "public domain"]
 #: Share of GPL-3.0 that a text with Affero in its first 300 characters holds.
 AFFERO_HELD = 0.7
 WORD = r"[^a-z0-9.+-]+"
