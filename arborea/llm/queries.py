@@ -5,15 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, jaccard, licenses, pii, quality, substring_dedup, warc
+from . import collocations, divergence, exact_dedup, jaccard, licenses, pii, quality, substring_dedup, warc
+from .best_fit import pack_best_fit
 from .bpe import encoding_digests
 from .jaccard import jaccard_components
 from .licenses import license_scan
 from .neighbours import nearest
 from .packing import pack_documents
 
-#: Public tokenizer file; every operator takes the path as a parameter.
-VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+#: Public tokenizer files; every operator takes the path as a parameter.
+VOCABULARY, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,5 +63,17 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(docs.withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_nearest_neighbours, op3_exact_dedup, op4_warc, op5_bpe, op6_substring_dedup, op7_packing, op8_pii, op9_quality, op10_license_scan)}
-ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": jaccard.ORACLE_SQL, "op3_exact_dedup": exact_dedup.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL, "op10_license_scan": licenses.ORACLE_SQL, "op6_substring_dedup": substring_dedup.ORACLE_SQL}
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_best_fit(_table(spark, sf_dir, "documents"), BYTES)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_nearest_neighbours, op3_exact_dedup, op4_warc, op5_bpe, op6_substring_dedup, op7_packing, op8_pii, op9_quality, op10_license_scan, op11_best_fit_packing, op12_source_divergence, op13_collocations)}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": jaccard.ORACLE_SQL, "op3_exact_dedup": exact_dedup.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL, "op10_license_scan": licenses.ORACLE_SQL, "op6_substring_dedup": substring_dedup.ORACLE_SQL, "op12_source_divergence": divergence.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL}
