@@ -12,7 +12,7 @@ Supported files: BPE over the byte alphabet with an end-of-word suffix, NFC, whi
 decoder (tokens are joined by one space). Special tokens are found in the raw text, as the file asks.
 
 Defined cases: a null text counts as empty and has no ids; ids of repeated rows repeat; a null doc_id stays null; a very long text is encoded
-whole, its ids in memory; other columns, whatever their names, are not looked at; an empty table gives an empty result.
+whole, its ids in memory; U+001C to U+001F are no white space, unlike in Python; other columns, whatever their names, are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -161,7 +161,7 @@ class Vocabulary:
             return b"".join(self.special[x].to_bytes(4, "little") if i % 2 else self.encode(x) for i, x in enumerate(parts))
         if text.isascii():
             text = text.lower()  # fewer distinct chunks
-        chunks = self.white.split(text) if _ODD_CONTROLS.search(text) else text.split()
+        chunks = filter(None, self.white.split(text)) if _ODD_CONTROLS.search(text) else text.split()
         return b"".join(map(self.cache.__getitem__, chunks))
 
     def decode(self, ids: bytes) -> str:
