@@ -2,10 +2,11 @@
 
 Vectors with equal components are one *class* (its six smallest identifiers stand for it, which is enough for five
 neighbours beside the query itself), so copies never crowd a graph. Classes are dealt to shards of bounded size by
-hash; a shard is as large as the cluster's parallelism allows, since every query searches every shard, and never larger than
-``MOST_ROWS``. In a shard the graph grows by batches: a greedy search from the medoid proposes neighbours, relaxed
-distance pruning keeps at most ``degree`` diverse edges, and each edge is offered in the other direction. The
-graphs are written to the shared folder; queries, in blocks as large as a shard, then run a beam search in every shard, and the
+hash; a shard is as large as a task's memory allows, since every query searches every shard, and small tables have some
+shards too, for the cores. In a shard the graph grows by batches: a greedy search from the medoid proposes neighbours, relaxed
+distance pruning keeps at most ``degree`` diverse edges, and each edge is offered in the other direction. Vectors of one direction and
+different length are different classes without a distance; of those a point keeps some, beside its diverse edges, and what is still out of
+reach of the start gets an edge of its own. The graphs are written to the shared folder; queries, in blocks as large as a shard, then run a beam search in every shard, and the
 best of all shards are kept. So a task holds one shard and as many queries, and what is sent between tasks is what such tiles need.
 Scores are exact: the cosine in double precision on the original vectors.
 
@@ -24,8 +25,10 @@ from .common import Scratch
 
 #: Edges of a node, width of the beam, relaxation of the pruning.
 DEGREE, BEAM, ALPHA = 24, 64, 1.2
-#: Classes from which a shard of its own pays; classes in a shard at most (memory); points of one step of a build.
-LEAST_ROWS, MOST_ROWS, STEP = 2048, 500_000, 256
+#: Classes from which a shard of its own pays, and shards up to which that decides; bytes of components in a shard at most; points of one step of a build.
+LEAST_ROWS, FEW_SHARDS, SHARD_BYTES, STEP = 2048, 64, 512 << 20, 256
+#: Squared distance of unit vectors (32 bits) of one direction, and edges that a point keeps to such vectors.
+SAME, SAME_EDGES = 1e-6, 8
 
 
 def _distances(x: np.ndarray, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -63,13 +66,18 @@ def beam_search(x: np.ndarray, edges: np.ndarray, start: int, q: np.ndarray, bea
 
 
 def robust_prune(x: np.ndarray, points: np.ndarray, cand: np.ndarray, degree: int, alpha: float) -> np.ndarray:
-    """Diverse edges of each point among its row of candidates (-1: none); rows of ``degree`` ids."""
+    """Diverse edges of each point among its row of candidates (-1: none); rows of ``degree`` ids.
+
+    A candidate in the point's own direction is as far from all others as the point, so it prunes none of them: a point keeps
+    ``SAME_EDGES`` such edges and then looks further."""
     cand = np.sort(np.where(cand == points[:, None], -1, cand), axis=1)
     cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
     here = np.maximum(cand, 0)
     d = np.where(cand < 0, np.inf, _distances(x, x[points], here))
     between = 2.0 - 2.0 * np.einsum("bcd,bed->bce", x[here], x[here], optimize=True)
     alive, out, rows = cand >= 0, np.full((len(points), degree), -1), np.arange(len(points))
+    same = d <= SAME
+    found_same = np.zeros(len(points), int)
     for k in range(degree):
         left = np.where(alive, d, np.inf)
         best = left.argmin(1)
@@ -78,8 +86,11 @@ def robust_prune(x: np.ndarray, points: np.ndarray, cand: np.ndarray, degree: in
             break
         out[some, k] = cand[rows, best][some]
         # squared distances: the relaxation enters squared
-        alive &= ~((alpha * alpha * between[rows, best] <= d) & some[:, None])
+        own = same[rows, best] & some
+        alive &= ~((alpha * alpha * between[rows, best] <= d) & (some & ~own)[:, None])
         alive[rows, best] = False
+        found_same += own
+        alive &= ~(same & (found_same >= SAME_EDGES)[:, None])
     return out
 
 
@@ -111,7 +122,34 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
                         place = np.arange(high)
                         offered = np.where(place < count[part, None], source[np.minimum(first[part, None] + place, len(source) - 1)], -1)
                         edges[who[part]] = robust_prune(x, who[part], np.c_[edges[who[part]], offered], degree, relax)
-    return edges, start
+    return connected(x, edges, start, beam), start
+
+
+def connected(x: np.ndarray, edges: np.ndarray, start: int, beam: int) -> np.ndarray:
+    """Edges with which every node is reached from the start: the first node of each part that isn't becomes a neighbour of the nearest node found."""
+    reached = np.zeros(len(x), bool)
+
+    def reach(node):
+        reached[node] = True
+        front = np.array([node])
+        while len(front):
+            front = np.unique(edges[front])
+            front = front[(front >= 0) & ~reached[np.maximum(front, 0)]]
+            reached[front] = True
+
+    reach(start)
+    while not reached.all():
+        node = int(np.argmin(reached))
+        found = beam_search(x, edges, start, x[node : node + 1], min(beam, len(x)))[0][0]
+        found = found[found >= 0]
+        free = (edges[found] < 0).any(1)
+        if not free.any():
+            edges = np.c_[edges, np.full(len(edges), -1)]
+            free[0] = True
+        by = int(found[free.argmax()])
+        edges[by, int(np.argmin(edges[by]))] = node
+        reach(node)
+    return edges
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -136,11 +174,11 @@ def _search(k: int):
             return pd.DataFrame({"query": [], "rep": [], "members": [], "score": []})
         graph = graph.sort_values("pos")
         raw, asked = _vectors(graph["embedding"]), _vectors(queries["embedding"])
-        x, q = _unit(raw), _unit(asked)
+        x, q = _unit(raw).astype(np.float32), _unit(asked).astype(np.float32)
         edges, reps, members = np.stack(graph["edges"].to_numpy()), graph["rep"].to_numpy(), graph["members"].to_numpy()
         norms, qn, ids, rows = np.linalg.norm(raw, axis=1), np.linalg.norm(asked, axis=1), queries["rep"].to_numpy(), []
         for a in range(0, len(q), 256):
-            found, _ = beam_search(x.astype(np.float32), edges, int(graph["start"].iloc[0]), q[a : a + 256].astype(np.float32), min(BEAM, len(x)))
+            found, _ = beam_search(x, edges, int(graph["start"].iloc[0]), q[a : a + 256], min(BEAM, len(x)))
             for i, f in enumerate(found, a):
                 f = f[f >= 0]
                 score = raw[f] @ asked[i] / (norms[f] * qn[i])
@@ -151,9 +189,9 @@ def _search(k: int):
     return run
 
 
-def shards_for(classes: int, parallelism: int) -> int:
-    """As few shards as keep the cluster busy and fit into memory."""
-    return max(1, -(-classes // MOST_ROWS), min(parallelism, classes // LEAST_ROWS))
+def shards_for(classes: int, dim: int) -> int:
+    """As few shards as fit into memory, but one for each ``LEAST_ROWS`` classes up to ``FEW_SHARDS``: the data decide alone, so every cluster finds the same."""
+    return max(1, -(-classes * 8 * max(1, dim) // SHARD_BYTES), min(FEW_SHARDS, classes // LEAST_ROWS))
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", n_shards: int | None = None) -> DataFrame:
@@ -166,8 +204,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, vec_id: str = "vec_
     src = src.filter(F.col("vec_id").isNotNull() & e.isNotNull() & fine & F.exists(e, lambda v: v != 0)).distinct()
     low = src.withColumn("n", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
     classes = scratch.write(low.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_list("vec_id")).alias("members")).withColumn("dim", F.size("embedding")), "classes")
-    n_classes = classes.count()
-    n_shards = n_shards or shards_for(n_classes, spark.sparkContext.defaultParallelism)
+    n_classes, dim = classes.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
+    n_shards = n_shards or shards_for(n_classes, dim)
     sharded = classes.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(n_shards)).cast("int"))
     graph = scratch.write(sharded.groupBy("dim", "shard").applyInPandas(_build, "embedding array<double>, rep long, members array<long>, dim int, shard int, pos int, start int, edges array<int>"), "graph")
 
