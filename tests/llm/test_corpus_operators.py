@@ -164,6 +164,16 @@ def test_bpe_equals_the_library(spark):
     assert np.frombuffer(got[1].ids, "<u4").tolist() == tk.encode(rows[1][1], add_special_tokens=False).ids
 
 
+def test_bpe_controls_beside_white_space():
+    """U+001C to U+001F are white space to Python alone."""
+    t, v, rnd = Tokenizer.from_file(PATH), bpe.vocabulary(PATH), random.Random(6)
+    white = ["", " ", "\n", "\t", "\x85", "\u2003"]
+    texts = [a + b + c + d + e for a in white for b in ("", "x") for c in "\x1c\x1d\x1e\x1f" for d in ("", "y") for e in white]
+    texts += ["".join(rnd.choice(" \n\t\x1c\x1d\x1f\x85ab.Éé\u0301") for _ in range(rnd.randint(0, 12))) for _ in range(50_000)]
+    for text, e in zip(texts, t.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(v.encode(text), "<u4").tolist() == e.ids, repr(text)
+
+
 def test_bpe_every_code_point():
     """Letters, digits, cases and compositions are those of the library, whatever Unicode version either has."""
     v, tk = bpe.vocabulary(PATH), Tokenizer.from_file(PATH)
@@ -248,7 +258,39 @@ def test_nearest_over_shards(spark, monkeypatch):
     for r in got:
         found.setdefault(r.query_id, set()).add(r.vec_id)
     assert np.mean([len(found[2 * i] & set(w)) / 5 for i, w in enumerate(want.tolist())]) >= 0.9
-    assert neighbours.shards_for(10**9, 4000) == 4000 and neighbours.shards_for(10**10, 4000) == 20_000 and neighbours.shards_for(100, 8) == 1
+    assert neighbours.shards_for(100, 8) == 1 and neighbours.shards_for(10_000, 64) == 4 and neighbours.shards_for(10**6, 64) == 64 and neighbours.shards_for(10**9, 768) == 11_445
+
+
+@pytest.mark.parametrize("kind", ["scaled copies", "forty directions", "one direction"])
+def test_equal_directions(spark, kind):
+    """Vectors of one direction and many lengths: what is found is as near as what brute force finds."""
+    rnd = np.random.default_rng(3)
+    if kind == "scaled copies":
+        x = np.r_[rnd.normal(size=(1500, 32)), rnd.normal(size=32) * rnd.uniform(0.1, 9, (500, 1))]
+    elif kind == "forty directions":
+        x = rnd.normal(size=(40, 32))[rnd.integers(0, 40, 2000)] * rnd.uniform(0.1, 9, (2000, 1))
+    else:
+        x = rnd.normal(size=32) * rnd.uniform(0.1, 9, (2000, 1))
+    x = x.astype(np.float32)[rnd.permutation(len(x))]
+    got = neighbours.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
+    y = x.astype(float)
+    norm, hits = np.linalg.norm(y, axis=1), 0
+    for q in range(0, 2000, 50):
+        s = y @ y[q] / (norm * norm[q])
+        s[q] = -9
+        mine = [r.score for r in got if r.query_id == q]
+        assert len(mine) == 5
+        hits += sum(v >= np.sort(s)[-5] - 1e-9 for v in mine)
+    assert hits / 200 >= 0.9
+
+
+def test_every_node_is_reached():
+    x = np.eye(6, dtype=np.float32)
+    edges = neighbours.connected(x, np.full((6, 2), -1), 0, 4)
+    seen = {0}
+    while new := {int(e) for n in seen for e in edges[n] if e >= 0} - seen:
+        seen |= new
+    assert seen == set(range(6))
 
 
 def test_warc(spark, tmp_path):
