@@ -4,11 +4,12 @@ All counts come from one table of longest windows. A window is a word with up to
 are counted once, and Spark's ROLLUP over their columns sums the shorter prefixes: the count of a phrase is the sum over the windows that
 begin with it, so no shorter n-grams are ever exploded.
 
-Only phrases of ``LEAST`` occurrences matter, and every part of such a phrase is as frequent. A first pass therefore adds up words and pairs
-of words in cells of a hashed table of fixed size, one byte each and no higher than ``LEAST``: what falls into a cell below ``LEAST`` is
-infrequent for certain. The second pass ends a window before an infrequent pair (such a window begins no frequent longer phrase) and gives
-infrequent first words one common window without a word, which is counted in n alone. The cells decide only how many windows are shuffled,
-never a result. There are ``WORDS_A_CELL`` words to a cell up to ``MOST_CELLS``; far beyond, the cells fill up and more windows travel.
+Only phrases of ``LEAST`` occurrences matter, and every part of such a phrase is as frequent. Two passes therefore add up, in cells of a hashed
+table of fixed size, one byte each and no higher than ``LEAST``, first words and pairs of words, then the longer phrases all of whose pairs fell
+into frequent cells: what falls into a cell below ``LEAST`` is infrequent for certain. The last pass ends a window where its words so far
+become infrequent (it begins no frequent longer phrase) and gives infrequent first words one common window without a word, which is counted in n
+alone. The cells decide only how many windows are shuffled, never a result. There are ``WORDS_A_CELL`` words to a cell up to ``MOST_CELLS``; far
+beyond, the cells fill up and more windows travel. Windows of each length have a ROLLUP of their own, over the columns that they fill.
 
 Defined cases: a null text counts as empty, a null language as ``und``; repeated rows count each; a very long text is read in slices that
 end where pieces end; ties go to the smallest cut and, in the ranking, to the more frequent phrase and then the
@@ -28,7 +29,7 @@ from .common import Scratch, bounded_batches, mix, sub_batches, text_bytes
 
 #: Occurrences of a phrase that counts, words of the longest one, phrases listed for a language.
 LEAST, LONGEST, LISTED = 100, 5, 2_000
-#: Cells of the hashed table and the parts in which it travels; MOST_CELLS bounds a task's memory (bytes) and what is broadcast (an eighth).
+#: Cells of the hashed table (powers of two, eight or more a part) and the parts in which it travels; MOST_CELLS bounds a task's memory (bytes) and what is broadcast (an eighth).
 WORDS_A_CELL, LEAST_CELLS, MOST_CELLS, SEGMENTS = 16, 1 << 16, 1 << 28, 256
 #: Characters of text at a time, words of a task's dictionary, windows held before they are counted.
 SLICE, MOST_WORDS, HELD = 4_000_000, 1 << 20, 2_000_000
@@ -61,11 +62,50 @@ class Words(dict):
         return found[found > 0]
 
 
-def _cells(words: Words, lang: str, ids: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cell of each word, and of each word with the next; undefined next to the end of a piece."""
-    h = words.hashes[ids] ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8")))
-    low = np.uint64(cells - 1)
-    return mix(h) & low, mix(h[:-1] * _PAIR + h[1:]) & low
+class _Text:
+    """Words of a text as numbers, and the cells of its phrases."""
+
+    def __init__(self, words: Words, lang: str, text: bytes, cells: int):
+        self.ids = words.numbers(text)
+        self.hash = words.hashes[self.ids] ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8")))
+        self.word, self.low = self.ids > 1, np.uint64(cells - 1)
+
+    def cells(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Cells of the phrases of some length that begin at the places ``at``."""
+        h = self.hash[at].copy()
+        for k in range(1, length):
+            h = h * _PAIR + self.hash[at + k]
+        return mix(h + np.uint64(length)) & self.low
+
+    def places(self, joined: np.ndarray, length: int) -> np.ndarray:
+        """Where a phrase of that length has all its pairs in ``joined`` (whether a word and the next may stand together)."""
+        n = len(self.ids) - length + 1
+        if n <= 0:
+            return np.zeros(0, np.int64)
+        good = joined[:n].copy()
+        for k in range(1, length - 1):
+            good &= joined[k : n + k]
+        return np.flatnonzero(good)
+
+    def frequent_pairs(self, bits: Bits) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each word is frequent, and each with the next."""
+        good, joined = np.zeros(len(self.ids), bool), np.zeros(len(self.ids), bool)
+        at = np.flatnonzero(self.word)
+        good[at] = bits.frequent(self.cells(at, 1))
+        at = self.places(good, 2)
+        at = at[good[at + 1]]
+        joined[at] = bits.frequent(self.cells(at, 2))
+        return good, joined
+
+
+class Bits:
+    """A bit for every cell: set where ``LEAST`` occurrences or more fell into it."""
+
+    def __init__(self, raw: bytes):
+        self.raw = np.frombuffer(raw, np.uint8)
+
+    def frequent(self, cell: np.ndarray) -> np.ndarray:
+        return (self.raw[cell >> np.uint64(3)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
 def _slices(batch, most: int):
@@ -82,24 +122,29 @@ def _slices(batch, most: int):
             yield lang, b"\n".join(own[a:b])
 
 
-def _sketch(cells: int):
+def _sketch(cells: int, pairs=None):
+    """Cells of words and pairs, or, given the bits of those, of longer phrases."""
     each = cells // SEGMENTS
 
     def run(batches):
-        words, found = Words(), np.zeros(cells, np.uint8)
+        words, found, bits = Words(), np.zeros(cells, np.uint8), pairs and Bits(pairs.value)
         for batch in batches:
             for lang, text in _slices(batch, SLICE):
-                ids = words.numbers(text)
-                one, two = _cells(words, lang, ids, cells)
-                within = ids > 1
-                for hit in (one[within], two[within[:-1] & within[1:]]):
+                t = _Text(words, lang, text, cells)
+                if bits:
+                    _, joined = t.frequent_pairs(bits)
+                    hits = [t.cells(t.places(joined, k), k) for k in range(3, LONGEST + 1)]
+                else:
+                    at = t.places(t.word, 2)
+                    hits = [t.cells(np.flatnonzero(t.word), 1), t.cells(at[t.word[at + 1]], 2)]
+                for hit in hits:
                     at, n = np.unique(hit, return_counts=True)
                     found[at] = np.minimum(LEAST, found[at] + np.minimum(n, LEAST))
                 if len(words) > MOST_WORDS:
                     words = Words()
-        used = [i for i in range(SEGMENTS) if found[i * each : (i + 1) * each].any()]
-        for i in used:
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([i], pa.int32()), "cells": pa.array([found[i * each : (i + 1) * each].tobytes()], pa.binary())})
+        for i in range(SEGMENTS):
+            if found[i * each : (i + 1) * each].any():
+                yield pa.RecordBatch.from_pydict({"segment": pa.array([i], pa.int32()), "cells": pa.array([found[i * each : (i + 1) * each].tobytes()], pa.binary())})
 
     return run
 
@@ -152,10 +197,9 @@ class _Windows:
         return np.concatenate([rows[order[begins]], alone]), counts
 
 
-def _window_counts(cells: int, frequent):
+def _window_counts(cells: int, pairs, longer):
     def run(batches):
-        bits = np.frombuffer(frequent.value, np.uint8)
-        of = lambda cell: (bits[cell >> np.uint64(3)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8))) & 1
+        of_pairs, of_longer = Bits(pairs.value), Bits(longer.value)
         words, windows = Words(), {}
 
         def flush():
@@ -172,15 +216,14 @@ def _window_counts(cells: int, frequent):
 
         for batch in batches:
             for lang, text in _slices(batch, SLICE):
-                ids = words.numbers(text)
-                one, two = _cells(words, lang, ids, cells)
-                within = ids > 1
-                good = within & (of(one) > 0)
-                joined = np.r_[good[:-1] & good[1:] & (of(two) > 0), False] if len(ids) else good
-                run_on = np.zeros(len(ids) + 1, np.int8)
-                for _ in range(LONGEST - 1):
-                    run_on[:-1] = joined * (1 + run_on[1:])
-                windows.setdefault(lang, _Windows()).add(ids, good * (1 + run_on[:-1]))
+                t = _Text(words, lang, text, cells)
+                good, joined = t.frequent_pairs(of_pairs)
+                length = good.astype(np.int8) + joined
+                for k in range(3, LONGEST + 1):
+                    at = t.places(joined, k)
+                    at = at[length[at] == k - 1]
+                    length[at] += of_longer.frequent(t.cells(at, k))
+                windows.setdefault(lang, _Windows()).add(t.ids, length)
                 if len(words) > MOST_WORDS or sum(w.held for w in windows.values()) > HELD:
                     yield from flush()
                     words, windows = Words(), {}
@@ -191,24 +234,33 @@ def _window_counts(cells: int, frequent):
 
 def ngram_counts(src: DataFrame, scratch: Scratch) -> DataFrame:
     """lang, words (0 for the language as a whole), phrase, f: how often every frequent phrase of up to ``LONGEST`` words occurs."""
-    spark = src.sparkSession
     cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << max(0, (text_bytes(src) // 6 // WORDS_A_CELL)).bit_length()))
-    bits = src.mapInArrow(_sketch(cells), "segment int, cells binary").repartition("segment").mapInArrow(_sum_cells, "segment int, bits binary")
+    pairs = _frequent(src, cells)
+    longer = _frequent(src, cells, pairs)
+    windows = scratch.write(src.mapInArrow(_window_counts(cells, pairs, longer), "lang string, " + ", ".join(f"{w} string" for w in _COLUMNS) + ", n long"), "windows")
+    # what is padded at a window's last column is no phrase of that length
+    filled = sum((F.col(w) != "").cast("int") for w in _COLUMNS)
+    found = None
+    for k in range(1, LONGEST + 1):
+        rolled = windows.filter(filled <= 1 if k == 1 else filled == k).rollup("lang", *_COLUMNS[:k]).agg(F.sum("n").alias("f"), F.grouping_id().alias("rolled"))
+        # each column that is summed over is a bit of ``rolled``, the last column the lowest
+        words = None
+        for m in range(k + 1):
+            here = F.col("rolled") == (1 << (k - m)) - 1
+            here = here & (F.col(_COLUMNS[0]) != "") if m else here
+            words = F.when(here, m) if words is None else words.when(here, m)
+        part = rolled.withColumn("words", words).filter("words is not null").select("lang", "words", F.concat_ws(" ", *_COLUMNS[:k]).alias("phrase"), "f")
+        found = part if found is None else found.unionByName(part)
+    return scratch.write(found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).filter((F.col("words") == 0) | (F.col("f") >= LEAST)), "grams")
+
+
+def _frequent(src: DataFrame, cells: int, pairs=None):
+    """The bits of ``_sketch``, broadcast: MOST_CELLS / 8 bytes at most."""
+    bits = src.mapInArrow(_sketch(cells, pairs), "segment int, cells binary").repartition("segment").mapInArrow(_sum_cells, "segment int, bits binary")
     whole = bytearray(cells // 8)
-    for r in bits.collect():  # at most MOST_CELLS / 8 bytes in all
+    for r in bits.collect():
         whole[r.segment * len(whole) // SEGMENTS : (r.segment + 1) * len(whole) // SEGMENTS] = r.bits
-    frequent = spark.sparkContext.broadcast(bytes(whole))
-    windows = src.mapInArrow(_window_counts(cells, frequent), "lang string, " + ", ".join(f"{w} string" for w in _COLUMNS) + ", n long")
-    rolled = windows.rollup("lang", *_COLUMNS).agg(F.sum("n").alias("f"), F.grouping_id().alias("rolled"))
-    # a rolled-up column is a bit of ``rolled``; what is padded at its last column is no phrase of that length
-    out = None
-    for k in range(LONGEST + 1):
-        named = F.col("rolled") == (1 << (LONGEST - k)) - 1
-        if k:
-            named &= (F.col(_COLUMNS[k - 1]) != "") & (F.col("f") >= LEAST)
-        out = F.when(named, k) if out is None else out.when(named, k)
-    # the last column isn't empty, so none before it is
-    return scratch.write(rolled.withColumn("words", out).filter("words is not null").select("lang", "words", F.concat_ws(" ", *_COLUMNS).alias("phrase"), "f"), "grams")
+    return src.sparkSession.sparkContext.broadcast(bytes(whole))
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", listed: int = LISTED) -> DataFrame:
