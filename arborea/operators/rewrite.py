@@ -145,36 +145,6 @@ def freed_leaves(tree: DataFrame, selection: DataFrame) -> DataFrame:
     return leaf.join(chosen, ["doc_id", "anc"], "left_semi").select("doc_id", "page", "mcid").distinct()
 
 
-def wrap_plan(tree: DataFrame, selection: DataFrame) -> DataFrame:
-    """doc_id, how, node_id, first, last: how the selected leaves of a document get a tag of their own.
-
-    'relabel': they are all leaves of one element, which takes the role. 'split': they are neighbours among the children of one element that
-    may be divided; what lies before and after stays in elements beside the new one. 'around': a new element goes where the first of
-    them is in the lowest element that holds all. 'pages': they lie on several pages, which is refused. first and last: positions
-    among the children of node_id."""
-    from .structure import undivided
-
-    chosen = selection.select("doc_id", "node_id").distinct().withColumn("chosen", F.lit(True))
-    at = F.row_number().over(Window.partitionBy("doc_id", "parent_id").orderBy("ord", "node_id")) - 1
-    leaf = t.with_page(tree).withColumn("i", at).join(chosen, ["doc_id", "node_id"], "left")
-    up = t.nearest(lambda s: F.lit(True))
-    own = leaf.filter("chosen AND type = 'content'").withColumn("up", up)
-    total = own.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("parent_id").alias("n_up"), F.countDistinct(F.coalesce("page", F.lit(-1))).alias("n_pages"), F.min("i").alias("first"), F.max("i").alias("last"), F.min("parent_id").alias("parent"), F.first("up").alias("up"))
-    held = own.select("doc_id", F.explode("path").alias("s")).groupBy("doc_id", F.col("s.node_id").alias("anc")).agg(F.count("*").alias("inside"))
-    sums = t.below(tree, t.is_content()).groupBy("doc_id", "anc").agg(F.count("*").alias("leaves"))
-    facts = tree.select("doc_id", F.col("node_id").alias("anc"), F.col("type").alias("anc_type"), F.col("depth").alias("anc_depth"))
-    held = held.join(sums, ["doc_id", "anc"]).join(facts, ["doc_id", "anc"]).join(total.select("doc_id", "n"), "doc_id").filter("inside = n")
-    # the element with exactly these leaves (the topmost), and the lowest that holds them all
-    exact = held.filter("leaves = n AND anc_type = 'element'").groupBy("doc_id").agg(F.min_by("anc", "anc_depth").alias("exact"))
-    lowest = held.groupBy("doc_id").agg(F.max_by("anc", "anc_depth").alias("lowest"))
-    d = total.join(exact, "doc_id", "left").join(lowest, "doc_id")
-    near = (F.col("n_up") == 1) & (F.col("last") - F.col("first") + 1 == F.col("n")) & (F.col("up.type") == "element") & ~undivided(F.col("up.role"))
-    how = F.when(F.col("n_pages") > 1, "pages").when(F.col("exact").isNotNull(), "relabel").when(near, "split").otherwise("around")
-    node = F.when(F.col("n_pages") > 1, None).when(F.col("exact").isNotNull(), F.col("exact")).when(near, F.col("parent")).otherwise(F.col("lowest"))
-    span = lambda c: F.when((F.col("n_pages") == 1) & F.col("exact").isNull() & near, F.col(c)).cast("int").alias(c)
-    return d.select("doc_id", how.alias("how"), node.alias("node_id"), span("first"), span("last"))
-
-
 def move_to_front(tree: DataFrame, selection: DataFrame) -> DataFrame:
     """The selected nodes, as a block in their order, before their other siblings."""
     s = tree.join(selection.withColumn("chosen", F.lit(True)), ["doc_id", "node_id"], "left")

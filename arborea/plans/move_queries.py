@@ -51,15 +51,6 @@ def _chosen(x_):
     return x_.join(low, "doc_id").filter(_CHOSEN).select("doc_id", "node_id")
 
 
-on_tree("wrap_plan", lambda x_, _: r.wrap_plan(x_, _chosen(x_)), f""", low AS (SELECT doc_id, min(floor(node_id / 64)) AS low FROM tree WHERE type = 'content' GROUP BY doc_id), sibs AS (SELECT *, row_number() OVER (PARTITION BY doc_id, parent_id ORDER BY ord, node_id) - 1 AS i FROM tree), c AS (SELECT sibs.* FROM sibs JOIN low USING (doc_id) WHERE {_CHOSEN}),
- d AS (SELECT c.doc_id, count(*) AS n, count(DISTINCT c.parent_id) AS n_up, count(DISTINCT coalesce(c.page, -1)) AS n_pages, min(i) AS lo, max(i) AS hi, min(c.parent_id) AS parent FROM c GROUP BY c.doc_id),
- h AS (SELECT a.doc_id, a.anc, count(*) AS leaves, count(*) FILTER (c.node_id IS NOT NULL) AS inside FROM anc a LEFT JOIN c ON c.doc_id = a.doc_id AND c.node_id = a.node_id WHERE a.type IN ('content', 'object-ref') GROUP BY ALL),
- e AS (SELECT h.*, t.depth, t.type FROM h JOIN tree t ON t.doc_id = h.doc_id AND t.node_id = h.anc JOIN d ON d.doc_id = h.doc_id AND h.inside = d.n),
- f AS (SELECT doc_id, min_by(anc, depth) FILTER (leaves = inside AND type = 'element') AS exact, max_by(anc, depth) AS lowest FROM e GROUP BY doc_id),
- g AS (SELECT d.*, exact, lowest, n_up = 1 AND hi - lo + 1 = n AND u.type = 'element' AND u.role NOT IN ('Table', 'THead', 'TBody', 'TFoot', 'TR', 'TD', 'TH', 'L', 'LI', 'Lbl', 'LBody', 'TOC', 'TOCI') AS near FROM d JOIN f USING (doc_id) JOIN tree u ON u.doc_id = d.doc_id AND u.node_id = d.parent)
- SELECT doc_id, CASE WHEN n_pages > 1 THEN 'pages' WHEN exact IS NOT NULL THEN 'relabel' WHEN near THEN 'split' ELSE 'around' END AS how, CASE WHEN n_pages > 1 THEN NULL WHEN exact IS NOT NULL THEN exact WHEN near THEN parent ELSE lowest END AS node_id,
-  CASE WHEN n_pages = 1 AND exact IS NULL AND near THEN CAST(lo AS INT) END AS first, CASE WHEN n_pages = 1 AND exact IS NULL AND near THEN CAST(hi AS INT) END AS last FROM g""")
-
 # list items
 _LABELLED = LEAF_TEXT.replace("ELSE p_name END AS text", "WHEN ln % 3 = 0 THEN '2.' WHEN ln % 3 = 1 THEN ' • ' || p_name ELSE p_name END AS text")
 _DEALT = """under AS (SELECT i.doc_id, i.node_id AS item, c.node_id AS leaf_id, l.text, row_number() OVER (PARTITION BY i.doc_id, i.node_id ORDER BY c.pre) AS no FROM {0} i JOIN tree c ON c.doc_id = i.doc_id AND c.pre >= i.pre AND c.pre <= i.last_pre AND c.type = 'content' LEFT JOIN leaf_text l ON l.doc_id = c.doc_id AND l.node_id = c.node_id),
