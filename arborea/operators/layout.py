@@ -100,12 +100,15 @@ def change_marks(changes: DataFrame, runs: DataFrame) -> DataFrame:
     return gone.unionByName(bar)
 
 
-def figure_sources(regions: DataFrame, pairs: DataFrame) -> DataFrame:
-    """region_id, leaf_id: the picture a dragged region means, the one that overlaps it most, by at least ``SAME`` of the smaller area;
-    null: the region itself is the figure. Regions without area are refused. pairs: see ``region_overlaps``."""
-    area = regions.select("region_id", (F.col("width") * F.col("height")).alias("own")).filter("own > 0")
-    fit = pairs.join(area, "region_id").filter(F.col("area") >= SAME * F.least("own", "whole"))
-    best = fit.groupBy("region_id").agg(F.min_by("leaf_id", F.struct(-F.col("area"), F.col("leaf_id"))).alias("leaf_id"))
+def figure_sources(regions: DataFrame, pairs: DataFrame, pages: DataFrame) -> DataFrame:
+    """region_id, leaf_id: the picture a dragged region means, the one whose overlap is the largest share of the smaller area, by at least ``SAME``; null: the
+    region itself is the figure. Regions without area are refused; a picture of ``BACKGROUND`` of its page's area is its scan, not a
+    figure. pairs: see ``region_overlaps``; pages: page and its sides."""
+    area = regions.select("region_id", "page", (F.col("width") * F.col("height")).alias("own")).filter("own > 0")
+    side = pages.select("page", (F.col("width") * F.col("height")).alias("page_area"))
+    share = F.col("area") / F.least("own", "whole")
+    fit = pairs.join(area, "region_id").join(side, "page", "left").filter((share >= SAME) & (F.coalesce("page_area", F.lit(0)) <= 0) | (share >= SAME) & (F.col("whole") / F.col("page_area") < BACKGROUND))
+    best = fit.groupBy("region_id").agg(F.min_by("leaf_id", F.struct(-share, F.col("leaf_id"))).alias("leaf_id"))
     return area.select("region_id").join(best, "region_id", "left")
 
 

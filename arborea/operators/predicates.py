@@ -47,17 +47,18 @@ STOP_AT_MATCH = ("figures", "table", "lists", "empty")
 
 
 def filters(tree: DataFrame, empty: DataFrame, flags: DataFrame | None = None) -> DataFrame:
-    """doc_id, node_id, filter for each tag filter that an element passes, 'all' among them; ``empty``: doc_id, node_id of empty
-    tags; ``flags``: doc_id, node_id, severity (1, or 2 where more than white space changed), one a node."""
+    """doc_id, node_id, filter for each tag filter that a node passes. Every node passes 'all'; the others ask for elements, the hidden wrapper aside. ``empty``:
+    doc_id, node_id of empty tags; ``flags``: doc_id, node_id, severity (1, or 2 where more than white space changed), one a node."""
     wrapper = t.hidden_wrappers(tree).withColumn("wrapper", F.lit(True))
-    e = tree.filter("type = 'element'").join(wrapper, ["doc_id", "node_id"], "left").filter("wrapper IS NULL")
+    e = tree.join(wrapper, ["doc_id", "node_id"], "left").withColumn("tag", (F.col("type") == "element") & F.col("wrapper").isNull())
     e = e.join(empty.select("doc_id", "node_id", F.lit(True).alias("is_empty")), ["doc_id", "node_id"], "left")
     flags = tree.select("doc_id", "node_id", F.lit(1).alias("severity")).limit(0) if flags is None else flags.select("doc_id", "node_id", "severity")
     e = e.join(flags, ["doc_id", "node_id"], "left")
-    passes = F.array_compact(F.array(
-        F.lit("all"), F.when(F.col("severity").isNotNull(), "flagged"), F.when(F.col("severity") == 2, "flagged-substantive"),
+    tags = F.array_compact(F.array(
+        F.when(F.col("severity").isNotNull(), "flagged"), F.when(F.col("severity") == 2, "flagged-substantive"),
         F.when(F.col("role").isin(*HEADINGS), "headings"), F.when(F.col("role") == "Figure", "figures"), F.when(F.col("role") == "Table", "table"),
         F.when(F.col("role").isin("L", "LI"), "lists"), F.when(F.col("role").isin("Figure", "Formula") & (F.coalesce("alt", F.lit("")) == ""), "alt-missing"), F.when(F.col("is_empty"), "empty")))
+    passes = F.concat(F.array(F.lit("all")), F.when(F.col("tag"), tags).otherwise(F.array().cast("array<string>")))
     return e.select("doc_id", "node_id", "path", F.explode(passes).alias("filter"))
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.scratch import written
 from . import tree as t
 from .predicates import blank, numbered_heading, organizational
 
@@ -244,26 +245,42 @@ def run_script(tree: DataFrame, steps: list[dict]) -> DataFrame:
 
 
 def run_steps(tree: DataFrame, steps: list[dict], ops: DataFrame | None = None, claimed: DataFrame | None = None, backgrounds: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None, list[dict]]:
-    """Runs the steps in order up to the first that fails: the tree and the instructions as the steps before left them, and for each step
+    """Runs the steps in order up to the first that fails, in whatever way: the tree and the instructions as the steps before left them, and for each step
     that ran its type and its error (none: null).
 
-    backgrounds: doc_id, page, mcid of leaves that only paint a page's background, which ``smartifact`` takes off the tree."""
+    backgrounds: doc_id, page, mcid of leaves that only paint a page's background, which ``smartifact`` takes off the tree; their spans in the
+    instructions become artifacts."""
     from . import content
 
     said = []
     for step in steps:
+        name = step.get("type") if isinstance(step, dict) else None
         try:
-            if step["type"] in STEPS:
-                tree = t.tree_keys(STEPS[step["type"]](tree, step))
-            elif step["type"] == "repair_orphans":
-                ops = content.repaired_pages(ops, claimed)
-            elif step["type"] == "smartifact":
+            new_tree, new_ops = tree, ops
+            if name in STEPS:
+                new_tree = t.tree_keys(STEPS[name](tree, step))
+            elif name == "repair_orphans":
+                if ops is None or claimed is None:
+                    raise ValueError("the pages' instructions are not given")
+                new_ops = written(content.repaired_pages(ops, claimed), "steps")
+            elif name == "smartifact":
+                if backgrounds is None:
+                    raise ValueError("the pages' backgrounds are not given")
                 on = t.with_page(tree).filter("type = 'content'").join(backgrounds, ["doc_id", "page", "mcid"], "left_semi").select("doc_id", "node_id")
-                tree = t.tree_keys(delete_nodes(tree, on))
+                new_tree = t.tree_keys(delete_nodes(tree, on))
+                new_ops = ops if ops is None else written(as_artifacts(ops, freed_leaves(tree, on)), "steps")
             else:
-                raise ValueError(f"no such step: {step['type']}")
-            said.append({"type": step["type"], "error": None})
-        except (ValueError, KeyError, AttributeError) as wrong:
-            said.append({"type": step.get("type"), "error": f"{step.get('type')}: {wrong}"})
+                raise ValueError(f"no such step: {name}")
+            tree, ops = new_tree, new_ops
+            said.append({"type": name, "error": None})
+        except Exception as wrong:  # noqa: BLE001  a script reports what stopped it, from Spark too, and keeps what was done before
+            said.append({"type": name, "error": f"{name}: {wrong}".split("\n")[0]})
             break
     return tree, ops, said
+
+
+def as_artifacts(ops: DataFrame, freed: DataFrame) -> DataFrame:
+    """The instructions with the spans of freed leaves (doc_id, page, mcid) opened as artifacts without an mcid."""
+    f = freed.select("doc_id", "page", "mcid").distinct().withColumn("freed", F.lit(True))
+    o = ops.join(f, ["doc_id", "page", "mcid"], "left").withColumn("freed", F.col("freed").isNotNull() & (F.col("op") == "BDC"))
+    return o.withColumn("tag", F.when(F.col("freed"), "Artifact").otherwise(F.col("tag"))).withColumn("mcid", F.when(~F.col("freed"), F.col("mcid"))).select(*ops.columns)

@@ -14,7 +14,11 @@ from .text import is_list_label
 
 # fixed values: roles that a paragraph sees through; roles that are never divided
 TRANSPARENT = ("L", "Span", "Div", "LI", "Lbl", "LBody")
-DISSOLVING = ("L", "Span", "Div")
+DISSOLVING = ("L", "Span", "Div", "BlockQuote")
+# of tables: roles that fall apart, roles of cells, and what a cell may hold its text in
+TABLE_PARTS = ("Table", "THead", "TBody", "TFoot", "TR")
+CELLS = ("TH", "TD")
+CELL_TEXT = ("P", "Span", "Div")
 UNDIVIDED = ("Table", "THead", "TBody", "TFoot", "TR", "TD", "TH", "L", "LI", "Lbl", "LBody", "TOC", "TOCI")
 #: Of a grouping: the role of an item, and the roles that stay as they are.
 GROUPS = {
@@ -54,43 +58,68 @@ def _item_parts(tree: DataFrame) -> DataFrame:
     return kid.select("doc_id", "node_id", F.coalesce(F.sum((F.col("part") == 2).cast("long")).over(w), F.lit(0)).alias("seg"), "part")
 
 
+def _melted(role: Column, before: Column, merges: Column) -> Column:
+    """What becomes of an element of a target in the state of its parent: 'open' elements and parts of 'table' fall apart, a 'cell' gives all it holds to one
+    paragraph, 'kept' ones stay whole. The target itself has no state before it."""
+    table = F.when(role.isin(*TABLE_PARTS), "table").when(role.isin(*CELLS) & merges, "cell").when(role.isin(*CELLS), "open")
+    first = F.when(role.isin(*DISSOLVING), "open").otherwise(table)
+    inner = F.when(role.isin(*TRANSPARENT), "open").otherwise("kept")
+    return F.when(before == "", F.coalesce(first, F.lit("kept"))).when(before.isin("kept", "cell"), before).when(before == "table", F.coalesce(table, inner)).otherwise(inner)
+
+
 def to_paragraphs(tree: DataFrame, targets: DataFrame, new_id: Column) -> DataFrame:
-    """Dissolves the topmost targets of the roles L, Span and Div into paragraphs; other elements become P.
+    """Turns the topmost targets into paragraphs. L, Span, Div, BlockQuote, tables, their parts and cells with content dissolve; a leaf gets a P around it; any other
+    element becomes P.
 
-    Inside, transparent roles dissolve as deep as they reach and any other element is kept whole. Leaves that follow one another below
-    one parent share a P. Of a list item, label and body share one P, which comes after the bare leaves of its segment. new_id: id of
+    Inside, transparent roles dissolve as deep as they reach and any other element is kept whole, but a table that is aimed at itself, or by a part of it, falls
+    apart into its cells. A cell is one paragraph of all its leaves if it wraps them in P, Span and Div only; else it dissolves like the others. Leaves that
+    follow one another below one parent share a P. Of a list item, label and body share one P, which comes after the bare leaves of its segment. new_id: id of
     a P from the id (first) of its first leaf."""
-    picked = t.top_level(tree.filter("type = 'element'").join(targets.select("doc_id", "node_id").distinct(), ["doc_id", "node_id"], "left_semi")).select("doc_id", "node_id", F.col("role").isin(*DISSOLVING).alias("dissolves"))
-    relabel = picked.filter("NOT dissolves").select("doc_id", "node_id", F.lit("P").alias("new_role"))
-    top = picked.filter("dissolves").select("doc_id", F.col("node_id").alias("top"))
+    picked = t.top_level(tree.filter("depth > 0").join(targets.select("doc_id", "node_id").distinct(), ["doc_id", "node_id"], "left_semi"))
+    cells = tree.filter(F.col("role").isin(*CELLS)).select("doc_id", F.col("node_id").alias("anc"))
+    filled = t.below(tree, F.lit(True)).filter("anc <> node_id").join(cells, ["doc_id", "anc"], "left_semi").groupBy("doc_id", "anc").agg(
+        F.bool_or(t.is_content()).alias("filled"), F.bool_or((F.col("type") == "element") & ~F.coalesce(F.col("role").isin(*CELL_TEXT), F.lit(False))).alias("rich"))
+    filled = written(filled, "cells")
+    picked = written(picked.join(filled.select("doc_id", F.col("anc").alias("node_id"), "filled"), ["doc_id", "node_id"], "left").withColumn(
+        "fate", F.when(F.col("type") != "element", "wrap").when(F.col("role").isin(*DISSOLVING, *TABLE_PARTS) | (F.col("role").isin(*CELLS) & F.coalesce("filled", F.lit(False))), "melt").otherwise("P")).select("doc_id", "node_id", "fate"), "picked")
+    relabel = picked.filter("fate = 'P'").select("doc_id", "node_id", F.lit("P").alias("new_role"))
+    top = picked.filter("fate <> 'P'").select("doc_id", F.col("node_id").alias("top"))
+    merging = filled.filter("NOT rich").select("doc_id", "anc")
     s = t.with_page(tree).join(relabel, ["doc_id", "node_id"], "left").withColumn("role", F.coalesce("new_role", "role")).drop("new_role")
     inside = tree.select("doc_id", "node_id", F.explode(F.transform(t.ancestors(True), lambda x: x["node_id"])).alias("top")).join(top, ["doc_id", "top"])
-    s = written(s.join(inside, ["doc_id", "node_id"], "left"), "paragraphs")
-
-    # all between a node and its target, the target included, must dissolve for the node to come out on its own
-    chain = F.filter("path", lambda x: F.array_position(F.col("path.node_id"), x["node_id"]) >= F.array_position(F.col("path.node_id"), F.col("top")))
-    above = F.slice(chain, 1, F.size(chain) - 1)
-    melts = lambda x: x["role"].isin(*TRANSPARENT)
-    open_above = F.col("top").isNotNull() & F.forall(above, melts) & (F.size(above) > 0)
-    s = s.withColumn("free", F.coalesce(open_above, F.lit(False))).withColumn("gone", F.col("top").isNotNull() & (F.col("type") == "element") & F.coalesce(F.col("role").isin(*TRANSPARENT), F.lit(False)) & ((F.col("node_id") == F.col("top")) | F.col("free")))
-
-    # places below list items follow segments
+    merged = tree.join(inside.select("doc_id", "node_id"), ["doc_id", "node_id"], "left_semi").select("doc_id", "node_id", F.explode("path.node_id").alias("anc")).join(merging, ["doc_id", "anc"]).groupBy("doc_id", "node_id").agg(F.collect_set("anc").alias("merges"))
+    s = s.join(inside, ["doc_id", "node_id"], "left").join(merged, ["doc_id", "node_id"], "left").withColumn("merges", F.coalesce("merges", F.array().cast("array<long>")))
+
+    # states of the elements from the target down to the node; once one is kept, all below it are
+    chain = F.filter("path", lambda x: (x["type"] == "element") & (F.array_position(F.col("path.node_id"), x["node_id"]) >= F.array_position(F.col("path.node_id"), F.col("top"))))
+    states = F.aggregate(chain, F.array().cast("array<string>"), lambda done, x: F.concat(done, F.array(_melted(x["role"], F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")), F.array_contains("merges", x["node_id"])))))
+    s = s.withColumn("chain", F.when(F.col("top").isNotNull(), F.transform(chain, lambda x: x["node_id"]))).withColumn("states", F.when(F.col("top").isNotNull(), states))
+    is_element = F.col("type") == "element"
+    s = s.withColumn("above", F.when(is_element, F.try_element_at("states", F.lit(-2))).otherwise(F.try_element_at("states", F.lit(-1)))).withColumn("own", F.when(is_element, F.try_element_at("states", F.lit(-1))))
+    melts = F.col("above").isin("open", "table")
+    s = s.withColumn("free", F.coalesce(melts & (~is_element | (F.col("own") == "kept")) | (~is_element & ((F.col("above") == "cell") | (F.col("node_id") == F.col("top")))), F.lit(False)))
+    s = s.withColumn("gone", F.coalesce(is_element & F.col("own").isin("open", "table", "cell"), F.lit(False)))
+    s = s.withColumn("cell", F.try_element_at("chain", F.nullif(F.array_position("states", "cell"), F.lit(0)).cast("int"))).withColumn("melted", F.size(F.filter("states", lambda x: x != "kept")))
+    s = written(s, "paragraphs")
+
+    # places below list items that dissolve follow segments
     parts = _item_parts(tree).withColumnRenamed("node_id", "step_id")
-    steps = s.filter("top IS NOT NULL").select("doc_id", "node_id", F.array_position("path.node_id", F.col("top")).alias("deep"), F.posexplode("path").alias("i", "step"))
-    steps = steps.select("doc_id", "node_id", "deep", "i", F.col("step.node_id").alias("step_id"), F.col("step.ord").alias("step_ord"), F.col("step.parent_id").alias("item"))
-    steps = steps.join(parts, ["doc_id", "step_id"], "left").withColumns({k: F.when(F.col("i") >= F.col("deep"), F.col(k)) for k in ("seg", "part")})
+    steps = s.filter("top IS NOT NULL").select("doc_id", "node_id", F.array_position("path.node_id", F.col("top")).alias("deep"), "melted", F.posexplode("path").alias("i", "step"))
+    steps = steps.select("doc_id", "node_id", "deep", "melted", "i", F.col("step.node_id").alias("step_id"), F.col("step.ord").alias("step_ord"), F.col("step.parent_id").alias("item"))
+    steps = steps.join(parts, ["doc_id", "step_id"], "left").withColumns({k: F.when((F.col("i") >= F.col("deep")) & (F.col("i") < F.col("deep") + F.col("melted")), F.col(k)) for k in ("seg", "part")})
     place = F.struct(F.coalesce("seg", F.lit(0)).alias("seg"), F.coalesce("part", F.lit(0)).alias("part"), F.when(F.col("part") == 1, 0).otherwise(F.col("step_ord")).cast("long").alias("o"), F.when(F.col("part") == 1, 0).otherwise(F.col("step_id")).cast("long").alias("id"))
     placed = steps.groupBy("doc_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("i", place.alias("p")))).alias("steps"), F.max_by(F.when(F.col("part") == 1, F.struct("i", "item", "seg")), F.when(F.col("part") == 1, F.col("i"))).alias("body"))
     s = s.join(placed, ["doc_id", "node_id"], "left").withColumn("place", F.transform("steps", lambda x: x["p"]))
     plain = F.transform("path", lambda x: F.struct(F.lit(0).cast("long").alias("seg"), F.lit(0).alias("part"), x["ord"].alias("o"), x["node_id"].alias("id")))
     s = s.withColumn("place", F.coalesce("place", plain))
 
-    # leaves that come out: one group a run of siblings, or a list item's label and body. Only an item inside the target counts
+    # leaves that come out: one group a cell, a list item's label and body, or a run of siblings
     loose = s.filter("free AND type <> 'element'")
     runs = tree.withColumn("run", F.coalesce(F.sum((F.col("type") == "element").cast("long")).over(Window.partitionBy("doc_id", "parent_id").orderBy("ord", "node_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("doc_id", "node_id", F.col("run"))
-    whole = F.col("body").isNotNull() & (F.array_position(F.col("path.node_id"), F.col("body.item")) >= F.array_position(F.col("path.node_id"), F.col("top")))
-    loose = loose.join(runs, ["doc_id", "node_id"]).withColumn("grp", F.when(whole, F.struct(F.col("body.item").alias("a"), F.col("body.seg").alias("b"), F.lit(1).alias("c"))).otherwise(F.struct(F.col("parent_id").alias("a"), F.col("run").alias("b"), F.lit(0).alias("c"))))
-    loose = loose.withColumn("spot", F.when(whole, F.slice("place", 1, F.col("body.i") + 1)).otherwise(F.col("place")))
+    group = lambda a, b, c: F.struct(a.alias("a"), b.cast("long").alias("b"), F.lit(c).alias("c"))
+    loose = loose.join(runs, ["doc_id", "node_id"]).withColumn("grp", F.when(F.col("cell").isNotNull(), group(F.col("cell"), F.lit(0), 2)).when(F.col("body").isNotNull(), group(F.col("body.item"), F.col("body.seg"), 1)).otherwise(group(F.col("parent_id"), F.col("run"), 0)))
+    spot = F.when(F.col("cell").isNotNull(), F.slice("place", F.lit(1), F.array_position("path.node_id", F.col("cell")).cast("int"))).when(F.col("body").isNotNull(), F.slice("place", F.lit(1), F.col("body.i") + 1))
+    loose = loose.withColumn("spot", F.coalesce(spot, "place"))
     first = Window.partitionBy("doc_id", "top", "grp").orderBy("pre")
     loose = written(loose.withColumn("first", F.first("node_id").over(first)).withColumn("p_page", F.first("page").over(first)).withColumn("spot", F.first("spot").over(first)), "loose")
     home = F.try_element_at(F.filter("path", lambda x: x["node_id"] == F.col("top")), F.lit(1))["parent_id"]

@@ -77,8 +77,10 @@ def bookmark_listing(outline: DataFrame, most: int = 300) -> DataFrame:
 
 
 def bookmark_parents(tree: DataFrame) -> DataFrame:
-    """doc_id, node_id, parent: of each heading the nearest one before it of a strictly lower level."""
-    h = tree.filter(numbered_heading(F.col("role"))).withColumn("level", head_level())
+    """doc_id, node_id, parent: of each heading the nearest one before it of a strictly lower level. A heading that is on no page is left out: it gets no
+    bookmark and is no parent."""
+    paged = t.page_of(tree).filter("page_no IS NOT NULL").select("doc_id", "node_id")
+    h = tree.filter(numbered_heading(F.col("role"))).join(paged, ["doc_id", "node_id"], "left_semi").withColumn("level", head_level())
     w = Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
     last = {k: F.last(F.when(F.col("level") == k, F.struct("pre", "node_id")), ignorenulls=True).over(w) for k in range(1, 6)}
     for k, c in last.items():

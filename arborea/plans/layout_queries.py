@@ -27,7 +27,10 @@ on_views("split_index", lambda rows: y.split_index(g.glyphs(rows), F.lit(60.0)),
          ", ch AS (SELECT doc_id, line, unnest(range(1, length(text) + 1)) AS i, text FROM rows_) SELECT doc_id, line, count(*) FILTER ((i - 1) * 6 + 3 < 60) AS n FROM ch WHERE substr(text, i, 1) <> ' ' GROUP BY ALL".replace("rows_", "rows"), rows=_ROWS)
 _OVER = """, pairs AS (SELECT region_id, leaf_id, (least(r.x + r.width, l.x + l.width) - greatest(r.x, l.x)) * (least(r.y + r.height, l.y + l.height) - greatest(r.y, l.y)) AS area, l.width * l.height AS whole, r.width * r.height AS own FROM regions r JOIN rects l ON r.page = l.page
  AND least(r.x + r.width, l.x + l.width) > greatest(r.x, l.x) AND least(r.y + r.height, l.y + l.height) > greatest(r.y, l.y))"""
-on_views("figure_sources", lambda regions, rects: y.figure_sources(regions, g.region_overlaps(regions, rects)), f"{_OVER} SELECT region_id, b.leaf_id FROM regions LEFT JOIN (SELECT region_id, min_by(leaf_id, {{'a': -area, 'i': leaf_id}}) AS leaf_id FROM pairs WHERE area >= 0.6 * least(own, whole) GROUP BY ALL) b USING (region_id) WHERE width * height > 0", regions=REGIONS, rects=RECTS)
+# pages of two sizes: on the small ones the larger boxes are the scan; one page has no known size
+_SIZES = "SELECT DISTINCT CAST(p_size % 7 AS INT) AS page, CASE WHEN p_size % 7 IN (1, 4) THEN 8.0 ELSE 600.0 END AS width, CASE WHEN p_size % 7 IN (1, 4) THEN 6.0 ELSE 800.0 END AS height FROM {part} WHERE p_size % 7 <> 2"
+on_views("figure_sources", lambda regions, rects, sizes: y.figure_sources(regions, g.region_overlaps(regions, rects), sizes),
+         f"{_OVER}, known AS (SELECT pairs.*, z.width * z.height AS page_area FROM pairs JOIN regions USING (region_id) LEFT JOIN sizes z ON z.page = regions.page) SELECT region_id, b.leaf_id FROM regions LEFT JOIN (SELECT region_id, min_by(leaf_id, {{'a': -area / least(own, whole), 'i': leaf_id}}) AS leaf_id FROM known WHERE area / least(own, whole) >= 0.6 AND (page_area IS NULL OR whole / page_area < 0.9) GROUP BY ALL) b USING (region_id) WHERE width * height > 0", regions=REGIONS, rects=RECTS, sizes=_SIZES)
 
 
 def _glyph_runs(regions, rects):

@@ -59,7 +59,7 @@ _DEALT = """under AS (SELECT i.doc_id, i.node_id AS item, c.node_id AS leaf_id,
 on_tree("list_item_content", lambda x_, w: s.list_item_content(x_, x_.filter("role = 'LI'"), w(_LABELLED)), f", items AS (SELECT * FROM tree WHERE role = 'LI'), {_DEALT.format('items')} SELECT * FROM dealt", ("leaf_text", _LABELLED))
 on_tree("convert_to_items", lambda x_, w: s.convert_to_items(x_, x_.filter("node_id % 3 = 0").select("doc_id", "node_id"), w(_LABELLED)),
         f", sel AS (SELECT * FROM tree WHERE node_id % 3 = 0 AND depth > 0), top AS (SELECT * FROM sel WHERE NOT EXISTS (SELECT 1 FROM sel o WHERE o.doc_id = sel.doc_id AND o.node_id <> sel.node_id AND list_contains(sel.path, o.node_id))), {_DEALT.format('top')} SELECT top.doc_id, top.node_id AS item, type <> 'element' AS wrapped, part, leaf_id, start FROM top LEFT JOIN dealt ON dealt.doc_id = top.doc_id AND dealt.item = top.node_id", ("leaf_text", _LABELLED))
-on_tree("generated_bookmarks", lambda x_, w: s.generated_bookmarks(x_, w(LEAF_TEXT)), f""", {_PULLED}, {_TITLES}, {_PAGE_OF}, h AS (SELECT *, CAST(substr(role, 2) AS INT) AS lev FROM tree WHERE role IN {HEADS}), ups AS (SELECT h.doc_id, h.node_id, h.pre, max_by(q.node_id, q.pre) AS parent FROM h LEFT JOIN h q ON q.doc_id = h.doc_id AND q.pre < h.pre AND q.lev < h.lev GROUP BY ALL)
+on_tree("generated_bookmarks", lambda x_, w: s.generated_bookmarks(x_, w(LEAF_TEXT)), f""", {_PULLED}, {_TITLES}, {_PAGE_OF}, h AS (SELECT *, CAST(substr(role, 2) AS INT) AS lev FROM tree JOIN page_of USING (doc_id, node_id) WHERE role IN {HEADS} AND page_no IS NOT NULL), ups AS (SELECT h.doc_id, h.node_id, h.pre, max_by(q.node_id, q.pre) AS parent FROM h LEFT JOIN h q ON q.doc_id = h.doc_id AND q.pre < h.pre AND q.lev < h.lev GROUP BY ALL)
  SELECT u.doc_id, u.node_id AS bookmark_id, u.parent, row_number() OVER (PARTITION BY u.doc_id, u.parent ORDER BY u.pre) - 1 AS ord, title, page_no FROM ups u JOIN titles USING (doc_id, node_id) JOIN page_of USING (doc_id, node_id)""", ("leaf_text", LEAF_TEXT))
 
 

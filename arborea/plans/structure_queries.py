@@ -11,7 +11,7 @@ from ..operators import text as x
 from .adapters import DOC_INFO, DOC_PAGES, LEAF_TEXT, OUTLINE
 from .layout_queries import on_views
 from .rewrite_queries import _place
-from .tree_queries import _INFO, _PARTS, _REPORT, _report, HEADS, on_tree
+from .tree_queries import _INFO, _PAGE_OF, _PARTS, _REPORT, _report, HEADS, on_tree
 
 _NEW = lambda k: F.lit(k * 1_000_000_000_000) + F.col("node_id")
 _ROLES = lambda df: df.select("doc_id", "node_id", "parent_id", "ord", "role")
@@ -38,7 +38,35 @@ on_tree("make_lists", lambda t, w: _ROLES(r.make_lists(t, _siblings(t, 3), w(_MA
  UNION ALL SELECT doc_id, 1000000000000 + h, parent_id, o, 'L' FROM head UNION ALL SELECT s.doc_id, 2000000000000 + node_id, 1000000000000 + h, ord, 'LI' FROM sel s JOIN head USING (doc_id)
  UNION ALL SELECT DISTINCT doc_id, CASE WHEN label THEN 3000000000000 ELSE 4000000000000 END + member, 2000000000000 + member, CASE WHEN label THEN 0 ELSE 1 END, CASE WHEN label THEN 'Lbl' ELSE 'LBody' END FROM l
  UNION ALL SELECT doc_id, node_id, CASE WHEN label THEN 3000000000000 ELSE 4000000000000 END + member, pre, NULL FROM l) SELECT doc_id, node_id, parent_id, {_ORDER}, role FROM k""", ("marked", _MARKED))
-on_tree("to_paragraphs", lambda t, _: _ROLES(r.to_paragraphs(t, t.filter("depth = 2"), F.lit(1_000_000_000_000) + F.col("first"))))
+# by document: the orders (some of them quotations), their lines, or cells, labels, bodies and leaves
+_AIMED = "doc_id % 4 IN (0, 3) AND depth = 2 OR doc_id % 4 = 1 AND depth = 3 OR doc_id % 4 = 2 AND depth = 4"
+_QUOTED = "CASE WHEN doc_id % 4 = 3 AND {0} IN ('Div', 'H1') THEN 'BlockQuote' ELSE {0} END"
+
+
+def _quoted(tree):
+    """Some documents' Div and H1 as BlockQuote."""
+    return tree.withColumn("path", F.transform("path", lambda s: s.withField("role", F.when((F.col("doc_id") % 4 == 3) & s["role"].isin("Div", "H1"), "BlockQuote").otherwise(s["role"])))).withColumn("role", F.expr(_QUOTED.format("role")))
+
+
+_MELTING = """q AS (SELECT * REPLACE ({quoted} AS role) FROM tree), rich AS (SELECT a.doc_id, a.anc, bool_or(c.type = 'element' AND c.role <> 'Span') AS rich_item, bool_or(c.type = 'element' AND c.role NOT IN ('P', 'Span', 'Div')) AS rich_cell, bool_or(c.type IN ('content', 'object-ref')) AS filled
+  FROM anc a JOIN q c ON c.doc_id = a.doc_id AND c.node_id = a.node_id WHERE a.anc <> a.node_id GROUP BY ALL),
+ n AS (SELECT q.*, coalesce(rich_item, false) AS rich_item, coalesce(rich_cell, false) AS rich_cell, coalesce(filled, false) AS filled FROM q LEFT JOIN rich ON rich.doc_id = q.doc_id AND rich.anc = q.node_id),
+ kid AS (SELECT n.*, p.role AS parent_role, CASE WHEN n.type <> 'element' THEN 0 WHEN n.role IN ('Lbl', 'LBody') AND NOT n.rich_item THEN 1 ELSE 2 END AS part FROM n LEFT JOIN q p ON p.doc_id = n.doc_id AND p.node_id = n.parent_id),
+ m AS (SELECT *, coalesce(sum(CASE WHEN part = 2 THEN 1 ELSE 0 END) OVER w, 0) AS seg, coalesce(sum(CASE WHEN type = 'element' THEN 1 ELSE 0 END) OVER w, 0) AS run FROM kid WINDOW w AS (PARTITION BY doc_id, parent_id ORDER BY ord, node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ aim AS (SELECT *, CASE WHEN type <> 'element' THEN 'leaf' WHEN role IN ('L', 'Span', 'Div', 'BlockQuote') THEN 'open' WHEN role IN ('Table', 'THead', 'TBody', 'TFoot', 'TR') THEN 'table' WHEN role IN ('TH', 'TD') AND filled THEN CASE WHEN rich_cell THEN 'open' ELSE 'cell' END ELSE 'P' END AS state FROM m WHERE {aimed}),
+ down AS (SELECT doc_id, node_id AS top, parent_id AS home, node_id, type, role, page, state, CASE WHEN state = 'cell' THEN node_id END AS cell, CAST(NULL AS BIGINT) AS item, CAST(NULL AS BIGINT) AS item_seg, [0, 0, ord, node_id] AS key, [0, 0, ord, node_id] AS spot, parent_id, run, pre FROM aim WHERE state <> 'P'
+  UNION ALL SELECT c.doc_id, d.top, d.home, c.node_id, c.type, c.role, c.page,
+   CASE WHEN c.type <> 'element' THEN 'leaf' WHEN d.state = 'cell' THEN 'cell' WHEN d.state = 'table' AND c.role IN ('Table', 'THead', 'TBody', 'TFoot', 'TR') THEN 'table' WHEN d.state = 'table' AND c.role IN ('TH', 'TD') THEN CASE WHEN c.rich_cell THEN 'open' ELSE 'cell' END WHEN c.role IN ('L', 'Span', 'Div', 'LI', 'Lbl', 'LBody') THEN 'open' ELSE 'kept' END,
+   CASE WHEN d.cell IS NOT NULL THEN d.cell WHEN c.type = 'element' AND d.state = 'table' AND c.role IN ('TH', 'TD') AND NOT c.rich_cell THEN c.node_id END,
+   CASE WHEN d.role = 'LI' AND c.part = 1 THEN d.node_id ELSE d.item END, CASE WHEN d.role = 'LI' AND c.part = 1 THEN CAST(c.seg AS BIGINT) ELSE d.item_seg END,
+   list_concat(d.key, CASE WHEN d.role <> 'LI' THEN [0, 0, c.ord, c.node_id] WHEN c.part = 1 THEN [CAST(c.seg AS BIGINT), 1, 0, 0] ELSE [CAST(c.seg AS BIGINT), c.part, c.ord, c.node_id] END),
+   CASE WHEN d.cell IS NOT NULL OR d.item IS NOT NULL AND NOT (d.role = 'LI' AND c.part = 1) THEN d.spot ELSE list_concat(d.key, CASE WHEN d.role <> 'LI' THEN [0, 0, c.ord, c.node_id] WHEN c.part = 1 THEN [CAST(c.seg AS BIGINT), 1, 0, 0] ELSE [CAST(c.seg AS BIGINT), c.part, c.ord, c.node_id] END) END, c.parent_id, c.run, c.pre
+  FROM down d JOIN m c ON c.doc_id = d.doc_id AND c.parent_id = d.node_id WHERE d.state NOT IN ('kept', 'leaf')),
+ loose AS (SELECT *, min_by(node_id, pre) OVER g AS first, min_by(spot, pre) OVER g AS spot_ FROM down WHERE type <> 'element' WINDOW g AS (PARTITION BY doc_id, top, CASE WHEN cell IS NOT NULL THEN 'c' || cell WHEN item IS NOT NULL THEN 'i' || item || ':' || item_seg ELSE 'r' || parent_id || ':' || run END)),
+ k AS (SELECT m.doc_id, m.node_id, CASE WHEN d.state = 'kept' THEN d.home ELSE m.parent_id END AS parent_id, coalesce(d.key, [0, 0, m.ord, m.node_id]) AS o, CASE WHEN a.state = 'P' THEN 'P' ELSE m.role END AS role FROM m LEFT JOIN down d ON d.doc_id = m.doc_id AND d.node_id = m.node_id LEFT JOIN aim a ON a.doc_id = m.doc_id AND a.node_id = m.node_id WHERE d.state IS NULL OR d.state = 'kept'
+  UNION ALL SELECT doc_id, 1000000000000 + first, home, spot_, 'P' FROM loose WHERE node_id = first UNION ALL SELECT doc_id, node_id, 1000000000000 + first, key, role FROM loose)""".format(quoted=_QUOTED.format("role"), aimed=_AIMED)
+on_tree("to_paragraphs", lambda t, _: _ROLES(r.to_paragraphs(_quoted(t), t.filter(_AIMED), F.lit(1_000_000_000_000) + F.col("first"))),
+        f", {_MELTING} SELECT doc_id, node_id, parent_id, {_ORDER}, role FROM k")
 on_tree("insert_paragraphs", lambda t, _: _ROLES(r.insert_paragraphs(t, t.filter("role = 'Figure'").select("doc_id", "node_id").unionByName(t.filter("depth = 0").select("doc_id", F.lit(None).cast("long").alias("node_id"))), _NEW(1))),
         f", k AS (SELECT doc_id, node_id, parent_id, ord AS o, 0 AS f, role FROM tree UNION ALL SELECT doc_id, 1000000000000 + node_id, parent_id, ord, 1, 'P' FROM tree WHERE role = 'Figure' UNION ALL SELECT doc_id, 1000000000000 - 1, -1, 4000000000000000000, 1, 'P' FROM tree WHERE depth = 0) SELECT doc_id, node_id, parent_id, {_ORDER.replace('o, node_id', 'o, f, node_id')}, role FROM k")
 for _name, _by, _lag in (("move_up", -1, "lag"), ("move_down", 1, "lead")):
@@ -63,4 +91,4 @@ _TITLED = lambda t, w: x.heading_titles(t, w(LEAF_TEXT)).select("doc_id", F.col(
 on_tree("rename_bookmarks", lambda t, w: r.rename_bookmarks(_TITLED(t, w), _TITLED(t, w).select("doc_id", "bookmark_id", F.when(F.col("bookmark_id") % 3 == 0, " ").when(F.col("bookmark_id") % 3 == 1, " new ").alias("title")).filter("title IS NOT NULL")),
         f", pulled AS (SELECT a.doc_id, anc AS node_id, string_agg(text, ' ' ORDER BY a.pre) AS text FROM anc a JOIN leaf_text l ON l.doc_id = a.doc_id AND l.node_id = a.node_id WHERE a.type = 'content' AND text <> '' GROUP BY ALL) SELECT t.doc_id, t.node_id AS bookmark_id, CASE t.node_id % 3 WHEN 0 THEN 'Untitled' WHEN 1 THEN 'new' ELSE coalesce(nullif(trim(coalesce(actual_text, '')), ''), nullif(trim(coalesce(p.text, '')), ''), 'Untitled ' || role) END AS title FROM tree t LEFT JOIN pulled p USING (doc_id, node_id) WHERE role IN {HEADS}", ("leaf_text", LEAF_TEXT))
 on_tree("delete_bookmarks", lambda t, _: r.delete_bookmarks(_HEADS(t), _HEADS(t).filter("bookmark_id % 5 = 0")),
-        f", h AS (SELECT *, CAST(substr(role, 2) AS INT) AS level FROM tree WHERE role IN {HEADS}), o AS (SELECT doc_id, node_id AS bookmark_id, (SELECT max_by(p.node_id, p.pre) FROM h p WHERE p.doc_id = h.doc_id AND p.pre < h.pre AND p.level < h.level) AS parent FROM h), gone AS (SELECT doc_id, bookmark_id FROM o WHERE bookmark_id % 5 = 0 UNION SELECT o.doc_id, o.bookmark_id FROM o JOIN gone g ON g.doc_id = o.doc_id AND g.bookmark_id = o.parent) SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = o.doc_id AND g.bookmark_id = o.bookmark_id)")
+        f", {_PAGE_OF}, h AS (SELECT *, CAST(substr(role, 2) AS INT) AS level FROM tree JOIN page_of USING (doc_id, node_id) WHERE role IN {HEADS} AND page_no IS NOT NULL), o AS (SELECT doc_id, node_id AS bookmark_id, (SELECT max_by(p.node_id, p.pre) FROM h p WHERE p.doc_id = h.doc_id AND p.pre < h.pre AND p.level < h.level) AS parent FROM h), gone AS (SELECT doc_id, bookmark_id FROM o WHERE bookmark_id % 5 = 0 UNION SELECT o.doc_id, o.bookmark_id FROM o JOIN gone g ON g.doc_id = o.doc_id AND g.bookmark_id = o.parent) SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = o.doc_id AND g.bookmark_id = o.bookmark_id)")

@@ -30,14 +30,14 @@ on_tree("heading_titles", lambda t, w: x.heading_titles(t, w(LEAF_TEXT)), f", {_
 on_tree("tree_summary", lambda t, _: m.tree_summary(t, a.empty_nodes(t)), f"SELECT doc_id, count(*) FILTER (type = 'element') AS n_tags, count(*) FILTER (type = 'content') AS n_leaves, max(depth) FILTER (type = 'element') AS max_depth, count(*) FILTER (role IN ('Figure', 'Formula') AND coalesce(alt, '') = '') AS n_figures_without_alt, count(*) FILTER (role IN {HEADS}) AS n_headings, (SELECT count(*) FROM empty e WHERE e.doc_id = t.doc_id) AS n_empty FROM tree t GROUP BY doc_id")
 on_tree("tags_per_role", lambda t, _: m.tags_per_role(t), "SELECT doc_id, role, count(*) AS n FROM nodes WHERE type = 'element' GROUP BY ALL")
 on_tree("tags_per_page", lambda t, _: m.tags_per_page(t), f", {_PAGE_OF} SELECT doc_id, page_no, count(*) AS n FROM page_of JOIN nodes USING (doc_id, node_id) WHERE type = 'element' AND page_no IS NOT NULL GROUP BY ALL")
-on_tree("heading_list", lambda t, _: m.heading_list(t, 4), f"SELECT doc_id, node_id, level, truncated FROM (SELECT *, CAST(substr(role, 2) AS INT) AS level, row_number() OVER (PARTITION BY doc_id ORDER BY pre) AS n, count(*) OVER (PARTITION BY doc_id) > 4 AS truncated FROM tree WHERE role IN {HEADS}) WHERE n <= 4")
+on_tree("heading_list", lambda t, _: m.heading_list(t), f"SELECT doc_id, node_id, level, truncated FROM (SELECT *, CAST(substr(role, 2) AS INT) AS level, row_number() OVER (PARTITION BY doc_id ORDER BY pre) AS n, count(*) OVER (PARTITION BY doc_id) > 200 AS truncated FROM tree WHERE role IN {HEADS}) WHERE n <= 200")
 on_tree("organizational_below", lambda t, _: m.organizational_below(t), "SELECT e.doc_id, e.node_id, count(*) AS n FROM tree e JOIN tree c ON c.doc_id = e.doc_id AND c.pre > e.pre AND c.pre <= e.last_pre WHERE e.type = 'element' AND (lower(c.role) IN ('div', 'sect', 'part', 'sub') OR lower(c.role) LIKE '%span%') GROUP BY ALL")
 on_tree("link_totals", lambda t, _: m.link_totals(t), "SELECT doc_id, count(*) FILTER (role = 'Link') AS n_links, count(*) FILTER (type = 'object-ref' AND target_id IS NOT NULL) AS n_objects FROM nodes GROUP BY doc_id")
 on_tree("severity_below", lambda t, _: m.severity_below(t, t.filter("type = 'element' AND node_id % 5 = 1").select("doc_id", "node_id", F.when(F.col("ord") % 2 == 0, 1).otherwise(2).alias("severity"))), "SELECT e.doc_id, e.node_id, max(CASE WHEN c.ord % 2 = 0 THEN 1 ELSE 2 END) AS severity FROM tree e JOIN tree c ON c.doc_id = e.doc_id AND c.pre > e.pre AND c.pre <= e.last_pre WHERE c.type = 'element' AND c.node_id % 5 = 1 GROUP BY ALL")
 on_tree("badges", lambda t, _: m.badges(t, t.filter("type = 'element' AND node_id % 7 = 1").select("doc_id", "node_id", F.lit(2).alias("severity")), t.filter("type = 'element' AND node_id % 5 = 1").select("doc_id", "node_id", F.lit(1).alias("severity"))),
         """, ai AS (SELECT * FROM tree WHERE type = 'element' AND node_id % 7 = 1), att AS (SELECT * FROM tree WHERE type = 'element' AND node_id % 5 = 1), b AS (SELECT e.doc_id, e.node_id, CASE WHEN e.type = 'element' AND e.node_id % 7 = 1 THEN 'AI**' WHEN EXISTS (SELECT 1 FROM ai c WHERE c.doc_id = e.doc_id AND c.pre > e.pre AND c.pre <= e.last_pre) THEN 'AI**↓'
  WHEN e.type = 'element' AND e.node_id % 5 = 1 THEN 'AT*' WHEN EXISTS (SELECT 1 FROM att c WHERE c.doc_id = e.doc_id AND c.pre > e.pre AND c.pre <= e.last_pre) THEN 'AT*↓' END AS badge FROM tree e) SELECT * FROM b WHERE badge IS NOT NULL""")
-on_tree("bookmark_parents", lambda t, _: m.bookmark_parents(t), f", h AS (SELECT *, CAST(substr(role, 2) AS INT) AS level FROM tree WHERE role IN {HEADS}) SELECT h.doc_id, h.node_id, max_by(p.node_id, p.pre) AS parent FROM h LEFT JOIN h p ON p.doc_id = h.doc_id AND p.pre < h.pre AND p.level < h.level GROUP BY ALL")
+on_tree("bookmark_parents", lambda t, _: m.bookmark_parents(t), f", {_PAGE_OF}, h AS (SELECT *, CAST(substr(role, 2) AS INT) AS level FROM tree JOIN page_of USING (doc_id, node_id) WHERE role IN {HEADS} AND page_no IS NOT NULL) SELECT h.doc_id, h.node_id, max_by(p.node_id, p.pre) AS parent FROM h LEFT JOIN h p ON p.doc_id = h.doc_id AND p.pre < h.pre AND p.level < h.level GROUP BY ALL")
 on_tree("bookmark_listing", lambda t, w: m.bookmark_listing(w(OUTLINE)), "SELECT doc_id, bookmark_id, total, total > 300 AS truncated FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM outline_) WHERE n <= 300", ("outline_", OUTLINE))
 on_tree("outline_slot", lambda t, w: m.outline_slot(w(OUTLINE), w(DOC_PAGES)), "SELECT p.doc_id, p.page, (SELECT max_by(o.bookmark_id, o.ord) FROM outline_ o WHERE o.doc_id = p.doc_id AND o.ord < coalesce((SELECT min(z.ord) FROM outline_ z WHERE z.doc_id = p.doc_id AND z.page > p.page), 9223372036854775807)) AS after FROM pages_ p", ("outline_", OUTLINE), ("pages_", DOC_PAGES))
 

@@ -65,8 +65,8 @@ _CATEGORY = """CASE WHEN role IS NULL THEN 'leaf' WHEN role IN ('H', 'H1', 'H2',
  WHEN role IN ('L', 'LI', 'Lbl', 'LBody') THEN 'list' WHEN role IN ('Table', 'TR', 'TH', 'TD', 'THead', 'TBody', 'TFoot') THEN 'table' WHEN role IN ('Figure', 'Formula') THEN 'figure' ELSE 'inline' END"""
 on_tree("role_category", lambda x, _: x.select("doc_id", "node_id", p.category(F.col("role")).alias("category")), f"SELECT doc_id, node_id, {_CATEGORY} AS category FROM tree")
 on_tree("organizational_tags", lambda x, _: x.filter(p.organizational(F.col("role"))).select("doc_id", "node_id"), "SELECT doc_id, node_id FROM tree WHERE lower(role) IN ('div', 'sect', 'part', 'sub') OR lower(role) LIKE '%span%'")
-_FILTERS = f"""matches AS (SELECT doc_id, node_id, path, f.filter AS filter, f.ok AS ok FROM (SELECT t.*, e.node_id IS NOT NULL AS is_empty FROM tree t LEFT JOIN empty e USING (doc_id, node_id) WHERE t.type = 'element' AND t.depth > 1) t,
- LATERAL (VALUES ('all', true), ('flagged', node_id % 5 = 0), ('flagged-substantive', node_id % 10 = 0), ('headings', role IN ('H', 'H1', 'H2', 'H3', 'H4', 'H5', 'H6', 'Title')), ('figures', role = 'Figure'), ('table', role = 'Table'), ('lists', role IN ('L', 'LI')), ('alt-missing', role IN ('Figure', 'Formula') AND coalesce(alt, '') = ''), ('empty', is_empty)) f(filter, ok) WHERE ok)"""
+_FILTERS = f"""matches AS (SELECT doc_id, node_id, path, f.filter AS filter, f.ok AS ok FROM (SELECT t.*, e.node_id IS NOT NULL AS is_empty FROM tree t LEFT JOIN empty e USING (doc_id, node_id)) t,
+ LATERAL (VALUES ('all', true), ('flagged', node_id % 5 = 0), ('flagged-substantive', node_id % 10 = 0), ('headings', role IN ('H', 'H1', 'H2', 'H3', 'H4', 'H5', 'H6', 'Title')), ('figures', role = 'Figure'), ('table', role = 'Table'), ('lists', role IN ('L', 'LI')), ('alt-missing', role IN ('Figure', 'Formula') AND coalesce(alt, '') = ''), ('empty', is_empty)) f(filter, ok) WHERE ok AND (f.filter = 'all' OR t.type = 'element' AND t.depth > 1))"""
 _FLAGS = lambda x: x.filter("node_id % 5 = 0").select("doc_id", "node_id", F.when(F.expr("node_id % 10 = 0"), 2).otherwise(1).alias("severity"))
 on_tree("tag_filters", lambda x, _: p.filters(x, a.empty_nodes(x), _FLAGS(x)).select("doc_id", "node_id", "filter"), f", {_FILTERS} SELECT doc_id, node_id, filter FROM matches")
 on_tree("outermost_matches", lambda x, _: p.outermost(p.filters(x, a.empty_nodes(x), _FLAGS(x))), f", {_FILTERS} SELECT doc_id, node_id, filter FROM matches m WHERE filter NOT IN ('figures', 'table', 'lists', 'empty') OR NOT EXISTS (SELECT 1 FROM matches o WHERE o.doc_id = m.doc_id AND o.filter = m.filter AND o.node_id <> m.node_id AND list_contains(m.path, o.node_id))")
