@@ -104,11 +104,11 @@ def table_headers(tree: DataFrame) -> DataFrame:
 def link_tags(tree: DataFrame, annotations: DataFrame, role_map: DataFrame | None = None) -> DataFrame:
     """doc_id, annot_id, page, contents, link: the first Link element that holds the annotation's object leaf, or null.
 
-    role_map (custom, standard): roles that stand for Link count as it."""
+    role_map (doc_id, custom, standard): roles that stand for Link count as it."""
     leaf = tree.filter("type = 'object-ref' AND target_id IS NOT NULL").withColumn("up", t.nearest(lambda s: F.lit(True)))
     leaf = leaf.select("doc_id", F.col("target_id").alias("annot_id"), "pre", F.col("up.role").alias("custom"), F.col("up.node_id").alias("link"))
     if role_map is not None:
-        leaf = leaf.join(role_map, "custom", "left").withColumn("custom", F.coalesce("standard", "custom"))
+        leaf = leaf.join(role_map.select("doc_id", "custom", "standard"), ["doc_id", "custom"], "left").withColumn("custom", F.coalesce("standard", "custom"))
     first = leaf.filter("custom = 'Link'").groupBy("doc_id", "annot_id").agg(F.min_by("link", "pre").alias("link"))
     first = first.join(tree.select("doc_id", F.col("node_id").alias("link"), F.col("alt").alias("link_alt")), ["doc_id", "link"])
     return annotations.join(first, ["doc_id", "annot_id"], "left").select("doc_id", "annot_id", "page", "contents", "link", "link_alt")

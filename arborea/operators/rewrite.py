@@ -169,19 +169,48 @@ def collapse_to_leaves(tree: DataFrame, targets: DataFrame, role: str) -> DataFr
     return renumbered(s.withColumn("sort", F.transform("path", lambda x: F.struct(x["ord"], x["node_id"]))))
 
 
-def remove_links(tree: DataFrame) -> DataFrame:
-    """Object leaves of links go; a Link dissolves into its parent, but becomes P under the root or a grouping parent and Span where it
-    has an actual text; one that holds nothing vanishes."""
-    kept = tree.filter("NOT (type = 'object-ref' AND target_id IS NOT NULL)")
-    held = t.below(kept, t.is_content()).select("doc_id", F.col("anc").alias("node_id")).distinct().withColumn("holds", F.lit(True))
+def link_elements(tree: DataFrame, role_map: DataFrame | None = None) -> DataFrame:
+    """The tree with ``is_link``: elements of the role Link, or of a custom role that stands for it (role_map: doc_id, custom, standard)."""
+    link = (F.col("type") == "element") & (F.col("role") == "Link")
+    if role_map is None:
+        return tree.withColumn("is_link", F.coalesce(link, F.lit(False)))
+    own = role_map.filter("standard = 'Link'").select("doc_id", F.col("custom").alias("role"), F.lit(True).alias("mapped")).distinct()
+    return tree.join(own, ["doc_id", "role"], "left").withColumn("is_link", F.coalesce(link | ((F.col("type") == "element") & F.col("mapped")), F.lit(False))).drop("mapped")
+
+
+def _link_fates(tree: DataFrame, role_map: DataFrame | None) -> DataFrame:
+    """The tree without the object leaves of links, with ``fate`` of each node: 'stay', 'vanish', 'dissolve', or the role that a link takes."""
+    kept = link_elements(tree.filter("NOT (type = 'object-ref' AND target_id IS NOT NULL)"), role_map)
+    held = t.below(kept, ~F.col("is_link")).select("doc_id", F.col("anc").alias("node_id")).distinct().withColumn("holds", F.lit(True))
     s = kept.join(held, ["doc_id", "node_id"], "left")
     up = t.nearest(lambda x: F.lit(True))
-    link = (F.col("type") == "element") & (F.col("role") == "Link")
-    fate = F.when(~link, "stay").when(F.col("holds").isNull(), "vanish").when(~blank(F.col("actual_text")), "Span").when((up["type"] == "root") | up["role"].isin(*GROUPING), "P").otherwise("dissolve")
-    s = s.withColumn("fate", fate).withColumn("role", F.when(F.col("fate").isin("Span", "P"), F.col("fate")).otherwise(F.col("role"))).withColumn("alt", F.when(F.col("fate") == "Span", None).otherwise(F.col("alt")))
-    dead = s.filter("fate = 'vanish'").select("doc_id", F.col("node_id").alias("anc"))
-    under = s.select("doc_id", "node_id", F.explode("path.node_id").alias("anc")).join(dead, ["doc_id", "anc"], "left_semi").select("doc_id", "node_id").distinct()
-    return _spliced(s.join(under, ["doc_id", "node_id"], "left_anti").withColumn("dissolves", F.col("fate") == "dissolve"), "dissolves")
+    grouping = (up["type"] == "root") | F.coalesce(up["role"].isin(*GROUPING), F.lit(False))
+    fate = F.when(~F.col("is_link"), "stay").when(F.col("holds").isNull(), "vanish").when(grouping, "P").when(F.col("actual_text").isNotNull(), "Span").otherwise("dissolve")
+    return s.withColumn("fate", fate)
+
+
+def remove_links(tree: DataFrame, role_map: DataFrame | None = None) -> DataFrame:
+    """Object leaves of links go; a link (see ``link_elements``) dissolves into its parent, but becomes P under the root or a grouping parent, else Span where
+    it has an actual text; both lose their alternative text. One that holds nothing, but perhaps links of that kind, vanishes. Parents are
+    judged by the role they had."""
+    s = _link_fates(tree, role_map)
+    put = F.col("fate").isin("Span", "P")
+    s = s.withColumn("role", F.when(put, F.col("fate")).otherwise(F.col("role"))).withColumn("alt", F.when(~put, F.col("alt")))
+    return _spliced(s.filter("fate <> 'vanish'").withColumn("dissolves", F.col("fate") == "dissolve"), "dissolves")
+
+
+def unlinked_ops(ops: DataFrame) -> DataFrame:
+    """The instructions with spans marked Link marked Span; their mcids stay."""
+    return ops.withColumn("tag", F.when(F.col("op").isin("BDC", "BMC") & (F.col("tag") == "Link"), "Span").otherwise(F.col("tag")))
+
+
+def links_removed(tree: DataFrame, annotations: DataFrame, ops: DataFrame, role_map: DataFrame | None = None) -> DataFrame:
+    """doc_id, annotations, tags, retagged, spans: what removing the links takes away or changes; documents without any have no row."""
+    fates = _link_fates(tree, role_map).filter("is_link").groupBy("doc_id").agg(F.count("*").alias("tags"), F.count_if(F.col("fate").isin("P", "Span")).alias("retagged"))
+    notes = annotations.groupBy("doc_id").agg(F.count("*").alias("annotations"))
+    spans = ops.filter("op IN ('BDC', 'BMC') AND tag = 'Link'").groupBy("doc_id").agg(F.count("*").alias("spans"))
+    every = fates.join(notes, "doc_id", "full").join(spans, "doc_id", "full")
+    return every.select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("annotations", "tags", "retagged", "spans")))
 
 
 def prune_emptied(tree: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -228,7 +257,7 @@ STEPS = {
     "replace_role": lambda tree, step: replace_role(tree, step["find"], step["put"]),
     "shift_headings": lambda tree, step: shift_headings(tree, step["by"]),
     "flatten": lambda tree, step: flatten(tree, tree.filter("depth = 1")),
-    "remove_links": lambda tree, step: remove_links(tree),
+    "remove_links": lambda tree, step: remove_links(tree, step.get("role_map")),
 }
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import audit as a
 from ..operators import rewrite as r
 from ..operators import tree as t
+from .adapters import ANNOTATIONS, LEAF_OPS
 from .tree_queries import on_tree
 
 _pick = lambda x, k=7: x.filter(f"type = 'element' AND node_id % {k} = 1").select("doc_id", "node_id")
@@ -36,11 +38,23 @@ on_tree("wrap_leaves", lambda x, _: _place(r.wrap_nodes(x, x.filter("type = 'con
         "SELECT doc_id, node_id, CASE WHEN type = 'content' AND node_id % 2 = 0 THEN 1000000000 + node_id ELSE parent_id END AS parent_id, CASE WHEN type = 'content' AND node_id % 2 = 0 THEN 0 ELSE ord END AS ord FROM tree UNION ALL SELECT doc_id, 1000000000 + node_id, parent_id, ord FROM tree WHERE type = 'content' AND node_id % 2 = 0")
 on_tree("collapse_to_figure", lambda x, _: _place(r.collapse_to_leaves(x, x.filter("role = 'Table'").select("doc_id", "node_id"), "Figure")),
         f", u AS (SELECT t.doc_id, t.node_id, max(f.node_id) AS into_id FROM tree t JOIN tree f ON f.doc_id = t.doc_id AND f.role = 'Table' AND t.pre > f.pre AND t.pre <= f.last_pre GROUP BY ALL), k AS (SELECT t.*, coalesce(into_id, parent_id) AS up FROM tree t LEFT JOIN u USING (doc_id, node_id) WHERE into_id IS NULL OR type IN ('content', 'object-ref')) SELECT doc_id, node_id, up AS parent_id, CAST(row_number() OVER (PARTITION BY doc_id, up ORDER BY pos, node_id) - 1 AS BIGINT) AS ord FROM k")
-on_tree("remove_links", lambda x, _: r.remove_links(x).select("doc_id", "node_id", "parent_id", "role"),
-        """, links AS (SELECT t.*, EXISTS (SELECT 1 FROM tree c WHERE c.doc_id = t.doc_id AND c.pre > t.pre AND c.pre <= t.last_pre AND c.type = 'content') AS holds FROM tree t WHERE role = 'Link'),
- fates AS (SELECT doc_id, node_id, CASE WHEN NOT holds THEN 'vanish' WHEN trim(coalesce(actual_text, '')) <> '' THEN 'Span' WHEN up_role IS NULL OR up_role IN ('Document', 'DocumentFragment', 'Part', 'Art', 'Sect', 'Div', 'NonStruct', 'Private') THEN 'P' ELSE 'dissolve' END AS fate FROM links)
- SELECT t.doc_id, t.node_id, CASE WHEN u.fate = 'dissolve' THEN p.parent_id ELSE t.parent_id END AS parent_id, CASE WHEN f.fate IN ('Span', 'P') THEN f.fate ELSE t.role END AS role FROM tree t LEFT JOIN fates f USING (doc_id, node_id) LEFT JOIN fates u ON u.doc_id = t.doc_id AND u.node_id = t.parent_id LEFT JOIN tree p ON p.doc_id = t.doc_id AND p.node_id = t.parent_id
- WHERE coalesce(f.fate, '') NOT IN ('vanish', 'dissolve') AND coalesce(u.fate, '') <> 'vanish' AND NOT (t.type = 'object-ref' AND t.target_id IS NOT NULL)""")
+# in some documents a role of their own stands for Link, and lines have an actual text
+_ROLE_MAP = "SELECT DISTINCT o_custkey AS doc_id, CASE WHEN o_custkey % 3 = 0 THEN 'Span' ELSE 'LBody' END AS custom, CASE WHEN o_custkey % 2 = 0 THEN 'Link' ELSE 'P' END AS standard FROM {orders}"
+_SPOKEN = "CASE WHEN depth = 3 AND node_id % 5 = 0 THEN 'said' WHEN depth = 3 AND node_id % 5 = 1 THEN '' ELSE actual_text END"
+_TAGGED_OPS = LEAF_OPS.replace("CASE WHEN k = 0 THEN 'P' END AS tag", "CASE WHEN k = 0 THEN CASE WHEN pk % 4 = 0 THEN 'Link' ELSE 'P' END END AS tag")
+_spoken = lambda x: x.withColumn("actual_text", F.expr(_SPOKEN))
+_UNLINKED = f"""s AS (SELECT * REPLACE ({_SPOKEN} AS actual_text) FROM tree WHERE NOT (type = 'object-ref' AND target_id IS NOT NULL)), l AS (SELECT s.*, type = 'element' AND (role = 'Link' OR EXISTS (SELECT 1 FROM role_map m WHERE m.doc_id = s.doc_id AND m.custom = s.role AND m.standard = 'Link')) AS is_link FROM s),
+ fates AS (SELECT l.*, CASE WHEN NOT is_link THEN 'stay' WHEN NOT EXISTS (SELECT 1 FROM l c WHERE c.doc_id = l.doc_id AND c.pre > l.pre AND c.pre <= l.last_pre AND NOT c.is_link) THEN 'vanish'
+   WHEN depth = 1 OR coalesce(up_role IN ('Document', 'DocumentFragment', 'Part', 'Art', 'Sect', 'Div', 'NonStruct', 'Private'), false) THEN 'P' WHEN actual_text IS NOT NULL THEN 'Span' ELSE 'dissolve' END AS fate FROM l)"""
+on_tree("remove_links", lambda x, w: r.remove_links(_spoken(x), w(_ROLE_MAP)).select("doc_id", "node_id", "parent_id", "role", "alt"),
+        f""", {_UNLINKED} SELECT f.doc_id, f.node_id, (SELECT max_by(a.node_id, a.depth) FROM fates a WHERE a.doc_id = f.doc_id AND a.pre < f.pre AND f.pre <= a.last_pre AND a.fate <> 'dissolve') AS parent_id, CASE WHEN fate IN ('P', 'Span') THEN fate ELSE role END AS role, CASE WHEN fate NOT IN ('P', 'Span') THEN alt END AS alt FROM fates f WHERE fate NOT IN ('vanish', 'dissolve')""", ("role_map", _ROLE_MAP))
+on_tree("links_removed", lambda x, w: r.links_removed(_spoken(x), w(ANNOTATIONS), w(_TAGGED_OPS), w(_ROLE_MAP)),
+        f""", {_UNLINKED}, t_ AS (SELECT doc_id, count(*) AS tags, count(*) FILTER (fate IN ('P', 'Span')) AS retagged FROM fates WHERE is_link GROUP BY doc_id), a_ AS (SELECT doc_id, count(*) AS annotations FROM notes GROUP BY doc_id), s_ AS (SELECT doc_id, count(*) AS spans FROM tagged_ops WHERE op = 'BDC' AND tag = 'Link' GROUP BY doc_id)
+ SELECT doc_id, coalesce(annotations, 0) AS annotations, coalesce(tags, 0) AS tags, coalesce(retagged, 0) AS retagged, coalesce(spans, 0) AS spans FROM t_ FULL JOIN a_ USING (doc_id) FULL JOIN s_ USING (doc_id)""", ("role_map", _ROLE_MAP), ("notes", ANNOTATIONS), ("tagged_ops", _TAGGED_OPS))
+on_tree("unlinked_ops", lambda _, w: r.unlinked_ops(w(_TAGGED_OPS)).select("doc_id", "page", "op_idx", "tag", "mcid"), "SELECT doc_id, page, op_idx, CASE WHEN tag = 'Link' THEN 'Span' ELSE tag END AS tag, mcid FROM tagged_ops", ("tagged_ops", _TAGGED_OPS))
+on_tree("annotation_links_mapped", lambda x, w: a.link_tags(x, w(ANNOTATIONS), w(_ROLE_MAP.replace("'Span' ELSE 'LBody'", "'Figure' ELSE 'Link'"))).select("doc_id", "annot_id", "link"),
+        """, m AS (SELECT o.doc_id, o.target_id, p.node_id, o.pre FROM tree o JOIN tree p ON p.doc_id = o.doc_id AND p.node_id = o.parent_id LEFT JOIN role_map r ON r.doc_id = p.doc_id AND r.custom = p.role WHERE o.type = 'object-ref' AND coalesce(r.standard, p.role) = 'Link')
+ SELECT n.doc_id, n.annot_id, (SELECT min_by(m.node_id, m.pre) FROM m WHERE m.doc_id = n.doc_id AND m.target_id = n.annot_id) AS link FROM notes n""", ("role_map", _ROLE_MAP.replace("'Span' ELSE 'LBody'", "'Figure' ELSE 'Link'")), ("notes", ANNOTATIONS))
 on_tree("prune_emptied", lambda x, _: r.prune_emptied(x, x.filter("role IN ('LBody', 'Span', 'TD') AND pre = last_pre").select("doc_id", "node_id")).select("doc_id", "node_id"),
         """, cand AS (SELECT * FROM tree WHERE role IN ('LBody', 'Span', 'TD') AND pre = last_pre), may AS (SELECT t.* FROM tree t WHERE type = 'element' AND role <> 'Document' AND EXISTS (SELECT 1 FROM cand c WHERE c.doc_id = t.doc_id AND c.pre BETWEEN t.pre AND t.last_pre)),
  gone AS (SELECT * FROM may m WHERE NOT EXISTS (SELECT 1 FROM tree c WHERE c.doc_id = m.doc_id AND c.pre BETWEEN m.pre AND m.last_pre AND NOT EXISTS (SELECT 1 FROM may x WHERE x.doc_id = c.doc_id AND x.node_id = c.node_id))) SELECT doc_id, node_id FROM tree t WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = t.doc_id AND g.node_id = t.node_id)""")
