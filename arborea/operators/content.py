@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import regions
+
 # fixed values: operators that open, close and paint
 OPENS, CLOSE = ("BDC", "BMC"), "EMC"
 PAINTS = ("Tj", "'", '"', "TJ", "S", "s", "f", "F", "f*", "B", "B*", "b", "b*", "sh", "Do")
@@ -118,16 +120,44 @@ def kind_of(ops: Column) -> Column:
     return F.when(n > 1, "mixed").when(text, "text").when(image, "image").when(path, "path").otherwise("region")
 
 
-def artifacts(deep: DataFrame, span: DataFrame, most: int = 2000) -> DataFrame:
-    """doc_id, open_idx, kind, truncated: outermost closed Artifact spans that paint, the first of each document."""
+def artifact_paint(deep: DataFrame, span: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Outermost closed Artifact spans (doc_id, open_idx, close_idx, ...), and the painting instructions inside one, with its open_idx. Such spans are
+    disjoint, so an instruction's span is the last one opened before it: one pass in order, no join by range."""
     a = span.filter("tag = 'Artifact' AND close_idx IS NOT NULL")
     w = Window.partitionBy("doc_id").orderBy("open_idx").rowsBetween(Window.unboundedPreceding, -1)
-    a = a.withColumn("end_before", F.max("close_idx").over(w)).filter("end_before IS NULL OR open_idx > end_before").select(F.col("doc_id").alias("d"), "open_idx", "close_idx")
-    paint = deep.filter(F.col("op").isin(*PAINTS)).select("doc_id", "op_idx", "op")
-    hit = paint.join(a, (F.col("doc_id") == F.col("d")) & (F.col("op_idx") > F.col("open_idx")) & (F.col("op_idx") < F.col("close_idx")))
-    out = hit.groupBy("doc_id", "open_idx").agg(kind_of(F.collect_set("op")).alias("kind"))
+    a = a.withColumn("end_before", F.max("close_idx").over(w)).filter("end_before IS NULL OR open_idx > end_before").drop("end_before")
+    opened = a.select("doc_id", F.col("open_idx").alias("op_idx"), F.struct("open_idx", "close_idx").alias("own"))
+    both = deep.filter(F.col("op").isin(*PAINTS)).unionByName(opened, allowMissingColumns=True)
+    last = F.last("own", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("op_idx").rowsBetween(Window.unboundedPreceding, 0))
+    paint = both.withColumn("last", last).filter("own IS NULL AND op_idx < last.close_idx").withColumn("open_idx", F.col("last.open_idx")).drop("own", "last")
+    return a, paint
+
+
+def _listed(found: DataFrame, most: int) -> DataFrame:
     v = Window.partitionBy("doc_id")
-    return out.withColumn("n", F.row_number().over(v.orderBy("open_idx"))).withColumn("truncated", F.count("*").over(v) > most).filter(F.col("n") <= most).select("doc_id", "open_idx", "kind", "truncated")
+    return found.withColumn("n", F.row_number().over(v.orderBy("open_idx"))).withColumn("truncated", F.count("*").over(v) > most).filter(F.col("n") <= most).drop("n")
+
+
+def artifacts(deep: DataFrame, span: DataFrame, most: int = 2000) -> DataFrame:
+    """doc_id, open_idx, kind, truncated: outermost closed Artifact spans that paint, the first of each document."""
+    _, paint = artifact_paint(deep, span)
+    return _listed(paint.groupBy("doc_id", "open_idx").agg(kind_of(F.collect_set("op")).alias("kind")), most).select("doc_id", "open_idx", "kind", "truncated")
+
+
+def artifact_details(deep: DataFrame, span: DataFrame, declared: DataFrame, most: int = 2000) -> DataFrame:
+    """doc_id, open_idx, kind, subtype, text, x0, y0, x1, y1, d0, d1, d2, d3, truncated: as ``artifacts``, with what a span says and where.
+
+    deep: also text, x, y, end_x, end_y, size of shown strings, and the box x0, y0, x1, y1 of what an instruction paints. declared: doc_id, open_idx, subtype,
+    d0..d3 (the box that the span itself states). The text is broken as by ``broken_text``; a span that paints nothing is listed only if it states
+    a box, as a region. Boxes are rounded to two places."""
+    a, paint = artifact_paint(deep, span)
+    said = regions.broken_text(paint.filter(F.col("op").isin(*_TEXT) & F.col("text").isNotNull()).withColumn("seq", F.col("op_idx")), "doc_id", "open_idx")
+    drawn = paint.groupBy("doc_id", "open_idx").agg(kind_of(F.collect_set("op")).alias("kind"), *(f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))))
+    own = declared.select("doc_id", "open_idx", "subtype", "d0", "d1", "d2", "d3")
+    every = a.select("doc_id", "open_idx").join(own, ["doc_id", "open_idx"], "left").join(drawn, ["doc_id", "open_idx"], "left").join(said, ["doc_id", "open_idx"], "left")
+    every = every.filter("kind IS NOT NULL OR d0 IS NOT NULL").withColumn("kind", F.coalesce("kind", F.lit("region"))).withColumn("text", F.coalesce("text", F.lit("")))
+    boxes = [F.round(c, 2).alias(c) for c in ("x0", "y0", "x1", "y1", "d0", "d1", "d2", "d3")]
+    return _listed(every, most).select("doc_id", "open_idx", "kind", "subtype", "text", *boxes, "truncated")
 
 
 def restored(artifact: DataFrame, targets: DataFrame, next_mcid: DataFrame) -> DataFrame:

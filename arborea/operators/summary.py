@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.scratch import written
 from . import tree as t
 from .audit import head_level
 from .predicates import numbered_heading, organizational
@@ -71,9 +72,26 @@ def batch_time(log: DataFrame, keep: int = 50) -> DataFrame:
     return s.select("provider", F.round(F.when(few, q(2) * 0.7).otherwise(q(1)), 6).alias("low"), F.round(F.when(few, q(2) * 1.3).otherwise(q(3)), 6).alias("high"))
 
 
+def depth_first(outline: DataFrame, most_levels: int = 1_000) -> DataFrame:
+    """The outline (doc_id, bookmark_id, parent, ord, ...) with level (from 0) and place: its position in depth-first order, from 1. Level by level."""
+    outline = written(outline, "outline")
+    level = written(outline.filter("parent IS NULL").withColumn("route", F.array(F.struct("ord", "bookmark_id"))), "level")
+    found, n = level, 1
+    while not level.isEmpty():
+        if n > most_levels:
+            raise ValueError(f"the outline has more than {most_levels} levels, or a cycle")
+        up = level.select("doc_id", F.col("bookmark_id").alias("parent"), F.col("route").alias("up"))
+        level = written(outline.join(up, ["doc_id", "parent"]).withColumn("route", F.concat("up", F.array(F.struct("ord", "bookmark_id")))).select(found.columns), "level")
+        found, n = found.unionByName(level), n + 1
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("route"))
+    return found.withColumn("level", F.size("route") - 1).withColumn("place", place).drop("route")
+
+
 def bookmark_listing(outline: DataFrame, most: int = 300) -> DataFrame:
-    w = Window.partitionBy("doc_id")
-    return outline.withColumn("n", F.row_number().over(w.orderBy("ord", "bookmark_id"))).withColumn("total", F.count("*").over(w)).filter(F.col("n") <= most).select("doc_id", "bookmark_id", "total", (F.col("total") > most).alias("truncated"))
+    """doc_id, bookmark_id, level, total, truncated: the first bookmarks of a document, depth first. An outline without parents is one level."""
+    flat = outline if "parent" in outline.columns else outline.withColumn("parent", F.lit(None).cast("long"))
+    total = F.count("*").over(Window.partitionBy("doc_id"))
+    return depth_first(flat).withColumn("total", total).filter(F.col("place") <= most).select("doc_id", "bookmark_id", "level", "total", (F.col("total") > most).alias("truncated"))
 
 
 def bookmark_parents(tree: DataFrame) -> DataFrame:
@@ -98,3 +116,31 @@ def outline_slot(outline: DataFrame, pages: DataFrame) -> DataFrame:
     both = last.select("doc_id", "v", F.lit(0).alias("k"), "bookmark_id").unionByName(pages.select("doc_id", F.col("page").alias("v"), F.lit(1).alias("k"), F.lit(None).cast(last.schema["bookmark_id"].dataType).alias("bookmark_id")))
     w = Window.partitionBy("doc_id").orderBy("v", "k").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("after", F.last("bookmark_id", ignorenulls=True).over(w)).filter("k = 1").select("doc_id", F.col("v").alias("page"), "after")
+
+
+def nested_slots(outline: DataFrame, pages: DataFrame, most_levels: int = 1_000) -> DataFrame:
+    """doc_id, page, parent, after: where a bookmark for a page belongs in a nested outline (doc_id, bookmark_id, parent, ord, page).
+
+    On each level as ``outline_slot``; where the bookmark found has children, the search goes on among them, all pages of all documents a level at a
+    time. after null: in front of the parent's children (parent null: of the whole outline)."""
+    outline = written(outline.select("doc_id", "bookmark_id", "parent", "ord", "page"), "outline")
+    parents = outline.filter("parent IS NOT NULL").select("doc_id", F.col("parent").alias("after"), F.lit(True).alias("more")).distinct()
+    group = lambda parent: F.coalesce(parent, F.lit(-(1 << 63)).cast("long"))  # noqa: E731  null is a group of its own
+    so_far = F.max("page").over(Window.partitionBy("doc_id", "g").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    steps = outline.filter("page IS NOT NULL").withColumn("g", group(F.col("parent"))).withColumn("v", so_far).groupBy("doc_id", "g", "v").agg(F.max_by("bookmark_id", "ord").alias("bookmark_id"))
+    steps = written(steps, "steps")
+    now, found, n = written(pages.select("doc_id", "page").distinct().withColumn("parent", F.lit(None).cast("long")), "slots"), None, 0
+    while True:
+        if n > most_levels:
+            raise ValueError(f"the outline has more than {most_levels} levels, or a cycle")
+        both = now.select("doc_id", group(F.col("parent")).alias("g"), F.col("page").alias("v"), F.lit(1).alias("k"), F.lit(None).cast("long").alias("bookmark_id"), "parent")
+        both = both.unionByName(steps.join(both.select("doc_id", "g").distinct(), ["doc_id", "g"], "left_semi").withColumn("k", F.lit(0)), allowMissingColumns=True)
+        w = Window.partitionBy("doc_id", "g").orderBy("v", "k").rowsBetween(Window.unboundedPreceding, 0)
+        at = both.withColumn("after", F.last("bookmark_id", ignorenulls=True).over(w)).filter("k = 1").select("doc_id", F.col("v").alias("page"), "parent", "after")
+        at = written(at.join(parents, ["doc_id", "after"], "left"), "slots")
+        done = at.filter("more IS NULL").select("doc_id", "page", "parent", "after")
+        found = done if found is None else found.unionByName(done)
+        now = at.filter("more").select("doc_id", "page", F.col("after").alias("parent"))
+        if now.isEmpty():
+            return found
+        n += 1

@@ -18,6 +18,33 @@ def cells(tree: DataFrame) -> DataFrame:
     return c.select("doc_id", "tab", r.alias("row_no"), k.alias("cell_no"), "node_id", "role", "col_span")
 
 
+#: How far each walk goes from a table to its rows, and from a row to its cells: roles that stop it, or the only ones it passes (None: any).
+WALKS = {"audit": (("TR", "Table"), None, ("TH", "TD"), None), "preview": (("TR", "Table"), None, ("TH", "TD", "TR", "Table"), None), "rewrite": ((), ("THead", "TBody", "TFoot"), (), ())}
+
+
+def walked_cells(tree: DataFrame, mode: str) -> DataFrame:
+    """doc_id, tab, row, row_no, node_id, cell_no: rows and cells of tables (from 1, in document order) by one of three walks.
+
+    'audit' and 'preview' find rows through any wrapper but a nested table or row, 'rewrite' through the parts of a table only. From a row, 'audit' passes
+    anything but a cell, so a nested row's cells count for the outer row too; 'preview' stops at nested rows and tables as well; 'rewrite' takes
+    children alone. Each walk is read backwards along the path of a row or a cell."""
+    stop_row, only_row, stop_cell, only_cell = WALKS[mode]
+    roles = F.transform(t.ancestors(), lambda s: F.coalesce(s["role"], s["type"]))
+
+    def since(stops, only):
+        """Ancestors up to where the walk would have stopped: those after the last stop, the stop included."""
+        up = t.ancestors()
+        halts = F.transform(roles, lambda r, i: F.when((r.isin(*stops) if stops else F.lit(False)) if only is None else (~r.isin(*only) if only else F.lit(True)), i + 1))
+        last = F.coalesce(F.array_max(halts), F.lit(1))
+        return F.slice(up, last, F.size("path") - last)
+
+    row = tree.filter("role = 'TR'").withColumn("tab", F.try_element_at(since(stop_row, only_row), F.lit(1))).filter("tab.role = 'Table'")
+    row = row.select("doc_id", F.col("tab.node_id").alias("tab"), F.col("node_id").alias("row"), F.row_number().over(Window.partitionBy("doc_id", "tab.node_id").orderBy("pre")).alias("row_no"))
+    cell = tree.filter(F.col("role").isin("TH", "TD")).select("doc_id", "node_id", "pre", F.explode(since(stop_cell, only_cell)).alias("up")).filter("up.role = 'TR'")
+    cell = cell.select("doc_id", F.col("up.node_id").alias("row"), "node_id", F.row_number().over(Window.partitionBy("doc_id", "up.node_id").orderBy("pre")).alias("cell_no"))
+    return row.join(cell, ["doc_id", "row"]).select("doc_id", "tab", "row", "row_no", "node_id", "cell_no")
+
+
 def place(rows: list[list[tuple[int, int]]]) -> tuple[list[list[int]], int, str | None]:
     """First free column of each cell of (column span, row span), the number of columns, and what is wrong with the grid."""
     taken: dict[int, set[int]] = {}
@@ -165,6 +192,51 @@ def cell_runs(glyphs: DataFrame) -> DataFrame:
     return r.select("leaf", "cell", "start", F.when(F.col("end") < F.col("total"), F.col("end")).alias("end"))
 
 
+def _slots(points: DataFrame, edges: DataFrame, axis: str) -> DataFrame:
+    """The points (tab, axis) with the first and last of the intervals between a table's edges (tab, axis) that hold each, from 0: one pass in order of place;
+    two intervals for a point on an inner edge, none outside."""
+    both = points.withColumn("edge", F.lit(0)).unionByName(edges.select("tab", axis, F.lit(1).alias("edge")), allowMissingColumns=True)
+    upto = Window.partitionBy("tab").orderBy(axis).rangeBetween(Window.unboundedPreceding, 0)
+    here = Window.partitionBy("tab", axis)
+    b = both.withColumn("at", F.sum("edge").over(upto)).withColumn("on", F.sum("edge").over(here)).withColumn("n", F.sum("edge").over(Window.partitionBy("tab")))
+    low, high = F.greatest(F.col("at") - F.col("on") - 1, F.lit(0)), F.least(F.col("at") - 1, F.col("n") - 2)
+    found = b.filter("edge = 0").withColumn(f"{axis}_from", F.when((F.col("at") > 0) & (F.col("at") - F.col("on") < F.col("n")), low)).withColumn(f"{axis}_to", F.when(F.col(f"{axis}_from").isNotNull(), high))
+    return found.drop("edge", "at", "on", "n")
+
+
+def glyph_cells(glyphs: DataFrame, xs: DataFrame, ys: DataFrame, cell: DataFrame) -> DataFrame:
+    """The glyphs (tab, leaf, seq, text, x, y, width, height) with ``cell``: the first cell, in the order of their numbers, that holds the glyph's middle, edges
+    included; null outside. xs: tab, x of the vertical edges; ys: tab, y; cell: tab, cell, row_no, col_no (from 0), row_span, col_span."""
+    p = glyphs.select("tab", "leaf", "seq", "text", (F.col("x") + F.col("width") / 2).alias("x"), (F.col("y") + F.col("height") / 2).alias("y"))
+    p = _slots(_slots(p, xs, "x"), ys, "y")
+    area = cell.select("tab", "cell", F.explode(F.sequence(F.col("row_no"), F.col("row_no") + F.col("row_span") - 1)).alias("r"), "col_no", "col_span")
+    area = area.select("tab", "cell", F.col("r").cast("long").alias("r"), F.explode(F.sequence(F.col("col_no"), F.col("col_no") + F.col("col_span") - 1)).alias("c")).withColumn("c", F.col("c").cast("long"))
+    area = area.groupBy("tab", "r", "c").agg(F.min("cell").alias("cell"))
+    inside = p.filter("x_from IS NOT NULL AND y_from IS NOT NULL").withColumn("r", F.explode(F.sequence("y_from", "y_to"))).withColumn("c", F.explode(F.sequence("x_from", "x_to")))
+    first = inside.join(area, ["tab", "r", "c"]).groupBy("tab", "leaf", "seq").agg(F.min("cell").alias("cell"))
+    return glyphs.join(first, ["tab", "leaf", "seq"], "left")
+
+
+def cell_contents(glyphs: DataFrame, rects: DataFrame, xs: DataFrame, ys: DataFrame, cell: DataFrame) -> DataFrame:
+    """tab, leaf, cell, start, end, overhangs: what of each leaf goes into which cell of its table.
+
+    Measured leaves (glyphs) are divided as by ``glyph_cells`` and ``cell_runs``. A leaf without glyphs (rects: tab, leaf, x, y, width, height) goes whole to the
+    cell most of it lies in, the first of equals; it overhangs if a box of it reaches out of that cell by more than 0.5."""
+    placed = glyph_cells(glyphs, xs, ys, cell).select(F.struct("tab", "leaf").alias("leaf"), "seq", "text", "cell")
+    runs = cell_runs(placed).select("leaf.tab", "leaf.leaf", "cell", "start", "end", F.lit(False).alias("overhangs"))
+    edge = lambda df, c: df.groupBy("tab").agg(F.array_sort(F.collect_list(c)).alias(f"{c}s"))
+    side = lambda v, n, span: (F.element_at(v, (F.col(n) + 1).cast("int")), F.element_at(v, (F.col(n) + F.col(span) + 1).cast("int")))
+    box = cell.join(edge(xs, "x"), "tab").join(edge(ys, "y"), "tab")
+    (x0, x1), (y0, y1) = side("xs", "col_no", "col_span"), side("ys", "row_no", "row_span")
+    box = box.select("tab", "cell", x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"))
+    coarse = rects.join(glyphs.filter("text <> ''").select("tab", "leaf").distinct(), ["tab", "leaf"], "left_anti").join(box, "tab")
+    common = lambda a, w, lo, hi: F.greatest(F.lit(0.0), F.least(F.col(a) + F.col(w), F.col(hi)) - F.greatest(F.col(a), F.col(lo)))
+    out = lambda a, w, lo, hi: (F.col(a) >= F.col(lo) - 0.5) & (F.col(a) + F.col(w) <= F.col(hi) + 0.5)
+    each = coarse.groupBy("tab", "leaf", "cell").agg(F.sum(common("x", "width", "x0", "x1") * common("y", "height", "y0", "y1")).alias("area"), F.bool_and(out("x", "width", "x0", "x1") & out("y", "height", "y0", "y1")).alias("within"))
+    best = each.filter("area > 0").groupBy("tab", "leaf").agg(F.min_by(F.struct("cell", "within"), F.struct(-F.col("area"), F.col("cell"))).alias("b"))
+    return runs.unionByName(best.select("tab", "leaf", "b.cell", F.lit(0).cast(runs.schema["start"].dataType).alias("start"), F.lit(None).cast(runs.schema["end"].dataType).alias("end"), (~F.col("b.within")).alias("overhangs")))
+
+
 def filled(cell: DataFrame, row_id: Column, cell_id: Column) -> DataFrame:
     """doc_id, node_id, parent_id, ord, role, col_span of the rows and cells of new tables (doc_id, tab, row_no, col_no, role, col_span)."""
     rows = cell.select("doc_id", "tab", "row_no").distinct().select("doc_id", row_id.alias("node_id"), F.col("tab").alias("parent_id"), (F.col("row_no") - 1).cast("long").alias("ord"), F.lit("TR").alias("role"), F.lit(1).alias("col_span"))

@@ -168,6 +168,26 @@ def content_map(tree: DataFrame) -> DataFrame:
     return o.select("doc_id", "page", F.array_join(at, ",").alias("owners"))
 
 
+def parent_tree(tree: DataFrame, page_keys: DataFrame, object_keys: DataFrame, declared: DataFrame) -> DataFrame:
+    """doc_id, key, kind ('page', 'object'), id, owners, next: the reverse map of a version, from a page's or an object's key to what owns it.
+
+    Keys of the version before stay (page_keys: doc_id, page, key; object_keys: doc_id, target_id, key; null: none yet). Pages with content, then objects in
+    document order, that have none get the next ones without a gap, from the largest in use or the declared next key (declared: doc_id, next) on,
+    whichever is greater. A page that has a key keeps its entry even when nothing on it is tagged any more. An object belongs to its last owner;
+    owners of a page are as in ``content_map``. next: the key that comes after."""
+    owned = content_map(tree)
+    pages = page_keys.filter("key IS NOT NULL").select("doc_id", "page", "key").join(owned, ["doc_id", "page"], "full")
+    leaf = tree.filter("type = 'object-ref' AND target_id IS NOT NULL").groupBy("doc_id", "target_id").agg(F.min("pre").alias("at"), F.max_by("parent_id", "pre").alias("owner"))
+    objects = leaf.join(object_keys.select("doc_id", "target_id", "key"), ["doc_id", "target_id"], "left")
+    every = pages.select("doc_id", "key", F.lit("page").alias("kind"), F.col("page").cast("long").alias("id"), F.coalesce("owners", F.lit("")).alias("owners"), F.struct(F.lit(0).alias("k"), F.col("page").cast("long").alias("at")).alias("turn"))
+    every = every.unionByName(objects.select("doc_id", "key", F.lit("object").alias("kind"), F.col("target_id").alias("id"), F.col("owner").cast("string").alias("owners"), F.struct(F.lit(1).alias("k"), F.col("at").cast("long").alias("at")).alias("turn")))
+    doc = Window.partitionBy("doc_id")
+    first = F.greatest(F.coalesce(F.max("key").over(doc) + 1, F.lit(0)), F.coalesce("next", F.lit(0))).cast("long")
+    fresh = F.row_number().over(Window.partitionBy("doc_id", F.col("key").isNull()).orderBy("turn")) - 1
+    e = every.join(declared.select("doc_id", "next"), "doc_id", "left").withColumn("first", first)
+    return e.select("doc_id", F.coalesce("key", F.col("first") + fresh).cast("long").alias("key"), "kind", "id", "owners", (F.col("first") + F.count_if(F.col("key").isNull()).over(doc)).alias("next"))
+
+
 def next_mcid(tree: DataFrame, ops: DataFrame | None = None) -> DataFrame:
     """doc_id, page, mcid: one more than the largest in use on the page, by the tree or by the page's instructions (doc_id, page, op, mcid)."""
     used = with_page(tree).filter("type = 'content' AND mcid IS NOT NULL AND page IS NOT NULL").select("doc_id", "page", "mcid")

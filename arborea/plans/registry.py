@@ -20,7 +20,7 @@ def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str
 
 
 def _load() -> None:
-    from . import content_queries, geometry_queries, layout_queries, move_queries, proposal_queries, region_queries, rewrite_queries, session_queries, structure_queries, table_queries, tagging_queries, text_queries, tree_queries  # noqa: F401
+    from . import content_queries, detail_queries, geometry_queries, layout_queries, move_queries, proposal_queries, region_queries, rewrite_queries, session_queries, structure_queries, table_queries, tagging_queries, text_queries, tree_queries  # noqa: F401
 
 
 _load()

@@ -38,7 +38,7 @@ on_tree("badges", lambda t, _: m.badges(t, t.filter("type = 'element' AND node_i
         """, ai AS (SELECT * FROM tree WHERE type = 'element' AND node_id % 7 = 1), att AS (SELECT * FROM tree WHERE type = 'element' AND node_id % 5 = 1), b AS (SELECT e.doc_id, e.node_id, CASE WHEN e.type = 'element' AND e.node_id % 7 = 1 THEN 'AI**' WHEN EXISTS (SELECT 1 FROM ai c WHERE c.doc_id = e.doc_id AND c.pre > e.pre AND c.pre <= e.last_pre) THEN 'AI**↓'
  WHEN e.type = 'element' AND e.node_id % 5 = 1 THEN 'AT*' WHEN EXISTS (SELECT 1 FROM att c WHERE c.doc_id = e.doc_id AND c.pre > e.pre AND c.pre <= e.last_pre) THEN 'AT*↓' END AS badge FROM tree e) SELECT * FROM b WHERE badge IS NOT NULL""")
 on_tree("bookmark_parents", lambda t, _: m.bookmark_parents(t), f", {_PAGE_OF}, h AS (SELECT *, CAST(substr(role, 2) AS INT) AS level FROM tree JOIN page_of USING (doc_id, node_id) WHERE role IN {HEADS} AND page_no IS NOT NULL) SELECT h.doc_id, h.node_id, max_by(p.node_id, p.pre) AS parent FROM h LEFT JOIN h p ON p.doc_id = h.doc_id AND p.pre < h.pre AND p.level < h.level GROUP BY ALL")
-on_tree("bookmark_listing", lambda t, w: m.bookmark_listing(w(OUTLINE)), "SELECT doc_id, bookmark_id, total, total > 300 AS truncated FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM outline_) WHERE n <= 300", ("outline_", OUTLINE))
+on_tree("bookmark_listing", lambda t, w: m.bookmark_listing(w(OUTLINE)), "SELECT doc_id, bookmark_id, 0 AS level, total, total > 300 AS truncated FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM outline_) WHERE n <= 300", ("outline_", OUTLINE))
 on_tree("outline_slot", lambda t, w: m.outline_slot(w(OUTLINE), w(DOC_PAGES)), "SELECT p.doc_id, p.page, (SELECT max_by(o.bookmark_id, o.ord) FROM outline_ o WHERE o.doc_id = p.doc_id AND o.ord < coalesce((SELECT min(z.ord) FROM outline_ z WHERE z.doc_id = p.doc_id AND z.page > p.page), 9223372036854775807)) AS after FROM pages_ p", ("outline_", OUTLINE), ("pages_", DOC_PAGES))
 
 # lines and pairs of documents
