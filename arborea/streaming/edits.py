@@ -90,6 +90,158 @@ def stale_edits(edits: DataFrame, renumberings: DataFrame, kept: int = 500) -> D
     return e.select("doc_id", "seq", v.alias("verdict"))
 
 
+_VERDICT = "doc_id long, seq long, verdict string"
+
+
+class _Renumberings:
+    """A document's last renumberings (revision, boundary), and verdicts against them."""
+
+    def __init__(self, kept: int, log: list[tuple[int, int]] | None = None, total: int = 0):
+        self.kept, self.log, self.total = kept, log or [], total
+
+    def verdict(self, revision: int, node_id: int) -> str:
+        newest = self.log[-1][0] if self.log else 0
+        if revision > newest:
+            return "future"
+        if self.total > self.kept and revision < self.log[0][0] - 1:
+            return "stale"
+        return "stale" if any(boundary <= node_id for at, boundary in self.log if at > revision) else "fresh"
+
+    def add(self, r):
+        if r.kind == "renumbering":
+            self.log = [*self.log, (int(r.revision), int(r.boundary))][-self.kept :]
+            self.total += 1
+            return []
+        return [(int(r.doc_id), int(r.seq), self.verdict(int(r.revision), int(r.node_id)))]
+
+    def end(self, key):
+        return ()
+
+
+def judged_edits(events: DataFrame, kept: int = 500) -> DataFrame:
+    """doc_id, seq, verdict of edits as by ``stale_edits``, each against the renumberings that came before it.
+
+    events: doc_id, seq, kind ('renumbering' or 'edit'), revision, boundary (of a renumbering), node_id (of an edit): two streams, or tables, in one. State of a
+    document: its last ``kept`` renumberings. On a stream the rows of a document must come in order of seq."""
+    e = events.select("doc_id", "seq", "kind", "revision", "boundary", "node_id")
+    if not events.isStreaming:
+        return fold(e, ["doc_id"], ["seq"], lambda: _Renumberings(kept), _VERDICT)
+
+    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        revisions, boundaries, total = state.get if state.exists else ([], [], 0)
+        own = _Renumberings(kept, list(zip(revisions, boundaries)), total)
+        rows = [x for r in pd.concat(list(batches)).sort_values("seq").itertuples(index=False) for x in own.add(r)]
+        state.update(([r for r, _ in own.log], [b for _, b in own.log], own.total))
+        yield pd.DataFrame(rows, columns=["doc_id", "seq", "verdict"])
+
+    return e.groupBy("doc_id").applyInPandasWithState(step, _VERDICT, "revisions array<long>, boundaries array<long>, total long", "append", "NoTimeout")
+
+
+def undo_owner_stream(edits: DataFrame) -> DataFrame:
+    """``undo_owner`` of a stream, in update mode: the group of a document's top step is that of its last change."""
+
+    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        seq, group = state.get if state.exists else (-1, None)
+        pdf = pd.concat(list(batches))
+        last = pdf.loc[pdf["seq"].idxmax()]
+        if last["seq"] > seq:
+            seq, group = int(last["seq"]), None if pd.isna(last["undo_group"]) else last["undo_group"]
+        state.update((seq, group))
+        yield pd.DataFrame({"doc_id": [key[0]], "undo_group": [group]}, dtype=object)
+
+    return edits.filter("changes").select("doc_id", "seq", "undo_group").groupBy("doc_id").applyInPandasWithState(step, "doc_id long, undo_group string", "seq long, undo_group string", "update", "NoTimeout")
+
+
+# sessions with a beginning and an end
+
+_SESSION = "doc_id long, start timestamp, stop timestamp, reason string, n_edits long, n_touched long, n_deleted long"
+_CALLS = ("doc_id", "seq", "ts", "cmd", "node_id")
+ENDS = {"end": "ended", "stop": "stopped"}
+
+
+def call_sessions(calls: DataFrame, idle: int = 120) -> DataFrame:
+    """doc_id, start, stop, reason, n_edits, n_touched, n_deleted: editing sessions from calls (doc_id, seq, ts, cmd, node_id).
+
+    A session opens with 'begin' and closes with 'end' or 'stop' ('ended', 'stopped'), or ``idle`` seconds after the last call of any kind ('quiet'; stop is
+    then). A 'begin' in an open session is a call like others. 'edit' and 'delete' count in an open session alone: edits, different tags touched by
+    edits, and tags deleted. On a stream calls may come late within the watermark: they wait in a document's state until their
+    turn, and a session is given out once it has closed."""
+    c = calls.select(*_CALLS)
+    if calls.isStreaming:
+        return _call_sessions_stream(_timed(c.withColumn("ts", F.col("ts").cast("timestamp"))), idle)
+    w = Window.partitionBy("doc_id").orderBy("ts", "seq")
+    after = F.coalesce((F.col("ts") >= F.lag("ts").over(w) + F.expr(f"INTERVAL {idle} SECONDS")) | F.lag("cmd").over(w).isin(*ENDS), F.lit(False))
+    c = c.withColumn("stretch", F.sum(after.cast("int")).over(w))
+    inside = Window.partitionBy("doc_id", "stretch").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumn("open", F.max((F.col("cmd") == "begin").cast("int")).over(inside) == 1).filter("open")
+    last = F.max_by("cmd", F.struct("ts", "seq"))
+    g = c.groupBy("doc_id", "stretch").agg(
+        F.min("ts").alias("start"), F.max("ts").alias("last"), last.alias("cmd"), F.count_if(F.col("cmd").isin("edit", "delete")).alias("n_edits"),
+        F.count_distinct(F.when(F.col("cmd") == "edit", F.col("node_id"))).alias("n_touched"), F.count_if(F.col("cmd") == "delete").alias("n_deleted"))
+    ended = F.col("cmd").isin(*ENDS)
+    return g.select("doc_id", "start", F.when(ended, F.col("last")).otherwise(F.col("last") + F.expr(f"INTERVAL {idle} SECONDS")).alias("stop"), F.when(F.col("cmd") == "end", "ended").when(ended, "stopped").otherwise("quiet").alias("reason"), "n_edits", "n_touched", "n_deleted")
+
+
+class _OpenSession:
+    """A document's calls that wait for their turn, and its open session, in milliseconds."""
+
+    def __init__(self, waiting, opened):
+        self.waiting, self.open = waiting, opened  # [(ms, seq, cmd, node)], None or [start, last, edits, touched, deleted]
+
+    def upto(self, now: int, idle: int):
+        """Sessions that have closed by ``now``, of calls up to then in order."""
+        self.waiting.sort()
+        done = [c for c in self.waiting if c[0] <= now]
+        self.waiting = self.waiting[len(done) :]
+        for ms, _, cmd, node in done:
+            yield from self.quiet(ms, idle)
+            if self.open is None:
+                if cmd != "begin":
+                    continue
+                self.open = [ms, ms, 0, set(), 0]
+            self.open[1] = ms
+            if cmd in ("edit", "delete"):
+                self.open[2] += 1
+                self.open[4] += cmd == "delete"
+                if cmd == "edit" and node is not None:
+                    self.open[3].add(node)
+            if cmd in ENDS:
+                yield self.close(ms, ENDS[cmd])
+        yield from self.quiet(now, idle)
+
+    def quiet(self, now: int, idle: int):
+        if self.open and now - self.open[1] >= idle:
+            yield self.close(self.open[1] + idle, "quiet")
+
+    def close(self, at: int, why: str):
+        start, _, edits, touched, deleted = self.open
+        self.open = None
+        return pd.Timestamp(start, unit="ms"), pd.Timestamp(at, unit="ms"), why, edits, len(touched), deleted
+
+
+def _call_sessions_stream(calls: DataFrame, idle: int) -> DataFrame:
+    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        ms, seqs, cmds, nodes, opened, touched = state.get if state.exists else ([], [], [], [], [], [])
+        s = _OpenSession(list(zip(ms, seqs, cmds, nodes)), [*opened[:3], set(touched), opened[3]] if opened else None)
+        if not state.hasTimedOut:
+            for pdf in batches:
+                s.waiting += [(int(t.value // 1_000_000), int(q), c, None if pd.isna(n) else int(n)) for t, q, c, n in zip(pdf["ts"], pdf["seq"], pdf["cmd"], pdf["node_id"])]
+        now = state.getCurrentWatermarkMs()
+        rows = list(s.upto(now, idle * 1000))
+        if s.waiting or s.open:
+            w = list(zip(*s.waiting)) if s.waiting else [[], [], [], []]
+            o = s.open
+            state.update((list(w[0]), list(w[1]), list(w[2]), list(w[3]), [o[0], o[1], o[2], o[4]] if o else [], sorted(o[3]) if o else []))
+            turn = min([*(x[0] for x in s.waiting), *([o[1] + idle * 1000] if o else [])])
+            state.setTimeoutTimestamp(max(turn, now + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame([(key[0], *r) for r in rows], columns=[x.split()[0] for x in _SESSION.split(", ")])
+
+    state = "ms array<long>, seqs array<long>, cmds array<string>, nodes array<long>, opened array<long>, touched array<long>"
+    return calls.groupBy("doc_id").applyInPandasWithState(step, _SESSION, state, "append", "EventTimeTimeout")
+
+
 def rolling_timings_stream(log: DataFrame, kept: int = KEPT) -> DataFrame:
     """pool, run_ids: after each batch of a timing stream (run_id, ts), the last ``kept`` runs of all providers, newest first; the state is
     these runs."""
@@ -101,7 +253,15 @@ def rolling_timings_stream(log: DataFrame, kept: int = KEPT) -> DataFrame:
         state.update(([t for t, _ in held], [i for _, i in held]))
         yield pd.DataFrame({"pool": [key[0]], "run_ids": [[i for _, i in held]]})
 
-    runs = log.select(F.lit("all").alias("pool"), "run_id", "ts")
+    # each task hands on its newest runs alone, whatever the batch holds
+    def newest(batches):
+        held = None
+        for pdf in batches:
+            held = pd.concat([held, pdf]).nlargest(kept, ["ts", "run_id"])
+        if held is not None:
+            yield held
+
+    runs = log.select("run_id", "ts").mapInPandas(newest, "run_id long, ts timestamp").select(F.lit("all").alias("pool"), "run_id", "ts")
     return runs.groupBy("pool").applyInPandasWithState(ring, "pool string, run_ids array<long>", "ts array<long>, run_id array<long>", "update", "NoTimeout")
 
 
