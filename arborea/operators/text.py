@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -11,6 +13,8 @@ from .predicates import blank, numbered_heading
 
 #: White space of the diff and of collapsing, as one class on every engine.
 WHITE = r"[ \t\n\x0B\f\r ]"
+_TOKENS = WHITE + r"+|[^ \t\n\x0B\f\r\u00A0]+"
+# fixed values: a marker, and a marker at the start of a text
 MARKER = r"^(?:[•‣◦▪●○*]|[A-Za-z]\.|[0-9]+\.)$"
 LEADING = r"^([ \t]*(?:[•‣◦▪●○*]|[A-Za-z]\.|[0-9]+\.))[ \t]+[^ \t]"
 #: Largest table of an alignment, in cells of words of four characters; longest batch, in characters of JSON.
@@ -137,46 +141,77 @@ def affordable(a: Column, b: Column) -> Column:
 
 def word_tokens(text: Column) -> Column:
     """Words and the white space between them, both kept."""
-    return F.regexp_extract_all(text, F.lit(f"({WHITE}+|[^ \\t\\n\\x0B\\f\\r\\u00A0]+)"), F.lit(1))
-
-
-def align(a: list[str], b: list[str]) -> list[tuple[str, str]]:
-    """Common, removed and added tokens by the longest common subsequence; on ties the removal comes first."""
-    n, m = len(a), len(b)
-    number = {w: k for k, w in enumerate(dict.fromkeys([*a, *b]))}
-    left, right = (np.array([number[w] for w in side], np.int64) for side in (a, b))
-    best = np.zeros((n + 1, m + 1), np.int32)
-    for i in range(n - 1, -1, -1):
-        row = np.where(right == left[i], best[i + 1, 1:] + 1, best[i + 1, :-1])
-        best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
-    out, i, j = [], 0, 0
+    return F.regexp_extract_all(text, F.lit(f"({_TOKENS})"), F.lit(1))
+
+
+#: Kinds of operations of an alignment.
+COMMON, REMOVED, ADDED = 0, 1, 2
+
+
+def align(a: list[str], b: list[str]) -> list[int]:
+    """The operations that turn tokens a into b, by the longest common subsequence; on ties the removal comes first. Each is three times a position, in a for
+    COMMON and REMOVED, in b for ADDED, plus its kind.
+
+    Equal ends are set aside, so near copies cost what differs. Rows of the table are whole numbers with a bit a token, a zero where the subsequence grows."""
+    n, m, lead, tail = len(a), len(b), 0, 0
+    while lead < min(n, m) and a[lead] == b[lead]:
+        lead += 1
+    while tail < min(n, m) - lead and a[n - 1 - tail] == b[m - 1 - tail]:
+        tail += 1
+    out = [3 * i + COMMON for i in range(lead)]
+    i, j, n_in, m_in = lead, lead, n - tail, m - tail
+    if i < n_in and j < m_in:
+        places: dict[str, int] = {}
+        for k in range(m_in - 1, j - 1, -1):
+            places[b[k]] = places.get(b[k], 0) | 1 << (m_in - 1 - k)
+        whole = (1 << (m_in - j)) - 1
+        rows = [whole]  # rows[k]: of the last k tokens of a
+        for k in range(n_in - 1, i - 1, -1):
+            v = rows[-1]
+            hit = v & places.get(a[k], 0)
+            rows.append((v + hit | v - hit) & whole)
+        common = lambda i, j: m_in - j - (rows[n_in - i] & (1 << (m_in - j)) - 1).bit_count()
+        while i < n_in and j < m_in:
+            if a[i] == b[j]:
+                out.append(3 * i + COMMON)
+                i, j = i + 1, j + 1
+            elif common(i + 1, j) >= common(i, j + 1):
+                out.append(3 * i + REMOVED)
+                i += 1
+            else:
+                out.append(3 * j + ADDED)
+                j += 1
+    # one side is at its equal end; what is left of the other goes before the first token that fits
     while i < n or j < m:
         if i < n and j < m and a[i] == b[j]:
-            out.append(("common", a[i]))
+            out.append(3 * i + COMMON)
             i, j = i + 1, j + 1
-        elif j == m or (i < n and best[i + 1, j] >= best[i, j + 1]):
-            out.append(("removed", a[i]))
+        elif n - i > m - j:
+            out.append(3 * i + REMOVED)
             i += 1
         else:
-            out.append(("added", b[j]))
+            out.append(3 * j + ADDED)
             j += 1
     return out
 
 
 def _aligned(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([[{"type": k, "text": t} for k, t in align(list(x), list(y))] for x, y in zip(a, b)])
+    tokens = re.compile(_TOKENS).findall
+    return pd.Series([None if x is None or y is None else np.array(align(tokens(x), tokens(y)), np.int32) for x, y in zip(a, b)])
 
 
 def word_diff(pairs: DataFrame) -> DataFrame:
     """Adds status and ops to every pair (a, b): 'equal' with all tokens common, 'aligned', or 'long' without ops, where the pair is beyond
-    ``MOST_CELLS`` and is shown without marks. Only pairs to be aligned carry tokens to Python."""
+    ``MOST_CELLS`` and is shown without marks. Only pairs to be aligned carry their texts to Python, and only positions come back."""
     status = F.when(F.col("a") == F.col("b"), "equal").when(affordable(F.col("a"), F.col("b")), "aligned").otherwise("long")
-    aligned = F.pandas_udf(_aligned, "array<struct<type:string,text:string>>")
+    aligned = F.pandas_udf(_aligned, "array<int>")
     p = pairs.withColumn("status", status)
-    tokens = lambda c: F.when(F.col("status") == "aligned", word_tokens(F.col(c))).otherwise(F.array().cast("array<string>"))
-    same = F.transform(word_tokens(F.col("a")), lambda x: F.struct(F.lit("common").alias("type"), x.alias("text")))
-    p = p.withColumn("ops", aligned(tokens("a"), tokens("b")))
-    return p.withColumn("ops", F.when(F.col("status") == "aligned", F.col("ops")).when(F.col("status") == "equal", same))
+    sent = lambda c: F.when(F.col("status") == "aligned", F.coalesce(c, F.lit("")))
+    p = p.withColumn("__ops", aligned(sent("a"), sent("b"))).withColumn("__a", word_tokens(F.col("a"))).withColumn("__b", word_tokens(F.coalesce("b", F.lit(""))))
+    at = lambda side, o: F.element_at(side, (o / 3).cast("int") + 1)
+    named = lambda o: F.struct(F.when(o % 3 == COMMON, "common").when(o % 3 == REMOVED, "removed").otherwise("added").alias("type"), F.when(o % 3 == ADDED, at("__b", o)).otherwise(at("__a", o)).alias("text"))
+    same = F.transform("__a", lambda x: F.struct(F.lit("common").alias("type"), x.alias("text")))
+    return p.withColumn("ops", F.when(F.col("status") == "aligned", F.transform("__ops", named)).when(F.col("status") == "equal", same)).drop("__ops", "__a", "__b")
 
 
 def new_side(ops: Column) -> Column:

@@ -1,6 +1,7 @@
 """Operators on written fixtures, by hand and by brute force."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -151,14 +152,40 @@ def test_streams_of_fixed_cases(spark):
     assert content.orphan_totals(content.repaired(ops, claimed), claimed).count() == 0
 
 
-def test_word_difference():
-    ops = text.align(["a", " ", "b", " ", "c"], ["a", " ", "x", " ", "c"])
-    assert ops == [("common", "a"), ("common", " "), ("removed", "b"), ("added", "x"), ("common", " "), ("common", "c")]
-    rnd = random.Random(1)
-    for _ in range(200):
-        a, b = ([rnd.choice("abc") for _ in range(rnd.randint(0, 8))] for _ in "ab")
-        out = text.align(a, b)
-        assert [x for k, x in out if k != "added"] == a and [x for k, x in out if k != "removed"] == b
+def _plain_alignment(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) or j < len(b):
+        if i < len(a) and j < len(b) and a[i] == b[j]:
+            out.append(("common", a[i]))
+            i, j = i + 1, j + 1
+        elif j == len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1]):
+            out.append(("removed", a[i]))
+            i += 1
+        else:
+            out.append(("added", b[j]))
+            j += 1
+    return out
+
+
+def test_word_difference(spark):
+    named = lambda a, b: [((("common", "removed", "added")[o % 3]), (b if o % 3 == text.ADDED else a)[o // 3]) for o in text.align(a, b)]
+    assert named(["a", " ", "b", " ", "c"], ["a", " ", "x", " ", "c"]) == [("common", "a"), ("common", " "), ("removed", "b"), ("added", "x"), ("common", " "), ("common", "c")]
+    rnd, cases = random.Random(1), []
+    for _ in range(3_000):
+        a = [rnd.choice("abcd"[: rnd.randint(2, 4)]) for _ in range(rnd.randint(0, 14))]
+        b = [x for x in a if rnd.random() < 0.8] + [rnd.choice("ab") for _ in range(rnd.randint(0, 3))] if rnd.random() < 0.5 else [rnd.choice("abcd") for _ in range(rnd.randint(0, 14))]
+        assert named(a, b) == _plain_alignment(a, b)
+        cases.append((" ".join(a), "\t".join(b)))
+    odd = [(None, "a"), ("a", None), ("", "a b"), ("a\xa0b", "a b"), ("same", "same"), ("x " * 5_000, "y " * 5_000)]
+    got = text.word_diff(spark.createDataFrame([(i, *c) for i, c in enumerate(cases[:200] + odd)], "k long, a string, b string")).orderBy("k").collect()
+    for r in got[:200]:
+        words = lambda t: re.findall(r"[ \t]+|[^ \t]+", t)
+        assert [(o.type, o.text) for o in r.ops] == _plain_alignment(words(r.a), words(r.b))
+    assert [r.status for r in got[200:]] == ["long", "long", "aligned", "aligned", "equal", "long"] and got[202].ops[0].type == "added" and got[205].ops is None
 
 
 def test_diff_regions(spark):
