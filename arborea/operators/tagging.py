@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..sources.scratch import written
 from . import tree as t
 from .rewrite import NODE, renumbered
-from .structure import _element, undivided
+from . import text as texts
+from .structure import _adopted, _element, undivided
 
 #: Kinds of leaves that can be tagged.
 CONTENT = ("content-int", "content-dict")
@@ -92,13 +93,13 @@ def _filled(leaf: DataFrame, role: str, ids: Ids) -> tuple[DataFrame, DataFrame
         own = _with_id(own, ids[name], "head", f"{name}_id")
     own = own.withColumn("box", F.col("item_id") if role == "L" else F.col("into")).withColumn("is_label", F.col("labelled") & (F.col("node_id") == F.col("head")))
     own = written(own.withColumn("holder", F.when(F.col("is_label"), F.col("label_id")).otherwise(F.col("body_id"))), "filled")
-    each = own.groupBy("doc_id", "item", "into", "box", "label_id", "body_id", "labelled", "at").agg(F.first("page").alias("page"), F.count("*").alias("n"))
+    first = lambda test: F.min_by(F.when(test, F.col("page")), F.when(test, F.col("pre")))
+    each = own.groupBy("doc_id", "item", "into", "box", "label_id", "body_id", "labelled", "at").agg(first(F.col("is_label")).alias("label_page"), first(~F.col("is_label")).alias("body_page"))
     made = lambda df, r, node, up, at, page: df.select(*_element(r, doc_id=F.col("doc_id"), node_id=node, parent_id=up, ord=at.cast("long"), own_page=page))
-    none = F.lit(None).cast("int")
     # a body without a leaf names no page
-    boxes = made(each, "LBody", F.col("body_id"), F.col("box"), F.lit(1), F.when(~F.col("labelled") | (F.col("n") > 1), F.col("page")))
-    boxes = boxes.unionByName(made(each.filter("labelled"), "Lbl", F.col("label_id"), F.col("box"), F.lit(0), F.col("page")))
-    return own, boxes.unionByName(made(each, "LI", F.col("box"), F.col("into"), F.col("at"), none)) if role == "L" else boxes
+    boxes = made(each, "LBody", F.col("body_id"), F.col("box"), F.lit(1), F.col("body_page"))
+    boxes = boxes.unionByName(made(each.filter("labelled"), "Lbl", F.col("label_id"), F.col("box"), F.lit(0), F.col("label_page")))
+    return own, boxes.unionByName(made(each, "LI", F.col("box"), F.col("into"), F.col("at"), F.lit(None).cast("int"))) if role == "L" else boxes
 
 
 def _with_id(df: DataFrame, of_node: Column, node: str, name: str) -> DataFrame:
@@ -168,7 +169,10 @@ def cut_runs(tree: DataFrame, runs: DataFrame, texts: DataFrame, ops: DataFrame
     cut at the ends of its runs and behind their markers, all at once. The first piece keeps the leaf's mcid and node; the others
     get the page's next mcids, beyond those of the tree and of the instructions: as if cut one at a time, the last run first
     and its end before its start, then markers in order. run: the run's number in the document, null where a piece is in none."""
-    ok = runs.join(refused_runs(tree, runs, texts), "doc_id", "left_anti")
+    return _cut(tree, runs.join(refused_runs(tree, runs, texts), "doc_id", "left_anti"), texts, ops)
+
+
+def _cut(tree: DataFrame, ok: DataFrame, texts: DataFrame, ops: DataFrame | None) -> DataFrame:
     at = t.with_page(tree).select("doc_id", "node_id", "pre", "page", F.col("mcid").alias("old"))
     r = ok.join(at, ["doc_id", "node_id"]).join(texts.select("doc_id", "node_id", "text"), ["doc_id", "node_id"], "left")
     start, total = F.greatest(F.coalesce("start", F.lit(0)), F.lit(0)), F.length("text")
@@ -234,3 +238,40 @@ def tag_runs(tree: DataFrame, runs: DataFrame, texts: DataFrame, role: str, ids:
     if role == "LI":
         chosen = chosen.withColumn("label", F.col("label") & (F.col("item") == 1)).withColumn("item", F.lit(1))
     return wrap_selection(cut, chosen.select("doc_id", "node_id", "item", "label"), role, ids), pieces
+
+
+def convert_items(tree: DataFrame, selection: DataFrame, leaf_text: DataFrame, ids: Ids, ops: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The topmost selected nodes as list items, and the pieces that were cut for it: the new version's nodes, and rows as of ``cut_runs``.
+
+    An element takes the role LI and keeps of what it holds the leaves alone, a leaf gets an LI around it. The leaves go into an LBody, but the first into a
+    Lbl where it is a marker; where its text begins with a marker and goes on, it is cut behind it. A leaf on another page than the first of its Lbl or LBody
+    names its own. An item without leaves is left empty. ids: as of ``wrap_selection``, of the first leaf."""
+    top = t.top_level(tree.filter("depth > 0").join(selection.select("doc_id", "node_id").distinct(), ["doc_id", "node_id"], "left_semi"))
+    top = written(top.select("doc_id", F.col("node_id").alias("item"), (F.col("type") != "element").alias("bare")), "items")
+    under = tree.select("doc_id", "node_id", "type", "pre", F.explode("path.node_id").alias("item")).join(top, ["doc_id", "item"])
+    leaf = under.filter("type <> 'element'").join(leaf_text.select("doc_id", "node_id", "text"), ["doc_id", "node_id"], "left")
+    first = F.row_number().over(Window.partitionBy("doc_id", "item").orderBy("pre")) == 1
+    length = F.coalesce(texts.leading_label_length(F.col("text")), F.lit(0))
+    whole = F.coalesce(texts.is_list_label(F.col("text")), F.lit(False))
+    leaf = written(leaf.withColumn("first", first).withColumn("cut", F.when(F.col("first") & (F.col("type") == "content"), length).otherwise(0)).withColumn("whole", F.col("first") & whole), "item_leaves")
+    # every item's first leaf is cut by itself: pages don't matter
+    runs = leaf.filter("cut > 0").select("doc_id", "node_id", F.lit(0).alias("start"), F.lit(None).cast("int").alias("end"), F.col("cut").cast("int").alias("label"))
+    pieces = written(_cut(tree, runs, leaf_text, ops), "pieces")
+    more = pieces.filter("piece > 0").select("doc_id", F.col("leaf").alias("node_id"), F.col("node_id").alias("new_id"), F.col("mcid").alias("new_mcid"))
+    s = t.with_page(tree).join(leaf.select("doc_id", "node_id", "item", "cut", "whole"), ["doc_id", "node_id"], "left")
+    kept = s.withColumn("label", F.col("whole") | (F.col("cut") > 0)).withColumn("piece", F.lit(0))
+    added = s.join(more, ["doc_id", "node_id"]).withColumn("node_id", F.col("new_id")).withColumn("mcid", F.col("new_mcid")).withColumn("label", F.lit(False)).withColumn("piece", F.lit(1)).drop("new_id", "new_mcid")
+    each = kept.unionByName(added)
+    inside = each.filter("item IS NOT NULL").join(top, ["doc_id", "item"]).withColumn("pre", F.col("pre") * 2 + F.col("piece"))
+    head = F.first("node_id").over(Window.partitionBy("doc_id", "item").orderBy("pre"))
+    inside = _with_id(inside.withColumn("head", head), ids["new"], "head", "new").withColumn("into", F.when(F.col("bare"), F.col("new")).otherwise(F.col("item")))
+    held, between = _filled(inside.select(*NODE, "page", "pre", "into", "item", "label"), "LI", ids)
+    holder_page = F.first("page").over(Window.partitionBy("doc_id", "holder").orderBy("pre"))
+    held = held.withColumn("holder_page", holder_page).withColumns({"parent_id": F.col("holder"), "ord": F.col("pre").cast("long")} | _adopted(F.col("holder_page"))).select(*NODE)
+    # a leaf's own item stands in its place
+    around = inside.filter("bare AND node_id = item").select(*_element("LI", doc_id=F.col("doc_id"), node_id=F.col("new"), parent_id=F.col("parent_id"), ord=F.col("ord"), own_page=F.col("page")))
+    gone = under.filter("node_id <> item OR bare").select("doc_id", "node_id").distinct()
+    rest = tree.join(gone, ["doc_id", "node_id"], "left_anti").join(top.filter("NOT bare").select("doc_id", F.col("item").alias("node_id"), F.lit(True).alias("is_item")), ["doc_id", "node_id"], "left")
+    rest = rest.withColumn("role", F.when(F.col("is_item"), "LI").otherwise(F.col("role"))).select(*NODE)
+    out = rest.unionByName(around).unionByName(held).unionByName(between)
+    return renumbered(out.withColumn("sort", F.col("ord"))), pieces

@@ -42,15 +42,6 @@ on_tree("refused_moves", lambda x_, _: r.refused_moves(x_, _moves(x_, "node_id")
 on_tree("move_nodes", lambda x_, _: _place(r.move_nodes(x_, _moves(x_, "node_id"))), f""", {_MOVES}, ok AS (SELECT * FROM moves WHERE doc_id % 4 = 1), rest AS (SELECT t.*, row_number() OVER (PARTITION BY t.doc_id, t.parent_id ORDER BY t.ord, t.node_id) - 1 AS i FROM tree t ANTI JOIN ok ON ok.doc_id = t.doc_id AND ok.node_id = t.node_id),
  k AS (SELECT doc_id, node_id, parent_id, CASE WHEN parent_id = -1 AND i >= 1 AND doc_id IN (SELECT doc_id FROM ok) THEN 2 ELSE 0 END AS side, i FROM rest UNION ALL SELECT doc_id, node_id, -1, 1, pre FROM ok) SELECT doc_id, node_id, parent_id, {_NUM.format('side, i, node_id')} FROM k""")
 on_tree("freed_leaves", lambda x_, _: r.freed_leaves(x_, _picked(x_)), f", {_PICKED} SELECT DISTINCT c.doc_id, c.page, c.mcid FROM picked p JOIN tree c ON c.doc_id = p.doc_id AND c.pre >= p.pre AND c.pre <= p.last_pre WHERE c.type = 'content' AND c.mcid IS NOT NULL AND c.page IS NOT NULL")
-# the leaves of one order, of its first lines, or of a few lines, by document
-_CHOSEN = "type = 'content' AND parent_id > 0 AND floor(node_id / 64) = low AND (doc_id % 3 = 0 OR node_id % 64 <= 10)"
-
-
-def _chosen(x_):
-    low = x_.filter("type = 'content'").groupBy("doc_id").agg(F.min(F.floor(F.col("node_id") / 64)).alias("low"))
-    return x_.join(low, "doc_id").filter(_CHOSEN).select("doc_id", "node_id")
-
-
 # list items
 _LABELLED = LEAF_TEXT.replace("ELSE p_name END AS text", "WHEN ln % 3 = 0 THEN '2.' WHEN ln % 3 = 1 THEN ' • ' || p_name ELSE p_name END AS text")
 _DEALT = """under AS (SELECT i.doc_id, i.node_id AS item, c.node_id AS leaf_id, l.text, row_number() OVER (PARTITION BY i.doc_id, i.node_id ORDER BY c.pre) AS no FROM {0} i JOIN tree c ON c.doc_id = i.doc_id AND c.pre >= i.pre AND c.pre <= i.last_pre AND c.type = 'content' LEFT JOIN leaf_text l ON l.doc_id = c.doc_id AND l.node_id = c.node_id),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import tagging as g
 from ..operators import tree as t
 from .adapters import LEAF_OPS, LEAF_TEXT
+from .move_queries import _LABELLED
 from .tree_queries import on_tree
 
 #: By document: all leaves of one line, some of a line's, those of the first lines of an order, or those of several orders.
@@ -77,3 +78,18 @@ on_tree("cut_marks", lambda x, w: g.cut_marks(w(_SHOWN.replace("//", "div")), g.
  steps AS (SELECT o.doc_id, o.page, op_idx, 0 AS k, 0 AS j, op, tag, o.mcid, shown FROM o WHERE NOT (op = 'Tj' AND shown <> '' AND EXISTS (SELECT 1 FROM many m WHERE m.doc_id = o.doc_id AND m.page = o.page AND m.was = o.was))
   UNION ALL SELECT o.doc_id, o.page, op_idx, piece, j, CASE j WHEN 0 THEN 'EMC' WHEN 1 THEN 'BDC' ELSE 'Tj' END, CASE WHEN j = 1 THEN 'P' END, CASE WHEN j = 1 THEN m.mcid END, CASE WHEN j = 2 THEN m.text END FROM o JOIN many m ON m.doc_id = o.doc_id AND m.page = o.page AND m.was = o.was, LATERAL (VALUES (0), (1), (2)) z(j) WHERE op = 'Tj' AND (piece > 0 OR j = 2))
  SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY op_idx, k, j) - 1 AS BIGINT) AS op_idx, op, tag, mcid, shown FROM steps""", ("leaf_text", LEAF_TEXT), ("leaf_ops", LEAF_OPS), ("shown_", _SHOWN))
+
+# every third node as a list item; some leaves begin with a marker, some are one
+_LABELLED_LEAVES = "item_leaves AS (SELECT i.doc_id, i.node_id AS item, i.type <> 'element' AS bare, c.node_id, c.type, c.kind, c.pre, c.page, c.mcid, l.text, row_number() OVER (PARTITION BY i.doc_id, i.node_id ORDER BY c.pre) AS no FROM top i JOIN tree c ON c.doc_id = i.doc_id AND c.pre BETWEEN i.pre AND i.last_pre AND c.type <> 'element' LEFT JOIN leaf_text l ON l.doc_id = c.doc_id AND l.node_id = c.node_id)"
+_ITEMS = f"""sel AS (SELECT * FROM tree WHERE node_id % 3 = 0 AND depth > 0), top AS (SELECT * FROM sel WHERE NOT EXISTS (SELECT 1 FROM sel o WHERE o.doc_id = sel.doc_id AND o.node_id <> sel.node_id AND list_contains(sel.path, o.node_id))), {_LABELLED_LEAVES},
+ marked AS (SELECT *, CASE WHEN no = 1 AND type = 'content' THEN coalesce(length(regexp_extract(text, '^([ \\t]*(?:[•‣◦▪●○*]|[A-Za-z]\\.|[0-9]+\\.))[ \\t]+[^ \\t]', 1)), 0) ELSE 0 END AS cut, no = 1 AND coalesce(regexp_matches(trim(text), '^([•‣◦▪●○*]|[A-Za-z]\\.|[0-9]+\\.)$'), false) AS whole FROM item_leaves),
+ used AS (SELECT doc_id, page, max(mcid) + 1 AS next FROM (SELECT doc_id, page, mcid FROM tree WHERE type = 'content' AND mcid IS NOT NULL UNION ALL SELECT doc_id, page, mcid FROM leaf_ops WHERE op = 'BDC' AND mcid IS NOT NULL) u GROUP BY ALL), tops AS (SELECT doc_id, max(node_id) AS last FROM tree GROUP BY doc_id),
+ fresh AS (SELECT m.*, CAST(next + row_number() OVER (PARTITION BY m.doc_id, m.page ORDER BY m.pre) - 1 AS INT) AS new_mcid, last + row_number() OVER (PARTITION BY m.doc_id ORDER BY m.pre) AS new_id FROM marked m JOIN used USING (doc_id, page) JOIN tops USING (doc_id) WHERE cut > 0),
+ pieces AS (SELECT doc_id, item, bare, node_id, pre * 2 AS pre, mcid, cut > 0 OR whole AS label FROM marked UNION ALL SELECT doc_id, item, bare, new_id, pre * 2 + 1, new_mcid, false FROM fresh),
+ heads AS (SELECT doc_id, item, bool_or(label) AS labelled, min_by(node_id, pre) AS head FROM pieces GROUP BY ALL),
+ k AS (SELECT p.doc_id, p.node_id, CASE WHEN p.label THEN 5000000000000 ELSE 6000000000000 END + head AS parent_id, NULL AS role, mcid, p.pre AS o FROM pieces p JOIN heads USING (doc_id, item)
+  UNION ALL SELECT h.doc_id, 6000000000000 + head, CASE WHEN t.type = 'element' THEN item ELSE 1000000000000 + head END, 'LBody', NULL, 1 FROM heads h JOIN tree t ON t.doc_id = h.doc_id AND t.node_id = h.item UNION ALL SELECT h.doc_id, 5000000000000 + head, CASE WHEN t.type = 'element' THEN item ELSE 1000000000000 + head END, 'Lbl', NULL, 0 FROM heads h JOIN tree t ON t.doc_id = h.doc_id AND t.node_id = h.item WHERE labelled
+  UNION ALL SELECT doc_id, 1000000000000 + node_id, parent_id, 'LI', NULL, ord FROM top WHERE type <> 'element'
+  UNION ALL SELECT t.doc_id, t.node_id, t.parent_id, CASE WHEN p.node_id IS NOT NULL THEN 'LI' ELSE t.role END, t.mcid, t.ord FROM tree t LEFT JOIN top p ON p.doc_id = t.doc_id AND p.node_id = t.node_id WHERE NOT EXISTS (SELECT 1 FROM top i WHERE i.doc_id = t.doc_id AND t.pre BETWEEN i.pre AND i.last_pre AND (i.node_id <> t.node_id OR i.type <> 'element')))"""
+on_tree("convert_items", lambda x, w: g.convert_items(x, x.filter("node_id % 3 = 0").select("doc_id", "node_id"), w(_LABELLED), _IDS(), w(LEAF_OPS))[0].select("doc_id", "node_id", "parent_id", "role", "mcid", "ord"),
+        f", {_ITEMS} SELECT doc_id, node_id, parent_id, role, mcid, CAST(row_number() OVER (PARTITION BY doc_id, parent_id ORDER BY o, node_id) - 1 AS BIGINT) AS ord FROM k", ("leaf_text", _LABELLED), ("leaf_ops", LEAF_OPS))
