@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import tree as t
+from .fold import fold
 
 # fixed values: role categories
 NUMBERED = ("H1", "H2", "H3", "H4", "H5", "H6")
@@ -108,13 +109,37 @@ def find_nodes(tree: DataFrame, roles: list[str] | None = None, text: str | None
     return e.select("doc_id", "node_id", "role", "page_no")
 
 
-def subtree(tree: DataFrame, start_depth: int, levels: int, most: int) -> DataFrame:
-    """doc_id, node_id, role, n_children, truncated: elements down to ``levels`` below a depth, the first ``most`` a document."""
-    kids = tree.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n_children"))
-    e = tree.filter((F.col("type") == "element") & F.col("depth").between(start_depth, start_depth + levels)).join(kids, ["doc_id", "node_id"], "left")
-    w = Window.partitionBy("doc_id")
-    e = e.withColumn("n", F.row_number().over(w.orderBy("pre"))).withColumn("truncated", F.count("*").over(w) > most)
-    return e.filter(F.col("n") <= most).select("doc_id", "node_id", "role", F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"), "truncated")
+_LISTED = "doc_id long, start long, node_id long, level int, content_leaves long, child_count long, truncated boolean"
+
+
+def subtree(tree: DataFrame, starts: DataFrame, levels: int = 3, most: int = 300, with_leaves: bool = False) -> DataFrame:
+    """doc_id, start, node_id, level, content_leaves, child_count, truncated: the tags below each start (doc_id, node_id), itself included, in document order.
+
+    Every tag listed spends one of ``most``, and its content leaves one each where they are listed too (``with_leaves``). A tag's children are left out, and
+    counted instead (child_count), ``levels`` below the start, or where they are more than what is left to spend. One pass in document order; its state is what
+    is left and where the part left out ends."""
+    kids = tree.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.count_if(F.col("type") != "content").alias("n_tags"), F.count_if(F.col("type") == "content").alias("n_leaves"))
+    s = starts.select("doc_id", F.col("node_id").alias("start")).distinct()
+    inside = tree.filter("type <> 'content'").select("doc_id", "node_id", "pre", "last_pre", "depth", F.posexplode("path.node_id").alias("at", "start")).join(s, ["doc_id", "start"])
+    inside = inside.join(kids, ["doc_id", "node_id"], "left").select("doc_id", "start", "node_id", "pre", "last_pre", (F.col("depth") - F.col("at")).cast("int").alias("level"), F.coalesce("n_tags", F.lit(0)).alias("n_tags"), F.coalesce("n_leaves", F.lit(0)).alias("n_leaves"))
+
+    class Listing:
+        def __init__(self):
+            self.left, self.upto = most, 0
+
+        def add(self, r):
+            if r.pre <= self.upto:
+                return []
+            self.left -= 1 + (r.n_leaves if with_leaves else 0)
+            cut = r.n_tags > 0 and (r.level >= levels or self.left < r.n_tags)
+            if cut:
+                self.upto = r.last_pre
+            return [(r.doc_id, r.start, r.node_id, r.level, r.n_leaves, r.n_tags if cut else None, cut)]
+
+        def end(self, key):
+            return ()
+
+    return fold(inside, ["doc_id", "start"], ["pre"], Listing, _LISTED)
 
 
 def attributes(tree: DataFrame) -> DataFrame:

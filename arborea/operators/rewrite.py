@@ -43,6 +43,14 @@ def refused_updates(tree: DataFrame, changes: DataFrame) -> DataFrame:
     return c.withColumn("reason", why).filter("reason IS NOT NULL").select("doc_id", "node_id", "reason")
 
 
+def known_selection(tree: DataFrame, selection: DataFrame) -> DataFrame:
+    """doc_id, node_id, known, refused of a selection's nodes: the unknown ones are told apart and passed over, but where all of a document's are unknown the
+    request is refused."""
+    s = selection.select("doc_id", "node_id").distinct().join(tree.select("doc_id", "node_id", F.lit(True).alias("found")), ["doc_id", "node_id"], "left")
+    known = F.col("found").isNotNull()
+    return s.select("doc_id", "node_id", known.alias("known"), (~F.bool_or(known).over(Window.partitionBy("doc_id"))).alias("refused"))
+
+
 def effective_changes(tree: DataFrame, changes: DataFrame) -> DataFrame:
     """doc_id, node_id, name of each change that alters a value; null and '' are the same."""
     now = F.create_map(*[x for k in LISTED for x in (F.lit(k), F.coalesce(F.col(k), F.lit("")))], F.lit("col_span"), F.col("col_span").cast("string"))
@@ -91,12 +99,16 @@ def delete_nodes(tree: DataFrame, selection: DataFrame) -> DataFrame:
 
 
 def join_previous(tree: DataFrame, selection: DataFrame) -> DataFrame:
-    """Each selected element joins its previous sibling element, if that isn't selected itself: its children follow that one's."""
-    s = tree.join(selection.withColumn("chosen", F.lit(True)), ["doc_id", "node_id"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+    """Each selected element joins its previous sibling element, if that isn't selected itself: its children follow that one's, and keep their page where they
+    had it from the element that goes."""
+    s = t.with_page(tree).join(selection.withColumn("chosen", F.lit(True)), ["doc_id", "node_id"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
     w = Window.partitionBy("doc_id", "parent_id").orderBy("ord", "node_id")
-    s = s.withColumn("before", F.lag(F.struct("node_id", "type", "chosen")).over(w))
-    pairs = s.filter("chosen AND type = 'element' AND before.type = 'element' AND NOT before.chosen").select("doc_id", F.col("node_id").alias("parent_id"), F.col("before.node_id").alias("into"))
-    kids = tree.join(pairs, ["doc_id", "parent_id"], "left").withColumn("sort", F.struct(F.col("into").isNotNull(), F.col("ord")))
+    s = s.withColumn("before", F.lag(F.struct("node_id", "type", "chosen", "page")).over(w))
+    pairs = s.filter("chosen AND type = 'element' AND before.type = 'element' AND NOT before.chosen").select("doc_id", F.col("node_id").alias("parent_id"), F.col("before.node_id").alias("into"), F.col("before.page").alias("into_page"))
+    kids = t.with_page(tree).join(pairs, ["doc_id", "parent_id"], "left")
+    away = F.col("into").isNotNull() & ~F.col("page").eqNullSafe(F.col("into_page"))
+    kids = kids.withColumn("own_page", F.when(away, F.coalesce("own_page", "page")).otherwise(F.col("own_page"))).withColumn("kind", F.when(away & (F.col("kind") == "content-int"), "content-dict").otherwise(F.col("kind")))
+    kids = kids.withColumn("sort", F.struct(F.col("into").isNotNull(), F.col("ord")))
     kids = kids.withColumn("parent_id", F.coalesce("into", "parent_id"))
     return renumbered(kids.join(pairs.select("doc_id", F.col("parent_id").alias("node_id")), ["doc_id", "node_id"], "left_anti"))
 

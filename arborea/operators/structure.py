@@ -240,7 +240,7 @@ def generated_bookmarks(tree: DataFrame, leaf_text: DataFrame) -> DataFrame:
 # facts of documents
 
 
-def update_doc_info(info: DataFrame, changes: DataFrame, names: tuple[str, ...] = ("title", "lang")) -> DataFrame:
+def update_doc_info(info: DataFrame, changes: DataFrame, names: tuple[str, ...] = ("title", "lang", "author")) -> DataFrame:
     """Facts with changes (doc_id, changes map): an empty string clears, a missing key leaves."""
     c = info.join(changes.select("doc_id", "changes"), "doc_id", "left")
     new = lambda k: F.try_element_at("changes", F.lit(k))

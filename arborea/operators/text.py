@@ -60,6 +60,18 @@ def runs_of_nodes(tree: DataFrame, leaf_text: DataFrame, runs: DataFrame) -> Dat
     return leaf.select("doc_id", F.col("parent_id").alias("node_id"), "page", n.alias("run_no"), (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("end")).alias("end"))
 
 
+def runs_of_subtrees(tree: DataFrame, leaf_text: DataFrame, runs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, node_id, page, run_no, start, end: runs of the leaves (doc_id, node_id, run_no, start, end) by their place in the text of all content below a
+    node, for each node and page wanted (doc_id, node_id, page). Leaves of other pages, and the blanks between leaves, move what follows and have no runs."""
+    w = wanted.select("doc_id", F.col("node_id").alias("anc"), F.col("page").alias("on_page")).distinct()
+    leaf = t.with_page(tree).filter("type = 'content'").join(leaf_text.filter("text <> ''").select("doc_id", "node_id", "text"), ["doc_id", "node_id"])
+    under = leaf.select("doc_id", "node_id", "pre", "page", F.length("text").alias("size"), F.explode("path.node_id").alias("anc")).join(w, ["doc_id", "anc"])
+    before = Window.partitionBy("doc_id", "anc", "on_page").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
+    placed = under.withColumn("base", F.coalesce(F.sum(F.col("size") + 1).over(before), F.lit(0))).filter("page = on_page")
+    n = F.row_number().over(Window.partitionBy("doc_id", "anc", "page").orderBy("pre", "run_no"))
+    return placed.join(runs, ["doc_id", "node_id"]).select("doc_id", F.col("anc").alias("node_id"), "page", n.alias("run_no"), (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("end")).alias("end"))
+
+
 def leaf_texts(items: DataFrame, *keys: str) -> DataFrame:
     """keys, text: items (keys, item_no, text, ends_line) one after another, a line break after one that ends a line, trimmed."""
     part = F.concat("text", F.when(F.col("ends_line"), "\n").otherwise(""))

@@ -54,7 +54,7 @@ ANNOTATIONS = f"""
 WITH l AS ({LINES}) SELECT doc_id, CAST(ok % 7 AS INT) AS page, base + ln AS annot_id, CASE WHEN sk % 2 = 0 THEN 'see ' || rf WHEN sk % 5 = 0 THEN ' ' END AS contents FROM l WHERE role IN ('Link', 'Span')
 """
 DOC_INFO = """
-SELECT c_custkey AS doc_id, CASE WHEN c_acctbal > 2000 THEN c_name WHEN c_acctbal > 0 THEN ' ' END AS title, CASE WHEN c_nationkey % 3 > 0 THEN 'en' END AS lang,
+SELECT c_custkey AS doc_id, CASE WHEN c_acctbal > 2000 THEN c_name WHEN c_acctbal > 0 THEN ' ' END AS title, CASE WHEN c_nationkey % 3 > 0 THEN 'en' END AS lang, CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment END AS author,
        c_nationkey % 4 <> 0 AS marked_tagged, CASE WHEN c_nationkey % 5 = 0 THEN FALSE WHEN c_nationkey % 5 = 1 THEN TRUE END AS accessibility_permission,
        CASE WHEN c_mktsegment = 'BUILDING' THEN '1' END AS pdfua_part, c_custkey % 25 AS page_count, c_custkey % 13 <> 5 AS has_facts FROM {customer}
 """

@@ -22,6 +22,8 @@ _C = "node_id % 5 = 1"
 on_tree("update_nodes", lambda x, _: r.update_nodes(x, _changes(x)).select("doc_id", "node_id", "role", "alt", "col_span"),
         f"SELECT doc_id, node_id, CASE WHEN {_C} AND type = 'element' AND ord % 3 <> 0 THEN 'Sect' ELSE role END AS role, CASE WHEN {_C} AND type = 'element' THEN CASE WHEN ord % 2 = 0 THEN NULL ELSE 'new' END ELSE alt END AS alt, CASE WHEN {_C} AND type = 'element' AND ord % 4 <> 0 THEN 3 ELSE col_span END AS col_span FROM tree")
 on_tree("refused_updates", lambda x, _: r.refused_updates(x, _changes(x)), f"SELECT doc_id, node_id, CASE WHEN type <> 'element' THEN 'not a tag' ELSE 'bad span' END AS reason FROM tree WHERE {_C} AND (type <> 'element' OR ord % 4 = 0)")
+on_tree("known_selection", lambda x, _: r.known_selection(x, x.filter("depth = 2").select("doc_id", F.when((F.col("node_id") % 3 > 0) & (F.col("doc_id") % 4 > 0), F.col("node_id")).otherwise(F.col("node_id") + 7_000_000_000).alias("node_id"))),
+        "SELECT doc_id, CASE WHEN k THEN node_id ELSE node_id + 7000000000 END AS node_id, k AS known, NOT bool_or(k) OVER (PARTITION BY doc_id) AS refused FROM (SELECT *, node_id % 3 > 0 AND doc_id % 4 > 0 AS k FROM tree WHERE depth = 2) z")
 on_tree("effective_changes", lambda x, _: r.effective_changes(x, _changes(x)),
         f"SELECT doc_id, node_id, c.name AS name FROM tree, LATERAL (VALUES ('alt', CASE WHEN ord % 2 = 0 THEN '' ELSE 'new' END, coalesce(alt, '')), ('role', CASE WHEN ord % 3 = 0 THEN '' ELSE 'Sect' END, coalesce(role, '')), ('col_span', CASE WHEN ord % 4 = 0 THEN '0' ELSE '3' END, CAST(col_span AS VARCHAR))) c(name, new, old) WHERE {_C} AND c.new <> c.old")
 on_tree("replace_role", lambda x, _: r.replace_role(x, "Table", "Sect").select("doc_id", "node_id", "role"), "SELECT doc_id, node_id, CASE WHEN role = 'Table' THEN 'Sect' ELSE role END AS role FROM tree")
@@ -31,8 +33,8 @@ _HEIR = "(SELECT max_by(s.node_id, s.depth) FROM anc JOIN tree s ON s.doc_id = a
 on_tree("flatten_nodes", lambda x, _: _place(r.flatten(x, x.filter("depth = 1").select("doc_id", "node_id"))),
         f", gone AS (SELECT doc_id, node_id FROM tree WHERE depth > 1 AND (lower(role) IN ('div', 'sect', 'part', 'sub') OR lower(role) LIKE '%span%')), m AS (SELECT t.doc_id, t.node_id, t.pos, {_HEIR} AS parent_id FROM tree t WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = t.doc_id AND g.node_id = t.node_id)) SELECT doc_id, node_id, parent_id, {_NUM.format('pos, node_id')} FROM m")
 on_tree("delete_subtrees", lambda x, _: _place(r.delete_nodes(x, _pick(x))), f", k AS (SELECT * FROM tree t WHERE NOT EXISTS (SELECT 1 FROM tree d WHERE d.doc_id = t.doc_id AND d.type = 'element' AND d.node_id % 7 = 1 AND t.pre BETWEEN d.pre AND d.last_pre)) SELECT doc_id, node_id, parent_id, {_NUM.format('ord, node_id')} FROM k")
-on_tree("join_previous", lambda x, _: _place(r.join_previous(x, _pick(x, 3))),
-        f", s AS (SELECT *, type = 'element' AND node_id % 3 = 1 AS chosen FROM tree), b AS (SELECT *, lag(node_id) OVER w AS into_id, lag(type) OVER w AS bt, lag(chosen) OVER w AS bc FROM s WINDOW w AS (PARTITION BY doc_id, parent_id ORDER BY ord, node_id)), pairs AS (SELECT doc_id, node_id, into_id FROM b WHERE chosen AND bt = 'element' AND NOT bc), k AS (SELECT t.doc_id, t.node_id, t.ord AS o, coalesce(p.into_id, t.parent_id) AS parent_id, p.into_id IS NOT NULL AS moved FROM tree t LEFT JOIN pairs p ON p.doc_id = t.doc_id AND p.node_id = t.parent_id WHERE NOT EXISTS (SELECT 1 FROM pairs q WHERE q.doc_id = t.doc_id AND q.node_id = t.node_id)) SELECT doc_id, node_id, parent_id, {_NUM.format('moved, o, node_id')} FROM k")
+on_tree("join_previous", lambda x, _: r.join_previous(x, _pick(x, 3)).select("doc_id", "node_id", "parent_id", "ord", "own_page", "kind"),
+        f", s AS (SELECT *, type = 'element' AND node_id % 3 = 1 AS chosen FROM tree), b AS (SELECT *, lag(node_id) OVER w AS into_id, lag(type) OVER w AS bt, lag(chosen) OVER w AS bc, lag(page) OVER w AS bp FROM s WINDOW w AS (PARTITION BY doc_id, parent_id ORDER BY ord, node_id)), pairs AS (SELECT doc_id, node_id, into_id, bp FROM b WHERE chosen AND bt = 'element' AND NOT bc), k AS (SELECT t.doc_id, t.node_id, t.ord AS o, coalesce(p.into_id, t.parent_id) AS parent_id, p.into_id IS NOT NULL AS moved, CASE WHEN p.into_id IS NOT NULL AND t.page IS DISTINCT FROM bp THEN CASE WHEN t.kind = 'content-int' THEN t.page ELSE coalesce(t.own_page, t.page) END ELSE t.own_page END AS own_page, CASE WHEN p.into_id IS NOT NULL AND t.page IS DISTINCT FROM bp AND t.kind = 'content-int' THEN 'content-dict' ELSE t.kind END AS kind FROM tree t LEFT JOIN pairs p ON p.doc_id = t.doc_id AND p.node_id = t.parent_id WHERE NOT EXISTS (SELECT 1 FROM pairs q WHERE q.doc_id = t.doc_id AND q.node_id = t.node_id)) SELECT doc_id, node_id, parent_id, {_NUM.format('moved, o, node_id')}, own_page, kind FROM k")
 on_tree("move_to_front", lambda x, _: _place(r.move_to_front(x, _pick(x, 4))), f"SELECT doc_id, node_id, parent_id, CAST(row_number() OVER (PARTITION BY doc_id, parent_id ORDER BY NOT (type = 'element' AND node_id % 4 = 1), tree.ord, node_id) - 1 AS BIGINT) AS ord FROM tree")
 on_tree("wrap_leaves", lambda x, _: _place(r.wrap_nodes(x, x.filter("type = 'content' AND node_id % 2 = 0").select("doc_id", "node_id"), "P", F.lit(1_000_000_000) + F.col("node_id"))),
         "SELECT doc_id, node_id, CASE WHEN type = 'content' AND node_id % 2 = 0 THEN 1000000000 + node_id ELSE parent_id END AS parent_id, CASE WHEN type = 'content' AND node_id % 2 = 0 THEN 0 ELSE ord END AS ord FROM tree UNION ALL SELECT doc_id, 1000000000 + node_id, parent_id, ord FROM tree WHERE type = 'content' AND node_id % 2 = 0")

@@ -77,8 +77,8 @@ for _name, _by, _lag in (("move_up", -1, "lag"), ("move_down", 1, "lead")):
  k AS (SELECT doc_id, node_id, CASE how WHEN 'into' THEN aunt WHEN 'out' THEN g ELSE parent_id END AS parent_id, CASE how WHEN 'swap' THEN i + 1.5 * {_by} WHEN 'into' THEN {-_by} * 1e18 WHEN 'out' THEN ui + 0.5 * {_by} ELSE i END AS o FROM m) SELECT doc_id, node_id, parent_id, {_ORDER} FROM k""")
 
 # facts of documents
-_CHANGE = lambda info: info.select("doc_id", F.when(F.col("page_count") % 3 == 0, F.create_map(F.lit("title"), F.lit("new"))).when(F.col("page_count") % 3 == 1, F.create_map(F.lit("title"), F.lit(""), F.lit("lang"), F.lit("fr"))).otherwise(F.create_map(F.lit("lang"), F.lit(""))).alias("changes"))
-on_views("update_doc_info", lambda info: r.update_doc_info(info, _CHANGE(info)).select("doc_id", "title", "lang"), " SELECT doc_id, CASE page_count % 3 WHEN 0 THEN 'new' WHEN 1 THEN NULL ELSE title END AS title, CASE page_count % 3 WHEN 0 THEN lang WHEN 1 THEN 'fr' END AS lang FROM info", info=DOC_INFO)
+_CHANGE = lambda info: info.select("doc_id", F.when(F.col("page_count") % 3 == 0, F.create_map(F.lit("title"), F.lit("new"))).when(F.col("page_count") % 3 == 1, F.create_map(F.lit("title"), F.lit(""), F.lit("lang"), F.lit("fr"))).otherwise(F.create_map(F.lit("lang"), F.lit(""), F.lit("author"), F.when(F.col("doc_id") % 2 == 0, "").otherwise("someone"))).alias("changes"))
+on_views("update_doc_info", lambda info: r.update_doc_info(info, _CHANGE(info)).select("doc_id", "title", "lang", "author"), " SELECT doc_id, CASE page_count % 3 WHEN 0 THEN 'new' WHEN 1 THEN NULL ELSE title END AS title, CASE page_count % 3 WHEN 0 THEN lang WHEN 1 THEN 'fr' END AS lang, CASE WHEN page_count % 3 = 2 THEN CASE WHEN doc_id % 2 = 1 THEN 'someone' END ELSE author END AS author FROM info", info=DOC_INFO)
 on_views("set_tab_order", lambda pages: r.set_tab_order(pages), " SELECT doc_id, page, 'S' AS tabs, coalesce(tabs, '') <> 'S' AS changed FROM pages", pages=DOC_PAGES)
 on_tree("set_conformance", lambda t, w: r.set_conformance(w(DOC_INFO), a.identifier_gate(_report(t, w))).select("doc_id", "pdfua_part"), f"{_REPORT}, gate AS (SELECT doc_id, count(*) FILTER (status = 'fail' AND check_id <> 'identifier') = 0 AS fixable FROM report GROUP BY doc_id HAVING bool_or(check_id = 'identifier' AND status = 'fail')) SELECT doc_id, CASE WHEN fixable AND coalesce(pdfua_part, '') = '' THEN '1' ELSE pdfua_part END AS pdfua_part FROM info LEFT JOIN gate USING (doc_id)", *_PARTS, *_INFO)
 

@@ -21,6 +21,8 @@ on_tree("text_offsets", lambda t, w: x.text_offsets(t, w(LEAF_TEXT)), "SELECT t.
 _HALVES = f"SELECT doc_id, node_id, 1 AS run_no, 0 AS start, CAST(length(text) - 3 AS INT) AS stop FROM ({LEAF_TEXT}) z WHERE text <> '' UNION ALL SELECT doc_id, node_id, 2, length(text) - 3, length(text) FROM ({LEAF_TEXT}) z WHERE text <> ''"
 on_tree("node_runs", lambda t, w: x.runs_of_nodes(t, w(LEAF_TEXT), w(_HALVES).withColumnRenamed("stop", "end")),
         ", o AS (SELECT t.doc_id, t.node_id, t.parent_id, t.pre, t.page, coalesce(sum(length(text) + 1) OVER (PARTITION BY t.doc_id, parent_id ORDER BY pre ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM tree t JOIN leaf_text l USING (doc_id, node_id) WHERE type = 'content' AND text <> '') SELECT o.doc_id, parent_id AS node_id, page, CAST(row_number() OVER (PARTITION BY o.doc_id, parent_id ORDER BY pre, run_no) AS INT) AS run_no, CAST(base + start AS BIGINT) AS start, CAST(base + stop AS BIGINT) AS \"end\" FROM o JOIN runs USING (doc_id, node_id)", _T, ("runs", _HALVES))
+on_tree("subtree_runs", lambda t, w: x.runs_of_subtrees(t, w(LEAF_TEXT), w(_HALVES).withColumnRenamed("stop", "end"), t.filter("depth IN (1, 2) AND node_id % 3 <> 0").select("doc_id", "node_id", F.explode(F.array(F.lit(0), F.lit(2), F.lit(5))).alias("page"))),
+        ", o AS (SELECT w.doc_id, w.node_id AS anc, t.node_id, t.pre, t.page, coalesce(sum(length(text) + 1) OVER (PARTITION BY w.doc_id, w.node_id ORDER BY t.pre ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM tree w JOIN tree t ON t.doc_id = w.doc_id AND t.pre BETWEEN w.pre AND w.last_pre JOIN leaf_text l ON l.doc_id = t.doc_id AND l.node_id = t.node_id WHERE w.depth IN (1, 2) AND w.node_id % 3 <> 0 AND t.type = 'content' AND text <> '') SELECT o.doc_id, anc AS node_id, page, CAST(row_number() OVER (PARTITION BY o.doc_id, anc, page ORDER BY pre, run_no) AS INT) AS run_no, CAST(base + start AS BIGINT) AS start, CAST(base + stop AS BIGINT) AS \"end\" FROM o JOIN runs USING (doc_id, node_id) WHERE page IN (0, 2, 5)", _T, ("runs", _HALVES))
 on_tree("list_parts", lambda t, w: x.list_parts(t, w(LEAF_TEXT)),
         """, c AS (SELECT i.doc_id, i.node_id AS item, a.node_id, a.pre, l.text, EXISTS (SELECT 1 FROM tree b WHERE b.doc_id = i.doc_id AND b.role = 'Lbl' AND b.parent_id = i.node_id AND a.pre BETWEEN b.pre AND b.last_pre) AS lbl FROM tree i JOIN tree a ON a.doc_id = i.doc_id AND a.pre > i.pre AND a.pre <= i.last_pre JOIN leaf_text l ON l.doc_id = a.doc_id AND l.node_id = a.node_id WHERE i.role = 'LI' AND a.type = 'content' AND text <> '')
  SELECT doc_id, item, row_number() OVER (PARTITION BY doc_id, item ORDER BY lbl DESC) AS part_no, CASE WHEN lbl THEN 'label' ELSE 'text' END AS kind, string_agg(text, ' ' ORDER BY pre) AS value FROM c GROUP BY doc_id, item, lbl""", _T)

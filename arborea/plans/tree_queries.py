@@ -73,7 +73,15 @@ on_tree("outermost_matches", lambda x, _: p.outermost(p.filters(x, a.empty_nodes
 on_tree("proofread_selection", lambda x, _: p.proofread(x), """, b AS (SELECT t.*, depth > 1 AND role NOT IN ('Lbl', 'Figure') AND (trim(coalesce(actual_text, '')) <> '' OR EXISTS (SELECT 1 FROM nodes c WHERE c.doc_id = t.doc_id AND c.parent_id = t.node_id AND c.type = 'content')) AS base FROM tree t WHERE type = 'element')
  SELECT doc_id, node_id FROM b WHERE base AND NOT (lower(role) LIKE '%span%' AND EXISTS (SELECT 1 FROM b s WHERE s.doc_id = b.doc_id AND s.node_id <> b.node_id AND list_contains(b.path, s.node_id) AND (s.base OR s.role IN ('Lbl', 'Figure'))))""")
 on_tree("find_nodes", lambda x, _: p.find_nodes(x, ["H1", "H2", "Figure"], pages=(2, 5), most=3), f", {_PAGE_OF}, f AS (SELECT doc_id, node_id, role, page_no, row_number() OVER (PARTITION BY doc_id ORDER BY pre) AS n FROM tree JOIN page_of USING (doc_id, node_id) WHERE role IN ('H1', 'H2', 'Figure') AND page_no BETWEEN 2 AND 5) SELECT doc_id, node_id, role, page_no FROM f WHERE n <= 3")
-on_tree("subtree_listing", lambda x, _: p.subtree(x, 1, 1, 10), "SELECT doc_id, node_id, role, n_children, truncated FROM (SELECT t.doc_id, t.node_id, t.role, (SELECT count(*) FROM nodes c WHERE c.doc_id = t.doc_id AND c.parent_id = t.node_id) AS n_children, count(*) OVER (PARTITION BY t.doc_id) > 10 AS truncated, row_number() OVER (PARTITION BY t.doc_id ORDER BY pre) AS n FROM tree t WHERE type = 'element' AND depth BETWEEN 1 AND 2) WHERE n <= 10")
+for _name, _levels, _most, _leaves in (("subtree_listing", 3, 300, 0), ("subtree_listing_leaves", 2, 25, 1)):
+    # from the top and from one order of each document
+    on_tree(_name, lambda x, _, v=(_levels, _most, bool(_leaves)): p.subtree(x, x.filter("depth = 0").select("doc_id", "node_id").unionByName(x.filter("depth = 2").groupBy("doc_id").agg(F.max("node_id").alias("node_id"))), *v),
+            f""", starts AS (SELECT doc_id, node_id AS start, pre, last_pre, depth FROM tree t WHERE depth = 0 OR depth = 2 AND node_id = (SELECT max(node_id) FROM tree m WHERE m.doc_id = t.doc_id AND m.depth = 2)),
+ kids AS (SELECT doc_id, parent_id AS node_id, count(*) FILTER (type <> 'content') AS n_tags, count(*) FILTER (type = 'content') AS n_leaves FROM tree GROUP BY ALL),
+ rows_ AS (SELECT s.doc_id, start, t.node_id, t.pre, t.last_pre, t.depth - s.depth AS level, coalesce(n_tags, 0) AS n_tags, coalesce(n_leaves, 0) AS n_leaves, row_number() OVER (PARTITION BY s.doc_id, start ORDER BY t.pre) AS k FROM starts s JOIN tree t ON t.doc_id = s.doc_id AND t.pre BETWEEN s.pre AND s.last_pre AND t.type <> 'content' LEFT JOIN kids ON kids.doc_id = t.doc_id AND kids.node_id = t.node_id),
+ spent AS (SELECT doc_id, start, CAST(0 AS BIGINT) AS k, CAST({_most} AS BIGINT) AS budget, 0 AS upto, false AS shown, false AS cut FROM starts UNION ALL SELECT r.doc_id, r.start, r.k, CASE WHEN r.pre <= s.upto THEN s.budget ELSE s.budget - 1 - {_leaves} * r.n_leaves END,
+   CASE WHEN r.pre > s.upto AND r.n_tags > 0 AND (r.level >= {_levels} OR s.budget - 1 - {_leaves} * r.n_leaves < r.n_tags) THEN r.last_pre ELSE s.upto END, r.pre > s.upto, r.pre > s.upto AND r.n_tags > 0 AND (r.level >= {_levels} OR s.budget - 1 - {_leaves} * r.n_leaves < r.n_tags) FROM spent s JOIN rows_ r ON r.doc_id = s.doc_id AND r.start = s.start AND r.k = s.k + 1)
+ SELECT r.doc_id, r.start, r.node_id, CAST(level AS INT) AS level, n_leaves AS content_leaves, CASE WHEN cut THEN n_tags END AS child_count, cut AS truncated FROM spent s JOIN rows_ r USING (doc_id, start, k) WHERE shown""")
 on_tree("attributes", lambda x, _: p.attributes(x), "SELECT doc_id, node_id, a AS attributes FROM (SELECT doc_id, node_id, concat_ws(';', CASE WHEN alt <> '' THEN 'alt=' || alt END, CASE WHEN actual_text <> '' THEN 'actual_text=' || actual_text END, CASE WHEN scope <> '' THEN 'scope=' || scope END) AS a FROM tree WHERE type = 'element') WHERE a <> ''")
 _DIRECT = "direct AS (SELECT t.doc_id, parent_id AS node_id, string_agg(text, ' ' ORDER BY pre) AS text FROM tree t JOIN leaf_text l USING (doc_id, node_id) WHERE t.type = 'content' AND text <> '' GROUP BY ALL)"
 on_tree("fix_candidates", lambda x, w: p.fix_candidates(x, w(LEAF_TEXT)), f", {_DIRECT}, c AS (SELECT t.doc_id, t.node_id, CASE WHEN trim(coalesce(actual_text, '')) <> '' THEN actual_text ELSE d.text END AS text FROM tree t LEFT JOIN direct d USING (doc_id, node_id) WHERE type = 'element' AND role NOT IN ('Table', 'Document')) SELECT * FROM c WHERE trim(coalesce(text, '')) <> ''", ("leaf_text", LEAF_TEXT))
