@@ -46,6 +46,8 @@ from .common import Scratch, components, mix, pack48, sub_batches, text_bytes, t
 HOT_IN_BATCH, HOT = 64, (1 << 15) - 1
 #: Text bytes whose shingles one counting task gathers; shingles of a batch; shingles in a tile's block.
 TILE_BYTES, BATCH_TOKENS, BLOCK_TOKENS = 6_000_000, 600_000, 250_000
+#: Shingles of a batch for each tile, and of a batch at most (memory); tiles from which they become larger.
+SHARE, MOST_BATCH_TOKENS, MANY_TILES = 24, 4_000_000, 50_000
 #: Partitions that the tiles are dealt to at most; beyond, a partition holds several tiles, one after another.
 MOST_PARTITIONS = 20_000
 #: Members of a family of several blocks that each of its blocks meets in the first round.
@@ -99,6 +101,16 @@ _BACK = ["batch", "tok", "who", "keys", "sizes", "hot", "hot_who"]
 _BACK_SQL = "batch long, tok binary, who binary, keys binary, sizes binary, hot binary, hot_who binary"
 
 
+def batch_tokens(n_tiles: int) -> int:
+    """Shingles of a batch: so many that a tile's share of it doesn't become a row for every few of them."""
+    return max(BATCH_TOKENS, min(MOST_BATCH_TOKENS, SHARE * n_tiles))
+
+
+def tile_bytes(total: int) -> int:
+    """Text of a tile: more, up to four times, where there would be very many tiles."""
+    return TILE_BYTES * min(4, max(1, round(total / (MANY_TILES * TILE_BYTES))))
+
+
 def _tiles(n_words: int, n_tiles: int):
     """Deals the shingles of batches of classes to tiles, eight bytes each: six of the hash, two of the class' place in its
     batch. What places stand for, and the hot shingles, travel once a batch and pass through one tile."""
@@ -126,6 +138,8 @@ def _tiles(n_words: int, n_tiles: int):
             rows.append((int(tile[a]), batch, pack48(tok[a:b]), who[a:b].tobytes(), None, None, None, None, None))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _TILE)], schema=_TILE)
 
+    most = batch_tokens(n_tiles)
+
     def run(batches):
         held, total, number = {}, 0, 0
         for batch in batches:
@@ -133,7 +147,7 @@ def _tiles(n_words: int, n_tiles: int):
                 for s in shingle_sets(texts, n_words):
                     if len(s) and (key := class_key(s)) not in held:
                         held[key], total = s, total + len(s)
-                if total >= BATCH_TOKENS or len(held) > 50_000:
+                if total >= most or len(held) > 50_000:
                     yield flush(held, number)
                     held, total, number = {}, 0, number + 1
         if held:
@@ -307,7 +321,8 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, percent: int = 75, doc
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     run, schema = _documents(n_words)
     each = scratch.write(src.mapInArrow(run, schema), "documents")
-    n_tiles = tiles_for(text_bytes(src), TILE_BYTES)
+    total = text_bytes(src)
+    n_tiles = tiles_for(total, tile_bytes(total))
     tiles = src.select("text").mapInArrow(_tiles(n_words, n_tiles), _TILE_SQL).repartition(min(n_tiles, MOST_PARTITIONS), "tile")
     shared = tiles.groupBy("tile").applyInPandas(_count, _BACK_SQL)
     members = scratch.write(shared.groupBy("batch").applyInPandas(_members(percent), "cls long, n long, shared binary, prefix array<long>"), "members")

@@ -37,6 +37,8 @@ from .common import mix, pack48, sub_batches, text_bytes, tiles_for, unpack48, w
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 #: Documents of one bucket from which an anchor counts as shared without being counted; text bytes of a bucket and of a tile.
 HOT, BUCKET_BYTES, TILE_BYTES = 64, 6_000_000, 12_000_000
+#: Text bytes from which buckets and tiles become larger.
+MANY_BYTES = 60_000_000_000
 #: Partitions at most; beyond, a partition holds several tiles or buckets, one after another.
 MOST_PARTITIONS = 20_000
 _LAST = (1 << 63) - 1
@@ -250,11 +252,18 @@ def _result(with_text: bool):
     return run, f"doc_id long, n_words long, n_removed long, {names[3]} string"
 
 
+def dealt_to(total: int) -> tuple[int, int]:
+    """Tiles and buckets for so many bytes of text. A bucket deals a row to each tile, so both become larger, up to four times, where there would be very
+    many of them; else a row would hold a few anchors only."""
+    size = min(4.0, max(1.0, (total / MANY_BYTES) ** 0.5))
+    return tiles_for(total, int(TILE_BYTES * size)), tiles_for(total, int(BUCKET_BYTES * size))
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (the kept words joined by one space) or its kept_sha256, for every row."""
     bounded_batches(docs)
     total = text_bytes(docs, text)
-    n_tiles, n_buckets = tiles_for(total, TILE_BYTES), tiles_for(total, BUCKET_BYTES)
+    n_tiles, n_buckets = dealt_to(total)
     src = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("ord"), F.col(text).alias("text")).withColumn("rid", F.xxhash64("ord", "text"))
     whole = src.withColumn("bucket", F.pmod("rid", F.lit(n_buckets)).cast("int")).repartition(min(n_buckets, MOST_PARTITIONS), "bucket")
     tiled = lambda df, run: df.repartition(min(n_tiles, MOST_PARTITIONS), "tile").groupBy("tile").applyInPandas(run, _FOUND)

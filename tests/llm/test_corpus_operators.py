@@ -142,6 +142,36 @@ def test_substring_dedup(spark, monkeypatch):
     same(substring_dedup.remove_repeats(table(spark, ROWS), with_text=False).collect(), brute_substring(ROWS))
 
 
+def test_what_is_dealt_stays_in_proportion():
+    """Bytes a shingle are the same, within a tenth, for tables of 5 GB, 50 GB, 500 GB and 5 TB of text; anchors of a bucket are many a tile."""
+    import pyarrow as pa
+
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choices(WORDS, k=700)) for _ in range(6_000)]
+    WORDS_OF = pa.RecordBatch.from_pydict({"text": texts})
+    bytes_of = []
+    for total in (5e9, 5e10, 5e11, 5e12):
+        n = jaccard.tiles_for(int(total), jaccard.tile_bytes(int(total)))
+        out = list(jaccard_tiles(n, WORDS_OF))
+        # a row costs its binaries, and some 24 bytes of keys and lengths
+        size = sum(len(x.as_py()) for b in out for c in ("tok", "who") for x in b.column(c) if x.is_valid) + 24 * sum(b.num_rows for b in out)
+        bytes_of.append(size / sum(len(x.as_py()) // 6 for b in out for x in b.column("tok") if x.is_valid))
+        tiles, buckets = substring_dedup.dealt_to(int(total))
+        assert total / buckets / 14 / tiles >= 10  # about 14 bytes of text for an anchor
+    assert max(bytes_of) <= 1.15 * min(bytes_of), bytes_of
+
+
+def jaccard_tiles(n, batch):
+    from unittest import mock
+
+    with mock.patch.object(jaccard, "TaskContext") as context:
+        context.get.return_value.partitionId.return_value = 0
+        yield from jaccard._tiles(5, n)([batch])
+
+
+WORDS = [f"w{i}" for i in range(50_000)]
+
+
 def test_difference_cover():
     p = substring_dedup
     for a in range(p.PERIOD):
