@@ -244,3 +244,26 @@ def test_marks_follow_the_cuts(spark):
         now = mcid if op == "BDC" else now
         spans[now] += shown or ""
     assert {r.mcid: r.text for r in pieces.collect()} == {k: v for k, v in spans.items() if k != 1}
+
+
+def test_facade(spark):
+    """Verbs follow one another; texts, instructions and annotations follow the tree."""
+    from arborea.plans.corpus import Corpus
+
+    tree, texts = small(spark)
+    ops = spark.createDataFrame([(1, 0, 0, "BDC", "P", 0, None), (1, 0, 1, "Tj", None, None, "one two three"), (1, 0, 2, "EMC", None, None, None), (1, 0, 3, "BDC", "Link", 2, None)], "doc_id long, page int, op_idx long, op string, tag string, mcid int, shown string")
+    notes = spark.createDataFrame([(1, 5)], "doc_id long, annot_id long")
+    first = Corpus(tree, leaf_text=texts, ops=ops, annotations=notes)
+    runs = spark.createDataFrame([(1, 3, 4, 7, None, None)], RUN)
+    cut = first.tag_runs(runs, "H1", ids())
+    assert {r.text for r in cut.facts["leaf_text"].collect()} >= {"one ", "two", " three", "five"}
+    assert [r.shown for r in cut.facts["ops"].filter("shown IS NOT NULL").orderBy("op_idx").collect()] == ["one ", "two", " three"]
+    assert {(r.node_id, r.text) for r in cut.text().collect() if r.text == "two"}
+    plain = cut.remove_links()
+    assert plain.facts["annotations"].isEmpty() and {r.tag for r in plain.facts["ops"].filter("op = 'BDC'").collect()} == {"P", "Span"}
+    assert [r.role for r in plain.shift_headings(1).tree.filter("role LIKE 'H%'").collect()] == ["H2"]
+    assert [(r.how, r.node_id) for r in first.selection_plan(spark.createDataFrame([(1, 6)], "doc_id long, node_id long")).collect()] == [("relabel", 5)]
+    assert {r.node_id for r in first.filtered("all").collect()} == set(range(9))
+    listed = first.get_nodes(levels=1)
+    assert [(r.node_id, r.child_count) for r in listed.orderBy("node_id").collect()] == [(0, None), (1, 3)]
+    assert first.difference(cut).count() == 1
