@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.scratch import written
 from . import tree as t
 from .predicates import blank, numbered_heading
 
@@ -165,7 +166,9 @@ FACT_CHECKS = {"links-tagged": "fail", "links-described": "fail", "figure-text":
 
 
 def instances(tree: DataFrame, pages: DataFrame, annotations: DataFrame, empty: DataFrame, shown: DataFrame | None = None) -> DataFrame:
-    """Every finding of the rules on nodes and pages; those on text in figures only where ``shown`` is given."""
+    """Every finding of the rules on nodes and pages; those on text in figures only where ``shown`` is given. The empty tags are found once and written, as two
+    rules read them."""
+    empty = written(empty, "empty")
     parts = [tab_order(pages), heading_skips(tree), empty_headings(empty), empty_tags(tree, empty), nesting(tree), list_items(tree), irregular_tables(tree), table_headers(tree), alt_texts(tree), links(link_tags(tree, annotations))]
     parts += [] if shown is None else [figures_with_text(tree, shown)]
     out = parts[0]

@@ -147,16 +147,26 @@ def seed_grid(boxes: DataFrame, frames: DataFrame) -> DataFrame:
 
 def words(boxes: DataFrame) -> DataFrame:
     """doc_id, word_no, n: glyphs of a line joined while the gap is at most 1.5 median widths of the document, the columns follow and the
-    leaf (where boxes name one) is the same; numbered in reading order."""
-    sized = boxes.select("*", (F.col("x1") - F.col("x0")).alias("width"), (F.col("y1") - F.col("y0")).alias("height"), F.lit(False).alias("coarse"))
-    b = boxes.join(median_width(sized, "doc_id"), "doc_id")
+    leaf (where boxes name one) is the same; numbered in reading order.
+
+    Glyphs that touch are joined first, whatever the median; only these pieces meet it. The median comes from the counts of each size."""
+    sizes = boxes.groupBy("doc_id", (F.col("x1") - F.col("x0")).alias("width"), (F.col("y1") - F.col("y0")).alias("height")).agg(F.count("*").alias("n"))
+    median = sizes.groupBy("doc_id").agg(F.coalesce(F.percentile("width", 0.5, F.col("n")), F.percentile("height", 0.5, F.col("n")) / 2).alias("width"))
     w = Window.partitionBy("doc_id", "line").orderBy("x0")
-    near = (F.col("x0") - F.lag("x1").over(w) <= 1.5 * F.col("width")) & (F.col("col") == F.lag("col").over(w) + 1)
-    if "leaf" in boxes.columns:
-        near = near & F.col("leaf").eqNullSafe(F.lag("leaf").over(w))
-    b = b.withColumn("new", (~F.coalesce(near, F.lit(False))).cast("int"))
-    b = b.withColumn("k", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "line", "k").agg(F.count("*").alias("n"))
-    return b.withColumn("word_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("line", "k"))).select("doc_id", "word_no", "n")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    leaf = "leaf" in boxes.columns
+
+    def joined(df: DataFrame, reach: Column, end: str, col: str, first_col: str, last_leaf: str, first_leaf: str) -> DataFrame:
+        near = (F.col("x0") - F.lag(end).over(w) <= reach) & (F.col(first_col) == F.lag(col).over(w) + 1)
+        if leaf:
+            near = near & F.col(first_leaf).eqNullSafe(F.lag(last_leaf).over(w))
+        return df.withColumn("new", (~F.coalesce(near, F.lit(False))).cast("int")).withColumn("k", F.sum("new").over(upto))
+
+    one = joined(boxes, F.lit(0.0), "x1", "col", "col", "leaf", "leaf").groupBy("doc_id", "line", "k").agg(
+        F.count("*").alias("n"), F.min("x0").alias("x0"), F.max_by("x1", "x0").alias("end"), F.min_by("col", "x0").alias("from_col"), F.max_by("col", "x0").alias("to_col"),
+        *([F.min_by("leaf", "x0").alias("from_leaf"), F.max_by("leaf", "x0").alias("to_leaf")] if leaf else [])).drop("k")
+    two = joined(one.join(median, "doc_id"), 1.5 * F.col("width"), "end", "to_col", "from_col", "to_leaf", "from_leaf").groupBy("doc_id", "line", "k").agg(F.sum("n").alias("n"))
+    return two.withColumn("word_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("line", "k"))).select("doc_id", "word_no", "n")
 
 
 def phrases(boxes: DataFrame, gap: float = 9.0) -> DataFrame:
