@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..sources.scratch import written
 from . import tree as t
 from .rewrite import NODE, renumbered
-from . import text as texts
+from . import regions, text as texts
 from .structure import _adopted, _element, undivided
 
 #: Kinds of leaves that can be tagged.
@@ -275,3 +275,23 @@ def convert_items(tree: DataFrame, selection: DataFrame, leaf_text: DataFrame, i
     rest = rest.withColumn("role", F.when(F.col("is_item"), "LI").otherwise(F.col("role"))).select(*NODE)
     out = rest.unionByName(around).unionByName(held).unionByName(between)
     return renumbered(out.withColumn("sort", F.col("ord"))), pieces
+
+
+# figures
+
+
+def place_figures(tree: DataFrame, figures: DataFrame, anchors: DataFrame, figure_id: Column, leaf_id: Column) -> DataFrame:
+    """New Figures (doc_id, figure_id, page, y, target_id) among the children of each document's insertion parent, each before the first that lies on a later page
+    or lower on its own; y grows upwards, anchors as of ``node_anchors``. A figure that is an object holds a leaf of it (target_id), any other has a box
+    of its own. Figures of one place keep their order. Ids are expressions of figure_id."""
+    home = t.insertion_parents(tree).withColumnRenamed("node_id", "parent_id")
+    goal = figures.join(home, "doc_id").withColumn("target", F.col("figure_id"))
+    at = regions.insertion_index(tree, anchors, goal.select("doc_id", "parent_id", F.col("figure_id").alias("target_id"), "page", "y"))
+    f = goal.join(at.select("doc_id", F.col("target_id").alias("figure_id"), "index"), ["doc_id", "figure_id"])
+    sort = F.struct(F.col("index").cast("long").alias("i"), F.lit(0).alias("k"), F.col("figure_id").cast("long").alias("n"))
+    boxed = _element("Figure", doc_id=F.col("doc_id"), node_id=figure_id, parent_id=F.col("parent_id"), ord=F.lit(0).cast("long"), own_page=F.col("page"), has_bbox=F.col("target_id").isNull())
+    new = f.select(F.struct(*boxed).alias("e"), sort.alias("sort")).select("e.*", "sort")
+    held = f.filter("target_id IS NOT NULL").select(F.struct(*_element("", doc_id=F.col("doc_id"), node_id=leaf_id, parent_id=figure_id, ord=F.lit(0).cast("long"), type=F.lit("object-ref"), kind=F.lit("content-dict"), own_page=F.col("page"), target_id=F.col("target_id"))).alias("e"), sort.alias("sort")).select("e.*", "sort").withColumn("role", F.lit(None).cast("string"))
+    i = F.row_number().over(Window.partitionBy("doc_id", "parent_id").orderBy("ord", "node_id")) - 1
+    old = tree.select(*NODE, F.struct(i.cast("long").alias("i"), F.lit(1).alias("k"), F.lit(0).cast("long").alias("n")).alias("sort"))
+    return renumbered(old.unionByName(new).unionByName(held))

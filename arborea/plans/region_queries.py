@@ -8,8 +8,9 @@ from ..operators import content as c
 from ..operators import geometry as g
 from ..operators import regions as n
 from ..operators import tables as b
+from ..operators import tagging as g_
 from ..operators import tree as t
-from .adapters import LEAF_OPS, PAGE_CLAIMED, PAGE_OPS, RECTS, oracle, view
+from .adapters import LEAF_OPS, OUTLINE, PAGE_CLAIMED, PAGE_OPS, RECTS, oracle, view
 from .content_queries import PAGE_ORPHANS, PAGE_STREAMS
 from .registry import register
 from .table_queries import _CELLS
@@ -58,6 +59,14 @@ _GOALS = lambda x: x.filter("type = 'element' AND depth = 2").select("doc_id", F
 on_tree("insertion_index", lambda x, w: n.insertion_index(x, _anchored(x, w), _GOALS(x)), f""", {_POSITIONS}, kids AS (SELECT doc_id, parent_id, node_id, row_number() OVER (PARTITION BY doc_id, parent_id ORDER BY ord, node_id) - 1 AS i FROM tree WHERE parent_id IS NOT NULL)
  SELECT g.doc_id, g.node_id AS parent_id, 1 AS target_id, CAST(coalesce(min(k.i) FILTER (p.page > g.node_id % 7 OR (p.page = g.node_id % 7 AND p.y < 25)), count(k.node_id)) AS INT) AS index FROM tree g LEFT JOIN kids k ON k.doc_id = g.doc_id AND k.parent_id = g.node_id LEFT JOIN positions p ON p.doc_id = k.doc_id AND p.node_id = k.node_id WHERE g.type = 'element' AND g.depth = 2 GROUP BY ALL""")
 
+# a figure for each part of the outline: every other one an object
+_FIGS = f"SELECT doc_id, bookmark_id AS figure_id, page, CAST(bookmark_id % 60 AS DOUBLE) AS y, CASE WHEN bookmark_id % 2 = 0 THEN bookmark_id + 5 END AS target_id FROM ({OUTLINE}) o"
+on_tree("place_figures", lambda x, w: g_.place_figures(x, w(_FIGS), _anchored(x, w), F.lit(1_000_000_000_000) + F.col("figure_id"), F.lit(2_000_000_000_000) + F.col("figure_id")).select("doc_id", "node_id", "parent_id", "ord", "type", "has_bbox", "own_page"),
+        f""", {_POSITIONS}, home AS (SELECT doc_id, node_id AS parent_id FROM tree WHERE depth = 1 AND role = 'Document'), kids AS (SELECT t.*, row_number() OVER (PARTITION BY doc_id, parent_id ORDER BY ord, node_id) - 1 AS i FROM tree t),
+ f AS (SELECT figs.*, home.parent_id, coalesce((SELECT min(k.i) FROM kids k JOIN positions p ON p.doc_id = k.doc_id AND p.node_id = k.node_id WHERE k.doc_id = figs.doc_id AND k.parent_id = home.parent_id AND (p.page > figs.page OR (p.page = figs.page AND p.y < figs.y))), (SELECT count(*) FROM kids k WHERE k.doc_id = figs.doc_id AND k.parent_id = home.parent_id)) AS i FROM figs JOIN home USING (doc_id)),
+ k AS (SELECT doc_id, node_id, parent_id, i, 1 AS b, 0 AS n, type, has_bbox, own_page FROM kids UNION ALL SELECT doc_id, 1000000000000 + figure_id, parent_id, i, 0, figure_id, 'element', target_id IS NULL, page FROM f UNION ALL SELECT doc_id, 2000000000000 + figure_id, 1000000000000 + figure_id, i, 0, figure_id, 'object-ref', false, page FROM f WHERE target_id IS NOT NULL)
+ SELECT doc_id, node_id, parent_id, CAST(row_number() OVER (PARTITION BY doc_id, parent_id ORDER BY i, b, n, node_id) - 1 AS BIGINT) AS ord, type, has_bbox, own_page FROM k""", ("figs", _FIGS))
+
 # boxes
 _SIZED = "SELECT CAST(leaf_id % 40 AS BIGINT) AS doc_id, CAST(width AS DOUBLE) AS width, CAST(height AS DOUBLE) AS height, leaf_id % 3 = 0 OR leaf_id % 40 < 5 AS coarse FROM ({0}) z"
 register("median_width", lambda s, d: g.median_width(view(s, d, _SIZED.format(RECTS)), "doc_id"), f"SELECT doc_id, coalesce(median(width) FILTER (NOT coarse), median(height) / 2) AS width FROM ({_SIZED.format(oracle(RECTS))}) GROUP BY doc_id")
