@@ -200,12 +200,15 @@ def cut_marks(ops: DataFrame, pieces: DataFrame) -> DataFrame:
     """The pages' instructions (doc_id, page, op_idx, op, tag, mcid, shown) with a span of its own for every piece: a shown text that runs
     over a cut is divided, and before each further piece the span is closed and opened again with the piece's mcid.
 
-    shown: the text that an instruction paints, null for others; texts are counted within the span whose mcid was opened last."""
+    shown: the text that an instruction paints, null for others; texts are counted from the last opening with an mcid on; spans
+    without one are no bounds."""
     page = Window.partitionBy("doc_id", "page").orderBy("op_idx")
-    o = ops.withColumn("in_mcid", F.last(F.when(F.col("op") == "BDC", F.struct("mcid", "tag")), ignorenulls=True).over(page))
-    o = o.withColumn("off", F.coalesce(F.sum(F.coalesce(F.length("shown"), F.lit(0))).over(Window.partitionBy("doc_id", "page", "in_mcid.mcid").orderBy("op_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    o = ops.withColumn("in_mcid", F.last(F.when((F.col("op") == "BDC") & F.col("mcid").isNotNull(), F.struct("mcid", "tag", "op_idx")), ignorenulls=True).over(page))
+    o = o.withColumn("off", F.coalesce(F.sum(F.coalesce(F.length("shown"), F.lit(0))).over(Window.partitionBy("doc_id", "page", "in_mcid.op_idx").orderBy("op_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     first = pieces.filter("piece = 0").select("doc_id", "leaf", F.col("mcid").alias("was"))
-    cut = pieces.join(first, ["doc_id", "leaf"]).groupBy("doc_id", "page", "was").agg(F.array_sort(F.collect_list(F.struct("piece", "start", "stop", "mcid"))).alias("pieces"))
+    # what a span shows beyond the known text stays with its last piece
+    last = F.col("piece") == F.max("piece").over(Window.partitionBy("doc_id", "leaf"))
+    cut = pieces.withColumn("stop", F.when(last, 1 << 30).otherwise(F.col("stop")).cast("int")).join(first, ["doc_id", "leaf"]).groupBy("doc_id", "page", "was").agg(F.array_sort(F.collect_list(F.struct("piece", "start", "stop", "mcid"))).alias("pieces"))
     o = o.withColumn("was", F.col("in_mcid.mcid")).join(cut.filter("size(pieces) > 1"), ["doc_id", "page", "was"], "left")
     end = F.col("off") + F.length("shown")
     own = F.filter("pieces", lambda p: (F.greatest(p["start"], F.col("off")) < F.least(p["stop"], end)))

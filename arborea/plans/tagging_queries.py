@@ -74,9 +74,9 @@ on_tree("tag_runs", lambda x, w: t.tree_keys(_TAGGED(x, w, "L")).filter("type =
         f""", {_CUT}, every AS (SELECT doc_id, node_id, mcid, CASE WHEN run IS NULL THEN '' WHEN label THEN 'L > LI > Lbl' ELSE 'L > LI > LBody' END AS within FROM cut UNION ALL SELECT doc_id, node_id, mcid, '' FROM tree t WHERE type = 'content' AND NOT EXISTS (SELECT 1 FROM r2 WHERE r2.doc_id = t.doc_id AND r2.node_id = t.node_id)) SELECT * FROM every""", ("leaf_text", LEAF_TEXT), ("leaf_ops", LEAF_OPS))
 _SHOWN = f"SELECT o.doc_id, o.page, o.op_idx, o.op, o.tag, o.mcid, CASE WHEN o.op = 'Tj' THEN l.text END AS shown FROM ({LEAF_OPS}) o LEFT JOIN (SELECT doc_id, node_id, text FROM ({LEAF_TEXT}) z) l ON l.doc_id = o.doc_id AND l.node_id = o.op_idx // 32 * 64 + o.op_idx // 4 % 8 + 8"
 on_tree("cut_marks", lambda x, w: g.cut_marks(w(_SHOWN.replace("//", "div")), g.cut_runs(x, _runs(x, w), w(LEAF_TEXT), w(LEAF_OPS))),
-        f""", {_CUT}, o AS (SELECT s.*, op_idx // 4 AS span, max(s.mcid) OVER (PARTITION BY s.doc_id, s.page, op_idx // 4) AS was FROM shown_ s), many AS (SELECT c.*, first_value(mcid) OVER (PARTITION BY doc_id, leaf ORDER BY piece) AS was FROM cut c),
+        f""", {_CUT}, o AS (SELECT s.*, op_idx // 4 AS span, max(s.mcid) OVER (PARTITION BY s.doc_id, s.page, op_idx // 4) AS was FROM shown_ s), many AS (SELECT c.*, first_value(mcid) OVER (PARTITION BY doc_id, leaf ORDER BY piece) AS was, max(piece) OVER (PARTITION BY doc_id, leaf) AS final FROM cut c),
  steps AS (SELECT o.doc_id, o.page, op_idx, 0 AS k, 0 AS j, op, tag, o.mcid, shown FROM o WHERE NOT (op = 'Tj' AND shown <> '' AND EXISTS (SELECT 1 FROM many m WHERE m.doc_id = o.doc_id AND m.page = o.page AND m.was = o.was))
-  UNION ALL SELECT o.doc_id, o.page, op_idx, piece, j, CASE j WHEN 0 THEN 'EMC' WHEN 1 THEN 'BDC' ELSE 'Tj' END, CASE WHEN j = 1 THEN 'P' END, CASE WHEN j = 1 THEN m.mcid END, CASE WHEN j = 2 THEN m.text END FROM o JOIN many m ON m.doc_id = o.doc_id AND m.page = o.page AND m.was = o.was, LATERAL (VALUES (0), (1), (2)) z(j) WHERE op = 'Tj' AND (piece > 0 OR j = 2))
+  UNION ALL SELECT o.doc_id, o.page, op_idx, piece, j, CASE j WHEN 0 THEN 'EMC' WHEN 1 THEN 'BDC' ELSE 'Tj' END, CASE WHEN j = 1 THEN 'P' END, CASE WHEN j = 1 THEN m.mcid END, CASE WHEN j = 2 THEN CASE WHEN piece = final THEN substr(shown, start + 1) ELSE substr(shown, start + 1, stop - start) END END FROM o JOIN many m ON m.doc_id = o.doc_id AND m.page = o.page AND m.was = o.was, LATERAL (VALUES (0), (1), (2)) z(j) WHERE op = 'Tj' AND start < length(shown) AND (piece > 0 OR j = 2))
  SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY op_idx, k, j) - 1 AS BIGINT) AS op_idx, op, tag, mcid, shown FROM steps""", ("leaf_text", LEAF_TEXT), ("leaf_ops", LEAF_OPS), ("shown_", _SHOWN))
 
 # every third node as a list item; some leaves begin with a marker, some are one
