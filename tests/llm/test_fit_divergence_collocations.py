@@ -247,8 +247,10 @@ def test_collocations_do_not_depend_on_limits(spark, monkeypatch, names):
 def test_sql_of_the_same(spark, module):
     import pandas as pd
 
+    # the SQL copies a piece's words for each of them: no very long piece here
+    rows = [r for r in ROWS if r[0] != 600]
     con = duckdb.connect()
-    documents = pd.DataFrame([r[:4] for r in ROWS], columns=["doc_id", "text", "lang", "source"])
+    documents = pd.DataFrame([r[:4] for r in rows], columns=["doc_id", "text", "lang", "source"])
     con.register("documents", documents)
     run = module.source_divergence if module is divergence else module.collocations
-    assert rows_of(run(table(spark, ROWS)).toArrow()) == rows_of(con.sql(module.ORACLE_SQL).to_arrow_table())
+    assert rows_of(run(table(spark, rows)).toArrow()) == rows_of(con.sql(module.ORACLE_SQL).to_arrow_table())
