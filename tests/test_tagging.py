@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from test_operators import NODE
 
 from arborea.operators import tagging as g
+from arborea.operators import rewrite
 from arborea.operators import tree as t
 from arborea.operators.rewrite import content_fingerprint
 from arborea.sources.scratch import written
@@ -221,11 +222,15 @@ def test_runs_become_a_list(spark):
 
 def test_refused_runs(spark):
     tree, texts = small(spark)
-    for runs, why in (([(1, 3, 0, None, None, None), (1, 8, 0, None, None, None)], "pages"), ([(1, 2, 0, None, None, None)], "not content"), ([(1, 99, 0, None, None, None)], "unknown"), ([(1, 3, 40, None, None, None)], "no text"), ([(1, 3, 5, 5, None, None)], "no text")):
-        r = spark.createDataFrame(runs, RUN)
-        assert [x.reason for x in g.refused_runs(tree, r, texts).collect()] == [why]
-        nodes, pieces = g.tag_runs(tree, r, texts, "P", ids())
-        assert shape(nodes) == [(x.role or x.mcid, x.depth) for x in tree.orderBy("pre").collect()] and not pieces.count()
+    cases = [("pages", [(3, 0, None), (8, 0, None)]), ("not content", [(2, 0, None)]), ("unknown", [(99, 0, None)]), ("no text", [(3, 40, None)]), ("no text", [(3, 5, 5)])]
+    docs = spark.createDataFrame([(i,) for i in range(len(cases))], "d long")
+    of_each = lambda df: df.join(docs, F.lit(True)).withColumn("doc_id", F.col("d")).drop("d")
+    many, said = t.tree_keys(of_each(tree.select(*rewrite.NODE))), of_each(texts)
+    r = written(spark.createDataFrame([(i, *x, None, None) for i, (_, own) in enumerate(cases) for x in own], RUN), "runs")
+    assert {x.doc_id: x.reason for x in g.refused_runs(many, r, said).collect()} == {i: why for i, (why, _) in enumerate(cases)}
+    nodes, pieces = g.tag_runs(many, r, said, "P", ids())
+    place = lambda n: {(x.doc_id, x.node_id, x.parent_id, x.role, x.mcid) for x in n.collect()}
+    assert place(nodes) == place(many) and not pieces.count()
     # a leaf whose text nobody knows is taken whole
     nodes, pieces = g.tag_runs(tree, spark.createDataFrame([(1, 6, 0, None, None, None)], RUN), texts.filter("node_id <> 6"), "H3", ids())
     assert [(r.mcid, r.run) for r in pieces.collect()] == [(2, 1)] and ("H3", 2) in shape(nodes)
