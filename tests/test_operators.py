@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -243,3 +244,19 @@ def test_markup_and_versions(spark, tmp_path):
     src.save_version(spark.range(2), root, 2, "2024-02-01 00:00:00")
     assert src.open_version(spark, root).count() == 2 and src.open_version(spark, root, 1).count() == 1
     assert [r.version for r in src.expired_versions(spark.read.parquet(f"{root}/versions"), "2024-03-01 00:00:00").collect()] == [1]
+
+
+def test_a_keys_rows_stay_in_one_task_behind_a_join(spark):
+    """The small side comes late, so that the join becomes one by broadcast when the large side is already dealt by key."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "8KB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    late = F.udf(lambda x: time.sleep(0.5) or 3.5, "double")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        levels = spark.range(0, 4000, 1, 8).selectExpr("id % 20 AS doc_id", "floor(id / 20) * 20.0 AS mid", "10.0 AS h", "1L AS n", "0.0 AS top", "1.0 AS bottom")
+        small = spark.range(0, 20, 1, 2).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, late("id")).otherwise(3.5).alias("tolerance")).groupBy("doc_id").agg(F.max("tolerance").alias("tolerance"))
+        got = geometry.fold(levels.join(small, "doc_id"), ["doc_id"], ["mid", "h"], geometry._Lines, "doc_id long, line_no long, n long, top double, bottom double").collect()
+        assert sorted((r.doc_id, r.line_no) for r in got) == [(d, n) for d in range(20) for n in range(200)]
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
