@@ -260,3 +260,11 @@ def test_a_keys_rows_stay_in_one_task_behind_a_join(spark):
     finally:
         for k in conf:
             spark.conf.unset(k)
+
+
+def test_a_tree_is_read_by_document_without_a_shuffle(spark):
+    nodes = spark.createDataFrame([node(1, None, "root"), node(2, 1, "element", "Document"), node(3, 2, "element", "P"), node(4, 3, "content", page=0, mcid=1), node(5, 2, "element", "P")], NODE)
+    tree = t.tree_keys(nodes)
+    assert [(r.node_id, r.depth, r.pre, r.last_pre) for r in tree.orderBy("pre").collect()] == [(1, 0, 1, 5), (2, 1, 2, 5), (3, 2, 3, 4), (4, 3, 4, 4), (5, 2, 5, 5)]
+    for df in (t.leaves(tree), t.page_of(tree), tree.groupBy("doc_id", "parent_id").count()):
+        assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
