@@ -5,6 +5,7 @@ import random
 from test_operators import NODE
 
 from arborea.operators import structure as r
+from arborea.operators import summary
 from arborea.operators import tree as t
 from arborea.sources.scratch import written
 from pyspark.sql import functions as F
@@ -106,3 +107,15 @@ def test_paragraphs_against_recursion(spark):
 def test_names_of_undivided_roles(spark):
     one = spark.createDataFrame([("TD",), ("P",), (None,)], "role string").select(r.undivided(F.col("role")).alias("u")).collect()
     assert [x.u for x in one] == [True, False, False]
+
+
+def test_bookmarks_without_a_page_are_deleted_from_too(spark):
+    from arborea.plans import registry
+    from arborea.plans.adapters import tree
+
+    small = "/root/testdata/sf0.001"
+    heads = {(r.doc_id, r.node_id): r.parent for r in summary.heading_parents(tree(spark, small).filter(summary.numbered_heading(F.col("role")))).collect()}
+    gone = {k for k in heads if k[1] % 5 == 0}
+    while more := {(d, n) for (d, n), up in heads.items() if (d, up) in gone} - gone:
+        gone |= more
+    assert {(r.doc_id, r.bookmark_id) for r in registry.QUERIES["delete_bookmarks"](spark, small).collect()} == set(heads) - gone
