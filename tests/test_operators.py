@@ -285,3 +285,20 @@ def test_tasks_grow_with_rows(spark, monkeypatch):
     entries = regions.hanging_entries(lines)
     assert entries.rdd.getNumPartitions() == 2 * least
     assert sorted((r.start, r.end, r.item_no) for r in entries.filter("region_id = 3").collect()) == [(0, 14, 1), (14, 28, 2)]
+
+
+def test_a_tree_leaves_no_other_table(spark, monkeypatch):
+    from pathlib import Path
+
+    import pytest
+    from arborea.sources.scratch import shared_dir
+    monkeypatch.setattr(t, "BUCKET", 3)
+    rows = [(d, *node(*x)[1:]) for d in range(4) for x in ((1, None, "root"), (2, 1, "element", "Document"), (3, 2, "element", "P"), (4, 3, "content"), (9, 8, "element", "P"))]
+    before = set(Path(shared_dir(spark)).iterdir())
+    tree = t.tree_keys(spark.createDataFrame(rows, NODE))
+    made = set(Path(shared_dir(spark)).iterdir()) - before
+    assert [x.name.split("_")[0] for x in made] == ["tree"]
+    assert sorted((r.doc_id, r.node_id, r.pre, r.last_pre) for r in tree.collect()) == [(d, n, n, 4) for d in range(4) for n in range(1, 5)]
+    assert t.tree_keys(tree, rows=16, most_levels=4).count() == 16
+    with pytest.raises(ValueError):
+        t.tree_keys(tree, most_levels=3)
