@@ -302,3 +302,16 @@ def test_a_tree_leaves_no_other_table(spark, monkeypatch):
     assert t.tree_keys(tree, rows=16, most_levels=4).count() == 16
     with pytest.raises(ValueError):
         t.tree_keys(tree, most_levels=3)
+
+
+def test_an_alignment_stays_in_its_row(spark):
+    pairs = spark.createDataFrame([(1, "a b  c d", "a X  c Y Z"), (2, "same", "same"), (3, None, "a"), (4, "one two", "one and two"), (5, "x y", "x  y")], "doc_id long, a string, b string")
+    diff = text.word_diff(pairs)
+    side = diff.filter("ops IS NOT NULL").select("doc_id", text.new_side(F.col("ops")).alias("side")).select("doc_id", F.size("side"), F.col("side.text"))
+    regions = text.diff_regions(diff, "doc_id")
+    for df in (diff, side, regions):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # neither dealt token by token nor cut to tokens for each of them
+        assert "Exchange" not in plan and not re.search(r"element_at\(regexp_extract_all", plan)
+    assert sorted(map(tuple, regions.collect())) == [(1, 2, 3, False), (1, 7, 8, False), (4, 4, 4, True)]
+    assert {r.doc_id: r.text for r in side.collect()} == {1: ["a", " ", "X", "  ", "c", " ", "Y", " ", "Z"], 2: ["same"], 4: ["one", " ", "and", " ", "two"], 5: ["x", "  ", "y"]}
