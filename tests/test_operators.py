@@ -315,3 +315,17 @@ def test_an_alignment_stays_in_its_row(spark):
         assert "Exchange" not in plan and not re.search(r"element_at\(regexp_extract_all", plan)
     assert sorted(map(tuple, regions.collect())) == [(1, 2, 3, False), (1, 7, 8, False), (4, 4, 4, True)]
     assert {r.doc_id: r.text for r in side.collect()} == {1: ["a", " ", "X", "  ", "c", " ", "Y", " ", "Z"], 2: ["same"], 4: ["one", " ", "and", " ", "two"], 5: ["x", "  ", "y"]}
+
+
+def test_boxes_of_glyphs_stay_with_their_document(spark, monkeypatch):
+    monkeypatch.setattr(geometry, "CHARACTERS", 10)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = spark.createDataFrame([(d, n, f"ab  c{n} d") for d in range(40) for n in range(3)], "doc_id long, line int, text string")
+    boxes = geometry.glyphs(lines)
+    assert boxes.rdd.getNumPartitions() == 96 > least
+    for df in (geometry.words(boxes), geometry.phrases(boxes).groupBy("doc_id").agg(F.count("*").alias("n"))):
+        # lines alone are dealt, before there is a row a glyph
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+    assert sorted(tuple(r) for r in geometry.words(boxes).filter("doc_id = 7").collect()) == [(7, i + 1, n) for i, n in enumerate([2, 2, 1] * 3)]
+    assert geometry.phrases(boxes).filter("doc_id = 7").count() == 6
