@@ -159,7 +159,7 @@ class Vocabulary:
             return b""
         if self.special_split and "<" in text and len(parts := self.special_split.split(text)) > 1:
             return b"".join(self.special[x].to_bytes(4, "little") if i % 2 else self.encode(x) for i, x in enumerate(parts))
-        if text.isascii():
+        if is_latin(text):
             text = text.lower()  # fewer distinct chunks
         chunks = filter(None, self.white.split(text)) if _ODD_CONTROLS.search(text) else text.split()
         return b"".join(map(self.cache.__getitem__, chunks))
@@ -176,12 +176,20 @@ class Vocabulary:
             started = True
 
 
+def is_latin(text: str) -> bool:
+    """Whether no character is beyond U+00FF: there composition changes nothing, and case is folded one by one, alike in every library."""
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 #: What often ends a word and is a piece of its own after a letter up to U+00FF, whose classes don't change.
 _ENDS = frozenset(".,;:!?")
 
 
 class _Chunks(dict):
-    """Ids of what stands between white space; starts anew when it is full. A word and the mark after it are looked up apart."""
+    """Ids of what stands between white space; starts anew when it is full. A word and the mark after it are looked up apart until the word comes again."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
@@ -193,13 +201,17 @@ class _Chunks(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         if chunk[-1] in _ENDS and len(chunk) > 1 and chunk[-2] <= "\u00ff" and chunk[-2].isalpha():
-            return self[chunk[:-1]] + self.marks[chunk[-1]]
-        if chunk.isascii():
+            if (known := self.get(chunk[:-1])) is None:
+                return self[chunk[:-1]] + self.marks[chunk[-1]]
+            found = known + self.marks[chunk[-1]]
+        elif is_latin(chunk):
             low = chunk.lower()
             if low.isalpha():
                 if low != chunk:
                     return self[low]
                 found = self._word(low)
+            elif not low.isascii():
+                found = b"".join(map(self._word, self.v.split.findall(low)))
             else:
                 # a piece of ASCII is a chunk of its own with the same ids
                 pieces = self.v.split.findall(low)

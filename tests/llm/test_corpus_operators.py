@@ -472,3 +472,15 @@ def test_license_files_and_wrapped_clauses(spark):
 @pytest.mark.parametrize("run", [jaccard.jaccard_components, exact_dedup.exact_duplicates, substring_dedup.remove_repeats, lambda d: bpe.encoding_digests(d, PATH), lambda d: packing.pack_documents(d, PATH), pii.find_personal_data, lambda d: licenses.license_scan(d, path="source")])
 def test_empty_tables(spark, run):
     assert run(table(spark, [])).count() == 0
+
+
+def test_latin_words_need_no_composition(monkeypatch):
+    from arborea.llm import bpe, queries
+    from tokenizers import Tokenizer
+    known = Tokenizer.from_file(str(queries.VOCABULARY))
+    said = ["Über Straße, STRASSE, Straße, ÀÉÿ ÅNGSTRÖM; straße,", "ª º µ ²³ x²y Ça·va 1Ä2  É\u0085é", "don't, DON'T, don't,"]
+    monkeypatch.setattr(bpe, "_FOLD", None)
+    v = bpe.Vocabulary(str(queries.VOCABULARY), bpe.character_classes())
+    for text in said * 2:
+        assert list(memoryview(v.encode(text)).cast("I")) == known.encode(text, add_special_tokens=False).ids
+    assert "straße," in v.cache and "àéÿ" in v.cache
