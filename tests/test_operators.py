@@ -304,6 +304,44 @@ def test_a_tree_leaves_no_other_table(spark, monkeypatch):
         t.tree_keys(tree, most_levels=3)
 
 
+def test_a_tree_is_small_on_disk(spark, monkeypatch):
+    from pathlib import Path
+
+    from arborea.plans import adapters
+    from arborea.sources import scratch
+    monkeypatch.setattr(t, "KIDS", 4)
+    before = {x.name for x in Path(scratch.shared_dir(spark)).iterdir()}
+    rows = [node(1, None, "root"), node(2, 1, "element", "Document"), *(node(n, 2, "element", "P") for n in range(3, 13))]
+    tree = t.tree_keys(spark.createDataFrame(rows, NODE))
+    assert [(r.node_id, r.pre, r.last_pre, [(s.node_id, s.parent_id) for s in r.path]) for r in tree.orderBy("pre").collect()] == [
+        (n, n, 12 if n < 3 else n, [(1, None), (2, 1), (n, 2)][:min(n, 3)]) for n in range(1, 13)]
+    # siblings share a row and its path, but no row holds more than a few of them
+    held = spark.read.parquet(str(next(x for x in Path(scratch.shared_dir(spark)).iterdir() if x.name not in before)))
+    assert max(r.n for r in held.selectExpr("size(kids) AS n").collect()) == 4 and held.count() == 6
+    # the nodes of the given tables are read where their lines lie, and the tree's table alone stays
+    nodes = adapters.view(spark, "/root/testdata/sf0.001", adapters.NODES)
+    assert "Exchange" not in nodes.groupBy("doc_id", "parent_id").count()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_write_keeps_no_shuffle(spark):
+    from pathlib import Path
+
+    from arborea.sources import scratch
+
+    def shuffles() -> set[str]:
+        return {x.name for top in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for x in Path(top.getPath()).rglob("shuffle_*.data")}
+
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", shuffles()
+    rows = spark.range(1000).repartition(3, "id")
+    told = spark.conf.get(key)
+    made = [scratch.written(rows, "rows"), scratch.Dealt(spark, "dealt", "id", 3).add(spark.range(1000))]
+    deadline = time.time() + 20
+    while shuffles() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffles() - before and spark.conf.get(key) == told
+    assert [x.count() for x in made] == [1000, 1000]
+
+
 def test_an_alignment_stays_in_its_row(spark):
     pairs = spark.createDataFrame([(1, "a b  c d", "a X  c Y Z"), (2, "same", "same"), (3, None, "a"), (4, "one two", "one and two"), (5, "x y", "x  y")], "doc_id long, a string, b string")
     diff = text.word_diff(pairs)
