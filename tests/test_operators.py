@@ -367,3 +367,13 @@ def test_boxes_of_glyphs_stay_with_their_document(spark, monkeypatch):
         assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
     assert sorted(tuple(r) for r in geometry.words(boxes).filter("doc_id = 7").collect()) == [(7, i + 1, n) for i, n in enumerate([2, 2, 1] * 3)]
     assert geometry.phrases(boxes).filter("doc_id = 7").count() == 6
+
+
+def test_streams_and_findings_stay_with_their_document(spark):
+    from arborea.operators import content as c
+    from arborea.plans import adapters
+    ops = adapters.view(spark, "/root/testdata/sf0.001", adapters.LEAF_OPS)
+    assert "Exchange hashpartitioning" not in c.shown_text(ops)._jdf.queryExecution().executedPlan().toString()
+    tree = adapters.tree(spark, "/root/testdata/sf0.001")
+    flat = t.tree_keys(rewrite.flatten(tree, tree.filter("depth = 1").select("doc_id", "node_id")), buckets=tree.rdd.getNumPartitions())
+    assert flat.rdd.getNumPartitions() == tree.rdd.getNumPartitions() and flat.filter("depth = 0").count() == tree.filter("depth = 0").count()
