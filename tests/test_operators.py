@@ -377,3 +377,25 @@ def test_streams_and_findings_stay_with_their_document(spark):
     tree = adapters.tree(spark, "/root/testdata/sf0.001")
     flat = t.tree_keys(rewrite.flatten(tree, tree.filter("depth = 1").select("doc_id", "node_id")), buckets=tree.rdd.getNumPartitions())
     assert flat.rdd.getNumPartitions() == tree.rdd.getNumPartitions() and flat.filter("depth = 0").count() == tree.filter("depth = 0").count()
+
+
+def test_a_tree_is_numbered_in_arrays(spark, monkeypatch):
+    from arborea.operators import keys
+    rows = [(d, *node(*x)[1:]) for d in range(5) for x in ((1, None, "root"), (2, 1, "element", "Document"), (9, 2, "element", "P"), (4, 9, "content"), (5, 2, "element", "Figure"), (6, 1, "element", "P"), (8, 7, "element", "P"))]
+    rows += [(7, *node(n, n - 1 or None, "element", "Div")[1:]) for n in range(1, 9)]
+    nodes = spark.createDataFrame(rows, NODE)
+    shown = lambda tree: sorted((r.doc_id, r.node_id, r.depth, r.pre, r.last_pre, r.above_role, r.above_type, r.above_page, r.above_bbox, r.leafy, str(r.path)) for r in tree.collect())
+    by_level, asked = t._by_level, []
+    monkeypatch.setattr(t, "_by_level", lambda *x: asked.append(x) or by_level(*x))
+    arrays = shown(t.tree_keys(nodes, buckets=1))
+    assert not asked and len(arrays) == 38 and [x[5:10] for x in arrays if x[0] == 0] == [
+        (None, None, None, False, True), (None, "root", None, False, True), ("P", "element", None, False, True), ("Document", "element", None, False, False), (None, "root", None, False, False), ("Document", "element", None, False, True)]
+    # too many nodes for a task, in one batch and in many, and too long a path: level by level, with the same keys
+    monkeypatch.setattr(keys, "STEP", 4)
+    for most in (5, 7, 8):
+        monkeypatch.setattr(keys, "MOST", most)
+        assert shown(t.tree_keys(nodes, buckets=1)) == arrays
+    assert len(asked) == 3
+    # an id that occurs twice has its children below each
+    twice = spark.createDataFrame([(1, *node(*x)[1:]) for x in ((1, None, "root"), (2, 1, "element", "P"), (2, 1, "element", "P"), (3, 2, "content"))], NODE)
+    assert sorted((r.node_id, r.depth) for r in t.tree_keys(twice, buckets=1).collect()).count((3, 2)) == 2 and len(asked) == 4
