@@ -399,3 +399,27 @@ def test_a_tree_is_numbered_in_arrays(spark, monkeypatch):
     # an id that occurs twice has its children below each
     twice = spark.createDataFrame([(1, *node(*x)[1:]) for x in ((1, None, "root"), (2, 1, "element", "P"), (2, 1, "element", "P"), (3, 2, "content"))], NODE)
     assert sorted((r.node_id, r.depth) for r in t.tree_keys(twice, buckets=1).collect()).count((3, 2)) == 2 and len(asked) == 4
+
+
+def test_regions_of_pairs_of_any_length(spark):
+    import random
+    many = [f"w{n}" for n in range(3000)]
+    pairs = spark.createDataFrame([(1, " ".join(many), " ".join(["X", *many[1:-1], "Y"])), (2, "a b", "a c")], "doc_id long, a string, b string")
+    assert [r.status for r in text.word_diff(pairs).orderBy("doc_id").collect()] == ["long", "aligned"]
+    got = text.diff_regions(text.word_diff(pairs, every=True), "doc_id").collect()
+    end = len(" ".join(many))
+    assert sorted(map(tuple, got)) == [(1, 0, 2, False), (1, end - 5, end, False), (2, 2, 3, False)]
+
+    def plain(a, b):
+        size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                size[i][j] = size[i + 1][j + 1] + 1 if a[i] == b[j] else max(size[i + 1][j], size[i][j + 1])
+        return size[0][0]
+
+    draw = random.Random(5)
+    for n in range(200):
+        a, b = ([draw.choice("abcd") for _ in range(draw.randrange(40))] for _ in range(2))
+        ops = text.align(a, b)
+        assert [a[o // 3] for o in ops if o % 3 < 2] == a and [a[o // 3] if o % 3 == 0 else b[o // 3] for o in ops if o % 3 != 1] == b
+        assert sum(o % 3 == 0 for o in ops) == plain(a, b)
